@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import as_table
 
-TREES, SYMBOLS, PROBES, BLOCK_ROWS, SHORT = 8, 4, 8, 20_000, 10
+TREES, SYMBOLS, PROBES, BLOCK_ROWS, SHORT = 8, 4, 12, 20_000, 10
 
 
 @cache

@@ -102,11 +102,12 @@ def _power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def word_hashes(blobs: list[bytes], lower: bool = True, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(blobs: list[bytes], lower: bool = True, punctuation: bool = False, heads: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash for each word of the texts, and offsets: words offsets[i]:offsets[i + 1] are those of text i.
 
     Words are runs of bytes other than white space (also ASCII punctuation, with `punctuation`). The hash is a
-    polynomial in the word's bytes, read off one running sum over all bytes."""
+    polynomial in the word's bytes, read off one running sum over all bytes. With heads, a row of hashes for each: of the
+    words' first so many bytes, and 0 for words that are not longer."""
     raw = np.frombuffer(b"\n".join(blobs) + b"\n", np.uint8)
     code, ends_word = _tables(lower, punctuation)
     inside = ~ends_word[raw]
@@ -114,9 +115,12 @@ def word_hashes(blobs: list[bytes], lower: bool = True, punctuation: bool = Fals
     starts, ends = edges[0::2], edges[1::2]
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(code[raw] * _power_table(_BASE, len(raw)), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * _power_table(pow(_BASE, -1, 1 << 64), len(raw))[starts]
-    places = np.cumsum([0, *(len(b) + 1 for b in blobs)])
-    return mix64(hashes), np.searchsorted(starts, places)
+    back = _power_table(pow(_BASE, -1, 1 << 64), len(raw))[starts]
+    places = np.searchsorted(starts, np.cumsum([0, *(len(b) + 1 for b in blobs)]))
+    if heads:
+        long = [ends - starts > n for n in heads]
+        return np.stack([np.where(k, mix64((sums[np.minimum(starts + n, len(raw))] - sums[starts]) * back + np.uint64(n)), np.uint64(0)) for n, k in zip(heads, long, strict=True)]), places
+    return mix64((sums[ends] - sums[starts]) * back), places
 
 
 def shape_hashes(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

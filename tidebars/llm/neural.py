@@ -160,30 +160,42 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
 BUCKETS = 1 << 18
 
 
+HEADS, TIMES = (4, 5, 6, 7), (1, 2, 4)
+
+
 def word_buckets(blobs: list[bytes]) -> list[np.ndarray]:
-    """Distinct hashed words of each text, punctuation apart."""
-    h, offsets = word_hashes(blobs, punctuation=True)
-    rows = (h % np.uint64(BUCKETS)).astype(np.int64)
+    """Distinct hashed features of each text: that a word (punctuation apart), or a head of some bytes that longer words
+    begin with, stands there at least so many TIMES."""
+    words, offsets = word_hashes(blobs, punctuation=True)
+    heads, _ = word_hashes(blobs, punctuation=True, heads=HEADS)
     doc = np.repeat(np.arange(len(blobs)), np.diff(offsets))
-    both = np.unique(doc * BUCKETS + rows)
-    return np.split((both % BUCKETS).astype(np.int32), np.searchsorted(both // BUCKETS, np.arange(1, len(blobs))))
+    rows = np.concatenate([words, *heads])
+    doc = np.tile(doc, 1 + len(HEADS))[rows != 0]
+    rows = (rows[rows != 0] % np.uint64(BUCKETS)).astype(np.int64)
+    both, n = np.unique(doc * BUCKETS + rows, return_counts=True)
+    doc, rows = both // BUCKETS, both % BUCKETS
+    doc, rows = (np.concatenate(x) for x in zip(*((doc[n >= k], (rows[n >= k] * (2 * k - 1) + (k - 1) * 7919) % BUCKETS) for k in TIMES), strict=True))
+    order = np.argsort(doc, kind="stable")
+    return np.split(rows[order].astype(np.int32), np.searchsorted(doc[order], np.arange(1, len(blobs))))
 
 
 class PositiveUnlabelled:
     """A linear classifier over hashed words by non-negative positive-unlabelled learning.
 
     Risk: prior * E_p[loss(f, +)] + max(0, E_u[loss(f, -)] - prior * E_p[loss(f, -)]), logistic loss. Where the second
-    part is negative, the step goes against its gradient, which undoes the overfit. Words in fewer than `least` texts
-    of the sample have no weight."""
+    part is negative, the step goes against its gradient, which undoes the overfit. Only features whose share of the
+    positive texts is above that of the unlabelled by `least` standard errors have weights."""
 
-    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: int = 4, epochs: int = 30, seed: int = 0):
+    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: float = 5.0, epochs: int = 20, seed: int = 0):
         self.prior, self.weights, self.bias = prior, np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
         if not positive or not unlabelled:
             return
         rng = np.random.default_rng(seed)
-        df = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=BUCKETS)
+        a, b = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (positive, unlabelled))
+        share = (a + b + 1) / (len(positive) + len(unlabelled) + 2)
+        error = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
         column = np.full(BUCKETS, -1, np.int64)
-        used = np.flatnonzero(df >= least)
+        used = np.flatnonzero(a / len(positive) - b / len(unlabelled) > least * error)
         column[used] = np.arange(len(used))
         sets = [[c[c >= 0] for c in (column[x] for x in some)] for some in (positive, unlabelled)]
         w, bias = np.zeros(len(used)), self.bias
@@ -217,7 +229,7 @@ class PositiveUnlabelled:
         return _sigmoid(np.bincount(owner, self.weights[flat].astype(np.float64), len(sets)) + self.bias)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 8000) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 4000) -> DataFrame:
     """doc_id and score for every row of docs (null text: empty).
 
     Positives: at most `most` texts with label 1. Unlabelled: at most 3 * `most` rows of `unlabelled` (docs, if not given), whatever
