@@ -143,7 +143,7 @@ BLOCKS = "block int, salt int, data binary"
 
 def array_blocks(array: np.ndarray, size: int = 1 << 16) -> Iterator[pa.RecordBatch]:
     """A float32 array as rows of BLOCKS."""
-    flat, salt = np.ascontiguousarray(array, np.float32).ravel(), task_number() % 64
+    flat, salt = np.ascontiguousarray(array, np.float32).ravel(), task_number() % 8
     for k in range(0, len(flat), size):
         yield pa.RecordBatch.from_pydict({"block": pa.array([k // size], pa.int32()), "salt": pa.array([salt], pa.int32()), "data": pa.array([flat[k : k + size].tobytes()], pa.binary())})
 

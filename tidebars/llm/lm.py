@@ -6,16 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BLOCKS, array_blocks, as_table, crc32_of, mix64, summed, task_number, text_slices, word_hashes
 
 CLASSES, ITEMS = 32, 32  # a word's hash gives its class and its slot in the class
 SLOTS = CLASSES * ITEMS
-CLASS_ROWS, ITEM_ROWS = 1 << 14, 1 << 15  # hashed features
+CLASS_ROWS, ITEM_ROWS = 1 << 13, 1 << 14  # hashed features
 END = np.uint64(0x2545F4914F6CDD1D)
-BLOCK_BYTES = 6 << 20  # text in a block
+BLOCK_BYTES = 16 << 20  # text in a block
 BATCH, RATE = 8192, 0.1
 
 TOKENS = "block long, doc_ids array<long>, held array<boolean>, offsets binary, low binary, mid binary, high binary, vocab binary, counts binary"
@@ -171,9 +171,9 @@ def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(d
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vocab), block)), pa.array(np.arange(len(vocab), dtype=np.int32)), pa.array(vocab), pa.array(counts)], ["block", "at", "word", "n"])
 
     listed = blocks.select("block", "vocab", "counts").mapInArrow(words, "block long, at int, word long, n long")
-    totals = as_table(listed.groupBy("word").agg(F.sum("n").alias("c")), "totals")
-    slot = F.pmod(F.shiftrightunsigned("word", 20), F.lit(SLOTS))
-    counted = totals.where("c > 0").groupBy(slot.alias("slot")).agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    each = Window.partitionBy("word")  # a word has a row for each block at most
+    known = as_table(listed.select("block", "at", "word", F.sum("n").over(each).alias("c"), (F.row_number().over(each.orderBy("block")) == 1).alias("once")).select("block", "at", F.when(F.col("once"), F.pmod(F.shiftrightunsigned("word", 20), F.lit(SLOTS))).alias("slot"), "c"), "counts")
+    counted = known.where("slot is not null and c > 0").groupBy("slot").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
     n_slot, v_slot = np.zeros(SLOTS), np.zeros(SLOTS)
     for r in counted:
         n_slot[r["slot"]], v_slot[r["slot"]] = r["n"], r["v"]
@@ -203,7 +203,7 @@ def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(d
         if change[n]:
             weights = weights + change[:n] / change[n]
     final = spark.sparkContext.broadcast((n_slot, v_slot, weights))
-    counts = listed.join(totals, "word").select("block", "at", "c")
+    counts = known.select("block", "at", "c")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
