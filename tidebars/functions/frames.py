@@ -2,20 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("code").orderBy("date")
+def W() -> WindowSpec:  # noqa: N802
+    """An instrument's bars in order. A function, since a window needs a session."""
+    return Window.partitionBy("code").orderBy("date")
 
 
 def roll(func, x: Column | str, n: int, m: int | None = None, k: int = 0) -> Column:
     """func of x over the n bars that end k bars ago, null unless m of them (all, if not given) have a value."""
-    frame = W.rowsBetween(-(k + n - 1), -k)
+    frame = W().rowsBetween(-(k + n - 1), -k)
     return F.when(F.count(x).over(frame) >= (n if m is None else m), func(x).over(frame))
 
 
 def ago(x: Column | str, k: int = 1) -> Column:
-    return F.lag(x, k).over(W)
+    return F.lag(x, k).over(W())
 
 
 def pdiv(a: Column, b: Column) -> Column:
@@ -44,15 +46,15 @@ def flag(condition: Column) -> Column:
 
 def scaled(x: str, alpha: float) -> Column:
     """What with_ewm adds up: x times alpha times (1 - alpha) ** -position; the first value without alpha."""
-    at = F.count(x).over(W.rowsBetween(Window.unboundedPreceding, 0)) - 1
+    at = F.count(x).over(W().rowsBetween(Window.unboundedPreceding, 0)) - 1
     return F.when(F.col(x).isNotNull(), F.when(at == 0, F.col(x)).otherwise(F.lit(alpha) * F.col(x) * F.pow(F.lit(1 - alpha), -at)))
 
 
-def with_ewm(df, out: str, x: str, alpha: float, least: int = 1):
+def with_ewm(df: DataFrame, out: str, x: str, alpha: float, least: int = 1) -> DataFrame:
     """df with column out: the exponential mean of x by alpha, seeded by the first value, null for fewer than least values.
 
     One running sum of scaled values; the scale stays finite while bars * -ln(1 - alpha) < 700."""
-    q, running = 1 - alpha, W.rowsBetween(Window.unboundedPreceding, 0)
+    q, running = 1 - alpha, W().rowsBetween(Window.unboundedPreceding, 0)
     df = df.withColumn("_scaled", scaled(x, alpha))
     n = F.count(x).over(running)
     return df.withColumn(out, F.when(n >= least, F.sum("_scaled").over(running) * F.pow(F.lit(q), n - 1))).drop("_scaled")

@@ -59,7 +59,7 @@ def volumes(df: DataFrame) -> DataFrame:
     """Volume baselines and ratios, balance, turnover ratio and volume-weighted cost moments."""
     change = C("close") - ago("close")
     df = df.withColumns({"_up": F.when(change > 0, C("volume")).otherwise(0.0), "_down": F.when(change < 0, C("volume")).otherwise(0.0), "_obv": F.coalesce(F.signum(change), F.lit(0.0)) * C("volume"), "_fall": F.when(change < 0, C("volume"))})
-    df = df.withColumns({"vma20_prev": roll(F.avg, "volume", 20, k=1), "amount_ma20_prev": roll(F.avg, "amount", 20, k=1), "turnover_ma20_prev": roll(F.avg, "turnover", 20, 10, 1), "_sum": F.sum("_obv").over(W)})
+    df = df.withColumns({"vma20_prev": roll(F.avg, "volume", 20, k=1), "amount_ma20_prev": roll(F.avg, "amount", 20, k=1), "turnover_ma20_prev": roll(F.avg, "turnover", 20, 10, 1), "_sum": F.sum("_obv").over(W())})
     up, down = roll(F.sum, "_up", 10), roll(F.sum, "_down", 10)
     third = C("high") + C("low") + C("close")  # thrice the typical price, whole in whole cents
     mass = lambda p: roll(F.sum, third**p * C("volume"), 60, 30)
@@ -115,7 +115,7 @@ def ranges(df: DataFrame) -> DataFrame:
             "resistance_test": flag(near_high & (C("high") <= C("prior_high_20") * 1.03)),
             "low_position_turnover_peak": flag((C("position_120") <= 0.60) & (C("turnover_ratio_20") >= 1.5) & (C("close") >= C("open"))),
             "distribution_day": flag((C("turnover_ratio_20") >= 1.8) & (C("amplitude") >= C("amplitude_ma20_prev") * 1.4) & (C("pct_chg") <= 1.0) & (C("upper_wick_ratio") >= 0.25)),
-            "_no": F.row_number().over(W),
+            "_no": F.row_number().over(W()),
         }
     )
     counted = ("upper_probe", "false_break_recovery", "support_acceptance", "resistance_test", "low_position_turnover_peak")
@@ -125,7 +125,7 @@ def ranges(df: DataFrame) -> DataFrame:
             "contraction_then_expansion": flag((ago("atr_contraction_ratio") <= 0.90) & (C("atr_pct") >= ago("atr_pct") * 1.10)),
             **{f"{c}_count_60": roll(F.sum, c, 60, 20) for c in counted},
             "distribution_day_count_5": roll(F.sum, "distribution_day", 5, 1),
-            "_event": F.last(event, ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0)),
+            "_event": F.last(event, ignorenulls=True).over(W().rowsBetween(Window.unboundedPreceding, 0)),
         }
     )
     live = C("_no") - C("_event.no") <= 10

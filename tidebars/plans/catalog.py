@@ -170,7 +170,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def join_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = bt.latest_return(bt.latest_return(fixture.load_benchmark(spark, sf_dir), 20), 60)
-    ok = F.coalesce(C("close") >= F.avg("close").over(features.W.rowsBetween(-19, 0)) * 0.97, F.lit(False)) & F.coalesce(C("benchmark_return_20d_pct") > -8, F.lit(False))
+    ok = F.coalesce(C("close") >= F.avg("close").over(features.W().rowsBetween(-19, 0)) * 0.97, F.lit(False)) & F.coalesce(C("benchmark_return_20d_pct") > -8, F.lit(False))
     bench = df.select("date", *(F.round(f"benchmark_return_{n}d_pct", 6).alias(f"benchmark_return_{n}d_pct") for n in (20, 60)), ok.cast("int").alias("benchmark_risk_ok"))
     return signals.join_benchmark(fixture.load_bars(spark, sf_dir).select("code", "date", "close"), bench)
 
@@ -249,7 +249,7 @@ def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible rows with a plain signal: the close is above its mean of 20 bars, scored by volume."""
     bars = fixture.load_bars(spark, sf_dir)
     df = bt.forward_outcomes(features.volumes(features.trend(features.fill_change_cols(bars))))
-    df = df.withColumns({"bars": F.row_number().over(features.W), "rs20_percentile": C("return_20d_pct"), "one_price_limit": F.lit(0), "on": F.coalesce(C("close") > C("ma20"), F.lit(False))})
+    df = df.withColumns({"bars": F.row_number().over(features.W()), "rs20_percentile": C("return_20d_pct"), "one_price_limit": F.lit(0), "on": F.coalesce(C("close") > C("ma20"), F.lit(False))})
     return bt.eligible_rows(df, FIXTURE).withColumn("off", ~C("on"))
 
 
