@@ -14,7 +14,7 @@ from .common import as_table, mix64, text_slices, word_hashes
 
 WORDS = 5  # in a shingle
 U, G = 9, 3  # groups in each of two collections, minhashes in a group: U * U tables from 2 * U * G minhashes
-SKETCH = 128  # smallest shingle hashes that are kept to screen candidates
+SKETCH = 192  # smallest shingle hashes that are kept to screen candidates
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, groups array<long>, sketch array<int>"
 
 
@@ -78,14 +78,14 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def tensor_keys(nodes: DataFrame) -> DataFrame:
-    """(key, i, j, node): the table keys, of group i of the first collection and j of the second. Only groups that two nodes share can make a shared key, so the 2 * U groups are counted
+    """(key, node): the table keys. Only groups that two nodes share can make a shared key, so the 2 * U groups are counted
     first and keys are formed from pairs of shared groups alone."""
     groups = nodes.select("node", F.posexplode("groups").alias("at", "value"))
     shared = groups.groupBy("at", "value").agg(F.count("*").alias("n")).where("n > 1").select("at", "value")
     mine = groups.join(shared, ["at", "value"]).groupBy("node").agg(
         F.collect_list(F.when(F.col("at") < U, F.struct("at", "value"))).alias("left"), F.collect_list(F.when(F.col("at") >= U, F.struct("at", "value"))).alias("right")
     )
-    keys = mine.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key"), F.col("l.at").alias("i"), F.col("r.at").alias("j"), "node")
+    keys = mine.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key"), "node")
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     return keys.join(many, "key")
 
@@ -122,13 +122,9 @@ def components(edges: DataFrame) -> DataFrame:
         now = as_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def _first_table(i: Column, j: Column) -> Column:
-    """Whether table (i, j) is the first in which nodes with groups ga and gb meet, so that a pair turns up once."""
-
-    def first(low: int) -> Column:
-        return F.array_position(F.zip_with(F.slice("ga", low + 1, U), F.slice("gb", low + 1, U), lambda p, q: p == q), F.lit(True)) + low - 1
-
-    return (first(0) == i) & (first(U) == j)
+def _first_shared(low: int) -> Column:
+    """Which group, from 1, of a collection is the first that nodes with groups ga and gb share; 0: none."""
+    return F.array_position(F.zip_with(F.slice("ga", low + 1, U), F.slice("gb", low + 1, U), lambda p, q: p == q), F.lit(True))
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
@@ -166,8 +162,9 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     1. Rows with equal sets are one node, so copies cost nothing after the signatures.
     2. Nodes that share a table key are candidates: each with the smallest node of its bucket, screened by sketches.
     3. Candidates that pass the screen clearly join nodes for now; other pairs in a bucket are looked at only where these
-       joins don't already connect them, in the first bucket that they share, again behind the screen; all of that stands
-       in the join's condition.
+       joins don't already connect them. A pair shares a table if it shares a group of either collection, so those nodes meet
+       by the groups of the first alone, in the first that they share; the second collection and the screen stand in the
+       join's condition, so that each pair turns up once and only if it is near.
     4. All screened pairs are confirmed on full sets, and only confirmed links count. If a provisional join fails, step 3
        runs again over confirmed links until no new pair turns up, so no pair in a bucket is missed for it.
 
@@ -180,18 +177,20 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     star = keys.join(keys.groupBy("key").agg(F.min("node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    star = star.join(a, "a").join(b, "b").withColumn("common", common).where(F.col("common") >= sketch_need(F.col("na"), F.col("nb"), num, den, 4.5))
+    star = star.join(a, "a").join(b, "b").withColumn("common", common).where(F.col("common") >= sketch_need(F.col("na"), F.col("nb"), num, den, 4.0))
     tried = as_table(star.select("a", "b", (F.col("common") >= sketch_need(F.col("na"), F.col("nb"), num, den, -1.0)).alias("clear")), "star")
     linked, confirmed = tried.where("clear").select("a", "b"), None
     tried = tried.select("a", "b")
     while True:
         roots = components(linked)
-        of = keys.join(roots, "node", "left").select("key", "i", "j", "node", F.coalesce("root", "node").alias("root"))
+        of = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         open_ = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = of.join(open_, "key").join(nodes.select("node", "n", "groups", "sketch"), "node")
-        x, y = (members.select("key", "i", "j", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("groups").alias(f"g{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-        near = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & _first_table(x["i"], x["j"]) & (common >= sketch_need(F.col("na"), F.col("nb"), num, den, 4.5))
-        rest = x.join(y, (x["key"] == y["key"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+        members = of.join(open_, "key").select("node", "root").distinct().join(nodes.select("node", "n", "groups", "sketch"), "node")
+        members = members.select("node", "root", "n", "groups", "sketch", F.posexplode(F.slice("groups", 1, U)).alias("i", "value"))
+        x, y = (members.select("i", "value", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("groups").alias(f"g{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+        table = (_first_shared(0) == x["i"] + 1) & (_first_shared(U) > 0)
+        near = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & table & (common >= sketch_need(F.col("na"), F.col("nb"), num, den, 4.0))
+        rest = x.join(y, (x["i"] == y["i"]) & (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
         new = as_table(rest.join(tried, ["a", "b"], "left_anti"), "rest")
         todo = new if confirmed is not None else tried.unionByName(new)
         if confirmed is None or new.limit(1).count():
