@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.llm import near_dup, neural, packing, secrets
-from tidebars.llm.common import as_table
+from tidebars.llm.common import as_table, drop_tables, made
 from tidebars.llm.queries import WORD_TOKENS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -52,7 +55,24 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENS))
 
 
-STAGES = [("quality", quality), ("toxicity", toxicity), ("near_duplicates", near_duplicates), ("secret_scan", secret_scan), ("pack", pack)]
+_used: list[str] = []
+
+
+def _stage(function: Callable) -> Callable:
+    """The function, which first drops what the stage before it left in the shared folder: its result is written by now."""
+
+    @wraps(function)
+    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_tables(spark, _used)
+        start = len(made)
+        out = function(spark, docs, sf_dir)
+        _used[:] = made[start:]
+        return out
+
+    return stage
+
+
+STAGES = [(f.__name__, _stage(f)) for f in (quality, toxicity, near_duplicates, secret_scan, pack)]
 ORACLE_SQL = None
 
 

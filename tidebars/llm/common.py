@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: dict[str, str] = {}
+made: list[str] = []  # the scratch paths given out, for drop_tables
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -23,7 +24,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own_dir.setdefault("", tempfile.mkdtemp(prefix="spark-"))
-    return f"{base}/tables/{uuid.uuid4().hex}/{name}"
+    made.append(f"{base}/tables/{uuid.uuid4().hex}/{name}")
+    return made[-1]
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch tables that nothing reads any more, wherever they lie."""
+    for path in paths:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def as_table(df: DataFrame, name: str) -> DataFrame:
