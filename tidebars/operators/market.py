@@ -20,7 +20,7 @@ def is_mainboard(code: Column) -> Column:
 
 def market_symbol(code: Column) -> dict[str, Column]:
     """A code in the three forms that providers use."""
-    sh = F.substring(code, 1, 1).isin("5", "6", "9")
+    sh = F.substring(code, 1, 3).isin(*MAIN_BOARD[:4])
     return {"secid": F.concat(F.when(sh, "1.").otherwise("0."), code), "prefixed": F.concat(F.when(sh, "sh").otherwise("sz"), code), "dotted": F.concat(F.when(sh, "sh.").otherwise("sz."), code)}
 
 

@@ -11,11 +11,11 @@ ACTIVE = ("SETUP", "TRIGGER", "RETEST")
 COLUMNS = "code string, state string, signals string, first_seen_date date, last_signal_date date, last_evaluated_date date, data_status string, age_sessions int, score_total double, close double, resistance_price double, support_price double, expires_date date, trigger_date date, trigger_price double"
 
 
-def current_state(selected: DataFrame) -> DataFrame:
-    """For each code with signals: the state of highest priority, the signals' names, and the first signal's values."""
+def current_state(selected: DataFrame, *by: str) -> DataFrame:
+    """For each code (or other key) with signals: the state of highest priority, the signals' names, and the first signal's values."""
     order = F.create_map(*(x for i, s in enumerate(STATES) for x in (F.lit(s), F.lit(i))))[C("signal")]
     state = F.create_map(*(x for s, (name, n) in STATES.items() for x in (F.lit(s), F.struct(F.lit(n).alias("n"), F.lit(name).alias("name")))))[C("signal")]
-    return selected.groupBy("code").agg(
+    return selected.groupBy(*(by or ("code",))).agg(
         F.max(state)["name"].alias("new_state"), F.array_join(F.array_sort(F.collect_set("signal")), ",").alias("new_signals"),
         *(F.min_by(c, order).alias(f"new_{c}") for c in ("score_total", "close", "resistance_price", "support_price")),
     )

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import ago, pct
 from ..operators import backtest as bt
-from ..operators import cost, features, flow, market, signals
+from ..operators import cost, features, flow, market, publish, replay, signals
 from ..sources import fixture
+from . import ingest
 from . import reference_sql as ref
 from .params import Params
 
@@ -269,8 +270,30 @@ def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bt.daily_summary(_judged(spark, sf_dir), "on")
 
 
-_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary)
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _PLAIN}
+def flow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flow of the first 40 candidates, when every third instrument has no flow and every fifth none of the last day."""
+    rows = fixture.load_flow(spark, sf_dir).where((C("code").cast("int") % 3 != 0) & ((C("code").cast("int") % 5 != 0) | (C("date") < F.lit(AS_OF).cast("date"))))
+    return publish.flow_status(_picked(spark, sf_dir).select("code").distinct(), flow.flow_summary(rows, AS_OF))
+
+
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    status = fetch_status(spark, sf_dir)
+    out = publish.run_report(status, status.where(C("status") == "ok"), _picked(spark, sf_dir), 50.0)
+    return out.select("universe", "snapshots", "provisional", "coverage_pct", "valid", "candidates", "candidate_rate_pct", "assessment")
+
+
+def watchlist_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list over all sessions for plain signals: a close above the last five (ready), or also twice the usual volume (launch)."""
+    bars = fixture.load_bars(spark, sf_dir)
+    w = features.W().rowsBetween(-5, -1)
+    rows = bars.withColumns({"_top": F.max("close").over(w), "_usual": F.avg("volume").over(w), "_low": F.min("low").over(w)}).where(C("close") > C("_top"))
+    row = lambda s: rows.select("date", "code", F.lit(s).alias("signal"), C("volume").alias("score_total"), "close", C("_top").alias("resistance_price"), C("_low").alias("support_price"), "_usual")
+    chosen = row("chip_base_ready").unionByName(row("chip_base_launch").where(C("score_total") > 2 * C("_usual"))).drop("_usual")
+    return replay.watchlist_replay(replay.watchlist_events(chosen, bars, fixture.load_sessions(bars), FIXTURE.watchlist_ttl_sessions))
+
+
+_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _PLAIN} | ingest.QUERIES
 
 
 def oracles() -> dict[str, str]:
@@ -306,7 +329,7 @@ def oracles() -> dict[str, str]:
         "dedupe_bars": f"{bars} SELECT code, date, CASE WHEN day(date) % 2 = 0 THEN close + 1 ELSE close END AS close, CASE WHEN day(date) % 2 = 0 THEN 2 ELSE 1 END AS ingest_seq FROM bars",
         "filter_universe": "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_name AS name, n_name AS market, round(abs(s_acctbal) * 1e6, 2) AS float_market_cap FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey % 17 <> 0 AND s_suppkey % 23 <> 0 AND NOT contains(upper(s_name), 'ST')",
         "market_codes": """WITH c AS (SELECT s_suppkey, lpad(CAST(s_suppkey * 6007 % 999983 AS VARCHAR), 6, '0') AS code FROM supplier) SELECT s_suppkey, code, left(code, 3) IN ('600', '601', '603', '605', '000', '001', '002', '003') AS mainboard,
-          CASE WHEN code[1] IN ('5', '6', '9') THEN '1.' ELSE '0.' END || code AS secid, CASE WHEN code[1] IN ('5', '6', '9') THEN 'sh' ELSE 'sz' END || code AS prefixed, CASE WHEN code[1] IN ('5', '6', '9') THEN 'sh.' ELSE 'sz.' END || code AS dotted FROM c""",
+          CASE WHEN left(code, 3) IN ('600', '601', '603', '605') THEN '1.' ELSE '0.' END || code AS secid, CASE WHEN left(code, 3) IN ('600', '601', '603', '605') THEN 'sh' ELSE 'sz' END || code AS prefixed, CASE WHEN left(code, 3) IN ('600', '601', '603', '605') THEN 'sh.' ELSE 'sz.' END || code AS dotted FROM c""",
         "fetch_status": f"{status} SELECT * FROM status",
         "coverage_gate": f"{status}, n AS (SELECT count(*) AS universe, count(*) FILTER (status = 'ok') AS ok FROM status) SELECT universe, ok, round(ok / universe * 100, 2) AS coverage_pct, round(ok / universe * 100, 2) >= 90 AS valid FROM n",
         "status_counts": f"{status} SELECT status, count(*) AS n FROM status GROUP BY 1",
@@ -332,5 +355,11 @@ def oracles() -> dict[str, str]:
         "topk_recall": f"""{judged}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, code) AS daily FROM eligible WHERE sig)
           SELECT CAST(k AS INTEGER) AS k, round((SELECT count(*) FROM r WHERE daily <= k AND outcome_success = 1) / nullif((SELECT count(*) FROM eligible WHERE outcome_success = 1), 0), 4) AS recall FROM (SELECT unnest([20, 50, 100]) AS k)""",
         "daily_summary": f"{judged} SELECT date, count(*) AS eligible, sum(outcome_success) AS opportunities, count(*) FILTER (sig) AS signals, count(*) FILTER (sig AND outcome_success = 1) AS successful_signals FROM eligible GROUP BY 1",
+        "flow_status": f"""{picked}, kept AS (SELECT code, max(date) AS d FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0 AND (CAST(code AS INTEGER) % 5 <> 0 OR date < {day}) GROUP BY 1)
+          SELECT p.code, d AS fund_flow_latest_date, CASE WHEN d IS NULL THEN 'failed' WHEN d = {day} THEN 'ok' ELSE 'stale' END AS status FROM (SELECT DISTINCT code FROM picked) p LEFT JOIN kept USING (code)""",
+        "run_report": f"""{status}, n AS (SELECT count(*) AS universe, count(*) FILTER (status = 'ok') AS snapshots FROM status), c AS (SELECT count(DISTINCT code) AS provisional FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0 OR CAST(code AS INTEGER) % 2 = 0),
+          r AS (SELECT *, round(snapshots / universe * 100, 2) AS coverage_pct FROM n, c), v AS (SELECT *, coverage_pct >= 50 AS valid, CASE WHEN coverage_pct >= 50 THEN provisional ELSE 0 END AS candidates FROM r)
+          SELECT *, CASE WHEN snapshots > 0 THEN round(candidates / snapshots * 100, 3) ELSE 0 END AS candidate_rate_pct,
+          CASE WHEN NOT valid THEN 'coverage too low' WHEN snapshots = 0 OR candidates / snapshots < 0.002 THEN 'very few' WHEN candidates / snapshots < 0.01 THEN 'selective' ELSE 'many' END AS assessment FROM v""",
     }
-    return out
+    return out | ingest.ORACLES
