@@ -71,6 +71,24 @@ def test_cost_distribution_equals_the_daily_recurrence(spark):
     assert profile["chip_profit_ratio_pct"] + profile["chip_overhead_ratio_pct"] == pytest.approx(100) and profile["chip_70_low"] <= profile["chip_peak_price"] * 1.5
 
 
+def test_cost_panel_equals_the_profile_of_every_prefix(spark):
+    rng = np.random.default_rng(5)
+    x = np.exp(np.cumsum(rng.normal(0, 0.03, 70))) * 60
+    late = [F.when(F.day("date") == 9, 100.0).when(F.day("date") == 15, F.lit(None)).otherwise(F.col("turnover")), F.when(F.day("date") == 20, F.col("open")).otherwise(F.col("low")), F.when(F.day("date") == 20, F.col("open")).otherwise(F.col("high"))]
+    one = bars(spark, x).withColumns(dict(zip(("turnover", "low", "high"), late, strict=True))).withColumn("close", F.when(F.col("high") == F.col("low"), F.col("low")).otherwise(F.col("close")))
+    one = one.unionByName(bars(spark, x[:3], code="000002", turnover=0.0)).cache()
+    got = {r["date"]: r for r in cost.cost_distribution_panel(one, lookback=30, block=16).collect()}
+    assert len(got) == 70 and {r["code"] for r in got.values()} == {"000001"}
+    ends = [DAY + timedelta(i) for i in (0, 7, 8, 9, 14, 29, 30, 47, 69)]
+    prefixes = one.where("code = '000001'").join(F.broadcast(spark.createDataFrame([(e,) for e in ends], "end date")), F.col("date") <= F.col("end")).withColumn("code", F.col("end").cast("string"))
+    want = cost.cost_profile(cost.cost_distribution_asof(prefixes, lookback=30), prefixes, lookback=30).collect()
+    assert len(want) == len(ends)
+    for r in want:
+        for c in set(r.asDict()) - {"code"}:
+            assert got[r["date"]][c] == (pytest.approx(r[c], abs=1e-8) if isinstance(r[c], float) else r[c]), (r["date"], c)
+    assert cost.cost_distribution_panel(one.limit(0)).count() == 0
+
+
 def test_ranks_take_the_mean_of_ties_and_keep_nulls(spark):
     df = spark.createDataFrame([(1, 10.0), (1, 10.0), (1, 20.0), (1, None)], "date int, x double")
     got = sorted(((r["x"] or 0, r["r"]) for r in signals.pct_rank_average(df, "x", "r").collect()), key=str)

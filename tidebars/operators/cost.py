@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import over, pct
+from ..functions.frames import W, over, pct
 
 C = F.col
-LOW, HIGH, BINS, LOOKBACK = 0.001, 100_000.0, 2048, 250
+LOW, HIGH, BINS, LOOKBACK, BLOCK = 0.001, 100_000.0, 2048, 250, 256
 
 
 def grid_step(bins: int = BINS) -> float:
@@ -22,19 +24,19 @@ def _price(i: Column, bins: int) -> Column:
     return F.exp(F.lit(math.log(LOW)) + i * F.lit(grid_step(bins)))
 
 
-def daily_mass(bars: DataFrame, bins: int = BINS) -> DataFrame:
-    """bars with a row for each grid price that the day's range touches: bin and share, whose sum is 1 for each day. The
-    shares are those of a triangle from low over the mean price to high; a bar without range is all at the nearest price."""
+def day_shares(bars: DataFrame, bins: int = BINS) -> DataFrame:
+    """bars with first_bin, the lowest grid price that the day's range touches, and shares, an array from there up to the highest
+    one whose sum is 1. The shares are those of a triangle from low over the mean price to high; a bar without range is all at
+    the nearest price. Both are null without prices."""
     step, base = F.lit(grid_step(bins)), math.log(LOW)
     at = lambda p: (F.ln(p) - base) / step
-    clip = lambda x: F.greatest(F.lit(0), F.least(F.lit(bins - 1), x.cast("long")))
+    clip = lambda x: F.when(x.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(bins - 1), x.cast("long"))))
     flat = C("high") - C("low") <= 1e-8
     mode = (C("open") + C("high") + C("low") + C("close")) / 4
     near = F.floor(at(mode))  # the nearest in price is this one or the next
     nearest = F.when(mode - _price(near, bins) <= _price(near + 1, bins) - mode, near).otherwise(near + 1)
     first = F.when(flat, clip(nearest)).otherwise(clip(F.floor(at(C("low")) + 0.5)))
     last = F.when(flat, clip(nearest)).otherwise(F.greatest(clip(F.floor(at(C("low")) + 0.5)), clip(F.ceil(at(C("high")) + 0.5) - 1)))
-    df = bars.withColumns({"_mode": mode, "_flat": flat}).withColumn("bin", F.explode(F.sequence(first, last)))
 
     def below(edge: Column) -> Column:
         span = C("high") - C("low")
@@ -42,9 +44,22 @@ def daily_mass(bars: DataFrame, bins: int = BINS) -> DataFrame:
         right = 1 - F.pow(C("high") - edge, 2) / F.when(span * (C("high") - C("_mode")) > 0, span * (C("high") - C("_mode")))
         return F.when(edge >= C("high"), 1.0).when(edge <= C("low"), 0.0).when(edge <= C("_mode"), left).otherwise(F.coalesce(right, F.lit(1.0)))
 
-    part = F.when(C("_flat"), 1.0).otherwise(below(_price(C("bin") + 0.5, bins)) - below(_price(C("bin") - 0.5, bins)))
-    df = df.withColumn("_part", F.greatest(part, F.lit(0.0)))
-    return df.withColumn("share", over(C("_part"), F.sum("_part").over(Window.partitionBy("code", "date")))).drop("_mode", "_flat", "_part")
+    part = lambda i: F.greatest(F.when(C("_flat"), 1.0).otherwise(below(_price(i + 0.5, bins)) - below(_price(i - 0.5, bins))), F.lit(0.0))
+    df = bars.withColumns({"_mode": mode, "_flat": flat, "first_bin": first, "_last": last})
+    df = df.withColumn("_parts", F.transform(F.sequence("first_bin", "_last"), part)).withColumn("_whole", F.aggregate("_parts", F.lit(0.0), lambda a, x: a + x))
+    return df.withColumn("shares", F.transform("_parts", lambda x: over(x, C("_whole")))).drop("_mode", "_flat", "_last", "_parts", "_whole")
+
+
+def daily_mass(bars: DataFrame, bins: int = BINS) -> DataFrame:
+    """bars with a row for each grid price that the day's range touches: bin and share, whose sum is 1 for each day."""
+    df = day_shares(bars, bins)
+    return df.select(*(c for c in df.columns if c not in ("first_bin", "shares")), "first_bin", F.posexplode("shares").alias("_i", "share")).withColumn("bin", C("first_bin") + C("_i")).drop("first_bin", "_i")
+
+
+def _rates(bars: DataFrame) -> DataFrame:
+    """bars with _rate, the part of all holdings that changes hands on the day; null where the bar is invalid."""
+    valid = (C("low") > 0) & (C("high") >= C("low")) & C("open").isNotNull() & C("close").isNotNull() & C("turnover").isNotNull()
+    return bars.withColumn("_rate", F.when(F.coalesce(valid, F.lit(False)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("turnover") / 100))))
 
 
 def cost_distribution_asof(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK) -> DataFrame:
@@ -53,11 +68,9 @@ def cost_distribution_asof(bars: DataFrame, bins: int = BINS, lookback: int = LO
     The day-by-day recurrence is linear: a day's mass that is left is its turnover times the product of what each later day
     leaves, a sum of logarithms. A day that turns over everything starts anew. Invalid bars neither add nor decay but
     use up places among the last lookback bars."""
-    valid = (C("low") > 0) & (C("high") >= C("low")) & C("open").isNotNull() & C("close").isNotNull() & C("turnover").isNotNull()
     back = Window.partitionBy("code").orderBy(C("date").desc())
     later = back.rowsBetween(Window.unboundedPreceding, -1)
-    rate = F.when(F.coalesce(valid, F.lit(False)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("turnover") / 100)))
-    df = bars.withColumns({"_rate": rate, "_at": F.row_number().over(back)})
+    df = _rates(bars).withColumn("_at", F.row_number().over(back))
     df = df.withColumn("_ln", F.when(1 - C("_rate") > 1e-12, F.ln(F.when(C("_rate") < 1, 1 - C("_rate")))).otherwise(0.0))
     cleared = F.max(F.when(1 - C("_rate") <= 1e-12, 1).otherwise(0)).over(later)
     df = df.withColumns({"_weight": C("_rate") * F.exp(F.coalesce(F.sum("_ln").over(later), F.lit(0.0))), "_cleared": F.coalesce(cleared, F.lit(0))})
@@ -82,24 +95,108 @@ def cost_profile(mass: DataFrame, bars: DataFrame, bins: int = BINS, lookback: i
     tops = smooth.withColumns({"_l": left, "_r": right, "_top": F.max("s").over(Window.partitionBy("code"))}).where((C("s") >= C("_l")) & (C("s") >= C("_r")) & (C("s") >= C("_top") * 0.20))
     listed = tops.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("s", "bin")), asc=False).alias("tops"))  # local maxima: a few dozen at most
     primary = C("tops")[0]["bin"]
-    ratio = math.exp(grid_step(bins))
-    apart = max(3, round(0.04 / ((ratio - 1 / ratio) / 2)))
+    apart = _apart(bins)
     chosen = F.aggregate("tops", F.expr("cast(array() as array<struct<s: double, bin: bigint>>)"), lambda acc, t: F.when(F.forall(acc, lambda o: F.abs(o["bin"] - t["bin"]) >= apart), F.concat(acc, F.array(F.struct(t["s"].alias("s"), t["bin"].cast("bigint").alias("bin"))))).otherwise(acc))
     peaks = listed.withColumn("chosen", chosen).select("code", primary.alias("peak_bin"), C("tops")[0]["s"].alias("s1"), F.get("chosen", F.lit(1)).alias("second"), F.size("chosen").alias("chip_significant_peak_count"))
     df = df.join(peaks, "code").join(seen, "code").withColumn("peak", _price(C("peak_bin"), bins))
     share = lambda cond: F.sum(F.when(cond, C("p")).otherwise(0.0)) * 100
     at = lambda q: F.min(F.when(C("cum") >= q, C("price")))
     out = df.groupBy("code").agg(
-        F.first("date").alias("date"), (F.first("total") * 100).alias("chip_model_coverage_pct"), F.first("peak").alias("chip_peak_price"), F.first("second").alias("_second"), F.first("s1").alias("_s1"),
+        F.first("date").alias("date"), (F.first("total") * 100).alias("chip_model_coverage_pct"), F.first("peak").alias("chip_peak_price"), F.first("second.bin").alias("_second_bin"), F.first("second.s").alias("_s2"), F.first("s1").alias("_s1"),
         F.first("chip_significant_peak_count").alias("chip_significant_peak_count"), share((C("price") >= C("peak") * 0.96) & (C("price") <= C("peak") * 1.04)).alias("chip_peak_band_share_pct"),
         at(0.15).alias("chip_70_low"), at(0.85).alias("chip_70_high"), at(0.05).alias("chip_90_low"), at(0.95).alias("chip_90_high"), share(C("price") <= C("close")).alias("chip_profit_ratio_pct"),
         share(C("price") > C("close")).alias("chip_overhead_ratio_pct"), share(C("price") <= C("seen_low") + (C("seen_high") - C("seen_low")) * 0.35).alias("chip_low_zone_share_pct"),
         F.first("seen_low").alias("_low"), F.first("seen_high").alias("_high"), F.first("close").alias("_close"),
     )
+    return _shown(out, bins)
+
+
+def _apart(bins: int) -> int:
+    """The least distance in bins of two peaks: 4 per cent of price."""
+    ratio = math.exp(grid_step(bins))
+    return max(3, round(0.04 / ((ratio - 1 / ratio) / 2)))
+
+
+def _shown(out: DataFrame, bins: int) -> DataFrame:
     return out.select(
-        "code", "date", "chip_model_coverage_pct", "chip_peak_price", F.coalesce(_price(C("_second.bin"), bins), "chip_peak_price").alias("chip_secondary_peak_price"),
-        F.coalesce(over(C("_s1"), C("_second.s")), F.lit(float("inf"))).alias("chip_peak_dominance"), "chip_significant_peak_count", "chip_peak_band_share_pct", "chip_70_low", "chip_70_high",
+        "code", "date", "chip_model_coverage_pct", "chip_peak_price", F.coalesce(_price(C("_second_bin"), bins), "chip_peak_price").alias("chip_secondary_peak_price"),
+        F.coalesce(over(C("_s1"), C("_s2")), F.lit(float("inf"))).alias("chip_peak_dominance"), "chip_significant_peak_count", "chip_peak_band_share_pct", "chip_70_low", "chip_70_high",
         pct(C("chip_70_high"), C("chip_70_low")).alias("chip_70_width_pct"), "chip_90_low", "chip_90_high", pct(C("chip_90_high"), C("chip_90_low")).alias("chip_90_width_pct"),
         "chip_profit_ratio_pct", "chip_overhead_ratio_pct", "chip_low_zone_share_pct", F.when(C("_high") > C("_low"), (C("chip_peak_price") - C("_low")) / (C("_high") - C("_low"))).otherwise(0.5).alias("chip_peak_position"),
         pct(C("_close"), C("chip_peak_price")).alias("chip_peak_distance_pct"),
     )
+
+
+_FOUND = (
+    "code string, date date, chip_model_coverage_pct double, chip_peak_price double, _second_bin long, _s1 double, _s2 double, chip_significant_peak_count int, chip_peak_band_share_pct double, chip_70_low double, "
+    "chip_70_high double, chip_90_low double, chip_90_high double, chip_profit_ratio_pct double, chip_overhead_ratio_pct double, chip_low_zone_share_pct double, _low double, _high double, _close double"
+)
+
+
+def _peaks(height: np.ndarray, first: int, apart: int) -> tuple[int, float, int | None, float | None, int]:
+    """Bin and height of the highest peak and of the next one far enough from it, and how many are far from all higher ones."""
+    edged = np.concatenate(([0.0], height, [0.0]))
+    tops = np.flatnonzero((height >= edged[:-2]) & (height >= edged[2:]) & (height >= height.max() * 0.20))
+    chosen: list[int] = []
+    for i in sorted(tops.tolist(), key=lambda i: (-height[i], -i)):
+        if all(abs(i - j) >= apart for j in chosen):
+            chosen.append(i)
+    a, b = chosen[0], chosen[1] if len(chosen) > 1 else None
+    return first + a, float(height[a]), None if b is None else first + b, None if b is None else float(height[b]), len(chosen)
+
+
+def cost_distribution_panel(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK, block: int = BLOCK) -> DataFrame:
+    """cost_profile as of every bar: one row for each bar with mass, from that bar and the lookback - 1 before it alone.
+
+    A bar's distribution is a weighted sum of the last lookback days' shares. An instrument's bars are dealt out in blocks
+    of consecutive bars, each with the lookback - 1 bars before it, so a group has at most block + lookback - 1 rows however long
+    the history is, and a block's distributions are one product of two small matrices."""
+    step, base, apart = grid_step(bins), math.log(LOW), _apart(bins)
+    recent = W().rowsBetween(1 - lookback, 0)
+    df = _rates(bars.select("code", "date", "open", "high", "low", "close", "turnover"))
+    df = df.withColumns({"_at": F.row_number().over(W()) - 1, "_low": F.min("low").over(recent), "_high": F.max("high").over(recent), "_close": C("close")})
+    df = day_shares(df.withColumns({c: F.when(C("_rate") > 0, C(c)) for c in ("open", "high", "low", "close")}), bins)
+    df = df.withColumn("_block", F.explode(F.sequence(F.floor(C("_at") / block), F.floor((C("_at") + (lookback - 1)) / block))))
+    df = df.select("code", "date", "_close", "_rate", "_at", "_low", "_high", "first_bin", "shares", "_block")
+
+    def profiles(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        at, rate = rows["_at"].to_numpy(), rows["_rate"].to_numpy(float)
+        own, has = np.flatnonzero(at // block == rows["_block"].iloc[0]), rows["shares"].notna().to_numpy()
+        if not len(own) or not has.any():
+            return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+        firsts, shares = rows["first_bin"].to_numpy(float), rows["shares"].tolist()
+        low = int(firsts[has].min())
+        days = np.zeros((len(rows), int(max(f + len(s) for f, s in zip(firsts[has], rows["shares"][has], strict=True))) - low))
+        for i in np.flatnonzero(has):
+            start = int(firsts[i]) - low
+            days[i, start : start + len(shares[i])] = shares[i]
+        left = 1 - np.nan_to_num(rate)
+        cleared = left <= 1e-12
+        run, epoch = np.cumsum(np.log(np.where(cleared, 1.0, left))), np.cumsum(cleared)
+        age = at[own, None] - at[None, :]
+        seen = (age >= 0) & (age < lookback) & (epoch[own, None] == epoch[None, :])
+        mass = np.where(seen, np.exp(np.where(seen, run[own, None] - run[None, :], 0.0)), 0.0) * np.nan_to_num(rate) @ days
+        total = mass.sum(1)
+        own, mass, total = own[total > 1e-8], mass[total > 1e-8], total[total > 1e-8]
+        p = mass / total[:, None]
+        price = np.exp(base + (low + np.arange(p.shape[1])) * step)
+        cum, close, lows, highs = np.cumsum(p, 1), *(rows[c].to_numpy(float)[own] for c in ("_close", "_low", "_high"))
+        wide = np.pad(p, ((0, 0), (4, 4)))
+        smooth = sum(k * wide[:, i : i + p.shape[1] + 4] for i, k in enumerate((1, 2, 3, 2, 1))) / 9  # two bins more on each side
+        inside = slice(max(0, 2 - low), min(smooth.shape[1], bins + 2 - low))
+        found = [_peaks(s, low - 2 + inside.start, apart) for s in smooth[:, inside]]
+        peak = np.exp(base + np.array([f[0] for f in found]) * step)
+        share = lambda cond: np.where(cond, p, 0.0).sum(1) * 100
+        quantile = lambda q: price[np.minimum((cum < q).sum(1), len(price) - 1)]
+        above, under = price[None, :] >= (peak * 0.96)[:, None], price[None, :] <= (peak * 1.04)[:, None]
+        return pd.DataFrame(
+            {
+                "code": rows["code"].to_numpy()[own], "date": rows["date"].to_numpy()[own], "chip_model_coverage_pct": total * 100, "chip_peak_price": peak, "_second_bin": pd.array([f[2] for f in found], "Int64"),
+                "_s1": [f[1] for f in found], "_s2": [f[3] for f in found], "chip_significant_peak_count": [f[4] for f in found], "chip_peak_band_share_pct": share(above & under), "chip_70_low": quantile(0.15), "chip_70_high": quantile(0.85),
+                "chip_90_low": quantile(0.05), "chip_90_high": quantile(0.95), "chip_profit_ratio_pct": share(price[None, :] <= close[:, None]), "chip_overhead_ratio_pct": share(price[None, :] > close[:, None]),
+                "chip_low_zone_share_pct": share(price[None, :] <= (lows + (highs - lows) * 0.35)[:, None]), "_low": lows, "_high": highs, "_close": close,
+            }
+        )
+
+    return _shown(df.groupBy("code", "_block").applyInPandas(profiles, _FOUND), bins)

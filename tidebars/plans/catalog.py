@@ -64,6 +64,11 @@ FAMILIES: dict[str, tuple[str, ...]] = {
     "rebound_action": ("rebound_price_action",),
     "adaptive_actions": ("adaptive_ready_price_action", "adaptive_launch_price_action", "adaptive_rebound_price_action"),
 }
+#: Columns of a cost profile.
+PROFILE = (
+    "chip_model_coverage_pct", "chip_peak_price", "chip_secondary_peak_price", "chip_peak_dominance", "chip_significant_peak_count", "chip_peak_band_share_pct", "chip_70_low", "chip_70_high", "chip_70_width_pct", "chip_90_low",
+    "chip_90_high", "chip_90_width_pct", "chip_profit_ratio_pct", "chip_overhead_ratio_pct", "chip_low_zone_share_pct", "chip_peak_position", "chip_peak_distance_pct",
+)
 #: Whole numbers, the same type in both engines.
 INTEGERS = {c for f in ("bull_alignment", "cross_ma5_up", "trend_votes", "breakout_20", "breakout_failed_fast", "breakout_stall", "contraction_expansion", "bar_patterns", "pattern_counts", "one_price_limit", "turnover_peak", "distribution_day", "launch_action", "rebound_action", "adaptive_actions") for c in FAMILIES[f]} | {"macd_rising", "retest_touch", "bars_since_breakout", "rebound_base_offset", "adaptive_base_offset", "adaptive_base_window"}
 
@@ -192,10 +197,20 @@ def cost_distribution_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.cost_distribution_asof(fixture.load_bars(spark, sf_dir)).where("mass > 1e-7").select("code", "bin", F.round("mass", 9).alias("mass"))
 
 
+#: Added to coverage before it is rounded: its first days are exact decimals, whose halves would round by the last bit.
+_NUDGE = {"chip_model_coverage_pct": 3e-10}
+
+
+def _profile_columns() -> list[Column]:
+    return [C(c) if c == "chip_significant_peak_count" else F.round(F.when(F.abs(c) < float("inf"), C(c) + _NUDGE.get(c, 0.0)), 6).alias(c) for c in PROFILE]
+
+
 def cost_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = fixture.load_bars(spark, sf_dir)
-    out = cost.cost_profile(cost.cost_distribution_asof(bars), bars)
-    return out.select("code", *(F.round(F.when(F.abs(c) < float("inf"), C(c)), 6).alias(c) for c in out.columns if c not in ("code", "date")))
+    return cost.cost_profile(cost.cost_distribution_asof(bars), bars).select("code", *_profile_columns())
+
+def cost_distribution_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cost.cost_distribution_panel(fixture.load_bars(spark, sf_dir)).select("code", "date", *_profile_columns())
 
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,7 +307,7 @@ def watchlist_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.watchlist_replay(replay.watchlist_events(chosen, bars, fixture.load_sessions(bars), FIXTURE.watchlist_ttl_sessions))
 
 
-_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay)
+_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _PLAIN} | ingest.QUERIES
 
 
@@ -362,4 +377,7 @@ def oracles() -> dict[str, str]:
           SELECT *, CASE WHEN snapshots > 0 THEN round(candidates / snapshots * 100, 3) ELSE 0 END AS candidate_rate_pct,
           CASE WHEN NOT valid THEN 'coverage too low' WHEN snapshots = 0 OR candidates / snapshots < 0.002 THEN 'very few' WHEN candidates / snapshots < 0.01 THEN 'selective' ELSE 'many' END AS assessment FROM v""",
     }
-    return out | ingest.ORACLES
+    columns = [c for c in PROFILE if c != "chip_significant_peak_count"]
+    shown = ", ".join(["code", "chip_significant_peak_count", *(f"round(CASE WHEN abs({c}) < CAST('inf' AS DOUBLE) THEN {c} + {_NUDGE.get(c, 0.0)!r} END, 6) AS {c}" for c in columns)])
+    out |= {"cost_profile": f"{bars}, {ref.MASS}, {ref.LAST}, {ref.PROFILE} SELECT {shown} FROM profile", "cost_distribution_panel": f"{bars}, {ref.EVERY}, {ref.PROFILE} SELECT date, {shown} FROM profile"}
+    return out | ref.signal_queries(ref.features(), FIXTURE) | ingest.ORACLES

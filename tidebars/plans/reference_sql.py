@@ -159,14 +159,131 @@ outcomes AS (SELECT code, date, CASE WHEN len(nxt) = 10 THEN list_max(list_trans
   CASE WHEN len(nxt) = 10 THEN list_min(list_transform(nxt[1:coalesce(nullif(hit, 0), 10)], lambda x: (x.l / entry - 1) * 100)) END AS drawdown_before_target_pct, hit, nxt FROM hits),
 judged AS (SELECT code, date, forward_max_return_pct, drawdown_before_target_pct, CASE WHEN len(nxt) = 10 THEN CASE WHEN coalesce(hit, 0) > 0 AND drawdown_before_target_pct >= -6.0 THEN 1 ELSE 0 END END AS outcome_success FROM outcomes)"""
 
-MASS = """weighted AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS nth, least(1.0, greatest(0.0, turnover / 100)) AS rate FROM bars),
-decayed AS (SELECT *, rate * exp(coalesce(sum(ln(1 - rate)) OVER (PARTITION BY code ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS weight FROM weighted),
-kept AS (SELECT *, (open + high + low + close) / 4 AS md, (ln(low) - ln(0.001)) / g.step AS a, (ln(high) - ln(0.001)) / g.step AS b, g.step FROM decayed, (SELECT ln(100000 / 0.001) / 2047 AS step) g WHERE nth <= 250 AND weight > 0),
-spread AS (SELECT *, unnest(generate_series(CAST(floor(a + 0.5) AS BIGINT), greatest(CAST(floor(a + 0.5) AS BIGINT), CAST(ceil(b + 0.5) AS BIGINT) - 1))) AS bin FROM kept),
+_SPREAD = """spread AS (SELECT *, unnest(generate_series(CAST(floor(a + 0.5) AS BIGINT), greatest(CAST(floor(a + 0.5) AS BIGINT), CAST(ceil(b + 0.5) AS BIGINT) - 1))) AS bin FROM kept),
 edged AS (SELECT *, exp(ln(0.001) + (bin - 0.5) * step) AS e0, exp(ln(0.001) + (bin + 0.5) * step) AS e1 FROM spread),
 parts AS (SELECT *, greatest(0.0,
   (CASE WHEN e1 >= high THEN 1.0 WHEN e1 <= low THEN 0.0 WHEN e1 <= md THEN pow(e1 - low, 2) / ((high - low) * (md - low)) ELSE 1 - pow(high - e1, 2) / ((high - low) * (high - md)) END) -
   (CASE WHEN e0 >= high THEN 1.0 WHEN e0 <= low THEN 0.0 WHEN e0 <= md THEN pow(e0 - low, 2) / ((high - low) * (md - low)) ELSE 1 - pow(high - e0, 2) / ((high - low) * (high - md)) END)) AS part FROM edged WHERE high - low > 1e-8),
 flat AS (SELECT code, date, weight, CAST(floor(a) AS BIGINT) + CASE WHEN md - exp(ln(0.001) + floor(a) * step) <= exp(ln(0.001) + (floor(a) + 1) * step) - md THEN 0 ELSE 1 END AS bin, 1.0 AS part FROM kept WHERE high - low <= 1e-8),
 all_parts AS (SELECT code, date, weight, bin, part FROM parts UNION ALL SELECT * FROM flat),
-mass AS (SELECT code, bin, sum(weight * part / whole) AS mass FROM (SELECT *, sum(part) OVER (PARTITION BY code, date) AS whole FROM all_parts) GROUP BY 1, 2)"""
+day_parts AS (SELECT *, part / sum(part) OVER (PARTITION BY code, date) AS share FROM all_parts)"""
+_KEPT = "kept AS (SELECT *, (open + high + low + close) / 4 AS md, (ln(low) - ln(0.001)) / g.step AS a, (ln(high) - ln(0.001)) / g.step AS b, g.step FROM decayed, (SELECT ln(100000 / 0.001) / 2047 AS step) g"
+
+MASS = f"""weighted AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS nth, least(1.0, greatest(0.0, turnover / 100)) AS rate FROM bars),
+decayed AS (SELECT *, rate * exp(coalesce(sum(ln(1 - rate)) OVER (PARTITION BY code ORDER BY date DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS weight FROM weighted),
+{_KEPT} WHERE nth <= 250 AND weight > 0),
+{_SPREAD},
+mass AS (SELECT code, bin, sum(weight * share) AS mass FROM day_parts GROUP BY 1, 2)"""
+
+#: What profile() reads: the mass and the price span as of the last bar, or as of every bar.
+LAST = """held AS (SELECT m.code, l.date, m.bin, m.mass FROM mass m JOIN (SELECT code, max(date) AS date FROM bars GROUP BY 1) l USING (code)),
+span AS (SELECT code, max(date) AS date, min(low) AS seen_low, max(high) AS seen_high, arg_max(close, date) AS close FROM weighted WHERE nth <= 250 GROUP BY 1)"""
+EVERY = f"""decayed AS (SELECT *, row_number() OVER ({OVER}) AS nth, least(1.0, greatest(0.0, turnover / 100)) AS weight, sum(ln(1 - least(1.0, greatest(0.0, turnover / 100)))) OVER ({OVER}) AS run FROM bars),
+{_KEPT}),
+{_SPREAD},
+put AS (SELECT code, bin, d.nth, s.weight * exp(-d.run) * share AS x FROM day_parts s JOIN decayed d USING (code, date)),
+grid AS (SELECT n.code, n.date, n.nth, n.run, b.bin FROM decayed n JOIN (SELECT DISTINCT code, bin FROM day_parts) b USING (code)),
+summing AS (SELECT code, date, bin, exp(run) * sum(x) OVER (PARTITION BY code, bin ORDER BY nth ROWS BETWEEN 249 PRECEDING AND CURRENT ROW) AS mass FROM grid LEFT JOIN put USING (code, bin, nth)),
+held AS (SELECT * FROM summing WHERE mass > 0),
+span AS (SELECT code, date, min(low) OVER w AS seen_low, max(high) OVER w AS seen_high, close FROM bars WINDOW w AS ({OVER} ROWS BETWEEN 249 PRECEDING AND CURRENT ROW))"""
+
+
+def _profile() -> str:
+    price, w = "exp(ln(0.001) + {} * (ln(100000 / 0.001) / 2047))".format, "PARTITION BY code, date ORDER BY bin"
+    share, at = "sum(CASE WHEN {} THEN p ELSE 0 END) * 100".format, "min(CASE WHEN cum >= {} THEN price END)".format
+    return f"""whole AS (SELECT code, date, sum(mass) AS total FROM held GROUP BY 1, 2 HAVING sum(mass) > 1e-8),
+part_of AS (SELECT code, date, bin, mass / total AS p, total, {price("bin")} AS price, sum(mass / total) OVER ({w} ROWS UNBOUNDED PRECEDING) AS cum FROM held JOIN whole USING (code, date)),
+smooth AS (SELECT code, date, bin + k.d AS bin, sum(p * k.w) / 9 AS s FROM part_of, (VALUES (-2, 1), (-1, 2), (0, 3), (1, 2), (2, 1)) k(d, w) WHERE bin + k.d BETWEEN 0 AND 2047 GROUP BY 1, 2, 3),
+sided AS (SELECT *, CASE WHEN lag(bin) OVER w = bin - 1 THEN lag(s) OVER w ELSE 0 END AS s0, CASE WHEN lead(bin) OVER w = bin + 1 THEN lead(s) OVER w ELSE 0 END AS s1, max(s) OVER (PARTITION BY code, date) AS top FROM smooth WINDOW w AS ({w})),
+topped AS (SELECT code, date, list(struct_pack(s := s, bin := bin) ORDER BY s DESC, bin DESC) AS tops FROM sided WHERE s >= s0 AND s >= s1 AND s >= top * 0.20 GROUP BY 1, 2),
+peaks AS (SELECT code, date, {price("tops[1].bin")} AS peak, tops[1].s AS s1, list_filter(tops, lambda t: abs(t.bin - tops[1].bin) >= 4)[1] AS second,
+  len(list_reduce(list_transform(tops, lambda t: [t.bin]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda o: abs(o - x[1]) < 4)) = 0 THEN list_concat(acc, x) ELSE acc END)) AS n FROM topped),
+summed AS (SELECT code, date, any_value(total) * 100 AS chip_model_coverage_pct, any_value(peak) AS chip_peak_price, any_value(second) AS second, any_value(s1) AS s1, any_value(n) AS n,
+  {share("price >= peak * 0.96 AND price <= peak * 1.04")} AS chip_peak_band_share_pct, {at(0.15)} AS chip_70_low, {at(0.85)} AS chip_70_high, {at(0.05)} AS chip_90_low, {at(0.95)} AS chip_90_high,
+  {share("price <= close")} AS chip_profit_ratio_pct, {share("price > close")} AS chip_overhead_ratio_pct, {share("price <= seen_low + (seen_high - seen_low) * 0.35")} AS chip_low_zone_share_pct,
+  any_value(seen_low) AS lo, any_value(seen_high) AS hi, any_value(close) AS close FROM part_of JOIN peaks USING (code, date) JOIN span USING (code, date) GROUP BY 1, 2),
+profile AS (SELECT *, coalesce({price("second.bin")}, chip_peak_price) AS chip_secondary_peak_price, coalesce(s1 / second.s, CAST('inf' AS DOUBLE)) AS chip_peak_dominance, CAST(n AS INTEGER) AS chip_significant_peak_count,
+  {pct("chip_70_high", "chip_70_low")} AS chip_70_width_pct, {pct("chip_90_high", "chip_90_low")} AS chip_90_width_pct, CASE WHEN hi > lo THEN (chip_peak_price - lo) / (hi - lo) ELSE 0.5 END AS chip_peak_position,
+  {pct("close", "chip_peak_price")} AS chip_peak_distance_pct FROM summed)"""
+
+
+PROFILE = _profile()
+
+
+def snapshot(chain: Chain) -> str:
+    """The chain, the last rows with their profile as snapshot, and these with scores as scored."""
+    base = ladder(("width <= 16", 12), ("width > 16 AND width <= 28", 8), ("width > 28 AND width <= 42", 4), ("ret <= 6", 8), ("ret > 6 AND ret <= 14", 5), ("ret > 14 AND ret <= 22", 2), ("win >= 40", 4), ("win BETWEEN 20 AND 39", 2), ("adaptive_base_turnover_sum_pct >= 15", 3))
+    shape = ladder(
+        ("share >= 25", 12), ("share >= 18 AND share < 25", 9), ("share >= 12 AND share < 18", 6), ("share >= 10 AND share < 12", 4), ("spread70 <= 18", 10), ("spread70 > 18 AND spread70 <= 30", 7), ("spread70 > 30 AND spread70 <= 45", 4),
+        ("chip_peak_dominance >= 1.5", 5), ("chip_peak_dominance >= 1.15 AND chip_peak_dominance < 1.5", 3), ("chip_significant_peak_count <= 2", 4), ("chip_significant_peak_count BETWEEN 3 AND 4", 2),
+        ("chip_low_zone_share_pct >= 35", 4), ("chip_low_zone_share_pct >= 20 AND chip_low_zone_share_pct < 35", 2),
+    )
+    context = ladder(("dropped <= -20", 6), ("dropped >= -20 AND dropped < -8", 4), ("place <= 0.40", 5), ("place > 0.40 AND place <= 0.75", 3), ("place > 0.75 AND place <= 0.88", 1), ("decline <= -12", 4), ("decline >= -12 AND decline < -5", 2))
+    launch = f"coalesce(adaptive_trend_votes, 0) * 2 + {ladder(('vol_ratio_20 >= 1.05', 2), ('up_down_volume_ratio_10 >= 1.15', 2), ('macd_rising = 1', 1))}"
+    risk = ladder(("distribution_day_count_5 <= 2", 2), ("breakout_failed_fast = 0", 1), ("breakout_stall_distribution = 0", 1), ("1 = 1", 1))
+    named = "*, adaptive_base_width_pct AS width, abs(adaptive_base_return_pct) AS ret, adaptive_base_window AS win, chip_peak_band_share_pct AS share, chip_70_width_pct AS spread70, adaptive_base_drawdown_120_pct AS dropped, adaptive_base_position_120 AS place, adaptive_pre_base_decline_60_pct AS decline"
+    chip = "p.* EXCLUDE (code, date, close, s1, second, n, lo, hi)"
+    done = lambda k: f"least(100, structure + chip_score_launch + {flag(f'adaptive_{k}_price_action = 1')} * 5) AS chip_base_{k}_score"
+    return "WITH " + ",\n".join(
+        [
+            *chain.parts, MASS, LAST, PROFILE,
+            f"snapshot AS (SELECT f.*, {chip}, f.no AS bars_seen FROM (SELECT * FROM {chain.name} QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1) f LEFT JOIN profile p ON p.code = f.code)",
+            f"partly AS (SELECT *, least(35, {base}) AS chip_score_base, least(35, {shape}) AS chip_score_profile, least(15, {context}) AS chip_score_context, least(15, {launch}) AS chip_score_launch, least(5, {risk}) AS chip_score_risk FROM (SELECT {named} FROM snapshot))",
+            "summing AS (SELECT *, chip_score_base + chip_score_profile + chip_score_context + chip_score_risk AS structure FROM partly)",
+            f"modelled AS (SELECT *, least(90, structure) AS chip_structure_score, least(100, structure + {flag('adaptive_ready_price_action = 1')} * 10) AS chip_base_ready_score, {done('launch')}, {done('rebound')} FROM summing)",
+            "scored AS (SELECT *, greatest(chip_base_ready_score, chip_base_launch_score, chip_base_rebound_score) AS score_total FROM modelled)",
+        ]
+    )
+
+
+def gate_steps(p) -> dict[str, list[tuple[str, str]]]:
+    """Each signal's steps as conditions that are never null."""
+    sure = lambda c: f"coalesce({c}, false)"
+    any_of, all_of = (lambda *c: "(" + " OR ".join(map(sure, c)) + ")"), (lambda *c: "(" + " AND ".join(map(sure, c)) + ")")
+    away, pk = "distance_from_adaptive_base_high_pct", "chip_peak_distance_pct"
+    calm = lambda least: all_of(f"distribution_day_count_5 <= {p.max_distribution_days_5 + 1}", f"NOT {all_of('breakout_failed_fast = 1', f'{away} < {least}')}")
+    low = lambda most, a, b, c: all_of(f"position_250 <= {most}", any_of(f"place <= {a}", f"dropped <= {b}", f"decline <= {c}"))
+    peaked = lambda wide, most, least: all_of(wide, f"chip_peak_position <= {most}", f"share >= {least}")
+    common = [
+        ("history_bars", sure(f"bars_seen >= {p.min_history_bars}")), ("liquidity", sure(f"amount_ma20_prev >= {p.min_amount_ma20}")),
+        ("chip_features_ready", all_of("one_price_limit = 0", "base_high_20_pre3 IS NOT NULL", "chip_peak_price IS NOT NULL", "chip_model_coverage_pct >= 70")),
+    ]
+    early = any_of("adaptive_launch_price_action = 1", all_of("adaptive_base_offset <= 8", "return_5d_pct >= 3", "adaptive_trend_votes >= 2"))
+    narrow = any_of(f"spread70 <= {p.max_70_width_pct}", all_of(f"share >= {p.strong_peak_band_share_pct}", f"spread70 <= {p.strong_peak_max_70_width_pct}"))
+    bottom = [
+        ("bottom_location", low(p.max_position_250, 0.88, -8, -5)), ("sideways_platform", all_of("adaptive_base_high IS NOT NULL", f"width <= {p.max_base_width_pct}", f"ret <= {p.max_base_abs_return_pct}")),
+        ("concentrated_low_chip_peak", peaked(narrow, p.max_peak_position, p.min_peak_band_share_pct)), ("risk_control", calm(-8)),
+    ]
+    moved = any_of("adaptive_rebound_price_action = 1", all_of("adaptive_base_offset >= 8", f"return_5d_pct >= {p.rebound_min_return_5d_pct}", "adaptive_trend_votes >= 2"))
+    return {
+        "chip_base_ready": [*common, *bottom, ("waiting_near_peak", all_of("adaptive_base_offset <= 8", f"NOT {early}", f"{pk} BETWEEN -12 AND {p.ready_max_peak_distance_pct}")), ("chip_base_ready_score", f"chip_base_ready_score >= {p.ready_score}")],
+        "chip_base_launch": [*common, *bottom, ("early_launch", all_of(early, f"{pk} BETWEEN -8 AND {p.launch_max_peak_distance_pct}", f"return_10d_pct <= {p.launch_max_return_10d_pct}")), ("chip_base_launch_score", f"chip_base_launch_score >= {p.launch_score}")],
+        "chip_base_rebound": [
+            *common, ("rebound_location", low(p.rebound_max_position_250, 0.92, -5, -3)),
+            ("recent_historical_platform", all_of("adaptive_base_high IS NOT NULL", "adaptive_base_offset >= 8", f"width <= {p.rebound_max_base_width_pct}", "ret <= 25")),
+            ("rebound_chip_peak", peaked(f"spread70 <= {p.rebound_max_70_width_pct}", p.rebound_max_peak_position, p.rebound_min_peak_band_share_pct)), ("rebound_risk_control", calm(-10)),
+            ("post_platform_rebound", all_of(moved, f"{pk} BETWEEN -10 AND {p.rebound_max_peak_distance_pct}", f"return_20d_pct <= {p.rebound_max_return_20d_pct}")), ("chip_base_rebound_score", f"chip_base_rebound_score >= {p.rebound_score}"),
+        ],
+    }
+
+
+def signal_queries(chain: Chain, p) -> dict[str, str]:
+    """SQL of scores, select_signals, funnel_counts and near_misses."""
+    whole, steps = snapshot(chain), gate_steps(p)
+    listed = ", ".join(f"[{', '.join(c for _, c in some)}] AS ok_{signal}" for signal, some in steps.items())
+    stepped = f"{whole}, stepped AS (SELECT *, {listed} FROM scored)"
+    shown = "chip_score_base chip_score_profile chip_score_context chip_score_launch chip_score_risk chip_structure_score chip_base_ready_score chip_base_launch_score chip_base_rebound_score score_total".split()
+    chosen = " UNION ALL ".join(f"SELECT code, '{s}' AS signal, CAST({s}_score AS INTEGER) AS model_score, share, amount_ma20_prev FROM stepped WHERE list_bool_and(ok_{s})" for s in steps)
+    counts = " UNION ALL ".join(
+        f"SELECT '{s}' AS signal, {i + 1} AS step_number, '{name}' AS step, count(*) FILTER (list_bool_and(ok_{s}[1:{i + 1}])) AS remaining_count, count(*) AS n FROM stepped" for s, some in steps.items() for i, (name, _) in enumerate(some)
+    )
+    far = ", ".join(f"struct_pack(ratio := coalesce(nullif(list_position(ok_{s}, false), 0) - 1, {len(some)}) / {len(some)}, ord := {-i}, signal := '{s}', failed := coalesce([{', '.join(repr(n) for n, _ in some)}][nullif(list_position(ok_{s}, false), 0)], ''), passed := coalesce(nullif(list_position(ok_{s}, false), 0) - 1, {len(some)}), total := {len(some)})" for i, (s, some) in enumerate(steps.items()))
+    none = " AND ".join(f"NOT list_bool_and(ok_{s})" for s in steps)
+    share = lambda of: f"CASE WHEN {of} > 0 THEN round(remaining_count / {of} * 100, 2) ELSE 0.0 END"
+    return {
+        "scores": f"{whole} SELECT code, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in shown)} FROM scored",
+        "select_signals": f"{stepped}, chosen AS ({chosen}) SELECT code, signal, model_score, CAST(row_number() OVER (PARTITION BY signal ORDER BY model_score DESC, share DESC NULLS LAST, amount_ma20_prev DESC NULLS LAST, code) AS INTEGER) AS rank FROM chosen",
+        "funnel_counts": f"{stepped}, counts AS ({counts}), b AS (SELECT *, coalesce(lag(remaining_count) OVER (PARTITION BY signal ORDER BY step_number), n) AS before FROM counts) SELECT signal, step_number, step, remaining_count, {share('before')} AS retention_from_previous_pct, {share('n')} AS retention_from_all_pct FROM b",
+        "near_misses": f"""{stepped}, far AS (SELECT *, list_max([{far}]) AS best FROM stepped WHERE {none}), r AS (SELECT *, row_number() OVER (ORDER BY best.ratio DESC, score_total DESC NULLS LAST, share DESC NULLS LAST, code) AS nth FROM far)
+          SELECT code, best.signal AS closest_signal, best.failed AS failed_at, CAST(best.passed AS INTEGER) AS passed_steps, CAST(best.total AS INTEGER) AS total_steps, round(best.ratio, 6) AS completion_ratio, CAST(nth AS INTEGER) AS near_miss_rank FROM r WHERE nth <= {p.top_n}""",
+    }
