@@ -70,11 +70,38 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(_read(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "archive", "offset", "length")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op3_quality_classifier, op4_secret_scan, op5_near_duplicates, op6_language_scores, op7_byte_bpe, op8_nearest_vectors, op9_toxicity, op10_warc_archives)}
 
+
+
+def _secret_sql() -> str:
+    """Each rule's matches and what lies between them, so starts are sums of lengths."""
+    quoted = lambda pattern: "'" + pattern.replace("'", "''") + "'"
+    tables, n = [], len(secrets.RULES)
+    for i, r in enumerate(secrets.RULES):
+        value = f"regexp_replace(m, {quoted('^' + r.prefix)}, '')" if r.prefix else "m"
+        tables.append(
+            f"f{i} AS (SELECT doc_id, t, regexp_extract_all(t, {quoted(r.pattern)}, 0) AS ms, string_split_regex(t, {quoted(r.pattern)}) AS gaps FROM docs), "
+            f"o{i} AS (SELECT doc_id, unnest(ms) AS m, unnest(gaps[1:len(ms)]) AS gap, generate_subscripts(ms, 1) AS nth FROM f{i} WHERE len(ms) > 0), "
+            f"s{i} AS (SELECT doc_id, {i} AS no, '{r.kind}' AS kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id ORDER BY nth) AS stop, length({value}) >= {r.least} AS ok FROM o{i})"
+        )
+    every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(n))
+    line, base = "string_agg(said, ',' ORDER BY start, no)", ", ".join(f"'{k}'" for k in secrets.BASE)
+    counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(tables)},
+      placed AS (SELECT doc_id, no, kind, CAST(stop - length(m) AS BIGINT) AS start, kind || ':' || CAST(CAST(stop - length(m) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS said FROM ({every}) WHERE ok),
+      found AS (SELECT doc_id, {counts}, {line} AS spans, {line} FILTER (kind IN ({base})) AS base FROM placed GROUP BY 1)
+      SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN found USING (doc_id)"""
+
+
 #: Results of the other operators rest on tokenizers, trained models, searches that may miss, or forms that the
 #: operator adds beside the contract's columns; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_secret_scan": _secret_sql(),
+    "op10_warc_archives": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+      f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+}
