@@ -101,6 +101,14 @@ def _secret_sql() -> str:
 #: operator adds beside the contract's columns; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op4_secret_scan": _secret_sql(),
+    "op5_near_duplicates": r"""WITH RECURSIVE split AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+      sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS words FROM split),
+      listed AS (SELECT doc_id, unnest(words) AS s FROM sets), sized AS (SELECT doc_id, len(words) AS n FROM sets),
+      shared AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM listed a JOIN listed b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+      links AS (SELECT x, y FROM shared JOIN sized i ON i.doc_id = x JOIN sized j ON j.doc_id = y WHERE 100 * c >= 85 * (i.n + j.n - c)),
+      sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), reached AS (SELECT doc_id, doc_id AS other FROM sized UNION SELECT r.doc_id, s.y FROM reached r JOIN sides s ON s.x = r.other),
+      least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
+      SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)""",
     "op10_warc_archives": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
       f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
       SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
