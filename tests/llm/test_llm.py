@@ -197,6 +197,29 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+def _recall(spark, x, asked, every):
+    """Share of the asked ids' five nearest, by brute force, that the search finds, and how many rows each query has."""
+    found = {q: set() for q in asked}
+    for r in ann.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), every).collect():
+        if r["query_id"] in found:
+            found[r["query_id"]].add(r["vec_id"])
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    hits = 0
+    for q, got in found.items():
+        s = u @ u[q]
+        s[q] = -9
+        hits += len(got & set(np.argsort(-s)[:5].tolist()))
+    return hits / 5 / len(found), [len(found[q]) for q in asked]
+
+
+def test_nearest_in_a_dense_cluster(spark):
+    """A third of the rows ties on its hash strings, ten times as many as the window takes."""
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 16)).astype(np.float32)
+    x[:2000] = x[0] / np.linalg.norm(x[0]) * 4 + 0.05 * x[:2000]
+    assert _recall(spark, x, range(0, 2000, 50), 50)[0] > 0.95
+
+
 def test_classifiers(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     strange = spark.createDataFrame([(None, None, "en", "s", 0), (10**9, "", "en", "s", 0)], SCHEMA)
