@@ -220,6 +220,13 @@ def test_nearest_in_a_dense_cluster(spark):
     assert _recall(spark, x, range(0, 2000, 50), 50)[0] > 0.95
 
 
+@pytest.mark.parametrize("n", [2, 3, 5, 6, 10])
+def test_nearest_of_few_vectors(spark, n):
+    x = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32)
+    recall, rows = _recall(spark, x, range(n), 1)
+    assert rows == [min(5, n - 1)] * n and (n < 6 or recall == 1)
+
+
 def test_classifiers(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     strange = spark.createDataFrame([(None, None, "en", "s", 0), (10**9, "", "en", "s", 0)], SCHEMA)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .common import as_table
 
-TREES, SYMBOLS, PROBES, BLOCK_ROWS, SHORT = 8, 4, 12, 20_000, 10
+TREES, SYMBOLS, PROBES, BLOCK_ROWS, PART_ROWS, SHORT = 8, 4, 12, 20_000, 4_000, 10
 
 
 @cache
@@ -66,6 +66,26 @@ def _unit(column: pa.Array) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def _at_root(nodes: DataFrame, poor: DataFrame, n: int, many: int, short: int) -> DataFrame:
+    """(qnode, node, near): for each node of poor the nearest of each block of all nodes. Blocks of nodes meet parts of poor."""
+    blocks, parts = -(-n // BLOCK_ROWS), -(-many // PART_ROWS)
+    own = nodes.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
+    ask = poor.join(nodes.select("node", "v"), "node").select(F.col("node").alias("qnode"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("b"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("p"))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        out: list[list] = [[], [], []]
+        if left.num_rows and right.num_rows:
+            x, node = _unit(left.column("v")), left.column("node").to_numpy()
+            for qn, q in zip(right.column("qnode").to_pylist(), _unit(right.column("qv")), strict=True):
+                near = _nearness(x, q)
+                best = np.lexsort((node, -near))[:short]
+                for o, some in zip(out, ([qn] * len(best), node[best].tolist(), near[best].tolist()), strict=True):
+                    o += some
+        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float32())], names=["qnode", "node", "near"])
+
+    return own.groupBy("b", "p").cogroup(ask.groupBy("b", "p")).applyInArrow(score, "qnode long, node long, near float")
+
+
 def cosine(a: Column, b: Column) -> Column:
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
@@ -78,7 +98,8 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     Each tree keeps its nodes sorted by hash string, in blocks by first symbol (and a salt where a block is large). A query
     descends in its probes' blocks to its place, takes all nodes that share two symbols or more with it, however many, and
     about 4 * n**0.45 nodes around it (n: nodes), with the lengths of the prefixes that they share with it, and all trees ascend
-    together from the longest prefixes until enough nodes are met. Only a short list leaves a block; the final one is scored in double precision
+    together from the longest prefixes until enough nodes are met. Queries that met too few in all their blocks ascend to the
+    root: they are scored against all nodes. Only a short list leaves a block; the final one is scored in double precision
     on the original vectors.
     Unusable vectors, those of another length than the longest, and rows without an id take no part. Repeated ids are
     separate rows; one with the query's id is not its neighbour."""
@@ -147,10 +168,15 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32())), strict=True)], names=["qnode", "level", "n", "nodes", "near"])
 
     found = index.unionByName(queries).groupBy("tree", "head", "salt").applyInArrow(search, "qnode long, level int, n long, nodes array<long>, near array<float>")
+    found = as_table(found, "found")
     deeper = Window.partitionBy("qnode").orderBy(F.col("level").desc()).rangeBetween(Window.unboundedPreceding, -1)
     enough = TREES * PROBES * window // 2
     kept = found.withColumn("met", F.coalesce(F.sum("n").over(deeper), F.lit(0))).where(F.col("met") < enough)
     flat = kept.select("qnode", F.explode(F.arrays_zip("nodes", "near")).alias("c")).groupBy("qnode", F.col("c.nodes").alias("node")).agg(F.max("c.near").alias("near"))
+    met = found.groupBy(F.col("qnode").alias("node")).agg(F.sum("n").alias("met"))
+    poor = as_table(asked.select("node").distinct().join(met, "node", "left").where(F.coalesce("met", F.lit(0)) < TREES * window).select("node"), "poor")
+    if many := poor.count():
+        flat = flat.join(poor.select(F.col("node").alias("qnode")), "qnode", "left_anti").unionByName(_at_root(nodes, poor, n, many, k + 1 + SHORT))
     short = flat.withColumn("at", F.row_number().over(Window.partitionBy("qnode").orderBy(F.col("near").desc(), "node"))).where(F.col("at") <= k + 1 + SHORT)
     other = nodes.select(F.col("node").alias("qnode"), F.col("v").alias("qv"))
     exact = short.select("qnode", "node").join(nodes.select("node", "v", "ids"), "node").join(other, "qnode").select("qnode", "ids", cosine(F.col("v"), F.col("qv")).alias("score"))
