@@ -20,27 +20,24 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _keep(docs: DataFrame, verdicts: DataFrame) -> DataFrame:
-    """Rows whose id has only good verdicts (doc_id, good); rows with a null id stay if that of null ids is good."""
-    bad = verdicts.where(~F.col("good")).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti")
-
-
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose probability of good quality is under one half."""
-    scores = neural.quality_scores(docs, _labels(spark, sf_dir))
-    return _keep(docs, scores.select("doc_id", (F.col("score") >= 0.5).alias("good")))
+    """Drops rows whose probability of good quality is under one half."""
+    return neural.quality_scores(docs, _labels(spark, sf_dir), whole=True).where(F.col("score") >= 0.5).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose probability of being toxic is 0.3 or more."""
-    scores = neural.toxicity_scores(docs, _labels(spark, sf_dir))
-    return _keep(docs, scores.select("doc_id", (F.col("score") < 0.3).alias("good")))
+    """Drops rows whose probability of being toxic is 0.3 or more."""
+    return neural.toxicity_scores(docs, _labels(spark, sf_dir), whole=True).where(F.col("score") < 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near duplicates (similarity 0.85 or more), the one with the smallest id."""
-    return _keep(docs, near_dup.near_duplicates(docs).select("doc_id", F.col("kept").alias("good")))
+    """Keeps one row of each group of near duplicates (similarity 0.85 or more), the first of those with the smallest id;
+    null ids come last. Rows are told apart by a number of their own, so ids may be null or repeated. Rows without words stay."""
+    keyed = as_table(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
+    found = near_dup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
+    first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
+    return keyed.join(first, "_row", "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on texts with nulls, empty and long texts, ties, copies and clashing columns."""
 
 import base64
+import functools
 import hashlib
 import math
 import re
@@ -277,3 +278,22 @@ def test_pipeline(spark, sf_dir):
     good = [i for i, r in labels.items() if r["quality"] == 1 and r["toxic"] == 0]
     assert 0 < len(kept) and len([i for i in good if i in kept]) > 0.8 * len(good)
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).select("doc_id").distinct().collect()} == kept
+
+
+def test_pipeline_decides_by_row(spark, monkeypatch):
+    """Rows without an id, or with one that others have, are judged by their own text alone."""
+    import corpus_pipeline
+
+    one, two, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, one), (None, one), (None, two), (7, two), (7, two), (7, other), (9, one), (None, None), (None, ""), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], SCHEMA)
+    stages = {f.__name__: f for _, f in corpus_pipeline.STAGES}
+    kept = stages["near_duplicates"](spark, docs, "")
+    assert kept.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, two), (7, other), (9, one), (None, None), (None, ""), (3, None)], key=str)
+    monkeypatch.setattr(corpus_pipeline, "_labels", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
+    monkeypatch.setattr(corpus_pipeline.neural, "TwoLayers", lambda x, y: functools.partial(np.linalg.norm, axis=1))
+    assert stages["quality"](spark, docs, "").count() == 7
+    model = neural.PositiveUnlabelled([], [], 0.1)
+    model.weights[neural.word_buckets([two.encode()])[0]] = 5
+    monkeypatch.setattr(neural.PositiveUnlabelled, "__init__", lambda self, *_: self.__dict__.update(vars(model)))
+    assert stages["toxicity"](spark, docs, "").count() == 7

@@ -8,11 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import BLOCKS, array_blocks, shape_hashes, summed, text_slices, word_hashes
 
-SCORES = "doc_id long, score double"
-
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * z))
@@ -26,12 +25,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
-def _score(docs: DataFrame, predict: Callable[[list[bytes]], np.ndarray]) -> DataFrame:
+def _score(docs: DataFrame, predict: Callable[[list[bytes]], np.ndarray], whole: bool = False) -> DataFrame:
+    """doc_id and score of every row; with whole, all its columns and score."""
+    rows = docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    own = docs.columns if whole else ["doc_id"]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(predict(blobs), pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(predict(blobs), pa.float64())], [*own, "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCORES)
+    return rows.mapInArrow(run, T.StructType([*rows.select(own).schema, T.StructField("score", T.DoubleType())]))
 
 
 # --- quality -----------------------------------------------------------------------------------------------------
@@ -135,8 +138,8 @@ class TwoLayers:
         return _sigmoid(self._logits((x - self.shift) / self.scale).astype(np.float64) / self.temperature)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000) -> DataFrame:
-    """doc_id and score, the calibrated probability of label 1, for every row of docs (null text: empty).
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, whole: bool = False) -> DataFrame:
+    """doc_id (with whole: all columns) and score, the calibrated probability of label 1, for every row of docs (null text: empty).
 
     Vectors come from all documents; the network is fitted on at most `most` of the given labels. With labels of one class
     only, or none, every score is their mean or 0.5."""
@@ -152,7 +155,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     width = 2 * (DIM + 1) + 1
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, width)
     net = spark.sparkContext.broadcast(TwoLayers(x, np.array([r["y"] for r in rows], np.int64)))
-    return _score(docs, lambda blobs: net.value(pooled(blobs, vectors.value)))
+    return _score(docs, lambda blobs: net.value(pooled(blobs, vectors.value)), whole)
 
 
 # --- toxicity ----------------------------------------------------------------------------------------------------
@@ -229,8 +232,8 @@ class PositiveUnlabelled:
         return _sigmoid(np.bincount(owner, self.weights[flat].astype(np.float64), len(sets)) + self.bias)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 4000) -> DataFrame:
-    """doc_id and score for every row of docs (null text: empty).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 4000, whole: bool = False) -> DataFrame:
+    """doc_id (with whole: all columns) and score for every row of docs (null text: empty).
 
     Positives: at most `most` texts with label 1. Unlabelled: at most 3 * `most` rows of `unlabelled` (docs, if not given), whatever
     their labels. The class prior is label 1's share of the given labels. Without positives every score is near the prior."""
@@ -250,4 +253,4 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame |
         rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
         sets.append([np.frombuffer(r["x"], np.int32) for r in rows])
     model = spark.sparkContext.broadcast(PositiveUnlabelled(sets[0], sets[1], prior))
-    return _score(docs, lambda blobs: model.value(word_buckets(blobs)))
+    return _score(docs, lambda blobs: model.value(word_buckets(blobs)), whole)
