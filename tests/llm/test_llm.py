@@ -76,6 +76,22 @@ def test_packing(docs, nothing):
     assert packing.pack(packing.token_pieces(nothing, path)).count() == 0
 
 
+def test_packing_ids_of_odd_text():
+    """Ids equal the plain tokenizer's where signs, marks and letters of all kinds meet ASCII punctuation."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(queries.WORD_TOKENS)
+    plain, own = Tokenizer.from_file(path), packing.ChunkTokens(path)
+    rng = np.random.default_rng(11)
+    odd = ["“hello”.", "well…\"", "😀!", "5€.", "नमस्ते, ", "hello’.", "—,", "»,", "©.", "İ.", "İstanbul, ok", "e\u0301.", "a\u200d.", "ΑΣ. ΑΣ", "ﬁ.", "it's. we'll, 'tis '", "\x00.", "<|endoftext|>.", "x<|startoftext|> y", "日本語。!", "ΟΔΟΣ,"]
+    signs = list("abcXYZ019.,!?'\"-()é Éßσ ΣİıжЖकि日本“”’…—€©😀\u0301\u0307\u200d\u00a0\u3000 \n\tſK") + ["'s", "'LL", "word", "Word's"]
+    odd += ["".join(rng.choice(signs, rng.integers(1, 12))) for _ in range(20_000)]
+    for low in range(0, len(odd), 500):
+        some = odd[low : low + 500]
+        for text, got, want in zip(some, own.encode([t.encode() for t in some]), plain.encode_batch(some, add_special_tokens=False), strict=True):
+            assert np.frombuffer(got, "<u4").tolist() == want.ids, repr(text)
+
+
 def test_bound_never_exceeds_a_packing():
     rng = np.random.default_rng(0)
     for _ in range(50):
@@ -243,7 +259,13 @@ def test_classifiers(spark, sf_dir):
 def test_nnpu_finds_planted_words():
     rng = np.random.default_rng(1)
     make = lambda bad: np.unique(np.append(rng.integers(100, 5000, 60), rng.integers(0, 8, 3) if bad else [])).astype(np.int32)
-    model = neural.PositiveUnlabelled([make(True) for _ in range(300)], [make(i % 10 == 0) for i in range(2000)], 0.1)
+    sides = [make(True) for _ in range(300)], [make(i % 10 == 0) for i in range(2000)]
+    a, b = (np.bincount(np.concatenate(x), minlength=neural.BUCKETS).astype(float) for x in sides)
+    used = neural.used_features(a, b, 300, 2000)
+    cut = lambda sets: [np.searchsorted(used, x[np.isin(x, used)]) for x in sets]
+    w = neural.nnpu(cut(sides[0]), cut(sides[1]), np.ones(2000), 0.1, np.append(np.zeros(len(used)), np.log(0.1 / 0.9)), 200)
+    model = neural.PositiveUnlabelled(used, w[:-1], w[-1])
+    assert set(used) == set(range(8))
     assert np.mean(model([make(True) for _ in range(200)]) >= 0.3) > 0.9 and np.mean(model([make(False) for _ in range(200)]) >= 0.3) < 0.05
 
 
@@ -293,7 +315,6 @@ def test_pipeline_decides_by_row(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "_labels", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     monkeypatch.setattr(corpus_pipeline.neural, "TwoLayers", lambda x, y: functools.partial(np.linalg.norm, axis=1))
     assert stages["quality"](spark, docs, "").count() == 7
-    model = neural.PositiveUnlabelled([], [], 0.1)
-    model.weights[neural.word_buckets([two.encode()])[0]] = 5
-    monkeypatch.setattr(neural.PositiveUnlabelled, "__init__", lambda self, *_: self.__dict__.update(vars(model)))
+    model = neural.PositiveUnlabelled(neural.word_buckets([two.encode()])[0], 5, -2)
+    monkeypatch.setattr(corpus_pipeline.neural, "toxicity_model", lambda *_: model)
     assert stages["toxicity"](spark, docs, "").count() == 7

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCKS, array_blocks, shape_hashes, summed, text_slices, word_hashes
+from .common import BLOCKS, array_blocks, as_table, shape_hashes, summed, text_slices, word_hashes
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -18,15 +18,16 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
-    """doc_id, text and y of at most `most` labelled rows, those with the smallest hashes of their ids. Labels without an id
-    or a value are left out; of repeated ones the largest counts."""
+    """doc_id, text and y of at most `most` labelled rows, those with the smallest hashes of their ids, one row an id: of
+    documents that share an id the least text, of labels that share one the largest. Labels without an id or a value are left out."""
     some = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     some = some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)  # bounded by most, so it can be broadcast
-    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def _score(docs: DataFrame, predict: Callable[[list[bytes]], np.ndarray], whole: bool = False) -> DataFrame:
-    """doc_id and score of every row; with whole, all its columns and score."""
+    """doc_id and score of every row; with whole, all its columns and score, which replaces a column of that name."""
+    docs = docs.drop("score")
     rows = docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = docs.columns if whole else ["doc_id"]
 
@@ -182,49 +183,15 @@ def word_buckets(blobs: list[bytes]) -> list[np.ndarray]:
     return np.split(rows[order].astype(np.int32), np.searchsorted(doc[order], np.arange(1, len(blobs))))
 
 
-class PositiveUnlabelled:
-    """A linear classifier over hashed words by non-negative positive-unlabelled learning.
+FEATURES, SHARD_ROWS = 4096, 8192  # features with a weight at most; distinct feature sets that a task learns from
 
-    Risk: prior * E_p[loss(f, +)] + max(0, E_u[loss(f, -)] - prior * E_p[loss(f, -)]), logistic loss. Where the second
-    part is negative, the step goes against its gradient, which undoes the overfit. Only features whose share of the
-    positive texts is above that of the unlabelled by `least` standard errors have weights."""
 
-    def __init__(self, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, least: float = 5.0, epochs: int = 20, seed: int = 0):
-        self.prior, self.weights, self.bias = prior, np.zeros(BUCKETS, np.float32), float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
-        if not positive or not unlabelled:
-            return
-        rng = np.random.default_rng(seed)
-        a, b = (np.bincount(np.concatenate(x), minlength=BUCKETS) for x in (positive, unlabelled))
-        share = (a + b + 1) / (len(positive) + len(unlabelled) + 2)
-        error = np.sqrt(share * (1 - share) * (1 / len(positive) + 1 / len(unlabelled)))
-        column = np.full(BUCKETS, -1, np.int64)
-        used = np.flatnonzero(a / len(positive) - b / len(unlabelled) > least * error)
-        column[used] = np.arange(len(used))
-        sets = [[c[c >= 0] for c in (column[x] for x in some)] for some in (positive, unlabelled)]
-        w, bias = np.zeros(len(used)), self.bias
-        m, v, t = np.zeros(len(used)), np.zeros(len(used)), 0
-        steps = max(1, len(unlabelled) // 512)
-        for _ in range(epochs):
-            parts = [[p for p in np.array_split(rng.permutation(len(s)), steps)] for s in sets]
-            for p, u in zip(*parts, strict=True):
-                if not len(p) or not len(u):
-                    continue
-                chosen = [[sets[0][i] for i in p], [sets[1][i] for i in u]]
-                flat = [np.concatenate(c) if c else np.zeros(0, np.int64) for c in chosen]
-                owner = [np.repeat(np.arange(len(c)), [len(x) for x in c]) for c in chosen]
-                f = [np.bincount(o, w[x], len(c)) + bias for o, x, c in zip(owner, flat, chosen, strict=True)]
-                rest = np.logaddexp(0, f[1]).mean() - prior * np.logaddexp(0, f[0]).mean()
-                gp, gu = -prior * _sigmoid(-f[0]) / len(p), np.zeros(len(u))
-                if rest >= 0:
-                    gp, gu = gp - prior * _sigmoid(f[0]) / len(p), _sigmoid(f[1]) / len(u)
-                else:
-                    gp, gu = prior * _sigmoid(f[0]) / len(p), -_sigmoid(f[1]) / len(u)
-                g = np.bincount(flat[0], gp[owner[0]], len(used)) + np.bincount(flat[1], gu[owner[1]], len(used)) + 2e-5 * w
-                t += 1
-                m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-                w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-                bias -= 0.1 * (gp.sum() + gu.sum())
-        self.weights[used], self.bias = w, float(bias)
+class PositiveUnlabelled:
+    """A linear classifier over hashed words: weights of the used buckets, and a bias."""
+
+    def __init__(self, used: np.ndarray, weights: np.ndarray, bias: float):
+        self.weights, self.bias = np.zeros(BUCKETS, np.float32), float(bias)
+        self.weights[used] = weights
 
     def __call__(self, sets: list[np.ndarray]) -> np.ndarray:
         flat = np.concatenate(sets) if sets else np.zeros(0, np.int32)
@@ -232,25 +199,113 @@ class PositiveUnlabelled:
         return _sigmoid(np.bincount(owner, self.weights[flat].astype(np.float64), len(sets)) + self.bias)
 
 
+def used_features(a: np.ndarray, b: np.ndarray, na: float, nb: float, least: float = 5.0) -> np.ndarray:
+    """The buckets, FEATURES at most, whose share a / na of the positive texts is furthest above their share b / nb of the
+    unlabelled ones: by `least` standard errors or more."""
+    if not na or not nb:
+        return np.zeros(0, np.int64)
+    share = (a + b + 1) / (na + nb + 2)
+    above = (a / na - b / nb) / np.sqrt(share * (1 - share) * (1 / na + 1 / nb))
+    return np.sort(np.argsort(-above, kind="stable")[: min(FEATURES, int((above > least).sum()))])
+
+
+def nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], times: np.ndarray, prior: float, w: np.ndarray, steps: int) -> np.ndarray:
+    """Weights, and a bias as their last number, after some Adam steps from w on the non-negative positive-unlabelled risk.
+
+    Risk: prior * E_p[loss(f, +)] + max(0, E_u[loss(f, -)] - prior * E_p[loss(f, -)]), logistic loss. Where the second
+    part is negative, the step goes against its gradient, which undoes the overfit. The weights' penalty falls with the number of
+    positives. times: how often each unlabelled set occurs."""
+    w, n = w.astype(np.float64), len(w) - 1
+    flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (positive, unlabelled)]
+    owner = [np.repeat(np.arange(len(x)), [len(i) for i in x]) for x in (positive, unlabelled)]
+    share = times / times.sum()
+    m, v = np.zeros(n + 1), np.zeros(n + 1)
+    for t in range(1, steps + 1):
+        fp, fu = (np.bincount(o, w[x], len(rows)) + w[n] for o, x, rows in zip(owner, flat, (positive, unlabelled), strict=True))
+        rest = (share * np.logaddexp(0, fu)).sum() - prior * np.logaddexp(0, fp).mean()
+        sign = 1 if rest >= 0 else -1
+        gp = (-prior * _sigmoid(-fp) * (sign > 0) - sign * prior * _sigmoid(fp)) / len(positive)
+        gu = sign * share * _sigmoid(fu)
+        g = np.append(np.bincount(flat[0], gp[owner[0]], n) + np.bincount(flat[1], gu[owner[1]], n) + w[:n] / len(positive), gp.sum() + gu.sum())
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    return w
+
+
+def _counted(texts: DataFrame) -> np.ndarray:
+    """In how many texts each bucket's feature stands, and the number of texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS + 1)
+        for _, blobs in text_slices(batches, "text"):
+            total[:BUCKETS] += np.bincount(np.concatenate(word_buckets(blobs)), minlength=BUCKETS)
+            total[BUCKETS] += len(blobs)
+        yield from array_blocks(total)
+
+    return summed(texts.select("text").mapInArrow(run, BLOCKS), BUCKETS + 1).astype(np.float64)
+
+
+def _shard_learner(now, prior: float, steps: int) -> Callable[[pa.Table], pa.Table]:
+    def learn(part: pa.Table) -> pa.Table:
+        part = part.sort_by("x")
+        sets, times = [np.frombuffer(x.as_buffer(), np.int16) for x in part.column("x")], part.column("n").to_numpy()
+        out = nnpu(now.value[0], sets, times, prior, now.value[1], steps)
+        return pa.Table.from_batches(array_blocks(np.append(out, 1.0) * times.sum()))
+
+    return learn
+
+
+def toxicity_model(docs: DataFrame, positive: DataFrame, unlabelled: DataFrame, prior: float, steps: tuple[int, ...] = (150, 60)) -> PositiveUnlabelled:
+    """Learns from the texts of positive, a sample of bounded size, and of all rows of unlabelled.
+
+    1. Features are counted over all texts, in arrays of fixed size, and FEATURES of them chosen.
+    2. Every unlabelled text is cut down to its chosen features; equal sets are one row with a count.
+    3. Those rows are dealt into shards by their hash, sets with many copies over all shards in equal parts. Each shard takes
+       steps from the same weights, with all positives; the mean of the shards' weights, by texts, starts the next turn.
+
+    What comes to the driver: two arrays of counts, the weights, and the positives' chosen features (2 bytes each, FEATURES
+    a text at most). The result hangs on the texts alone and not on how they are partitioned."""
+    spark, start = docs.sparkSession, float(np.log(max(prior, 1e-4) / max(1 - prior, 1e-4)))
+    a, b = _counted(positive), _counted(unlabelled)
+    used = used_features(a[:BUCKETS], b[:BUCKETS], a[BUCKETS], b[BUCKETS])
+    if not len(used):
+        return PositiveUnlabelled(used, np.zeros(0), start)
+    column = np.full(BUCKETS, -1, np.int16)
+    column[used] = np.arange(len(used))
+    columns = spark.sparkContext.broadcast(column)
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, blobs in text_slices(batches, "text"):
+            cut = [columns.value[x] for x in word_buckets(blobs)]
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(c[c >= 0]).tobytes() for c in cut], pa.binary())], ["x"])
+
+    known = [np.frombuffer(r["x"], np.int16) for r in positive.select("text").mapInArrow(chosen, "x binary").sort("x").collect()]
+    table = as_table(unlabelled.select("text").mapInArrow(chosen, "x binary").groupBy("x").agg(F.count("*").alias("n")), "features")
+    columns.destroy()
+    shards = max(1, -(-table.count() // SHARD_ROWS))
+    spread = F.col("n") >= shards
+    places = F.when(spread, F.sequence(F.lit(0), F.lit(shards - 1))).otherwise(F.array(F.pmod(F.xxhash64("x"), F.lit(shards)).cast("int")))
+    dealt = table.select("x", F.explode(places).alias("shard"), F.when(spread, F.col("n") / shards).otherwise(F.col("n")).cast("double").alias("n"))
+    w = np.append(np.zeros(len(used)), start)
+    for count in steps:
+        now = spark.sparkContext.broadcast((known, w))
+        total = summed(dealt.groupBy("shard").applyInArrow(_shard_learner(now, prior, count), BLOCKS), len(w) + 1).astype(np.float64)
+        w = total[:-1] / total[-1]
+        now.destroy()
+    return PositiveUnlabelled(used, w[:-1], w[-1])
+
+
 def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 4000, whole: bool = False) -> DataFrame:
     """doc_id (with whole: all columns) and score for every row of docs (null text: empty).
 
-    Positives: at most `most` texts with label 1. Unlabelled: at most 3 * `most` rows of `unlabelled` (docs, if not given), whatever
-    their labels. The class prior is label 1's share of the given labels. Without positives every score is near the prior."""
+    Positives: at most `most` texts with label 1, one for each id. Unlabelled: all rows of `unlabelled` (docs, if not given), whatever
+    their labels. The class prior is label 1's share of the given labels. Without positives every score is the prior.
+    Null ids, repeated ids and repeated rows are judged by their own texts; with whole, other columns pass through whatever
+    their names but `score`, which is replaced."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias(label))
     n, ones = known.agg(F.count("*"), F.sum(label)).first()
     prior = float(ones or 0) / n if n else 0.1
-    open_ = (docs if unlabelled is None else unlabelled).select("doc_id", F.lit(0).alias(label))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, blobs in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([x.tobytes() for x in word_buckets(blobs)], pa.binary())], ["doc_id", "x"])
-
-    sets = []
-    for some, bound in ((known.where(F.col(label) == 1), most), (open_, 3 * most)):
-        rows = labelled_sample(docs, some, label, bound).mapInArrow(run, "doc_id long, x binary").collect()
-        rows.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
-        sets.append([np.frombuffer(r["x"], np.int32) for r in rows])
-    model = spark.sparkContext.broadcast(PositiveUnlabelled(sets[0], sets[1], prior))
+    positive = as_table(labelled_sample(docs, known.where(F.col(label) == 1), label, most), "positive")
+    model = spark.sparkContext.broadcast(toxicity_model(docs, positive, docs if unlabelled is None else unlabelled, prior))
     return _score(docs, lambda blobs: model.value(word_buckets(blobs)), whole)
