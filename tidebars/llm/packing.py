@@ -23,8 +23,9 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 class ChunkTokens:
     """Ids of white-space chunks, remembered between texts.
 
-    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its chunks;
-    a chunk's trailing punctuation is likewise encoded apart from its word."""
+    The tokenizer drops white space and never joins what white space parts, so a text's ids are those of its chunks. It cuts
+    a chunk into contractions, runs of letters, single digits and runs of other signs. So what follows a chunk's last letter or
+    digit is encoded apart, where that one is sure to be a letter or digit for the tokenizer too."""
 
     CHUNKS, WORDS = 300_000, 800_000  # that are remembered at most
 
@@ -58,7 +59,7 @@ class ChunkTokens:
             else:
                 text = text.lower() if text.isascii() else text
                 word = text.rstrip(string.punctuation)
-                parts[chunk] = (word, text[len(word) :])
+                parts[chunk] = (word, text[len(word) :]) if _ends_plainly(word) else (text, "")
         new = {x for pair in parts.values() for x in pair if x}.difference(self.words)
         if len(self.words) + len(new) > self.WORDS:
             self.words.clear()
@@ -81,6 +82,14 @@ class ChunkTokens:
             self.chunks[chunk] = self.words[word] + self.words[tail]
 
 
+def _ends_plainly(word: str) -> bool:
+    """Whether the last character is a letter or digit that normalising and lower-casing leave one."""
+    if not word or word.isascii():
+        return word[-1:].isalnum()
+    last = word[-1]
+    return (last.isascii() and last.isalnum()) or (last < "\u0530" and last.isalpha() and len(last.lower()) == 1 and unicodedata.is_normalized("NFC", word))
+
+
 @cache
 def _tokens(path: str) -> ChunkTokens:
     return ChunkTokens(path)
