@@ -158,6 +158,43 @@ def test_near_duplicates(docs, nothing):
     assert near_dup.near_duplicates(nothing).count() == 0
 
 
+def test_near_duplicates_by_any_id(docs):
+    """Null and repeated ids: rows with equal sets share a component, and no text is taken for another's."""
+    one, two, other = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(None, one), (None, one), (5, two), (5, other), (7, other + " end"), (7, two), (None, "")]
+    found = near_dup.near_duplicates(docs.sparkSession.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], SCHEMA)).collect()
+    assert sorted((str(r["doc_id"]), r["n_shingles"], r["component_id"], r["kept"]) for r in found) == sorted([("None", 56, None, False)] * 2 + [("5", 56, 5, True)] * 2 + [("7", 57, 5, False), ("7", 56, 5, False), ("None", 0, None, False)])
+
+
+def _at_similarity(rng, near, n=200):
+    """A text and a copy with other words at its end: their similarity is the least value of near or more."""
+    words = [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    cut = int((n - 4) * (1 - near) / (1 + near))
+    return " ".join(words), " ".join(words[: n - cut] + [f"x{x}" for x in rng.integers(0, 10**9, cut)])
+
+
+@pytest.mark.parametrize("num", [85, 80])
+def test_near_duplicates_recall_at_the_threshold(spark, num):
+    rng = np.random.default_rng(num)
+    pairs = [_at_similarity(rng, num / 100 + 0.05 * rng.random(), int(rng.integers(100, 900))) for _ in range(600)]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(sum(pairs, ()))]
+    got = table(near_dup.near_duplicates(spark.createDataFrame(rows, SCHEMA), num).select("doc_id", "component_id"))
+    assert sum(got[2 * i + 1]["component_id"] == 2 * i for i in range(600)) >= 599
+
+
+def test_a_crowd_just_under_the_threshold(spark, monkeypatch):
+    """Texts that share most of a passage meet by rare entries, in tiles, and only true links count."""
+    monkeypatch.setattr(near_dup, "CROWD", 20)
+    rng = np.random.default_rng(3)
+    passage = [f"p{i}" for i in range(170)]
+    some = [" ".join(passage + [f"u{k}_{i}" for i in range(30)]) for k in range(60)]
+    some += [" ".join(passage + [f"u{k}_{i}" for i in range(26)] + ["z"] * 4) for k in range(0, 60, 3)]
+    some = [some[i] for i in rng.permutation(len(some))]
+    _, root = brute_components(some)
+    got = table(near_dup.near_duplicates(spark.createDataFrame([(i, t, "en", "s", 0) for i, t in enumerate(some)], SCHEMA).repartition(3)))
+    assert [got[i]["component_id"] for i in range(len(some))] == root and len(set(root)) == 60
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r["node"]: r["root"] for r in near_dup.components(edges).collect()}

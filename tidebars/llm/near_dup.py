@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import as_table, mix64, text_slices, word_hashes
 
 WORDS = 5  # in a shingle
-U, G = 9, 3  # groups in each of two collections, minhashes in a group: U * U tables from 2 * U * G minhashes
+G = 3  # minhashes in a group
 SKETCH = 192  # smallest shingle hashes that are kept to screen candidates
+CROWD = 2000  # nodes of one group that may meet pairwise in one task
+SIGMAS = 5.5  # how far a sketch may fall short of what a pair at the threshold has on average
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, groups array<long>, sketch array<int>"
 
 
@@ -39,23 +41,30 @@ def shingle_sets(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(sets) if sets else np.zeros(0, np.uint64), np.cumsum([0, *map(len, sets)])
 
 
-_rng = np.random.default_rng(85)
-_XOR = _rng.integers(0, 1 << 63, 2 * U * G, dtype=np.uint64)
-_MUL = _rng.integers(0, 1 << 63, 2 * U * G, dtype=np.uint64) | np.uint64(1)
+def groups_for(num: int, den: int, missed: float = 5e-4) -> int:
+    """How many groups each of the two collections needs so that a pair at the threshold shares none of one of them, and so no
+    table key, with a probability of at most `missed`."""
+    u = 1
+    while 2 * (1 - (num / den) ** G) ** u > missed:
+        u += 1
+    return u
 
 
-def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """SIGNATURE rows, one for each row. groups: 2 * U numbers, each of G minhashes. sketch: the smallest shingle hashes."""
+def signatures(docs: DataFrame, u: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """SIGNATURE rows and text_hash, one for each row. groups: 2 * u numbers, each of G minhashes: u * u tables from 2 * u * G
+    minhashes. sketch: the smallest shingle hashes."""
+    rng = np.random.default_rng(85)
+    xors, factors = rng.integers(0, 1 << 63, 2 * u * G, dtype=np.uint64), rng.integers(0, 1 << 63, 2 * u * G, dtype=np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in text_slices(batches, "text"):
             flat, offsets = shingle_sets(blobs)
             full = np.flatnonzero(np.diff(offsets))
-            groups = np.zeros((len(blobs), 2 * U), np.uint64)
+            groups = np.zeros((len(blobs), 2 * u), np.uint64)
             if len(full):
                 firsts = offsets[full]
-                for j in range(2 * U):
-                    mins = [np.minimum.reduceat((flat ^ _XOR[k]) * _MUL[k], firsts) for k in range(j * G, j * G + G)]
+                for j in range(2 * u):
+                    mins = [np.minimum.reduceat((flat ^ xors[k]) * factors[k], firsts) for k in range(j * G, j * G + G)]
                     groups[full, j] = mix64(sum((m * np.uint64(2 * i + 3) for i, m in enumerate(mins)), np.full(len(full), j, np.uint64)))
             hashes, sketches = [], []
             for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
@@ -66,24 +75,30 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
+                    batch.column("text_hash"),
                     pa.array(np.diff(offsets), pa.int64()),
                     pa.array(hashes, pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1, dtype=np.int32) * (2 * U)), pa.array(groups.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(pa.array(np.arange(len(blobs) + 1, dtype=np.int32) * (2 * u)), pa.array(groups.ravel().view(np.int64))),
                     pa.ListArray.from_arrays(pa.array(width), pa.array(np.concatenate(sketches) if sketches else np.zeros(0, np.int32))),
                 ],
-                ["doc_id", "n_shingles", "set_hash", "groups", "sketch"],
+                ["doc_id", "text_hash", "n_shingles", "set_hash", "groups", "sketch"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SIGNATURE)
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), _text_hash(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, SIGNATURE.replace("n_shingles", "text_hash string, n_shingles"))
 
 
-def tensor_keys(nodes: DataFrame) -> DataFrame:
-    """(key, node): the table keys. Only groups that two nodes share can make a shared key, so the 2 * U groups are counted
+def _text_hash(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")))
+
+
+def tensor_keys(nodes: DataFrame, u: int) -> DataFrame:
+    """(key, node): the table keys. Only groups that two nodes share can make a shared key, so the 2 * u groups are counted
     first and keys are formed from pairs of shared groups alone."""
     groups = nodes.select("node", F.posexplode("groups").alias("at", "value"))
     shared = groups.groupBy("at", "value").agg(F.count("*").alias("n")).where("n > 1").select("at", "value")
     mine = groups.join(shared, ["at", "value"]).groupBy("node").agg(
-        F.collect_list(F.when(F.col("at") < U, F.struct("at", "value"))).alias("left"), F.collect_list(F.when(F.col("at") >= U, F.struct("at", "value"))).alias("right")
+        F.collect_list(F.when(F.col("at") < u, F.struct("at", "value"))).alias("left"), F.collect_list(F.when(F.col("at") >= u, F.struct("at", "value"))).alias("right")
     )
     keys = mine.select("node", F.explode("left").alias("l"), "right").select("node", "l", F.explode("right").alias("r")).select(F.xxhash64("l.at", "l.value", "r.at", "r.value").alias("key"), "node")
     many = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -122,16 +137,76 @@ def components(edges: DataFrame) -> DataFrame:
         now = as_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def _first_shared(low: int) -> Column:
+def least_common(n: Column, num: int, den: int) -> Column:
+    """The fewest sketch entries that a set of this size has in common with any set that passes the screen with it."""
+    part = F.lit(num / den)
+    wide = part * SKETCH - SIGMAS * F.sqrt(F.lit(SKETCH) * part * (1 - part) * (1 - SKETCH * part / n))
+    return F.when(n <= SKETCH * num / den, F.ceil(n * F.lit(num) / F.lit(den))).otherwise(F.least(F.ceil(wide), F.ceil(n * F.lit(num) / F.lit(den))))
+
+
+def rare_entries(members: DataFrame, num: int, den: int) -> DataFrame:
+    """members (node, root, n, sketch) with a row for each of a node's rarest sketch entries, as many as any two nodes that pass
+    the screen must share one of; entries that only one node has are left out. sketch is put in order from rare to frequent.
+
+    A passage that many texts share makes entries that are frequent, and frequent entries come last: texts that have no
+    more than such passages in common share no rare entry and never meet."""
+    entries = members.select("node", F.explode("sketch").alias("entry"))
+    counts = entries.groupBy("entry").agg(F.count("*").alias("df")).where("df > 1")
+    ranked = entries.join(counts, "entry").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "entry"))).alias("ranked"))
+    whole = F.least(F.col("n"), F.lit(SKETCH))
+    prefix = whole - least_common(F.col("n"), num, den) + 1 - (whole - F.size("ranked"))  # entries of its own come first
+    rows = members.drop("sketch").join(ranked, "node").withColumn("sketch", F.transform("ranked", lambda x: x["entry"]))
+    return rows.withColumn("entry", F.explode(F.slice("sketch", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))).drop("ranked")
+
+
+def tiles(rows: DataFrame, counts: DataFrame, key: str, most: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Two sides of rows to join on (key, left, right), so that any two rows of a key meet exactly once, and no more than about
+    `most` rows of a key in one place: a larger key's rows are dealt into strips, and every two strips make a tile."""
+    many = counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_strips"))
+    dealt = rows.join(many, key, "left").withColumn("_strips", F.coalesce("_strips", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), "_strips").cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("_strips") - 1))
+    left = dealt.withColumn("_other", every).withColumnsRenamed({"_own": "_left", "_other": "_right"})
+    right = dealt.withColumn("_other", every).withColumnsRenamed({"_own": "_right", "_other": "_left"})
+    return left.drop("_strips"), right.drop("_strips")
+
+
+def _first_shared(low: int, u: int) -> Column:
     """Which group, from 1, of a collection is the first that nodes with groups ga and gb share; 0: none."""
-    return F.array_position(F.zip_with(F.slice("ga", low + 1, U), F.slice("gb", low + 1, U), lambda p, q: p == q), F.lit(True))
+    return F.array_position(F.zip_with(F.slice("ga", low + 1, u), F.slice("gb", low + 1, u), lambda p, q: p == q), F.lit(True))
+
+
+def _meetings(members: DataFrame, u: int, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) of members (node, root, n, groups, sketch) with different roots that share a table key and pass the screen.
+
+    Nodes meet by the groups of the first collection, in the first that they share; whether they share one of the second too
+    stands in the join's condition. Nodes of a group of more than CROWD meet by their rarest sketch entries instead, and the nodes
+    of an entry in tiles, so no task compares more than CROWD nodes with CROWD others, and most of a crowd never meets."""
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & (common >= sketch_need(F.col("na"), F.col("nb"), num, den, SIGMAS))
+    side = lambda df, k, *own: df.select(*own, F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    grouped = members.select("node", F.posexplode(F.slice("groups", 1, u)).alias("i", "value"))
+    counts = as_table(grouped.groupBy("i", "value").count().where("count > 1"), "counts")
+    placed = grouped.join(counts.where(F.col("count") <= CROWD).select("i", "value"), ["i", "value"]).join(members, "node")
+    x, y = (side(placed.withColumnRenamed("groups", f"g{k}"), k, "i", "value", f"g{k}") for k in "ab")
+    table = (_first_shared(0, u) == F.col("i") + 1) & (_first_shared(u, u) > 0)
+    found = x.join(y, ["i", "value"]).where(apart & table & near).select("a", "b")
+    crowds = counts.where(F.col("count") > CROWD).select("i", "value")
+    if crowds.limit(1).count():
+        crowded = members.join(grouped.join(crowds, ["i", "value"]).select("node").distinct(), "node", "left_semi")
+        rare = as_table(rare_entries(crowded.select("node", "root", "n", "sketch"), num, den), "rare")
+        x, y = tiles(rare, rare.groupBy("entry").count(), "entry")
+        once = F.get(F.array_intersect("sa", "sb"), F.lit(0)) == F.col("entry")
+        pairs = side(x, "a", "entry", "_left", "_right").join(side(y, "b", "entry", "_left", "_right"), ["entry", "_left", "_right"])
+        found = found.unionByName(pairs.where(apart & once & near).select("a", "b"))
+    return found.distinct()
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
     """pairs (a, b) with ok: whether the full sets' similarity is num / den or more. Only the texts of nodes in pairs are
     hashed again; each pair's two sets meet in one row."""
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "first_id", "set_hash"), "node")
-    texts = docs.select(F.col("doc_id").cast("long").alias("_id"), "text").join(wanted, F.col("_id").eqNullSafe(F.col("first_id"))).select("node", "set_hash", "text")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "text_hash", "set_hash"), "node")
+    texts = docs.select(_text_hash(F.col("text")).alias("text_hash"), "text").join(wanted, "text_hash").groupBy("node").agg(F.first("set_hash").alias("set_hash"), F.first("text").alias("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in text_slices(batches, "text"):
@@ -140,7 +215,7 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, de
             same = [hashlib.blake2b(s, digest_size=16).digest() == h for s, h in zip(own, batch.column("set_hash").to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node").filter(pa.array(same)), pa.array([s for s, k in zip(own, same, strict=True) if k], pa.binary())], ["node", "shingles"])
 
-    have = as_table(texts.mapInArrow(sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
+    have = as_table(texts.mapInArrow(sets, "node long, shingles binary"), "sets")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,22 +237,24 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     1. Rows with equal sets are one node, so copies cost nothing after the signatures.
     2. Nodes that share a table key are candidates: each with the smallest node of its bucket, screened by sketches.
     3. Candidates that pass the screen clearly join nodes for now; other pairs in a bucket are looked at only where these
-       joins don't already connect them. A pair shares a table if it shares a group of either collection, so those nodes meet
-       by the groups of the first alone, in the first that they share; the second collection and the screen stand in the
-       join's condition, so that each pair turns up once and only if it is near.
+       joins don't already connect them; see _meetings.
     4. All screened pairs are confirmed on full sets, and only confirmed links count. If a provisional join fails, step 3
        runs again over confirmed links until no new pair turns up, so no pair in a bucket is missed for it.
 
-    Texts without words (null, empty) are linked with nothing; a row with a null doc_id has the smallest doc_id of its
-    component or null, and is not kept. Repeated rows share a component; rows that repeat a kept doc_id are kept."""
-    rows = as_table(signatures(docs), "signatures")
-    nodes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first_id"), F.first("n_shingles").alias("n"), F.first("groups").alias("groups"), F.first("sketch").alias("sketch"))
+    A pair at the threshold is missed with a probability of at most 5e-4 by the tables, and about 1e-4 by the screen.
+    Texts without words (null, empty) are linked with nothing. Ids may be null or repeated, and rows may repeat: rows with equal
+    sets are one node, whatever their ids. A row with a null doc_id has the smallest doc_id of its component or null, and is
+    not kept; rows that repeat a kept doc_id are kept. Other columns of docs are ignored."""
+    u = groups_for(num, den)
+    rows = as_table(signatures(docs, u), "signatures")
+    first = F.min_by(F.struct("n_shingles", "groups", "sketch", "text_hash"), "text_hash")
+    nodes = rows.where("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("first_id"), first.alias("f")).select("set_hash", "first_id", F.col("f.n_shingles").alias("n"), "f.groups", "f.sketch", "f.text_hash")
     nodes = as_table(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    keys = as_table(tensor_keys(nodes.select("node", "groups")), "keys")
+    keys = as_table(tensor_keys(nodes.select("node", "groups"), u), "keys")
     a, b = (nodes.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}")) for x in "ab")
     common = F.size(F.array_intersect("sa", "sb"))
     star = keys.join(keys.groupBy("key").agg(F.min("node").alias("a")), "key").where("node <> a").select("a", F.col("node").alias("b")).distinct()
-    star = star.join(a, "a").join(b, "b").withColumn("common", common).where(F.col("common") >= sketch_need(F.col("na"), F.col("nb"), num, den, 4.0))
+    star = star.join(a, "a").join(b, "b").withColumn("common", common).where(F.col("common") >= sketch_need(F.col("na"), F.col("nb"), num, den, SIGMAS))
     tried = as_table(star.select("a", "b", (F.col("common") >= sketch_need(F.col("na"), F.col("nb"), num, den, -1.0)).alias("clear")), "star")
     linked, confirmed = tried.where("clear").select("a", "b"), None
     tried = tried.select("a", "b")
@@ -185,12 +262,8 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
         roots = components(linked)
         of = keys.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         open_ = of.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-        members = of.join(open_, "key").select("node", "root").distinct().join(nodes.select("node", "n", "groups", "sketch"), "node")
-        members = members.select("node", "root", "n", "groups", "sketch", F.posexplode(F.slice("groups", 1, U)).alias("i", "value"))
-        x, y = (members.select("i", "value", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("groups").alias(f"g{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
-        table = (_first_shared(0) == x["i"] + 1) & (_first_shared(U) > 0)
-        near = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & table & (common >= sketch_need(F.col("na"), F.col("nb"), num, den, 4.0))
-        rest = x.join(y, (x["i"] == y["i"]) & (x["value"] == y["value"]) & (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b").distinct()
+        members = as_table(of.join(open_, "key").select("node", "root").distinct().join(nodes.select("node", "n", "groups", "sketch"), "node"), "members")
+        rest = _meetings(members, u, num, den)
         new = as_table(rest.join(tried, ["a", "b"], "left_anti"), "rest")
         todo = new if confirmed is not None else tried.unionByName(new)
         if confirmed is None or new.limit(1).count():
