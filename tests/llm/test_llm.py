@@ -130,11 +130,33 @@ def test_secrets(docs, nothing):
     assert secrets.scan_new_blobs(docs, ledger).count() == 0
     newer = docs.unionByName(docs.limit(1).withColumn("text", F.lit("token: abcdef9")))
     assert secrets.scan_new_blobs(newer, ledger).count() == 1
-    clean = table(secrets.join_findings(docs.drop("spans"), ledger).withColumn("text", secrets.redact(F.col("text"), F.col("spans"))))
+    clean = table(secrets.join_findings(docs, ledger).withColumn("text", secrets.redact(F.col("text"), F.col("spans"))))
     assert clean[len(texts()) - 3]["text"] == "[SECRET] " + "0" * 23 and clean[0]["text"] is None
     assert secrets.scan(nothing)[0].count() == 0
 
 
+def test_secret_ledger_by_blob_and_rule_version(docs):
+    """A second generation scans unseen blobs with all rules, and seen ones with rules of a new version alone."""
+    spark = docs.sparkSession
+    make = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    jwt = "eyJabcdefghijk.eyJabcdefghijk.x"
+    first = make(f"password=hunter22 {jwt}", "nothing", None, "nothing")
+    _, ledger = secrets.scan(first)
+    assert ledger.count() == 3 and ledger.where("generation = 1").count() == 3
+    newer = tuple(secrets.Rule("jwt", "eyJ[a-z]+", version=2) if r.kind == "jwt" else r for r in secrets.RULES)
+    second = make("nothing", f"password=hunter22 {jwt}", "AKIA" + "B" * 16)
+    found, whole = secrets.scan(second, newer, ledger)
+    rows = {tuple(r["rules"]) for r in whole.where("generation = 2").collect()}
+    assert rows == {("jwt.2",), tuple(map(secrets.pair_of, newer))} and whole.where("generation = 2").count() == 4 - 1
+    lines = {r["doc_id"]: r["line"] for r in found.select("doc_id", secrets.spans_line(F.col("spans")).alias("line")).collect()}
+    assert lines == {0: "", 1: "assign:0:17,jwt:18:32,jwt:33:47", 2: "access:0:20"}
+    assert secrets.findings(ledger, newer).count() == 0 and secrets.scan_new_blobs(second, whole, newer).count() == 0
+    clash = first.withColumns({"spans": F.lit(1), "_blob": F.lit(2)})
+    assert secrets.join_findings(clash, ledger).columns == ["doc_id", "text", "_blob", "spans"]
+    twice, ledger = secrets.scan(first.unionByName(second), deliveries=F.when(F.col("text").startswith("AKIA"), 2).otherwise(1))
+    assert twice.count() == 7 and ledger.where("generation = 2").count() == 1
+
+
 def brute_components(some):
     sets = []
     for t in some:
@@ -351,6 +373,11 @@ def test_pipeline_decides_by_row(spark, monkeypatch):
     assert kept.columns == docs.columns and sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([(7, two), (7, other), (9, one), (None, None), (None, ""), (3, None)], key=str)
     monkeypatch.setattr(corpus_pipeline, "_labels", lambda *_: spark.createDataFrame([], "doc_id long, quality int, toxic int"))
     monkeypatch.setattr(corpus_pipeline.neural, "TwoLayers", lambda x, y: functools.partial(np.linalg.norm, axis=1))
+    clash = docs.withColumns({"score": F.lit("x"), "_row": F.lit(1), "spans": F.lit(2), "_blob": F.lit(3), "_id": F.lit(4)})
+    for name, n in (("quality", 7), ("near_duplicates", 6), ("secret_scan", 10)):
+        out = stages[name](spark, clash, "")
+        assert out.columns == clash.columns and out.count() == n and out.where("score = 'x' and _row = 1").count() == n
+        assert stages[name](spark, clash.limit(0), "").count() == 0
     assert stages["quality"](spark, docs, "").count() == 7
     model = neural.PositiveUnlabelled(neural.word_buckets([two.encode()])[0], 5, -2)
     monkeypatch.setattr(corpus_pipeline.neural, "toxicity_model", lambda *_: model)

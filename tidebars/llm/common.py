@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 import numpy as np
@@ -13,19 +15,39 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_own_dir: dict[str, str] = {}
-made: list[str] = []  # the scratch paths given out, for drop_tables
+_scope: ContextVar[list[str] | None] = ContextVar("scratch", default=None)
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path below the cluster's shared checkpoint folder; a local folder only where none is set."""
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="spark-")
+
+
+def scratch_path(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new path below the cluster's shared checkpoint folder; a local folder only where none is set. Unless kept, it is
+    dropped with the scratch_tables block that it is made in."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = _own_dir.setdefault("", tempfile.mkdtemp(prefix="spark-"))
-    made.append(f"{base}/tables/{uuid.uuid4().hex}/{name}")
-    return made[-1]
+        base = _own_dir()
+    path = f"{base}/tables/{uuid.uuid4().hex}/{name}"
+    if (paths := _scope.get()) is not None and not keep:
+        paths.append(path)
+    return path
+
+
+@contextmanager
+def scratch_tables(spark: SparkSession) -> Iterator[None]:
+    """A block at whose end the scratch tables made in it are deleted; what is read later has to be made with keep. Each thread
+    has its own blocks, so that jobs side by side leave each other's tables alone."""
+    paths: list[str] = []
+    token = _scope.set(paths)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        drop_tables(spark, paths)
 
 
 def drop_tables(spark: SparkSession, paths: list[str]) -> None:
@@ -35,13 +57,21 @@ def drop_tables(spark: SparkSession, paths: list[str]) -> None:
         at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def as_table(df: DataFrame, name: str) -> DataFrame:
+def as_table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """df written as Parquet in the shared folder and read again: cuts the lineage, survives lost executors."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name, keep)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores before it until no column of df has it, in any case of letters."""
+    have = {c.lower() for c in df.columns}
+    while name.lower() in have:
+        name = "_" + name
+    return name
+
+
 def crc32_of(col: Column | str) -> Column:
     """crc32 of an id written as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string") if isinstance(col, str) else col.cast("string"), F.lit("")))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table, mix64, text_slices, word_hashes
+from .common import as_table, mix64, scratch_tables, text_slices, word_hashes
 
 WORDS = 5  # in a shingle
 G = 3  # minhashes in a group
@@ -245,6 +245,11 @@ def near_duplicates(docs: DataFrame, num: int = 85, den: int = 100) -> DataFrame
     Texts without words (null, empty) are linked with nothing. Ids may be null or repeated, and rows may repeat: rows with equal
     sets are one node, whatever their ids. A row with a null doc_id has the smallest doc_id of its component or null, and is
     not kept; rows that repeat a kept doc_id are kept. Other columns of docs are ignored."""
+    with scratch_tables(docs.sparkSession):
+        return as_table(_classes(docs, num, den), "classes", keep=True)
+
+
+def _classes(docs: DataFrame, num: int, den: int) -> DataFrame:
     u = groups_for(num, den)
     rows = as_table(signatures(docs, u), "signatures")
     first = F.min_by(F.struct("n_shingles", "groups", "sketch", "text_hash"), "text_hash")

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BLOCKS, array_blocks, as_table, shape_hashes, summed, text_slices, word_hashes
+from .common import BLOCKS, array_blocks, as_table, scratch_tables, shape_hashes, summed, text_slices, word_hashes
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -25,17 +25,16 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
-def _score(docs: DataFrame, predict: Callable[[list[bytes]], np.ndarray], whole: bool = False) -> DataFrame:
-    """doc_id and score of every row; with whole, all its columns and score, which replaces a column of that name."""
-    docs = docs.drop("score")
+def _score(docs: DataFrame, predict: Callable[[list[bytes]], np.ndarray], whole: bool = False, out: str = "score") -> DataFrame:
+    """doc_id and the score as column out, for every row; with whole, all columns and out, which no column of docs may be called."""
     rows = docs if whole else docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     own = docs.columns if whole else ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, blobs in text_slices(batches, "text"):
-            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(predict(blobs), pa.float64())], [*own, "score"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, own), pa.array(predict(blobs), pa.float64())], [*own, out])
 
-    return rows.mapInArrow(run, T.StructType([*rows.select(own).schema, T.StructField("score", T.DoubleType())]))
+    return rows.mapInArrow(run, T.StructType([*rows.select(own).schema, T.StructField(out, T.DoubleType())]))
 
 
 # --- quality -----------------------------------------------------------------------------------------------------
@@ -139,11 +138,12 @@ class TwoLayers:
         return _sigmoid(self._logits((x - self.shift) / self.scale).astype(np.float64) / self.temperature)
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, whole: bool = False) -> DataFrame:
-    """doc_id (with whole: all columns) and score, the calibrated probability of label 1, for every row of docs (null text: empty).
+def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 20_000, whole: bool = False, out: str = "score") -> DataFrame:
+    """doc_id (with whole: all columns) and out, the calibrated probability of label 1, for every row of docs (null text: empty).
 
-    Vectors come from all documents; the network is fitted on at most `most` of the given labels. With labels of one class
-    only, or none, every score is their mean or 0.5."""
+    Vectors come from all documents; the network is fitted on at most `most` of the given labels, one text an id. With labels of
+    one class only, or none, every score is their mean or 0.5. Null ids, repeated ids and repeated rows are judged by their own texts,
+    whole texts however long; with whole, columns pass through whatever their names, but none may be called out."""
     spark = docs.sparkSession
     vectors = spark.sparkContext.broadcast(context_vectors(docs))
 
@@ -156,7 +156,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality", m
     width = 2 * (DIM + 1) + 1
     x = np.frombuffer(b"".join(r["x"] for r in rows), np.float32).reshape(-1, width)
     net = spark.sparkContext.broadcast(TwoLayers(x, np.array([r["y"] for r in rows], np.int64)))
-    return _score(docs, lambda blobs: net.value(pooled(blobs, vectors.value)), whole)
+    return _score(docs, lambda blobs: net.value(pooled(blobs, vectors.value)), whole, out)
 
 
 # --- toxicity ----------------------------------------------------------------------------------------------------
@@ -295,17 +295,18 @@ def toxicity_model(docs: DataFrame, positive: DataFrame, unlabelled: DataFrame,
     return PositiveUnlabelled(used, w[:-1], w[-1])
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 4000, whole: bool = False) -> DataFrame:
-    """doc_id (with whole: all columns) and score for every row of docs (null text: empty).
+def toxicity_scores(docs: DataFrame, labels: DataFrame, unlabelled: DataFrame | None = None, label: str = "toxic", most: int = 4000, whole: bool = False, out: str = "score") -> DataFrame:
+    """doc_id (with whole: all columns) and out, the score, for every row of docs (null text: empty).
 
     Positives: at most `most` texts with label 1, one for each id. Unlabelled: all rows of `unlabelled` (docs, if not given), whatever
     their labels. The class prior is label 1's share of the given labels. Without positives every score is the prior.
     Null ids, repeated ids and repeated rows are judged by their own texts; with whole, other columns pass through whatever
-    their names but `score`, which is replaced."""
+    their names, but none may be called out."""
     spark = docs.sparkSession
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).alias(label))
     n, ones = known.agg(F.count("*"), F.sum(label)).first()
     prior = float(ones or 0) / n if n else 0.1
-    positive = as_table(labelled_sample(docs, known.where(F.col(label) == 1), label, most), "positive")
-    model = spark.sparkContext.broadcast(toxicity_model(docs, positive, docs if unlabelled is None else unlabelled, prior))
-    return _score(docs, lambda blobs: model.value(word_buckets(blobs)), whole)
+    with scratch_tables(spark):
+        positive = as_table(labelled_sample(docs, known.where(F.col(label) == 1), label, most), "positive")
+        model = spark.sparkContext.broadcast(toxicity_model(docs, positive, docs if unlabelled is None else unlabelled, prior))
+    return _score(docs, lambda blobs: model.value(word_buckets(blobs)), whole, out)

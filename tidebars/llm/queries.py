@@ -37,14 +37,17 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _ = secrets.scan(_read(spark, sf_dir, "documents"))
+    """Documents arrive in two deliveries, by the last sign of their source's name; the second scans only what the first had not."""
+    docs = _read(spark, sf_dir, "documents")
+    delivery = F.ascii(F.right(F.coalesce("source", F.lit("")), F.lit(1))) % 2 + 1
+    found, _ = secrets.scan(docs, deliveries=delivery)
     spans = F.col("spans")
     base = F.filter(spans, lambda s: s["kind"].isin(*secrets.BASE))
 
     def count(kind: str) -> Column:
         return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.spans_line(base), 256).alias("base_sha256"), secrets.spans_line(spans).alias("spans"))
+    return found.select("doc_id", *map(count, secrets.BASE), F.sha2(secrets.spans_line(base), 256).alias("base_sha256"), secrets.spans_line(spans).alias("spans"), "generation")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,10 +94,10 @@ def _secret_sql() -> str:
     every = " UNION ALL ".join(f"SELECT * FROM s{i}" for i in range(n))
     line, base = "string_agg(said, ',' ORDER BY start, no)", ", ".join(f"'{k}'" for k in secrets.BASE)
     counts = ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in secrets.BASE)
-    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), {', '.join(tables)},
+    return f"""WITH docs AS (SELECT doc_id, coalesce(text, '') AS t, min(ascii(right(coalesce(source, ''), 1)) % 2 + 1) OVER (PARTITION BY coalesce(text, '')) AS generation FROM documents), {', '.join(tables)},
       placed AS (SELECT doc_id, no, kind, CAST(stop - length(m) AS BIGINT) AS start, kind || ':' || CAST(CAST(stop - length(m) AS BIGINT) AS VARCHAR) || ':' || CAST(CAST(stop AS BIGINT) AS VARCHAR) AS said FROM ({every}) WHERE ok),
       found AS (SELECT doc_id, {counts}, {line} AS spans, {line} FILTER (kind IN ({base})) AS base FROM placed GROUP BY 1)
-      SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM docs d LEFT JOIN found USING (doc_id)"""
+      SELECT d.doc_id, {', '.join(f'coalesce(n_{k}, 0) AS n_{k}' for k in secrets.BASE)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, CAST(generation AS INTEGER) AS generation FROM docs d LEFT JOIN found USING (doc_id)"""
 
 
 #: Results of the other operators rest on tokenizers, trained models, searches that may miss, or forms that the

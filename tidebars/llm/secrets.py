@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, free_name
 
 
 @dataclass(frozen=True)
@@ -36,10 +36,10 @@ RULES = (
     Rule("jwt", r"\beyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*", hints=("eyJ",)),
 )
 BASE = ("assign", "access", "hex")
-SPAN = "array<struct<start:bigint,rank:int,end:bigint,kind:string>>"
+SPAN = "array<struct<start:bigint,end:bigint,kind:string,version:int>>"
 
 
-def _spans(text: Column, rule: Rule, rank: int) -> Column:
+def _spans(text: Column, rule: Rule) -> Column:
     """The rule's spans in code points: what lies between matches, and the matches, give each match's place."""
     found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
@@ -47,7 +47,7 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     def step(s: Column, pair: Column) -> Column:
         start = s["at"] + F.length(pair["gap"])
         end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(rule.kind).alias("kind"))
+        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
         return F.struct(end.alias("at"), F.when(pair["ok"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
 
     def ok(match: Column) -> Column:
@@ -60,43 +60,75 @@ def _spans(text: Column, rule: Rule, rank: int) -> Column:
     return F.when(screen, spans).otherwise(F.array().cast(SPAN))
 
 
-def find_spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
-    """All rules' spans of a text (null: empty) by start, then the rules' order."""
-    whole = F.coalesce(text, F.lit(""))
-    return F.array_sort(F.concat(*(_spans(whole, rule, i) for i, rule in enumerate(rules))))
+def pair_of(rule: Rule) -> str:
+    return f"{rule.kind}.{rule.version}"
 
 
-def rules_version(rules: tuple[Rule, ...]) -> str:
-    return "+".join(f"{r.kind}.{r.version}" for r in rules)
+def _pairs(rules: tuple[Rule, ...]) -> Column:
+    return F.array(*(F.lit(pair_of(r)) for r in rules))
 
 
-def scan_new_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """Ledger rows (blob, rules, spans) of the blobs in versions that the ledger doesn't hold for these rules.
+def find_spans(text: Column, rules: tuple[Rule, ...] = RULES, lacking: Column | None = None) -> Column:
+    """Spans of a text (null: empty) by the rules, or by those whose pair is in lacking; the others don't touch the text."""
+    whole = F.coalesce(text, F.lit(""))
+    due = lambda r: F.lit(True) if lacking is None else F.array_contains(lacking, pair_of(r))
+    return F.concat(*(F.when(due(r), _spans(whole, r)).otherwise(F.array().cast(SPAN)) for r in rules))
 
-    A blob is a text's SHA-256 (null: that of the empty text), so each content is scanned once however many paths and
-    versions have it. Blobs without findings have rows too, or they would be scanned again. versions may repeat rows."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    blobs = versions.select(F.sha2(text, 256).alias("blob"), text.alias("text"))
-    if ledger is not None:
-        seen = ledger.where(F.col("rules") == rules_version(rules)).select("blob")
-        blobs = blobs.join(seen, "blob", "left_anti")
-    return blobs.dropDuplicates(["blob"]).select("blob", F.lit(rules_version(rules)).alias("rules"), find_spans(F.col("text"), rules).alias("spans"))
 
+def blob_of(text: Column) -> Column:
+    """A text's SHA-256; a null text is the empty blob."""
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
 
-def join_findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
-    """versions with spans from the ledger: every path of a blob gets the blob's findings; a hot blob's rows are a
-    skewed join that Spark splits. Blobs that the ledger doesn't hold get null spans. Only rows with findings are joined."""
-    mine = ledger.where(F.col("rules") == rules_version(rules)).select(F.col("blob").alias("_blob"), F.col("spans"))
-    return versions.join(mine, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256) == F.col("_blob"), "left").drop("_blob")
 
+def scan_new_blobs(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = "text", generation: int = 1) -> DataFrame:
+    """Ledger rows (blob, rules, generation, spans): each blob in versions that lacks a (blob, rule, version) pair in the ledger, with
+    the pairs that it lacks and the spans of those rules alone. A rule of a new version leaves the other rules' findings as they are.
 
-def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Rows' ids with their spans (doc_id, spans), and the ledger with the new blobs, which is written first."""
-    new = as_table(scan_new_blobs(docs, ledger, rules), "ledger")
-    whole = new if ledger is None else ledger.unionByName(new)
-    ids = docs.select("doc_id", F.sha2(F.coalesce(F.col("text"), F.lit("")), 256).alias("blob"))  # no text in the join
-    mine = whole.where(F.col("rules") == rules_version(rules)).select("blob", "spans")
-    return ids.join(mine, "blob", "left").select("doc_id", "spans"), whole
+    A blob is scanned once however many paths and versions have it. Blobs without findings have rows too, or they would be
+    scanned again. versions may repeat rows and have any other columns; an empty table gives an empty one."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    blobs = versions.select(blob_of(F.col(text_col)).alias("blob"), text.alias("text")).dropDuplicates(["blob"]).withColumn("rules", _pairs(rules))
+    if ledger is not None:
+        have = ledger.groupBy("blob").agg(F.flatten(F.collect_list("rules")).alias("have"))
+        blobs = blobs.join(have, "blob", "left").withColumn("rules", F.when(F.col("have").isNull(), F.col("rules")).otherwise(F.array_except("rules", "have")))
+        blobs = blobs.where(F.size("rules") > 0)
+    return blobs.select("blob", "rules", F.lit(generation).alias("generation"), find_spans(F.col("text"), rules, None if ledger is None else F.col("rules")).alias("spans"))
+
+
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob, spans by the rules' present versions in order of start, then of the rules, and the first generation, for each
+    blob that the ledger holds for all rules."""
+    kinds, pairs = F.array(*(F.lit(r.kind) for r in rules)), _pairs(rules)
+    now = F.transform(
+        F.filter("spans", lambda s: F.array_contains(pairs, F.concat_ws(".", s["kind"], s["version"].cast("string")))),
+        lambda s: F.struct(s["start"], F.array_position(kinds, s["kind"]).alias("rank"), s["end"], s["kind"]),
+    )
+    known = ledger.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list(now))).alias("spans"), F.flatten(F.collect_list("rules")).alias("have"), F.min("generation").alias("generation"))
+    return known.where(F.size(F.array_except(pairs, F.col("have"))) == 0).select("blob", "spans", "generation")
+
+
+def join_findings(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out: str = "spans") -> DataFrame:
+    """versions with the column out, spans from the ledger: every path of a blob gets the blob's findings; a hot blob's rows are a
+    skewed join that Spark splits. Blobs that the ledger doesn't hold for all rules get null. A column out of versions is replaced."""
+    blob, rows = free_name(versions, "_blob"), versions.drop(out)
+    mine = findings(ledger, rules).select(F.col("blob").alias(blob), F.col("spans").alias(out))
+    return rows.withColumn(blob, blob_of(F.col(text_col))).join(mine, blob, "left").drop(blob)
+
+
+def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None, deliveries: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rows' ids with their blobs' spans and generation (doc_id, spans, generation), and the ledger with the new blobs, which is written first.
+
+    With deliveries, a number from 1 for each row, the rows arrive one delivery after another: each is a generation that scans
+    only what the ledger lacks by then. Ids may be null or repeated; every row gets its own text's findings."""
+    turns = [F.lit(True)] if deliveries is None else [deliveries == i + 1 for i in range(docs.select(deliveries.alias("n")).agg(F.max("n")).first()[0] or 0)]
+    start = 0 if ledger is None else ledger.agg(F.max("generation")).first()[0] or 0
+    for i, mine in enumerate(turns):
+        new = as_table(scan_new_blobs(docs.where(mine), ledger, rules, generation=start + i + 1), "ledger", keep=True)
+        ledger = new if ledger is None else ledger.unionByName(new)
+    if ledger is None:
+        ledger = scan_new_blobs(docs, None, rules)
+    ids = docs.select("doc_id", blob_of(F.col("text")).alias("blob"))  # no text in the join
+    return ids.join(findings(ledger, rules), "blob", "left").select("doc_id", "spans", "generation"), ledger
 
 
 def spans_line(spans: Column) -> Column:
@@ -106,12 +138,12 @@ def spans_line(spans: Column) -> Column:
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping or touching spans replaced by one mark."""
     whole = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(s: Column, span: Column) -> Column:
         gap = F.substring(whole, (s["at"] + 1).cast("int"), F.greatest(span["start"] - s["at"], F.lit(0)).cast("int"))
         fresh = (span["start"] > s["at"]) | (s["at"] == 0)
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(fresh, F.concat(s["out"], gap, F.lit(mark))).otherwise(s["out"]).alias("out"))
+        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(gap, F.lit(mark)))).otherwise(s["out"]).alias("out"))
 
-    done = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(whole, (s["at"] + 1).cast("int"), F.length(whole))))
+    done = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, (s["at"] + 1).cast("int"), F.length(whole))))
     return F.when(F.size(spans) > 0, done).otherwise(text)
