@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from functools import wraps
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.llm import near_dup, neural, packing, secrets
-from tidebars.llm.common import as_table, drop_tables, made
+from tidebars.llm.common import as_table, free_name
 from tidebars.llm.queries import WORD_TOKENS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -21,30 +18,37 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose probability of good quality is under one half."""
-    return neural.quality_scores(docs, _labels(spark, sf_dir), whole=True).where(F.col("score") >= 0.5).select(docs.columns)
+    """Drops rows whose probability of good quality is under one half. Each row is judged by its own text (null: empty), so ids may be
+    null or repeated; other columns may have any names. An empty table gives an empty one."""
+    score = free_name(docs, "score")
+    return neural.quality_scores(docs, _labels(spark, sf_dir), whole=True, out=score).where(F.col(score) >= 0.5).select(docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops rows whose probability of being toxic is 0.3 or more."""
-    return neural.toxicity_scores(docs, _labels(spark, sf_dir), whole=True).where(F.col("score") < 0.3).select(docs.columns)
+    """Drops rows whose probability of being toxic is 0.3 or more. Rows, columns and empty tables as in quality."""
+    score = free_name(docs, "score")
+    return neural.toxicity_scores(docs, _labels(spark, sf_dir), whole=True, out=score).where(F.col(score) < 0.3).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row of each group of near duplicates (similarity 0.85 or more), the first of those with the smallest id;
-    null ids come last. Rows are told apart by a number of their own, so ids may be null or repeated. Rows without words stay."""
-    keyed = as_table(docs.withColumn("_row", F.monotonically_increasing_id()), "keyed")
-    found = near_dup.near_duplicates(keyed.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")
-    first = found.join(keyed.select("_row", "doc_id"), "_row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first._row").alias("_row"))
-    return keyed.join(first, "_row", "left_semi").select(docs.columns)
+    """Keeps one row of each group of near duplicates (similarity 0.8 or more), the first of those with the smallest id; null ids
+    come last. Rows are told apart by a number of their own, so ids may be null or repeated. Rows without words stay."""
+    row = free_name(docs, "_row")
+    keyed = as_table(docs.withColumn(row, F.monotonically_increasing_id()), "keyed")
+    found = near_dup.near_duplicates(keyed.select(F.col(row).alias("doc_id"), "text"), 80)
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", F.col(row).alias("row"))
+    first = found.select(F.col("doc_id").alias(row), "component_id").join(keyed.select(row, "doc_id"), row).groupBy("component_id").agg(F.min(order).alias("first"))
+    return keyed.join(first.select(F.col("first.row").alias(row)), row, "left_semi").select(docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of every secret; documents stay."""
+    """Puts a mark in the place of every secret; rows stay, whatever their ids. n_chars, where there is such a column, follows."""
+    spans = free_name(docs, "spans")
     ledger = as_table(secrets.scan_new_blobs(docs), "ledger")
-    clean = secrets.join_findings(docs, ledger).withColumn("text", secrets.redact(F.col("text"), F.col("spans"))).drop("spans")
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    clean = secrets.join_findings(docs, ledger, out=spans).withColumn("text", secrets.redact(F.col("text"), F.col(spans)))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return clean.select(docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,24 +56,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENS))
 
 
-_used: list[str] = []
-
-
-def _stage(function: Callable) -> Callable:
-    """The function, which first drops what the stage before it left in the shared folder: its result is written by now."""
-
-    @wraps(function)
-    def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        drop_tables(spark, _used)
-        start = len(made)
-        out = function(spark, docs, sf_dir)
-        _used[:] = made[start:]
-        return out
-
-    return stage
-
-
-STAGES = [(f.__name__, _stage(f)) for f in (quality, toxicity, near_duplicates, secret_scan, pack)]
+STAGES = [(f.__name__, f) for f in (quality, toxicity, near_duplicates, secret_scan, pack)]
 ORACLE_SQL = None
 
 
