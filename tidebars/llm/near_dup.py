@@ -15,7 +15,7 @@ from .common import as_table, mix64, scratch_tables, text_slices, word_hashes
 WORDS = 5  # in a shingle
 G = 3  # minhashes in a group
 SKETCH = 192  # smallest shingle hashes that are kept to screen candidates
-CROWD = 2000  # nodes of one group that may meet pairwise in one task
+CROWD, STRIP = 64, 1000  # nodes of one group that meet by a join at most; of a larger one's strips, which are compared as matrices
 SIGMAS = 5.5  # how far a sketch may fall short of what a pair at the threshold has on average
 SIGNATURE = "doc_id long, n_shingles long, set_hash binary, groups array<long>, sketch array<int>"
 
@@ -137,39 +137,6 @@ def components(edges: DataFrame) -> DataFrame:
         now = as_table(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
 
-def least_common(n: Column, num: int, den: int) -> Column:
-    """The fewest sketch entries that a set of this size has in common with any set that passes the screen with it."""
-    part = F.lit(num / den)
-    wide = part * SKETCH - SIGMAS * F.sqrt(F.lit(SKETCH) * part * (1 - part) * (1 - SKETCH * part / n))
-    return F.when(n <= SKETCH * num / den, F.ceil(n * F.lit(num) / F.lit(den))).otherwise(F.least(F.ceil(wide), F.ceil(n * F.lit(num) / F.lit(den))))
-
-
-def rare_entries(members: DataFrame, num: int, den: int) -> DataFrame:
-    """members (node, root, n, sketch) with a row for each of a node's rarest sketch entries, as many as any two nodes that pass
-    the screen must share one of; entries that only one node has are left out. sketch is put in order from rare to frequent.
-
-    A passage that many texts share makes entries that are frequent, and frequent entries come last: texts that have no
-    more than such passages in common share no rare entry and never meet."""
-    entries = members.select("node", F.explode("sketch").alias("entry"))
-    counts = entries.groupBy("entry").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = entries.join(counts, "entry").groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "entry"))).alias("ranked"))
-    whole = F.least(F.col("n"), F.lit(SKETCH))
-    prefix = whole - least_common(F.col("n"), num, den) + 1 - (whole - F.size("ranked"))  # entries of its own come first
-    rows = members.drop("sketch").join(ranked, "node").withColumn("sketch", F.transform("ranked", lambda x: x["entry"]))
-    return rows.withColumn("entry", F.explode(F.slice("sketch", F.lit(1), F.greatest(prefix, F.lit(0)).cast("int")))).drop("ranked")
-
-
-def tiles(rows: DataFrame, counts: DataFrame, key: str, most: int = CROWD) -> tuple[DataFrame, DataFrame]:
-    """Two sides of rows to join on (key, left, right), so that any two rows of a key meet exactly once, and no more than about
-    `most` rows of a key in one place: a larger key's rows are dealt into strips, and every two strips make a tile."""
-    many = counts.where(F.col("count") > most).select(key, F.ceil(F.col("count") / most).cast("int").alias("_strips"))
-    dealt = rows.join(many, key, "left").withColumn("_strips", F.coalesce("_strips", F.lit(1))).withColumn("_own", F.pmod(F.xxhash64("node"), "_strips").cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("_strips") - 1))
-    left = dealt.withColumn("_other", every).withColumnsRenamed({"_own": "_left", "_other": "_right"})
-    right = dealt.withColumn("_other", every).withColumnsRenamed({"_own": "_right", "_other": "_left"})
-    return left.drop("_strips"), right.drop("_strips")
-
-
 def _first_shared(low: int, u: int) -> Column:
     """Which group, from 1, of a collection is the first that nodes with groups ga and gb share; 0: none."""
     return F.array_position(F.zip_with(F.slice("ga", low + 1, u), F.slice("gb", low + 1, u), lambda p, q: p == q), F.lit(True))
@@ -178,28 +145,69 @@ def _first_shared(low: int, u: int) -> Column:
 def _meetings(members: DataFrame, u: int, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of members (node, root, n, groups, sketch) with different roots that share a table key and pass the screen.
 
-    Nodes meet by the groups of the first collection, in the first that they share; whether they share one of the second too
-    stands in the join's condition. Nodes of a group of more than CROWD meet by their rarest sketch entries instead, and the nodes
-    of an entry in tiles, so no task compares more than CROWD nodes with CROWD others, and most of a crowd never meets."""
-    common = F.size(F.array_intersect("sa", "sb"))
-    near = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & (common >= sketch_need(F.col("na"), F.col("nb"), num, den, SIGMAS))
-    side = lambda df, k, *own: df.select(*own, F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
-    apart = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb"))
+    Nodes meet by the groups of the first collection, in the first that they share, if they share one of the second too. The
+    nodes of a group of more than CROWD are dealt into strips of about STRIP, and every two strips are a tile, which one task compares
+    by products of small matrices. So texts just under the threshold cost time in the square of their number, spread over tiles, but
+    no task holds more than two strips, and only pairs that pass leave it."""
     grouped = members.select("node", F.posexplode(F.slice("groups", 1, u)).alias("i", "value"))
     counts = as_table(grouped.groupBy("i", "value").count().where("count > 1"), "counts")
-    placed = grouped.join(counts.where(F.col("count") <= CROWD).select("i", "value"), ["i", "value"]).join(members, "node")
-    x, y = (side(placed.withColumnRenamed("groups", f"g{k}"), k, "i", "value", f"g{k}") for k in "ab")
+    few = grouped.join(counts.where(F.col("count") <= CROWD).select("i", "value"), ["i", "value"]).join(members, "node")
+    x, y = (few.select("i", "value", F.col("node").alias(k), F.col("root").alias(f"r{k}"), F.col("n").alias(f"n{k}"), F.col("groups").alias(f"g{k}"), F.col("sketch").alias(f"s{k}")) for k in "ab")
+    common = F.size(F.array_intersect("sa", "sb"))
+    near = (F.least("na", "nb") * F.lit(den) >= F.greatest("na", "nb") * F.lit(num)) & (common >= sketch_need(F.col("na"), F.col("nb"), num, den, SIGMAS))
     table = (_first_shared(0, u) == F.col("i") + 1) & (_first_shared(u, u) > 0)
-    found = x.join(y, ["i", "value"]).where(apart & table & near).select("a", "b")
-    crowds = counts.where(F.col("count") > CROWD).select("i", "value")
-    if crowds.limit(1).count():
-        crowded = members.join(grouped.join(crowds, ["i", "value"]).select("node").distinct(), "node", "left_semi")
-        rare = as_table(rare_entries(crowded.select("node", "root", "n", "sketch"), num, den), "rare")
-        x, y = tiles(rare, rare.groupBy("entry").count(), "entry")
-        once = F.get(F.array_intersect("sa", "sb"), F.lit(0)) == F.col("entry")
-        pairs = side(x, "a", "entry", "_left", "_right").join(side(y, "b", "entry", "_left", "_right"), ["entry", "_left", "_right"])
-        found = found.unionByName(pairs.where(apart & once & near).select("a", "b"))
-    return found.distinct()
+    found = x.join(y, ["i", "value"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & table & near).select("a", "b")
+    many = counts.where(F.col("count") > CROWD).select("i", "value", F.ceil(F.col("count") / STRIP).cast("int").alias("strips"))
+    if not many.limit(1).count():
+        return found.distinct()
+    dealt = grouped.join(many, ["i", "value"]).withColumn("own", F.pmod(F.xxhash64("node"), "strips").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("strips") - 1)))
+    dealt = dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).select("i", "value", "low", "high", "own", "node")
+    compared = dealt.join(members, "node").groupBy("i", "value", "low", "high").applyInArrow(_tile(u, num, den), "a long, b long")
+    return found.unionByName(compared).distinct()
+
+
+def _tile(u: int, num: int, den: int):
+    def lists(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+        whole = column.combine_chunks()
+        return whole.flatten().to_numpy(), np.diff(whole.offsets.to_numpy())
+
+    def compare(tile: pa.Table) -> pa.Table:
+        node, root, n = (tile.column(c).to_numpy() for c in ("node", "root", "n"))
+        own, i = tile.column("own").to_numpy(), tile.column("i")[0].as_py()
+        left, right = (np.flatnonzero(own == tile.column(c)[0].as_py()) for c in ("low", "high"))
+        groups = lists(tile.column("groups"))[0].reshape(len(node), 2 * u)
+        mask = np.outer(np.ones(len(left), bool), np.ones(len(right), bool))
+        for j in range(i):  # the first group that they share is this one
+            mask &= groups[left, j][:, None] != groups[right, j][None, :]
+        shared = np.zeros_like(mask)
+        for j in range(u, 2 * u):
+            shared |= groups[left, j][:, None] == groups[right, j][None, :]
+        most, least = np.maximum.outer(n[left], n[right]), np.minimum.outer(n[left], n[right])
+        mask &= shared & (root[left][:, None] != root[right][None, :]) & (least * den >= most * num)
+        if len(left) == len(right) and (left == right).all():
+            mask &= np.tri(len(left), k=-1, dtype=bool)
+        if mask.any():
+            entry, widths = lists(tile.column("sketch"))
+            _, column, times = np.unique(entry, return_inverse=True, return_counts=True)
+            row = np.repeat(np.arange(len(node)), widths)
+            place = np.full(len(times), -1)
+            place[times > 1] = np.arange((times > 1).sum())
+            column = place[column]
+            common = np.zeros(mask.shape, np.float32)
+            for low in range(0, int((times > 1).sum()), 4096):
+                some = (column >= low) & (column < low + 4096)
+                has = np.zeros((len(node), 4096), np.float32)
+                has[row[some], column[some] - low] = 1
+                common += has[left] @ has[right].T
+            need = np.ceil((least + most) * (num / (num + den)))
+            part, k = need / most, np.minimum(most, SKETCH)
+            wide = part * k - SIGMAS * np.sqrt(k * part * np.abs(1 - part) * np.maximum(0, 1 - SKETCH / most))
+            mask &= common >= np.where(most <= SKETCH, need, wide) - 1e-3
+        x, y = np.nonzero(mask)
+        a, b = node[left][x], node[right][y]
+        return pa.table([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    return compare
 
 
 def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, num: int, den: int) -> DataFrame:
