@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import cache
 
@@ -10,36 +11,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_table
+from .common import as_table, scratch_tables
 
-TREES, SYMBOLS, PROBES, BLOCK_ROWS, PART_ROWS, SHORT = 8, 4, 12, 20_000, 4_000, 10
+TREES, BITS = 12, 64
+LEAF_ROWS, LEAF_STEP = 8192, 6  # rows of a leaf at most, and by how many bits a larger one is cut further
+FIRST, AFFORDED = 96, 2000  # nodes that the first ascent is to meet, and that the second one may add
+MISSED = 0.03  # the chance of missing a better neighbour at which a query stops
+BLOCK_ROWS, PART_ROWS, SHORT = 20_000, 4_000, 10
 
 
 @cache
-def _rotations(dim: int) -> np.ndarray:
-    """A random rotation for each symbol of each tree."""
-    rng = np.random.default_rng(17)
-    return np.stack([np.linalg.qr(rng.standard_normal((dim, dim)))[0] for _ in range(TREES * SYMBOLS)]).astype(np.float32).reshape(TREES, SYMBOLS, dim, dim)
-
-
-def hash_strings(x: np.ndarray, probes: int = 1) -> np.ndarray:
-    """For each vector and tree the hash string: SYMBOLS 16-bit symbols, first to last from the top of a 64-bit number.
-
-    A symbol is the signed axis that the rotated vector is nearest to. With probes, that many strings, whose first symbols are
-    the nearest axes in turn. Shape: vectors, TREES, probes."""
-    n, dim = x.shape
-    turns, out = _rotations(dim), np.zeros((n, TREES, probes), np.uint64)
-    for t in range(TREES):
-        for s in range(SYMBOLS):
-            y = x @ turns[t, s]
-            if s == 0 and probes > 1:
-                both = np.concatenate([y, -y], 1)
-                symbol = np.argsort(-both, axis=1, kind="stable")[:, :probes]
-            else:
-                at = np.abs(y).argmax(1)
-                symbol = (at + np.where(y[np.arange(n), at] < 0, dim, 0))[:, None]
-            out[:, t] |= symbol.astype(np.uint64) << np.uint64(16 * (SYMBOLS - 1 - s))
-    return out
+def _planes(dim: int) -> np.ndarray:
+    """The normals of the hyperplanes whose sides are the bits of each tree's hash strings."""
+    return np.random.default_rng(17).standard_normal((dim, TREES * BITS)).astype(np.float32)
+
+
+def hash_strings(x: np.ndarray) -> np.ndarray:
+    """For each vector and tree a string of BITS bits, as a 64-bit number with its first bit on top."""
+    sides = (x @ _planes(x.shape[1]) > 0).reshape(len(x), TREES, BITS)
+    return np.packbits(sides, axis=2).view(">u8")[:, :, 0].astype(np.uint64)
 
 
 def usable(v: Column) -> Column:
@@ -48,10 +38,6 @@ def usable(v: Column) -> Column:
     return F.coalesce((F.size(v) > 0) & fine & F.exists(v, lambda c: c != 0), F.lit(False))
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.stack([np.frombuffer(x.as_buffer(), np.float32) for x in column]) if len(column) else np.zeros((0, 1), np.float32)
-
-
 def _nearness(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Less the squared distance of each unit vector to q; for close ones from the differences, whose digits a product loses."""
     near = 2 * (x @ q) - 2
@@ -66,49 +52,148 @@ def _unit(column: pa.Array) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
+def cosine(a: Column, b: Column) -> Column:
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
+    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+
+
+def _hashed(nodes: DataFrame) -> DataFrame:
+    """(tree, hash, node): every node's string in every tree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 1000):
+                batch = whole.slice(low, 1000)
+                keys = hash_strings(_unit(batch.column("v")))
+                tree = np.tile(np.arange(TREES, dtype=np.int32), len(keys))
+                yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array(keys.ravel().view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(len(keys)), TREES)))], ["tree", "hash", "node"])
+
+    return nodes.select("node", "v").mapInArrow(run, "tree int, hash long, node long")
+
+
+def forest(nodes: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """Rows (tree, bits, prefix, hash, node, query): the trees' strings, dealt to leaves. A leaf is all strings of a tree that begin with
+    the same bits: as many bits as leaves of LEAF_ROWS / 2 need on average, more where a leaf would be larger. Queries have a row
+    more, in the leaf where their string falls."""
+    bits = min(BITS - 4, max(0, math.ceil(math.log2(max(1, 2 * n / LEAF_ROWS)))))
+    cut = lambda b: F.when(b > 0, F.expr(f"shiftrightunsigned(hash, cast({BITS} - bits as int))")).otherwise(F.lit(0).cast("long"))
+    index = _hashed(nodes)
+    rows = index.withColumn("query", F.lit(False)).unionByName(index.join(asked.select("node").distinct(), "node", "left_semi").select("tree", "hash", "node", F.lit(True).alias("query")))
+    rows = rows.withColumn("bits", F.lit(bits)).withColumn("prefix", cut(F.col("bits")))
+    rows = as_table(rows, "forest")
+    while True:
+        large = rows.where(~F.col("query")).groupBy("tree", "bits", "prefix").count().where((F.col("count") > LEAF_ROWS) & (F.col("bits") + LEAF_STEP < BITS)).drop("count")
+        large = as_table(large, "large")
+        if not large.limit(1).count():
+            return rows
+        deeper = rows.join(large, ["tree", "bits", "prefix"], "left_semi").withColumn("bits", F.col("bits") + LEAF_STEP).withColumn("prefix", cut(F.col("bits")))
+        rows = as_table(rows.join(large, ["tree", "bits", "prefix"], "left_anti").unionByName(deeper.select(rows.columns)), "forest")
+
+
+def _span(keys: np.ndarray, q: np.ndarray, level: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last place of the sorted keys that begin with q's first `level` bits."""
+    low = np.where(np.asarray(level) >= BITS, np.uint64(0), np.uint64(0xFFFFFFFFFFFFFFFF) >> np.minimum(np.asarray(level), BITS - 1).astype(np.uint64))
+    return np.searchsorted(keys, q & ~low, "left"), np.searchsorted(keys, q | low, "right")
+
+
+def _counts(rows: DataFrame) -> DataFrame:
+    """(qnode, tree, floor, counts): for each query and tree how many nodes of its leaf share its first 64, 63, ... bits, down to the leaf's."""
+
+    def run(leaf: pa.Table) -> pa.Table:
+        ask, key = leaf.column("query").to_numpy(), leaf.column("hash").to_numpy().view(np.uint64)
+        floor, keys, q = leaf.column("bits")[0].as_py(), np.sort(key[~ask]), key[ask]
+        levels = np.arange(BITS, floor - 1, -1)
+        low, high = _span(keys, q[:, None], levels[None, :])
+        n = (high - low).astype(np.int32)
+        return pa.table([leaf.column("node").filter(pa.array(ask)), pa.array(np.repeat(leaf.column("tree")[0].as_py(), len(q)), pa.int32()), pa.array(np.full(len(q), floor), pa.int32()), pa.array(list(n), pa.list_(pa.int32()))], names=["qnode", "tree", "floor", "counts"])
+
+    return rows.groupBy("tree", "bits", "prefix").applyInArrow(run, "qnode long, tree int, floor int, counts array<int>")
+
+
+def _reached(rows: DataFrame, asks: DataFrame) -> DataFrame:
+    """(qnode, node): the nodes that share `level` bits or more with a query in some tree, but fewer than `below`. asks: qnode, level, below."""
+
+    def run(leaf: pa.Table) -> pa.Table:
+        ask, key, node = leaf.column("query").to_numpy(), leaf.column("hash").to_numpy().view(np.uint64), leaf.column("node").to_numpy()
+        order = np.argsort(key[~ask], kind="stable")
+        keys, nodes = key[~ask][order], node[~ask][order]
+        q, level, below = key[ask], leaf.column("level").to_numpy(zero_copy_only=False)[ask].astype(int), leaf.column("below").to_numpy(zero_copy_only=False)[ask].astype(int)
+        low, high = _span(keys, q, level)
+        skip, upto = _span(keys, q, np.minimum(below, BITS))
+        out = [np.concatenate([nodes[a:c], nodes[d:b]]) if z <= BITS else nodes[a:b] for a, b, c, d, z in zip(low.tolist(), high.tolist(), skip.tolist(), upto.tolist(), below.tolist(), strict=True)]
+        qnode = np.repeat(node[ask], [len(x) for x in out])
+        return pa.table([pa.array(qnode, pa.int64()), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64), pa.int64())], names=["qnode", "node"])
+
+    mine = rows.where("query").join(asks.withColumnRenamed("qnode", "node"), "node")
+    leaves = mine.select("tree", "bits", "prefix").distinct()
+    own = rows.where(~F.col("query")).join(leaves, ["tree", "bits", "prefix"], "left_semi").withColumns({"level": F.lit(None).cast("int"), "below": F.lit(None).cast("int")})
+    both = own.unionByName(mine.select(own.columns))
+    return both.groupBy("tree", "bits", "prefix").applyInArrow(run, "qnode long, node long").distinct()
+
+
+def _scored(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(qnode, node, score): exact cosines."""
+    other = nodes.select(F.col("node").alias("qnode"), F.col("v").alias("qv"))
+    return pairs.join(nodes.select("node", "v"), "node").join(other, "qnode").select("qnode", "node", cosine(F.col("v"), F.col("qv")).alias("score"))
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    at = F.row_number().over(Window.partitionBy("qnode").orderBy(F.col("score").desc(), "node"))
+    return scores.withColumn("at", at).where(F.col("at") <= k).drop("at")
+
+
 def _at_root(nodes: DataFrame, poor: DataFrame, n: int, many: int, short: int) -> DataFrame:
-    """(qnode, node, near): for each node of poor the nearest of each block of all nodes. Blocks of nodes meet parts of poor."""
+    """(qnode, node): for each node of poor the nearest of each block of all nodes. Blocks of nodes meet parts of poor."""
     blocks, parts = -(-n // BLOCK_ROWS), -(-many // PART_ROWS)
     own = nodes.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(blocks)).alias("b"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("p"))
     ask = poor.join(nodes.select("node", "v"), "node").select(F.col("node").alias("qnode"), F.col("v").alias("qv"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("b"), F.pmod(F.xxhash64("node"), F.lit(parts)).cast("int").alias("p"))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: list[list] = [[], [], []]
+        found: list[np.ndarray] = [np.zeros(0, np.int64)]
+        asked: list[np.ndarray] = [np.zeros(0, np.int64)]
         if left.num_rows and right.num_rows:
             x, node = _unit(left.column("v")), left.column("node").to_numpy()
             for qn, q in zip(right.column("qnode").to_pylist(), _unit(right.column("qv")), strict=True):
                 near = _nearness(x, q)
-                best = np.lexsort((node, -near))[:short]
-                for o, some in zip(out, ([qn] * len(best), node[best].tolist(), near[best].tolist()), strict=True):
-                    o += some
-        return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float32())], names=["qnode", "node", "near"])
-
-    return own.groupBy("b", "p").cogroup(ask.groupBy("b", "p")).applyInArrow(score, "qnode long, node long, near float")
-
+                some = np.flatnonzero(near >= np.partition(near, -short)[-short]) if len(near) > short else np.arange(len(near))
+                best = some[np.lexsort((node[some], -near[some]))][:short]
+                found.append(node[best])
+                asked.append(np.full(len(best), qn))
+        return pa.table([pa.array(np.concatenate(asked), pa.int64()), pa.array(np.concatenate(found), pa.int64())], names=["qnode", "node"])
 
-def cosine(a: Column, b: Column) -> Column:
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return own.groupBy("b", "p").cogroup(ask.groupBy("b", "p")).applyInArrow(score, "qnode long, node long")
 
 
 def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """query_id, rank, vec_id and score: for each row whose id is divisible by `every`, the k nearest other rows by cosine.
+    """query_id, rank, vec_id, score and scored: for each row whose id is divisible by `every`, the k nearest other rows by cosine, and
+    how many nodes were scored for it.
 
     Equal vectors are one node with its k + 1 smallest ids, which are all that an answer can need, so hot vectors cost nothing.
-    Each tree keeps its nodes sorted by hash string, in blocks by first symbol (and a salt where a block is large). A query
-    descends in its probes' blocks to its place, takes all nodes that share two symbols or more with it, however many, and
-    about 4 * n**0.45 nodes around it (n: nodes), with the lengths of the prefixes that they share with it, and all trees ascend
-    together from the longest prefixes until enough nodes are met. Queries that met too few in all their blocks ascend to the
-    root: they are scored against all nodes. Only a short list leaves a block; the final one is scored in double precision
-    on the original vectors.
-    Unusable vectors, those of another length than the longest, and rows without an id take no part. Repeated ids are
-    separate rows; one with the query's id is not its neighbour."""
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
-    dim = own.agg(F.max(F.size("v"))).first()[0]
+    Each tree holds the nodes' hash strings, sorted, in leaves of bounded size, and a query's leaf in a tree is where its string falls.
+
+    1. Each query descends to its longest prefix matches; all trees ascend together, bit by bit, to the level at which FIRST nodes
+       share so many bits with it in some tree. Only the counts of nodes by level are needed for that; then those nodes are scored.
+    2. The k-th score found tells which level a better neighbour would share in some tree, but for a chance of MISSED. Queries
+       that stopped above it ascend to that level, if at most AFFORDED nodes are added there, and only those are scored.
+    3. The rest ascend to the root: they are scored against all nodes, in blocks. Also queries that met fewer than k others.
+
+    So a query costs what its neighbourhood needs. Where neighbours are near (a cosine of 0.9), that is some hundred nodes
+    however many there are; in data without near neighbours no prefix separates them, and the search is an exact scan.
+    Strings of 60 equal bits are one leaf whatever its size: nodes of one direction to within a few degrees.
+
+    Unusable vectors, rows without an id, and vectors of another length than most have take no part. Repeated ids are separate
+    rows; one with the query's id is not its neighbour. Fewer candidates than k give all of them; an empty table gives an empty one."""
     spark = vectors.sparkSession
-    if dim is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    own = own.where(F.size("v") == dim).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))})
+    with scratch_tables(spark):
+        own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+        dim = own.groupBy(F.size("v").alias("dim")).count().orderBy(F.col("count").desc(), F.col("dim").desc()).first()
+        if dim is None:
+            return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double, scored long")
+        return as_table(_nearest(own.where(F.size("v") == dim["dim"]), every, k), "nearest", keep=True)
+
+
+def _nearest(own: DataFrame, every: int, k: int) -> DataFrame:
+    own = own.withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64("v", F.lit(1))})
     first = Window.partitionBy("h1", "h2").orderBy("vec_id")
     few = own.withColumn("at", F.row_number().over(first)).where(F.col("at") <= k + 1)
     nodes = few.groupBy("h1", "h2").agg(F.min_by("v", "at").alias("v"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
@@ -116,70 +201,38 @@ def nearest(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_
     asked = own.where(F.col("vec_id") % every == 0).select(F.col("vec_id").alias("query_id"), "h1", "h2").join(nodes.select("h1", "h2", "node"), ["h1", "h2"])
     asked = as_table(asked.select("query_id", "node"), "asked")
     n = nodes.count()
-    window = max(64, int(np.ceil(4 * n**0.45)))
-
-    def hashed(probes: int):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for low in range(0, whole.num_rows, 1000):
-                    batch = whole.slice(low, 1000)
-                    x = _unit(batch.column("v"))
-                    keys = hash_strings(x, probes)
-                    each = TREES * probes
-                    unit = pa.array([r.tobytes() for r in x], pa.binary()).take(pa.array(np.repeat(np.arange(len(x)), each)))
-                    tree = np.tile(np.repeat(np.arange(TREES), probes), len(x)).astype(np.int32)
-                    key = keys.ravel()
-                    node = np.repeat(batch.column("node").to_numpy(), each)
-                    yield pa.RecordBatch.from_arrays([pa.array(tree), pa.array((key >> np.uint64(48)).astype(np.int32)), pa.array(key.view(np.int64)), pa.array(node), unit], ["tree", "head", "hash", "node", "unit"])
-
-        return run
-
-    rows = "tree int, head int, hash long, node long, unit binary"
-    index = nodes.select("node", "v").mapInArrow(hashed(1), rows)
-    queries = nodes.join(asked.select("node").distinct(), "node").select("node", "v").mapInArrow(hashed(PROBES), rows)
-    large = index.groupBy("tree", "head").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("salts")).where("salts > 1")
-    index = index.join(large, ["tree", "head"], "left").withColumn("salt", F.pmod(F.xxhash64("node"), F.coalesce("salts", F.lit(1))).cast("int")).withColumn("query", F.lit(False))
-    queries = queries.join(large, ["tree", "head"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).withColumn("query", F.lit(True))
-
-    def search(table: pa.Table) -> pa.Table:
-        ask = table.column("query").to_numpy()
-        key, node = table.column("hash").to_numpy().view(np.uint64), table.column("node").to_numpy()
-        unit = table.column("unit").combine_chunks()
-        x, q = _matrix(unit.filter(pa.array(~ask))), _matrix(unit.filter(pa.array(ask)))
-        order = np.lexsort((node[~ask], key[~ask]))
-        x, keys, nodes_ = x[order], key[~ask][order], node[~ask][order]
-        salts = max(1, table.column("salts")[0].as_py() or 1)
-        reach = max(16, window // salts)
-        out: list[tuple] = []
-        for i, (qk, qn) in enumerate(zip(key[ask], node[ask].tolist(), strict=True) if len(x) else ()):
-            at = int(np.searchsorted(keys, qk))
-            low = max(0, min(at - reach // 2, len(keys) - reach))
-            pair = qk >> np.uint64(32) << np.uint64(32)
-            first, last = np.searchsorted(keys, pair), np.searchsorted(keys, pair | np.uint64(0xFFFFFFFF), "right")
-            some = slice(min(low, int(first)), max(low + reach, int(last)))
-            other = keys[some] ^ qk
-            level = sum((other < np.uint64(1) << np.uint64(64 - 16 * s)).astype(np.int8) if s else 0 for s in range(SYMBOLS)) + (other == 0)
-            near = _nearness(x[some], q[i])
-            for lv in np.unique(level):
-                mine = np.flatnonzero(level == lv)
-                best = mine[np.argsort(-near[mine], kind="stable")[:SHORT]]
-                out.append((qn, int(lv), min(len(mine), reach), nodes_[some][best].tolist(), near[best].tolist()))
-        cols = list(zip(*out, strict=True)) or [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.float32())), strict=True)], names=["qnode", "level", "n", "nodes", "near"])
-
-    found = index.unionByName(queries).groupBy("tree", "head", "salt").applyInArrow(search, "qnode long, level int, n long, nodes array<long>, near array<float>")
-    found = as_table(found, "found")
-    deeper = Window.partitionBy("qnode").orderBy(F.col("level").desc()).rangeBetween(Window.unboundedPreceding, -1)
-    enough = TREES * PROBES * window // 2
-    kept = found.withColumn("met", F.coalesce(F.sum("n").over(deeper), F.lit(0))).where(F.col("met") < enough)
-    flat = kept.select("qnode", F.explode(F.arrays_zip("nodes", "near")).alias("c")).groupBy("qnode", F.col("c.nodes").alias("node")).agg(F.max("c.near").alias("near"))
-    met = found.groupBy(F.col("qnode").alias("node")).agg(F.sum("n").alias("met"))
-    poor = as_table(asked.select("node").distinct().join(met, "node", "left").where(F.coalesce("met", F.lit(0)) < TREES * window).select("node"), "poor")
+    rows = forest(nodes, asked, n)
+
+    # How many nodes share so many bits, over all trees, for every level; beyond its leaf a tree adds nothing.
+    counts = _counts(rows).select("qnode", "floor", F.posexplode("counts").alias("i", "n")).withColumn("level", F.lit(BITS) - F.col("i"))
+    floors = as_table(counts.groupBy("qnode").agg(F.max("floor").alias("floor")), "floors")
+    levels = counts.groupBy("qnode", "level").agg(F.sum("n").alias("n")).join(floors, "qnode").where(F.col("level") >= F.col("floor"))
+    levels = as_table(levels, "levels")
+    start = levels.groupBy("qnode", "floor").agg(F.max(F.when(F.col("n") >= FIRST, F.struct("level", "n"))).alias("enough"), F.min(F.struct("level", "n")).alias("all"))
+    start = start.select("qnode", F.coalesce("enough", "all").alias("s")).select("qnode", F.col("s.level").alias("level"), F.col("s.n").alias("n"))
+    start = as_table(start.withColumn("below", F.lit(BITS + 1)), "start")
+    found = as_table(_scored(_reached(rows, start.where(F.col("n") <= AFFORDED).select("qnode", "level", "below")), nodes), "found")
+
+    # Two vectors at angle a share a bit with probability 1 - a / pi, and x bits in one of the trees but for a chance of (1 - p**x)**TREES.
+    kth = found.withColumn("at", F.row_number().over(Window.partitionBy("qnode").orderBy(F.col("score").desc()))).where(F.col("at") == k + 1)
+    same = 1 - F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("score")))) / math.pi
+    must = math.log(1 - MISSED ** (1 / TREES))
+    need = F.when(same >= 1 - 1e-9, BITS).otherwise(F.floor(F.lit(must) / F.ln(F.greatest(same, F.lit(1e-9)))))
+    state = start.join(kth.select("qnode", need.cast("int").alias("need")), "qnode", "left")
+    second = state.where(F.col("need") < F.col("level")).join(levels.select("qnode", F.col("level").alias("need"), F.col("n").alias("then")), ["qnode", "need"])
+    second = as_table(second.where(F.col("then") - F.col("n") <= AFFORDED).select("qnode", F.col("need").alias("level"), F.col("level").alias("below")), "second")
+    done = state.where(F.col("need") >= F.col("level")).select("qnode").unionByName(second.select("qnode"))
+    added = as_table(_scored(_reached(rows, second).join(found.select("qnode", "node"), ["qnode", "node"], "left_anti"), nodes), "added")
+
+    everyone = asked.select("node").distinct()
+    poor = as_table(everyone.join(done.withColumnRenamed("qnode", "node"), "node", "left_anti"), "poor")
+    near = found.join(poor.select(F.col("node").alias("qnode")), "qnode", "left_anti").unionByName(added)
+    cost = near.groupBy("qnode").agg(F.count("*").alias("scored"))
     if many := poor.count():
-        flat = flat.join(poor.select(F.col("node").alias("qnode")), "qnode", "left_anti").unionByName(_at_root(nodes, poor, n, many, k + 1 + SHORT))
-    short = flat.withColumn("at", F.row_number().over(Window.partitionBy("qnode").orderBy(F.col("near").desc(), "node"))).where(F.col("at") <= k + 1 + SHORT)
-    other = nodes.select(F.col("node").alias("qnode"), F.col("v").alias("qv"))
-    exact = short.select("qnode", "node").join(nodes.select("node", "v", "ids"), "node").join(other, "qnode").select("qnode", "ids", cosine(F.col("v"), F.col("qv")).alias("score"))
-    answers = asked.select("query_id", F.col("node").alias("qnode")).join(exact, "qnode").select("query_id", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
+        root = _scored(_at_root(nodes, poor, n, many, k + 1 + SHORT), nodes)
+        near, cost = near.unionByName(root), cost.unionByName(poor.select(F.col("node").alias("qnode"), F.lit(n).cast("long").alias("scored")))
+    short = _best(near, k + 1).join(nodes.select("node", "ids"), "node")
+    answers = asked.select("query_id", F.col("node").alias("qnode")).join(short, "qnode").select("query_id", "qnode", F.explode("ids").alias("vec_id"), "score").where("vec_id <> query_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return answers.select("query_id", rank.cast("int").alias("rank"), "vec_id", "score").where(F.col("rank") <= k)
+    ranked = answers.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k)
+    return ranked.join(cost, "qnode").select("query_id", "rank", "vec_id", "score", "scored")
