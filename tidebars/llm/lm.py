@@ -6,24 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCKS, array_blocks, as_table, crc32_of, mix64, summed, task_number, text_slices, word_hashes
+from .common import BLOCKS, array_blocks, as_table, mix64, scratch_tables, summed, task_number, text_slices, word_hashes
 
-CLASSES, ITEMS = 32, 32  # a word's hash gives its class and its slot in the class
-SLOTS = CLASSES * ITEMS
-CLASS_ROWS, ITEM_ROWS = 1 << 13, 1 << 14  # hashed features
-END = np.uint64(0x2545F4914F6CDD1D)
+CLASSES, ITEMS, OWN_ITEMS = 32, 32, 24  # in each class so many items are a word of their own; the rest of the words share the others
+HEAD, SLOTS = CLASSES * OWN_ITEMS, CLASSES * ITEMS
+END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 BLOCK_BYTES = 16 << 20  # text in a block
 BATCH, RATE = 8192, 0.1
 
-TOKENS = "block long, doc_ids array<long>, held array<boolean>, offsets binary, low binary, mid binary, high binary, vocab binary, counts binary"
+TOKENS = "block long, doc_ids array<long>, held array<boolean>, offsets binary, low binary, mid binary, high binary, top binary, vocab binary, counts binary"
+PLANES = ("low", "mid", "high", "top")
 
 
 def token_blocks(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text, held) as rows of TOKENS: for some MB of text the distinct words' hashes, the words' counts in
-    texts that aren't held out, and each text's words and one end as numbers in that list (three planes of bytes)."""
+    texts that aren't held out, and each text's words and one end as numbers in that list (four planes of bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, done = task_number() << 32, 0
@@ -39,7 +39,7 @@ def token_blocks(docs: DataFrame) -> DataFrame:
             learn = np.repeat(~np.array(held, bool), n)
             counts = np.bincount(tokens[learn], minlength=len(vocab)).astype(np.int64)
             planes = tokens.astype("<u4").view(np.uint8).reshape(-1, 4)
-            raw = [np.cumsum([0, *n]).astype(np.int64), planes[:, 0], planes[:, 1], planes[:, 2], vocab[order], counts]
+            raw = [np.cumsum([0, *n]).astype(np.int64), *(planes[:, k] for k in range(4)), vocab[order], counts]
             return pa.RecordBatch.from_arrays([pa.array([base + done], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([held], pa.list_(pa.bool_())), *(pa.array([x.tobytes()], pa.binary()) for x in raw)], [f.split()[0] for f in TOKENS.split(", ")])
 
         for batch, blobs in text_slices(batches, "text"):
@@ -60,43 +60,57 @@ def token_blocks(docs: DataFrame) -> DataFrame:
 
 
 def _tokens(block: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    planes = [np.frombuffer(block[k], np.uint8).astype(np.int64) for k in ("low", "mid", "high")]
-    return planes[0] | planes[1] << 8 | planes[2] << 16, np.frombuffer(block["offsets"], np.int64), np.frombuffer(block["vocab"], np.uint64)
+    planes = [np.frombuffer(block[k], np.uint8) for k in PLANES]
+    return np.stack(planes, 1).reshape(-1).view("<u4").astype(np.int64), np.frombuffer(block["offsets"], np.int64), np.frombuffer(block["vocab"], np.uint64)
 
 
-def slot_of(words: np.ndarray) -> np.ndarray:
-    return ((words >> np.uint64(20)) % np.uint64(SLOTS)).astype(np.int64)
+def slots_of(words: np.ndarray, head: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Each word's slot, class * ITEMS + item. head: the sorted hashes of the words that have slots of their own, places: these."""
+    slots = ((words >> np.uint64(20)) % np.uint64(CLASSES) * np.uint64(ITEMS) + np.uint64(OWN_ITEMS) + (words >> np.uint64(40)) % np.uint64(ITEMS - OWN_ITEMS)).astype(np.int64)
+    if len(head):
+        at = np.minimum(np.searchsorted(head, words), len(head) - 1)
+        mine = head[at] == words
+        slots[mine] = places[at[mine]]
+    return slots
 
 
-def contexts(slots: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the class table (word before, pair before, word before last) and of the item table (class and word before)
-    for each token. Before a text's first word stands a mark of its own."""
+def own_slots(words: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """head and places for slots_of, of words from frequent to rare: dealt over the classes in turn."""
+    head, rank = np.array(words, np.int64).view(np.uint64), np.arange(len(words))
+    order = np.argsort(head)
+    return head[order], (rank % CLASSES * ITEMS + rank // CLASSES)[order]
 
-    def before(k: int) -> np.ndarray:
-        out = np.full(len(slots), SLOTS, np.int64)
-        out[k:] = slots[:-k] if k < len(slots) else slots[:0]
-        for j in range(k):
-            at = offsets[:-1] + j
-            out[at[at < offsets[1:]]] = SLOTS
-        return out
 
-    one, two = before(1), before(2)
-    hashed = lambda *parts: mix64(sum((p.astype(np.uint64) * np.uint64(2 * i + 1 << 24 | 1) for i, p in enumerate(parts)), np.full(len(slots), len(parts) + 1, np.uint64)))
-    rows = np.stack([hashed(one), hashed(one, two), hashed(two, two, two)]) % np.uint64(CLASS_ROWS)
-    return rows.astype(np.int64), (hashed(slots // ITEMS, one, one, one) % np.uint64(ITEM_ROWS)).astype(np.int64)
+def before(words: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each token and the one before that; before a text's first word stands a mark of its own."""
+    out = []
+    for last in (words, None):
+        last = out[0] if last is None else last
+        now = np.empty_like(words)
+        now[1:] = last[:-1]
+        now[offsets[:-1]] = START
+        out.append(now)
+    return out[0], out[1]
+
+
+def features(one: np.ndarray, two: np.ndarray, classes: np.ndarray, rows: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Hashed rows of the class table (word before; both words before; the word before last, a skip) and of the item table (the class
+    with the word before; with the word before last)."""
+    row = lambda x, seed: (mix64(x + np.uint64(seed)) & np.uint64(rows - 1)).astype(np.int64)
+    with_class = classes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    return [row(one, 1), row(one * np.uint64(3) + two * np.uint64(0x94D049BB133111EB), 2), row(two, 3)], [row(one ^ with_class, 4), row(two ^ with_class, 5)]
 
 
 class MaxEnt:
-    """log P(class) + log P(slot | class), each a softmax of a bias and the features' rows."""
+    """log P(class) + log P(slot | class), each a softmax of a bias and the features' rows. flat: both tables' weights."""
 
-    def __init__(self, slot_counts: np.ndarray, weights: np.ndarray | None = None):
+    def __init__(self, slot_counts: np.ndarray, rows: int, flat: np.ndarray | None = None):
         n = slot_counts.reshape(CLASSES, ITEMS) + 1.0
+        self.rows = rows
         self.class_bias = np.log(n.sum(1) / n.sum()).astype(np.float32)
         self.item_bias = np.log(n / n.sum(1, keepdims=True)).astype(np.float32)
-        flat = np.zeros(CLASS_ROWS * CLASSES + ITEM_ROWS * ITEMS, np.float32) if weights is None else weights
-        self.flat = flat
-        self.class_table = flat[: CLASS_ROWS * CLASSES].reshape(CLASS_ROWS, CLASSES)
-        self.item_table = flat[CLASS_ROWS * CLASSES :].reshape(ITEM_ROWS, ITEMS)
+        self.flat = np.zeros(rows * (CLASSES + ITEMS), np.float32) if flat is None else flat
+        self.class_table, self.item_table = self.flat[: rows * CLASSES].reshape(rows, CLASSES), self.flat[rows * CLASSES :].reshape(rows, ITEMS)
 
     @staticmethod
     def _log_softmax(z: np.ndarray) -> np.ndarray:
@@ -104,65 +118,104 @@ class MaxEnt:
         z -= np.log(np.exp(z).sum(1, keepdims=True))
         return z
 
-    def _both(self, slots: np.ndarray, rows: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _both(self, slots: np.ndarray, one: np.ndarray, two: np.ndarray):
+        classes = slots // ITEMS
+        rows, items = features(one, two, classes, self.rows)
         z = self.class_table[rows[0]]
         z += self.class_table[rows[1]]
         z += self.class_table[rows[2]]
         z += self.class_bias
-        y = self.item_table[item]
-        y += self.item_bias[slots // ITEMS]
-        return self._log_softmax(z), self._log_softmax(y)
+        y = self.item_table[items[0]]
+        y += self.item_table[items[1]]
+        y += self.item_bias[classes]
+        return classes, rows, items, self._log_softmax(z), self._log_softmax(y)
 
-    def log_probs(self, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        rows, item = contexts(slots, offsets)
+    def log_probs(self, words: np.ndarray, slots: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        one, two = before(words, offsets)
         out = np.empty(len(slots))
         for low in range(0, len(slots), BATCH):
             at = slice(low, low + BATCH)
             s = slots[at]
-            z, y = self._both(s, rows[:, at], item[at])
+            classes, _, _, z, y = self._both(s, one[at], two[at])
             k = np.arange(len(s))
-            out[at] = z[k, s // ITEMS].astype(np.float64) + y[k, s % ITEMS]
+            out[at] = z[k, classes].astype(np.float64) + y[k, s % ITEMS]
         return out
 
-    def learn(self, slots: np.ndarray, offsets: np.ndarray, state: np.ndarray) -> None:
-        """One pass of minibatch gradient steps, each scaled by the rows' past gradients (state)."""
-        rows, item = contexts(slots, offsets)
-        class_state, item_state = state[:CLASS_ROWS], state[CLASS_ROWS:]
+    def learn(self, words: np.ndarray, slots: np.ndarray, offsets: np.ndarray, state: np.ndarray, hits: np.ndarray) -> None:
+        """One pass of minibatch gradient steps, each scaled by the rows' past gradients (state). hits: how often a row was stepped."""
+        one, two = before(words, offsets)
+        n = self.rows
         for low in range(0, len(slots), BATCH):
             at = slice(low, low + BATCH)
             s = slots[at]
-            z, y = self._both(s, rows[:, at], item[at])
+            classes, rows, items, z, y = self._both(s, one[at], two[at])
             k = np.arange(len(s))
             g, d = np.exp(z), np.exp(y)
-            g[k, s // ITEMS] -= 1
+            g[k, classes] -= 1
             d[k, s % ITEMS] -= 1
-            for row in rows[:, at]:
-                _step(self.class_table, class_state, row, g)
-            _step(self.item_table, item_state, item[at], d)
+            for row in rows:
+                _step(self.class_table, state[:n], hits[:n], row, g)
+            for row in items:
+                _step(self.item_table, state[n:], hits[n:], row, d)
 
 
-def _step(table: np.ndarray, state: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
-    order = np.argsort(rows.astype(np.uint16), kind="stable")
+def _step(table: np.ndarray, state: np.ndarray, hits: np.ndarray, rows: np.ndarray, gradient: np.ndarray) -> None:
+    order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")
     ordered = rows[order]
     firsts = np.flatnonzero(np.diff(ordered, prepend=-1))
     total, own = np.add.reduceat(gradient[order], firsts, axis=0), ordered[firsts]
     state[own] += np.einsum("ij,ij->i", total, total) / total.shape[1]
+    hits[own] += np.diff(np.append(firsts, len(ordered)))
     table[own] -= RATE * total / np.sqrt(state[own] + 1e-3)[:, None]
 
 
-def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) = 2", rounds: int = 2) -> DataFrame:
+def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) = 2", rounds: int = 2, density: int = 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row, learnt from the rows that
     aren't held out.
 
     Tokens: lower-case words and one end a text (null or empty: the end alone). Words are counted exactly, by 64-bit hash,
-    over all training text; base_score adds up log10((c + 1) / (N + V + 1)). score is log10 of the model's probability: class
-    and slot by maximum entropy, then the word in its slot by its count, (c + 1) / (N_slot + V_slot + 1). In each round tasks
-    take gradient steps from the same weights over their share of the blocks; the mean of their changes is the round's
-    update. The vocabulary is shuffled, never collected; what comes to the driver is the weights, of fixed size, and a
-    count for each slot. Repeated and null ids keep their rows."""
+    over all training text; base_score adds up log10((c + 1) / (N + V + 1)).
+
+    score is log10 of the model's probability: the class by maximum entropy over the words before, then the item in the class
+    likewise. The HEAD most frequent words are items of their own; the others share slots by hash, and have their slot's
+    probability times (c + 1) / (N_slot + V_slot + 1). Features are hashed from whole words. Both tables have density * sqrt(V)
+    rows, up to a power of 2, so the model grows with the vocabulary, without a bound.
+
+    In each round tasks take gradient steps from the same weights over their share of the blocks, each block in one round; a
+    row's update is the mean of the tasks' changes, weighted by how often each had the row. Which texts a task has hangs on how the
+    table is partitioned, so scores of the model (not base_score) may differ by a little between layouts.
+
+    The vocabulary is shuffled, never collected: it is summed within tasks first, so that a frequent word has one row a task. What
+    comes to the driver is the weights, HEAD words, and a count for each slot. Repeated and null ids keep their rows, other
+    columns are ignored, texts may be of any length, and an empty table gives an empty one."""
+    with scratch_tables(docs.sparkSession):
+        return as_table(_scores(docs, held_out, rounds, density), "scores", keep=True)
+
+
+def _learner(now, rows: int):
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = None
+        for batch in batches:
+            for block in batch.to_pylist():
+                n_slot, head, places, weights = now.value
+                if model is None:
+                    model, state, hits = MaxEnt(n_slot, rows, weights.copy()), np.zeros(2 * rows, np.float32), np.zeros(2 * rows, np.float32)
+                tokens, offsets, vocab = _tokens(block)
+                keep, n_each = ~np.array(block["held"], bool), np.diff(offsets)
+                if keep.any():
+                    tokens = tokens[np.repeat(keep, n_each)]
+                    model.learn(vocab[tokens], slots_of(vocab, head, places)[tokens], np.cumsum([0, *n_each[keep]]), state, hits)
+        if model is not None:
+            change = (model.flat - now.value[3]).reshape(2, rows, CLASSES) * hits.reshape(2, rows, 1)
+            yield from array_blocks(np.append(change.ravel(), hits))
+
+    return learn
+
+
+def _scores(docs: DataFrame, held_out: str, rounds: int, density: int) -> DataFrame:
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(held_out).alias("held"))
-    blocks = as_table(token_blocks(rows), "tokens")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr(held_out).alias("held"))
+    blocks = as_table(token_blocks(texts), "tokens")
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,61 +224,56 @@ def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(d
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vocab), block)), pa.array(np.arange(len(vocab), dtype=np.int32)), pa.array(vocab), pa.array(counts)], ["block", "at", "word", "n"])
 
     listed = blocks.select("block", "vocab", "counts").mapInArrow(words, "block long, at int, word long, n long")
-    each = Window.partitionBy("word")  # a word has a row for each block at most
-    known = as_table(listed.select("block", "at", "word", F.sum("n").over(each).alias("c"), (F.row_number().over(each.orderBy("block")) == 1).alias("once")).select("block", "at", F.when(F.col("once"), F.pmod(F.shiftrightunsigned("word", 20), F.lit(SLOTS))).alias("slot"), "c"), "counts")
-    counted = known.where("slot is not null and c > 0").groupBy("slot").agg(F.sum("c").alias("n"), F.count("*").alias("v")).collect()
+    counted = as_table(listed.where("n > 0").groupBy("word").agg(F.sum("n").alias("c")), "counted")
+    head, places = own_slots([r["word"] for r in counted.orderBy(F.col("c").desc(), "word").limit(HEAD).collect()])
     n_slot, v_slot = np.zeros(SLOTS), np.zeros(SLOTS)
-    for r in counted:
+
+    def slotted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((2, SLOTS))
+        for batch in batches:
+            at = slots_of(batch.column("word").to_numpy().view(np.uint64), head, places)
+            sums += np.bincount(at, batch.column("c").to_numpy(), SLOTS), np.bincount(at, minlength=SLOTS)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOTS)), pa.array(sums[0].astype(np.int64)), pa.array(sums[1].astype(np.int64))], ["slot", "n", "v"])
+
+    for r in counted.mapInArrow(slotted, "slot long, n long, v long").groupBy("slot").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect():
         n_slot[r["slot"]], v_slot[r["slot"]] = r["n"], r["v"]
     n_all, v_all = int(n_slot.sum()), int(v_slot.sum())
+    rows = 1 << max(8, int(np.ceil(np.log2(density * np.sqrt(max(1, v_all))))))
 
-    weights = MaxEnt(n_slot).flat
-    n = len(weights)
+    weights = MaxEnt(n_slot, rows).flat
     for turn in range(rounds):
-        now = spark.sparkContext.broadcast((n_slot, weights))
-
-        def learn(batches: Iterator[pa.RecordBatch], now=now) -> Iterator[pa.RecordBatch]:
-            model = state = None
-            for batch in batches:
-                for block in batch.to_pylist():
-                    if model is None:
-                        model, state = MaxEnt(now.value[0], now.value[1].copy()), np.zeros(CLASS_ROWS + ITEM_ROWS, np.float32)
-                    tokens, offsets, vocab = _tokens(block)
-                    keep = ~np.array(block["held"], bool)
-                    n_each = np.diff(offsets)
-                    if keep.any():
-                        model.learn(slot_of(vocab)[tokens[np.repeat(keep, n_each)]], np.cumsum([0, *n_each[keep]]), state)
-            if model is not None:
-                yield from array_blocks(np.append(model.flat - now.value[1], 1.0))
-
+        now = spark.sparkContext.broadcast((n_slot, head, places, weights))
         mine = blocks.where(F.pmod(F.hash("block"), F.lit(rounds)) == turn)
-        change = summed(mine.select("block", "held", "offsets", "low", "mid", "high", "vocab").mapInArrow(learn, BLOCKS), n + 1)
-        if change[n]:
-            weights = weights + change[:n] / change[n]
-    final = spark.sparkContext.broadcast((n_slot, v_slot, weights))
-    counts = known.select("block", "at", "c")
+        total = summed(mine.select("block", "held", "offsets", *PLANES, "vocab").mapInArrow(_learner(now, rows), BLOCKS), len(weights) + 2 * rows)
+        hits = total[len(weights) :].reshape(2, rows, 1)
+        weights = weights + (total[: len(weights)].reshape(2, rows, CLASSES) / np.maximum(hits, 1)).ravel()
+        now.destroy()
+    final = spark.sparkContext.broadcast((n_slot, v_slot, head, places, weights))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        n_s, v_s, w = final.value
-        model = MaxEnt(n_s, w)
+        n_s, v_s, own, at, w = final.value
+        model = MaxEnt(n_s, rows, w)
         block = left.to_pylist()[0]
         tokens, offsets, vocab = _tokens(block)
         c = np.zeros(len(vocab))
         c[right.column("at").to_numpy()] = right.column("c").to_numpy()
-        s = slot_of(vocab)
-        within = np.log10((c + 1) / (n_s[s] + v_s[s] + 1))
+        s = slots_of(vocab, own, at)
+        within = np.where(s % ITEMS < OWN_ITEMS, 0.0, np.log10((c + 1) / (n_s[s] + v_s[s] + 1)))
         base = np.log10((c + 1) / (n_all + v_all + 1))
-        full = model.log_probs(s[tokens], offsets) / np.log(10) + within[tokens]
+        full = model.log_probs(vocab[tokens], s[tokens], offsets) / np.log(10) + within[tokens]
         firsts = offsets[:-1]
         sums = [np.add.reduceat(x, firsts) for x in ((c > 0)[tokens].astype(np.int64), base[tokens], full)]
         return pa.table([pa.array(block["doc_ids"], pa.int64()), pa.array(block["held"], pa.bool_()), pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(np.full(len(firsts), n_all)), pa.array(sums[1]), pa.array(sums[2])], names=[f.split()[0] for f in out.split(", ")])
 
-    return blocks.drop("counts").groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, out)
+    known = listed.select("block", "at", "word").join(counted, "word").select("block", "at", "c")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // 4))  # a few blocks a task, however many there are
+    sides = blocks.drop("counts").repartition(parts, "block"), known.repartition(parts, "block")
+    return sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(score, out)
 
 
 def held_out_rows(remainder: int, modulus: int) -> str:
     return f"pmod(crc32(coalesce(cast(doc_id as string), '')), {modulus}) = {remainder}"
 
 
-__all__ = ["crc32_of", "held_out_rows", "language_scores", "token_blocks"]
+__all__ = ["held_out_rows", "language_scores", "token_blocks"]
