@@ -165,16 +165,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, roun
     Rows are dealt into shards of about shard_rows; each runs best-fit decreasing and compares its bins with its bound.
     Shards at their bound are certified. The others exchange what lies in their unfilled bins: those rows are dealt
     anew over all such shards and packed again, which is kept if it saves bins, for some rounds.
-    Adds sequence_id, offset, and certified (the shard's bins equal its bound). An empty table gives an empty table."""
-    rows = as_table(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
-    n, spark = rows.count(), rows.sparkSession
-    own = [c for c in pieces.columns]
+    Adds sequence_id, offset, and certified (the shard's bins equal its bound); columns of these names are replaced, all others stay,
+    whatever their names. Repeated rows are packed each. An empty table gives an empty table."""
+    own, size = pieces.columns, f"c{pieces.columns.index('length')}"
+    rows = as_table(pieces.toDF(*(f"c{i}" for i in range(len(own)))).withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    n = rows.count()
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     out_type = f"{types}, _shard long, _bin long, offset long, _free long, _gap boolean"
 
     def one(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("_row", ignore_index=True)
-        lengths = frame["length"].to_numpy(np.int64)
+        lengths = frame[size].to_numpy(np.int64)
         bins, offsets, free = best_fit_decreasing(lengths, capacity)
         return frame.assign(_bin=bins, offset=offsets, _free=free[bins], _gap=len(free) > bin_bound(lengths, capacity))
 
@@ -197,7 +198,8 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, roun
         packed, first = again, first + shards
     for other in done:
         packed = packed.unionByName(other)
-    return packed.select(*own, (F.col("_shard") * F.lit(1 << 32) + F.col("_bin")).alias("sequence_id"), "offset", (~F.col("_gap")).alias("certified"))
+    kept = [F.col(f"c{i}").alias(c) for i, c in enumerate(own) if c.lower() not in ("sequence_id", "offset", "certified")]
+    return packed.select(*kept, (F.col("_shard") * F.lit(1 << 32) + F.col("_bin")).alias("sequence_id"), "offset", (~F.col("_gap")).alias("certified"))
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
