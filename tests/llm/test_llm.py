@@ -4,6 +4,7 @@ import base64
 import functools
 import hashlib
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -74,6 +75,10 @@ def test_packing(docs, nothing):
         assert at <= 256
     assert len(bins) <= packing.bin_bound(np.array([r["length"] for r in rows]), 256) + 2
     assert packing.pack(packing.token_pieces(nothing, path)).count() == 0
+    clash = packing.token_pieces(docs, path, 256).withColumns({c: F.lit("x") for c in ("_row", "_bin", "_gap", "_free", "_shard", "c0", "offset")})
+    twice = packing.pack(clash.unionByName(clash), 256)
+    assert twice.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "_row", "_bin", "_gap", "_free", "_shard", "c0", "sequence_id", "offset", "certified"]
+    assert twice.count() == 2 * len(want) and twice.where("_row = 'x' and c0 = 'x'").count() == 2 * len(want)
 
 
 def test_packing_ids_of_odd_text():
@@ -205,8 +210,9 @@ def test_near_duplicates_recall_at_the_threshold(spark, num):
 
 
 def test_a_crowd_just_under_the_threshold(spark, monkeypatch):
-    """Texts that share most of a passage meet by rare entries, in tiles, and only true links count."""
+    """Texts that share most of a passage are compared in tiles, and only true links count."""
     monkeypatch.setattr(near_dup, "CROWD", 20)
+    monkeypatch.setattr(near_dup, "STRIP", 15)
     rng = np.random.default_rng(3)
     passage = [f"p{i}" for i in range(170)]
     some = [" ".join(passage + [f"u{k}_{i}" for i in range(30)]) for k in range(60)]
@@ -237,6 +243,22 @@ def test_language_scores(docs, nothing):
     assert lm.language_scores(nothing).count() == 0
 
 
+def test_language_model_learns_which_word_follows(spark):
+    """Words of one class and slot are told apart by the word before and the word before last."""
+    rng, vocab = np.random.default_rng(2), [f"v{i}" for i in range(300)]
+    follow = rng.permutation(300)
+
+    def text(n):
+        at = [int(rng.integers(300))]
+        while len(at) < n:
+            at.append(int(follow[at[-1]]) if rng.random() < 0.9 else int(rng.integers(300)))
+        return " ".join(vocab[i] for i in at)
+
+    rows = [(i, text(300), "en", "s", 0) for i in range(400)]
+    got = lm.language_scores(spark.createDataFrame(rows, SCHEMA).repartition(4), rounds=1).where("held_out").agg(*(F.sum(c) for c in ("score", "base_score", "n_tokens"))).first()
+    assert got[0] / got[2] > got[1] / got[2] + 1.0  # ten times likelier a token than by counts
+
+
 def test_byte_bpe(docs, nothing):
     import tiktoken
 
@@ -274,45 +296,157 @@ def test_nearest(spark):
 
 
 def _recall(spark, x, asked, every):
-    """Share of the asked ids' five nearest, by brute force, that the search finds, and how many rows each query has."""
-    found = {q: set() for q in asked}
+    """Share of the asked ids' five nearest, by brute force, that the search finds, how many rows each query has, and the share of
+    all vectors that were scored for it."""
+    found, scored = {q: set() for q in asked}, {}
     for r in ann.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), every).collect():
         if r["query_id"] in found:
             found[r["query_id"]].add(r["vec_id"])
+            scored[r["query_id"]] = r["scored"]
     u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
     hits = 0
     for q, got in found.items():
         s = u @ u[q]
         s[q] = -9
         hits += len(got & set(np.argsort(-s)[:5].tolist()))
-    return hits / 5 / len(found), [len(found[q]) for q in asked]
+    return hits / 5 / len(found), [len(found[q]) for q in asked], np.mean(list(scored.values())) / len(x)
+
 
+@pytest.mark.parametrize("n", [6000, 20000])
+def test_nearest_where_prefixes_decide(spark, n, monkeypatch):
+    """Groups of 20 near vectors: a query scores a small part of all, of leaves far larger than that, and finds its neighbours."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 2048)
+    rng = np.random.default_rng(n)
+    centres = rng.standard_normal((n // 20, 64))
+    x = (np.repeat(centres, 20, axis=0) + 0.3 * rng.standard_normal((n, 64))).astype(np.float32)[rng.permutation(n)]
+    recall, rows, share = _recall(spark, x, range(0, n, 50), 50)
+    assert recall >= 0.95 and set(rows) == {5} and share < 0.08
 
-def test_nearest_in_a_dense_cluster(spark):
-    """A third of the rows ties on its hash strings, ten times as many as the window takes."""
+
+def test_nearest_in_a_dense_cluster(spark, monkeypatch):
+    """A third of the rows lies in one cluster, many times as large as a leaf."""
+    monkeypatch.setattr(ann, "LEAF_ROWS", 256)
     rng = np.random.default_rng(4)
     x = rng.standard_normal((6000, 16)).astype(np.float32)
     x[:2000] = x[0] / np.linalg.norm(x[0]) * 4 + 0.05 * x[:2000]
     assert _recall(spark, x, range(0, 2000, 50), 50)[0] > 0.95
 
 
+def test_nearest_without_near_neighbours_is_exact(spark):
+    x = np.random.default_rng(8).standard_normal((3000, 64)).astype(np.float32)
+    assert _recall(spark, x, range(0, 3000, 50), 50)[0] >= 0.97
+
+
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 10])
 def test_nearest_of_few_vectors(spark, n):
     x = np.random.default_rng(n).standard_normal((n, 64)).astype(np.float32)
-    recall, rows = _recall(spark, x, range(n), 1)
+    recall, rows, _ = _recall(spark, x, range(n), 1)
     assert rows == [min(5, n - 1)] * n and (n < 6 or recall == 1)
 
 
-def test_classifiers(spark, sf_dir):
+def test_nearest_of_mixed_lengths(spark):
+    """Vectors of another length than most take no part; other columns may have any names; repeated ids are rows of their own."""
+    x = np.random.default_rng(1).standard_normal((30, 8))
+    rows = [(i % 20, r.tolist()) for i, r in enumerate(x)] + [(0, [1.0] * 9), (50, [1.0] * 9)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({c: F.lit(1) for c in ("v", "node", "hash", "score", "tree", "query")})
+    got = ann.nearest(frame, 10).collect()
+    assert {r["query_id"] for r in got} == {0, 10} and all(r["vec_id"] != r["query_id"] for r in got) and len(got) == 2 * 2 * 5 // 2
+
+
+def test_classifiers_on_strange_rows(spark, sf_dir):
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    strange = spark.createDataFrame([(None, None, "en", "s", 0), (10**9, "", "en", "s", 0)], SCHEMA)
-    for scores in (neural.quality_scores(docs.unionByName(strange), labels), neural.toxicity_scores(docs.unionByName(strange), labels)):
-        rows = scores.collect()
-        assert len(rows) == docs.count() + 2 and all(0 <= r["score"] <= 1 for r in rows)
-    quality = neural.quality_scores(docs, labels).join(labels, "doc_id").collect()
-    assert np.mean([(r["score"] >= 0.5) == (r["quality"] == 1) for r in quality]) > 0.9
+    strange = spark.createDataFrame([(None, None, "en", "s", 0), (10**9, "", "en", "s", 0), (10**9, "word " * 60_000, "en", "s", 0), (None, None, "en", "s", 0)], SCHEMA)
+    rows = docs.unionByName(strange).withColumns({"y": F.lit("a"), "x": F.lit(1), "n": F.lit(2)})
+    repeated = labels.unionByName(labels.limit(5)).unionByName(labels.limit(1).withColumns({"doc_id": F.lit(None).cast("long")}))
+    for scores in (neural.quality_scores(rows, repeated), neural.toxicity_scores(rows, repeated)):
+        found = scores.collect()
+        assert len(found) == docs.count() + 4 and all(0 <= r["score"] <= 1 for r in found)
     assert neural.quality_scores(docs, labels.limit(0)).first()["score"] == 0.5
-    assert neural.toxicity_scores(docs.limit(0), labels).count() == 0
+    assert neural.toxicity_scores(docs.limit(0), labels).count() == 0 and neural.quality_scores(docs.limit(0), labels).count() == 0
+    whole = neural.quality_scores(rows, labels, whole=True, out="_score")
+    assert whole.columns == [*rows.columns, "_score"]
+    hot = docs.withColumn("doc_id", F.lit(labels.where("toxic = 1").first()["doc_id"]))
+    assert neural.labelled_sample(hot, labels, "toxic", 100).count() == 1
+
+
+@pytest.mark.parametrize("name, label, modulus, remainder, least", [("op3_quality_classifier", "quality", 3, 1, (0.97, 0.95)), ("op9_toxicity", "toxic", 4, 2, (0.8, 0.85))])
+def test_held_out_accuracy(spark, name, label, modulus, remainder, least):
+    """Precision and recall on rows whose labels were never learnt from."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no larger tables")
+    got = queries.QUERIES[name](spark, folder)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = got.join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").collect()
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % modulus == remainder) for r in rows)
+    held = [r for r in rows if r["held_out"]]
+    both = sum(r["predicted"] == 1 == r[label] for r in held)
+    assert both / sum(r["predicted"] for r in held) > least[0] and both / sum(r[label] for r in held) > least[1]
+
+
+COLUMNS = {
+    "op1_best_fit_packing": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op2_media_columns": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+    "op3_quality_classifier": ["doc_id", "held_out", "score", "predicted"],
+    "op4_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op5_near_duplicates": ["doc_id", "n_shingles", "component_id", "kept"],
+    "op6_language_scores": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+    "op7_byte_bpe": ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+    "op8_nearest_vectors": ["query_id", "rank", "vec_id", "score"],
+    "op9_toxicity": ["doc_id", "held_out", "score", "predicted"],
+    "op10_warc_archives": ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"],
+}
+
+
+@pytest.mark.parametrize("name", COLUMNS)
+def test_queries_keep_their_contract(spark, sf_dir, name):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert got.columns[: len(COLUMNS[name])] == COLUMNS[name]
+    rows = got.collect()
+    source = "embeddings" if name.startswith("op8") else "pages" if name.startswith("op10") else "documents"
+    given = [tuple(r) for r in spark.read.parquet(f"{sf_dir}/{source}.parquet").select(*{"embeddings": ("vec_id", "embedding"), "pages": ("page_id", "html"), "documents": ("doc_id", "text")}[source]).collect()]
+    if source != "embeddings" and not name.startswith("op1_"):
+        assert len(rows) == len(given)
+    texts_ = {i: (t or "") for i, t in given} if source == "documents" else {}
+    if name.startswith("op1_"):
+        plain, places, seen = Tokenizer.from_file(public_tokenizers.path(queries.WORD_TOKENS)), {}, {}
+        for r in rows:
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+            seen.setdefault(r["doc_id"], []).append((r["piece"], r["start"], r["length"], r["ids_crc32"]))
+        for i, t in texts_.items():
+            ids = np.array(plain.encode(t, add_special_tokens=False).ids + [0], "<u4")
+            assert sorted(seen[i]) == [(k // 2048, k, len(ids[k : k + 2048]), zlib.crc32(ids[k : k + 2048].tobytes())) for k in range(0, len(ids), 2048)]
+        for some in places.values():
+            some.sort()
+            assert [o for o, _ in some] == [sum(n for _, n in some[:k]) for k in range(len(some))] and sum(n for _, n in some) <= 2048
+    if name.startswith("op2_"):
+        for r in rows:
+            data = texts_[r["doc_id"]].encode()
+            payload = data + bytes(-len(data) % 64 if data else 64)
+            stored = media.write_container(payload)
+            assert (r["payload_sha256"], r["media_bytes"], r["media_sha256"]) == (hashlib.sha256(payload).hexdigest(), len(stored), hashlib.sha256(stored).hexdigest()) and r["feature"]
+    if name.startswith("op6_"):
+        assert {r["train_tokens"] for r in rows} == {sum(len(re.findall(WORDS, t)) + 1 for i, t in texts_.items() if zlib.crc32(str(i).encode()) % 7 != 2)}
+        assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2) and r["score"] < 0 for r in rows)
+    if name.startswith("op7_"):
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path(queries.BYTE_RANKS), "rb"))}
+        plain = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for r in rows:
+            ids = plain.encode_ordinary(texts_[r["doc_id"]])
+            assert (r["n_tokens"], r["ids_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+    if name.startswith("op8_"):
+        x = np.array([v for _, v in given], np.float64)
+        u, ids = x / np.linalg.norm(x, axis=1, keepdims=True), np.array([i for i, _ in given])
+        hits = 0
+        for q in np.flatnonzero(ids % 50 == 0):
+            s = u @ u[q]
+            s[q] = -9
+            mine = [r["vec_id"] for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == ids[q]]
+            hits += len(set(mine) & set(ids[np.argsort(-s)[:5]].tolist()))
+        assert hits >= 0.9 * 5 * (ids % 50 == 0).sum()
 
 
 def test_nnpu_finds_planted_words():
@@ -328,22 +462,61 @@ def test_nnpu_finds_planted_words():
     assert np.mean(model([make(True) for _ in range(200)]) >= 0.3) > 0.9 and np.mean(model([make(False) for _ in range(200)]) >= 0.3) < 0.05
 
 
-def test_warc(spark):
-    html = [None, "", "short", "x" * 100, "x" * 100, "é" * 60, "x" * 100, "WARC/1.1\r\n\r\n\r\n\r\n" * 20, "short"]
-    urls = [f"http://www.b{i % 2}.example.com:80/P?q={i}" for i in range(8)] + [None]
-    pages = spark.createDataFrame([(9 - i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id long, url string, html string").repartition(2)
-    rows = warc.archive_pages(pages).collect()
-    got = {r["page_id"]: r for r in rows}
-    for i, h in enumerate(html):
+def test_warc(spark, monkeypatch):
+    html = [None, "", "short", "x" * 100, "x" * 100, "é" * 60, "x" * 100, "WARC/1.1\r\n\r\n\r\n\r\n" * 20, "short", "long " * 500_000]
+    urls = [f"http://www.b{i % 2}.example.com:80/P?q={i}" for i in range(8)] + [None, "http://[bad"]
+    rows = [(9 - i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))] + [(2**62, "http://a/", "y" * 200), (None, "http://a/", "y" * 200), (3, "http://a/", "x" * 100), (None, "http://a/", "z" * 200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2).withColumns({c: F.lit(1) for c in ("digest", "first", "size", "archive", "n")})
+    monkeypatch.setattr(warc, "FILE_RECORDS", 3)
+    index = warc.archive_pages(pages)
+    got = index.collect()
+    assert len(got) == len(rows)
+    want = []
+    for i, _, h in rows:
         data = (h or "").encode()
-        r = got[9 - i]
-        assert (r["payload_bytes"], r["payload_digest"]) == (len(data), hashlib.sha256(data).hexdigest())
-        assert (r["record_type"], r["refers_to"]) == (("revisit", 3) if i in (3, 4) else ("response", None))
-    keys = [(r["url_key"], r["captured"]) for r in rows]
-    assert keys == sorted(keys) and len(rows) == 9
+        first = {"x" * 100: 3, "y" * 200: 2**62}.get(h)
+        again = first is not None and i != first
+        want.append((str(i), len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", str(first) if again else "None"))
+    assert sorted((str(r["page_id"]), r["payload_bytes"], r["payload_digest"], r["record_type"], str(r["refers_to"])) for r in got) == sorted(want)
+    got.sort(key=lambda r: (r["range_no"], r["position"]))
+    keys = [(r["url_key"], r["captured"]) for r in got]
+    assert keys == sorted(keys) and len({r["archive"] for r in got}) >= 4
+    for r in got:
+        head, body = warc.fetch(r["archive"], r["offset"], r["length"])
+        assert head["warc-record-id"] == f"<urn:page:{'null' if r['page_id'] is None else r['page_id']}>" and (r["record_type"] == "revisit" or hashlib.sha256(body).hexdigest() == r["payload_digest"])
     assert warc.archive_pages(pages.limit(0)).count() == 0
+
+
+def test_captures_of_a_hot_url_are_numbered_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(warc, "RANGE_ROWS", 40)
+    rows = [(i, "http://hot.example.com/" if i % 3 else f"http://h{i}.example.com/", f"page {i}") for i in range(600)]
+    got = warc.archive_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    hot = sorted((r["captured"], r["page_id"], r["capture"]) for r in got if r["url_key"] == "com,example,hot)/")
+    assert [c for *_, c in hot] == list(range(1, 401)) and len({r["range_no"] for r in got if r["url_key"] == "com,example,hot)/"}) > 3
+    assert all(r["capture"] == 1 for r in got if r["url_key"] != "com,example,hot)/")
+
+
+def test_merge_of_sorted_runs():
     runs = [sorted((int(x),) for x in np.random.default_rng(k).integers(0, 50, k * 3)) for k in range(7)]
     assert list(warc.merge_runs(runs, key=lambda r: r)) == sorted(sum(runs, []))
+    row = lambda k: (k, "", 1, "", 0, "", "", None, "a", 0, 0)
+    assert [len(r) for r in warc.natural_runs(iter(map(row, "abcabbz")))] == [3, 4] and warc.natural_runs(iter([])) == []
+
+
+def test_broken_archives_are_refused():
+    import io
+
+    data = warc.record(1, "u", b"body", "d", None)
+    packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+    member = packed.compress(data) + packed.flush()
+    found = list(warc.read_members(io.BytesIO(member * 3), 7))
+    assert [(a, n) for a, n, _ in found] == [(i * len(member), len(member)) for i in range(3)] and all(d == data for *_, d in found)
+    for broken in (member[:-9], member + member[:20]):
+        with pytest.raises(ValueError):
+            list(warc.read_members(io.BytesIO(broken)))
+    for broken in (b"", b"HTTP/1.1\r\n\r\n", data[:-1]):
+        with pytest.raises(ValueError):
+            warc.parse_record(broken)
 
 
 def test_pipeline(spark, sf_dir):

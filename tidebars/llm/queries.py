@@ -73,7 +73,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = warc.archive_pages(_read(spark, sf_dir, "pages"))
-    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return index.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured", "capture")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_best_fit_packing, op2_media_columns, op3_quality_classifier, op4_secret_scan, op5_near_duplicates, op6_language_scores, op7_byte_bpe, op8_nearest_vectors, op9_toxicity, op10_warc_archives)}
@@ -112,7 +112,10 @@ ORACLES: dict[str, str] = {
       sides AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links), reached AS (SELECT doc_id, doc_id AS other FROM sized UNION SELECT r.doc_id, s.y FROM reached r JOIN sides s ON s.x = r.other),
       least AS (SELECT doc_id, min(other) AS component_id FROM reached GROUP BY 1)
       SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM sized JOIN least USING (doc_id)""",
-    "op10_warc_archives": """WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
-      f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first FROM p)
-      SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to FROM f""",
+    "op10_warc_archives": r"""WITH p AS (SELECT page_id, lower(trim(coalesce(url, ''))) AS u, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+      f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS first, regexp_replace(regexp_extract(u, '^[a-z]+://([^/?#:]*)', 1), '^www\.', '') AS host,
+        coalesce(nullif(regexp_extract(u, '^[a-z]+://[^/?#]*([^?#]*)', 1), ''), '/') AS path, regexp_extract(u, '^[^?#]*\?([^#]*)', 1) AS query FROM p),
+      k AS (SELECT *, array_to_string(list_reverse(string_split(host, '.')), ',') || ')' || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url_key, strftime(TIMESTAMP '2024-01-01' + to_seconds(page_id % 1000000000), '%Y-%m-%dT%H:%M:%SZ') AS captured FROM f)
+      SELECT page_id, payload_bytes, payload_digest, CASE WHEN first = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to,
+        url_key, captured, row_number() OVER (PARTITION BY url_key ORDER BY captured, page_id) AS capture FROM k""",
 }

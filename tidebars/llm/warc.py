@@ -3,92 +3,124 @@
 from __future__ import annotations
 
 import hashlib
+import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs as pafs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import as_table, scratch_path, scratch_tables, task_number
 
-_GAP = "\r\n\r\n"
+FILE_BYTES, FILE_RECORDS, RANGE_ROWS = 64 << 20, 50_000, 100_000  # an archive's size and records, and a merged range's rows, at most or about
+PERIOD = 1_000_000_000  # seconds after which capture times start again
+START = datetime(2024, 1, 1)
+ARCHIVES = "archive string, records long, bytes long"
 INDEX = (
     "url_key string, captured string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, "
     "archive string, offset long, length long"
 )
+NAMES = [f.split()[0] for f in INDEX.split(", ")]
 
 
-def write_archives(pages: DataFrame, path: str, least: int = 100, per_file: int = 4000, start: str = "2024-01-01 00:00:00") -> None:
-    """Writes a WARC/1.1 record for every page as gzipped archives below path, through Spark's own file access.
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_pydict({f.split()[0]: pa.array(c, pa.string() if f.endswith("string") else pa.int32() if f.endswith("int") else pa.int64()) for f, c in zip(schema.split(", "), columns, strict=True)})
 
-    Payload: html in UTF-8 (null: empty). Of records with equal payloads of `least` bytes or more, the one with the
-    smallest page_id is a response, the others are revisits of it without a body; a null page_id revisits if any
-    other page has its payload, and is a response else. A page's capture time is start plus page_id seconds (tables of
-    pages have no time). Only (page_id, digest) is shuffled to find the revisits."""
+
+def decided(pages: DataFrame, least: int) -> DataFrame:
+    """page_id, url, html, digest, size and first: the page that a record revisits, else null.
+
+    Of records with equal payloads of `least` bytes or more, the one with the smallest page_id is a response, the others revisit
+    it; a null page_id revisits if any other page has its payload, and is a response else. Rows that repeat the smallest page_id
+    are all responses, as a record can't revisit itself. Only (page_id, digest) is shuffled, and the list of repeated payloads is written first, so that Spark knows its size: the pages
+    move only if that list is too long to be broadcast."""
     html = F.coalesce(F.col("html"), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("size"))
-    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select("digest", "first")
-    rows = rows.join(firsts, "digest", "left").withColumn("again", F.coalesce(~F.col("first").eqNullSafe(F.col("page_id")) & F.col("first").isNotNull(), F.lit(False)))
-    day = F.date_format(F.timestamp_add("SECOND", F.coalesce("page_id", F.lit(0)), F.lit(start).cast("timestamp")), "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
-    head = F.concat(
-        F.lit("WARC/1.1\r\n"),
-        line("WARC-Type", F.when(F.col("again"), F.lit("revisit")).otherwise(F.lit("response"))),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), page, F.lit(">"))),
-        line("WARC-Date", day),
-        line("WARC-Target-URI", F.regexp_replace("url", r"[\r\n]", "")),
-        line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
-        F.when(F.col("again"), F.concat(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("first"), F.lit(">"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), line("WARC-Payload-Length", F.col("size")))).otherwise(F.lit("")),
-        line("Content-Type", F.lit("text/html")),
-        line("Content-Length", F.when(F.col("again"), F.lit(0)).otherwise(F.col("size"))),
-        F.lit("\r\n"),
-    )
-    record = F.concat(head, F.when(F.col("again"), F.lit("")).otherwise(F.col("html")))
-    rows.select(record.alias("value")).write.option("compression", "gzip").option("lineSep", _GAP).option("maxRecordsPerFile", per_file).text(path)
-
-
-def _inflated(data: bytes, step: int = 1 << 20) -> Iterator[bytes]:
-    """Every gzip member's bytes, some at a time."""
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"), F.octet_length(html).cast("long").alias("size"))
+    firsts = rows.where(F.col("size") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
+    rows = rows.join(as_table(firsts.select("digest", "first"), "firsts"), "digest", "left")
+    return rows.withColumn("first", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
+
+
+def record(page: int | None, url: str, html: bytes, digest: str, first: int | None) -> bytes:
+    """A WARC/1.1 record. Payload: html in UTF-8; a revisit has no body. A page's capture time is START plus page_id seconds (tables
+    of pages have no time), modulo PERIOD."""
+    again = first is not None
+    day = (START + timedelta(seconds=(page or 0) % PERIOD)).strftime("%Y-%m-%dT%H:%M:%SZ")
+    lines = [
+        "WARC/1.1", f"WARC-Type: {'revisit' if again else 'response'}", f"WARC-Record-ID: <urn:page:{'null' if page is None else page}>", f"WARC-Date: {day}", f"WARC-Target-URI: {url.translate(_LINES)}", f"WARC-Payload-Digest: sha256:{digest}",
+        *((f"WARC-Refers-To: <urn:page:{first}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Payload-Length: {len(html)}") if again else ()), "Content-Type: text/html", f"Content-Length: {0 if again else len(html)}",
+    ]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + (b"" if again else html) + b"\r\n\r\n"
+
+
+_LINES = {10: None, 13: None}
+
+
+def write_archives(pages: DataFrame, path: str, least: int = 100) -> DataFrame:
+    """Writes a record for every page (null html: empty) and gives the list of archives (ARCHIVES), which is written too.
+
+    Tasks write gzipped archives below path, a member for each record, so that a record can be read by its offset and length; an
+    archive ends at FILE_BYTES or FILE_RECORDS. Its name is new in every attempt and only finished attempts are listed, so tasks may be
+    lost and run again. path has to be on a file system that Arrow opens (local or shared folders, HDFS, S3, GCS)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = pafs.FileSystem.from_uri(path)
+        system.create_dir(base, recursive=True)
+        out = name = None
+        records = size = 0
+        for batch in batches:
+            for row in zip(*(batch.column(c) for c in ("page_id", "url", "html", "digest", "first")), strict=True):
+                page, url, html, digest, first = (row[0].as_py(), row[1].as_py(), row[2].as_buffer().to_pybytes() if row[2].as_buffer() else b"", row[3].as_py(), row[4].as_py())
+                if out is None:
+                    name = f"{task_number():06d}-{uuid.uuid4().hex}.warc.gz"
+                    out, records, size = system.open_output_stream(f"{base}/{name}", compression=None), 0, 0
+                packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+                member = packer.compress(record(page, url, html, digest, first)) + packer.flush()
+                out.write(member)
+                records, size = records + 1, size + len(member)
+                if size >= FILE_BYTES or records >= FILE_RECORDS:
+                    out.close()
+                    out = None
+                    yield _batch([(f"{path}/{name}", records, size)], ARCHIVES)
+        if out is not None:
+            out.close()
+            yield _batch([(f"{path}/{name}", records, size)], ARCHIVES)
+
+    return as_table(decided(pages, least).select("page_id", "url", "html", "digest", "first").mapInArrow(run, ARCHIVES), "archives", keep=True)
+
+
+def read_members(stream, step: int = 1 << 20) -> Iterator[tuple[int, int, bytes]]:
+    """Offset, length and content of each gzip member of an open file, read a piece at a time."""
+    at, data = 0, stream.read(step)
     while data:
-        d = zlib.decompressobj(31)
-        while data and not d.eof:
-            part = d.decompress(data, step)
-            if not part and not d.unconsumed_tail and not d.eof:
+        unpack, parts, length = zlib.decompressobj(31), [], 0
+        while not unpack.eof:
+            if not data:
                 raise ValueError("an archive is cut off")
-            yield part
-            data = d.unused_data if d.eof else d.unconsumed_tail
-
-
-def read_records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
-    """Offset and length (in the inflated archive), headers and payload of each record. A record's payload is what its
-    Content-Length says, so payloads may hold any bytes."""
-    parts, held, at = _inflated(data), bytearray(), 0
-
-    def need(n: int) -> bool:
-        while len(held) < n:
-            more = next(parts, None)
-            if more is None:
-                return False
-            held.extend(more)
-        return True
-
-    while need(1):
-        while (end := held.find(b"\r\n\r\n")) < 0:
-            if not need(len(held) + 1):
-                raise ValueError("a record's header is cut off")
-        lines = bytes(held[:end]).decode("utf-8", "replace").split("\r\n")
-        if not lines[0].startswith("WARC/"):
-            raise ValueError(f"no record at {at}")
-        head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        size = int(head["content-length"])
-        if not need(end + 8 + size) or held[end + 4 + size : end + 8 + size] != b"\r\n\r\n":
-            raise ValueError(f"the record at {at} is cut off")
-        yield at, end + 8 + size, head, bytes(held[end + 4 : end + 4 + size])
-        del held[: end + 8 + size]
-        at += end + 8 + size
+            parts.append(unpack.decompress(data))
+            length += len(data) - len(unpack.unused_data)
+            data = unpack.unused_data if unpack.eof else stream.read(step)
+        yield at, length, b"".join(parts)
+        at += length
+        data = data or stream.read(step)
+
+
+def parse_record(data: bytes) -> tuple[dict[str, str], bytes]:
+    """Headers (names in lower case) and payload, which is what Content-Length says, so that it may hold any bytes."""
+    end = data.find(b"\r\n\r\n")
+    lines = data[: max(end, 0)].decode("utf-8", "replace").split("\r\n")
+    if not lines[0].startswith("WARC/"):
+        raise ValueError("this is no record")
+    head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
+    size = int(head["content-length"])
+    if data[end + 4 + size :] != b"\r\n\r\n":
+        raise ValueError("a record's length is wrong")
+    return head, data[end + 4 : end + 4 + size]
 
 
 def url_key(url: str) -> str:
@@ -103,9 +135,8 @@ def url_key(url: str) -> str:
 
 
 def read_index(archives: DataFrame) -> DataFrame:
-    """The capture index of archives (path, content as Spark's binaryFile reader gives them): a row for each record, each
-    archive's rows sorted by url_key, captured and page_id: a run. Payload length and digest are computed from a response's
-    bytes; a revisit has no bytes and tells those of its response."""
+    """The capture index (INDEX) of archives: a row for each record, each archive's rows sorted by _order: a run. Payload length and digest are
+    computed from a response's bytes; a revisit has no bytes and tells those of its response. A task holds one archive's rows."""
 
     def page(said: str) -> int | None:
         number = said.removeprefix("<urn:page:").rstrip(">")
@@ -113,17 +144,27 @@ def read_index(archives: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for path, content in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-                rows = []
-                for offset, length, head, body in read_records(content.as_py()):
-                    kind, uri = head["warc-type"], head["warc-target-uri"]
-                    full = (int(head["warc-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")) if kind == "revisit" else (len(body), hashlib.sha256(body).hexdigest())
-                    rows.append((url_key(uri), head["warc-date"], page(head["warc-record-id"]), uri, *full, kind, page(head["warc-refers-to"]) if "warc-refers-to" in head else None, path, offset, length))
+            for path in batch.column("archive").to_pylist():
+                rows, (system, name) = [], pafs.FileSystem.from_uri(path)
+                with system.open_input_stream(name, compression=None) as stream:
+                    for offset, length, data in read_members(stream):
+                        head, body = parse_record(data)
+                        kind, uri = head["warc-type"], head["warc-target-uri"]
+                        full = (int(head["warc-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")) if kind == "revisit" else (len(body), hashlib.sha256(body).hexdigest())
+                        rows.append((url_key(uri), head["warc-date"], page(head["warc-record-id"]), uri, *full, kind, page(head["warc-refers-to"]) if "warc-refers-to" in head else None, path, offset, length))
                 rows.sort(key=_order)
                 for low in range(0, len(rows), 5000):
-                    yield pa.RecordBatch.from_pydict({f.split()[0]: pa.array(c, pa.string() if f.endswith("string") else pa.int64()) for f, c in zip(INDEX.split(", "), zip(*rows[low : low + 5000], strict=True), strict=True)})
+                    yield _batch(rows[low : low + 5000], INDEX)
+
+    return archives.repartition(max(1, archives.count())).select("archive").mapInArrow(run, INDEX)
+
 
-    return archives.select("path", "content").mapInArrow(run, INDEX)
+def fetch(path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
+    """A record by its place in an archive: nothing else of the archive is read."""
+    system, name = pafs.FileSystem.from_uri(path)
+    with system.open_input_file(name) as file:
+        file.seek(offset)
+        return parse_record(zlib.decompress(file.read(length), 31))
 
 
 def _order(row: tuple) -> tuple:
@@ -164,41 +205,54 @@ def merge_runs(runs: list[list[tuple]], key=_order) -> Iterator[tuple]:
             node //= 2
 
 
+def natural_runs(rows: Iterator[tuple]) -> list[list[tuple]]:
+    """Rows cut where their order breaks. Runs that arrive whole or in sorted pieces stay as they are."""
+    runs: list[list[tuple]] = []
+    last = None
+    for row in rows:
+        key = _order(row)
+        if last is None or key < last:
+            runs.append([])
+        runs[-1].append(row)
+        last = key
+    return runs
+
+
 def merge_index(index: DataFrame) -> DataFrame:
-    """The whole index in one order over all archives, with each URL's captures numbered.
+    """The index in one order over all archives: INDEX, capture (a URL key's captures numbered from 1), range_no and position.
 
-    The key space is cut into ranges at sampled (url_key, captured, page_id), so that one hot URL or host spreads over many;
-    within a range each archive's share is a sorted run, and the runs are merged. Partition by partition the result is
-    sorted."""
-    names = [f.split()[0] for f in INDEX.split(", ")]
+    The key space is cut into ranges of about RANGE_ROWS rows at sampled (url_key, captured, page_id), so that one hot URL or host
+    spreads over many ranges and a task's memory is that of a range, however many there are. In a range the archives' sorted
+    shares are merged by a loser tree, without sorting them again. (range_no, position) is the global order. A URL key's captures that go on
+    from one range to the next are numbered on by the counts of its ranges before."""
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-index.count() // RANGE_ROWS))
+    out_type = f"{INDEX}, capture long, range_no int, position long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[str, list[tuple]] = {}
-        for batch in batches:
-            for row in zip(*(batch.column(n).to_pylist() for n in names), strict=True):
-                runs.setdefault(row[8], []).append(row)
-        for part in runs.values():
-            part.sort(key=_order)  # a run comes in a few sorted pieces, which this sort finds and joins
+        rows = (row for batch in batches for row in zip(*(batch.column(n).to_pylist() for n in NAMES), strict=True))
         out: list[tuple] = []
-        for row in merge_runs(list(runs.values())):
-            out.append(row)
+        key, capture = None, 0
+        for position, row in enumerate(merge_runs(natural_runs(rows))):
+            capture = capture + 1 if row[0] == key else 1
+            key = row[0]
+            out.append((*row, capture, task_number(), position))
             if len(out) == 5000:
-                yield _batch(out)
+                yield _batch(out, out_type)
                 out = []
         if out:
-            yield _batch(out)
-
-    def _batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_pydict({f.split()[0]: pa.array(c, pa.string() if f.endswith("string") else pa.int64()) for f, c in zip(INDEX.split(", "), zip(*rows, strict=True), strict=True)})
+            yield _batch(out, out_type)
 
-    ranges = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return index.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(run, INDEX)
+    merged = as_table(index.repartitionByRange(ranges, "url_key", "captured", "page_id").mapInArrow(run, out_type), "merged", keep=True)
+    parts = merged.groupBy("url_key", "range_no").agg(F.max("capture").alias("n"))
+    so_far = Window.partitionBy("url_key").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    on = as_table(parts.withColumn("_on", F.sum("n").over(so_far)).where("_on > 0").select("url_key", "range_no", "_on"), "spans", keep=True)  # a row a range at most
+    return merged.join(on, ["url_key", "range_no"], "left").withColumn("capture", F.col("capture") + F.coalesce("_on", F.lit(0))).select(*NAMES, "capture", "range_no", "position")
 
 
 def archive_pages(pages: DataFrame, least: int = 100) -> DataFrame:
-    """Writes the archives to the shared folder, reads them back and merges their indexes."""
+    """Writes the archives to the shared folder, reads them back and merges their indexes. Rows may repeat, ids may be null, pages of
+    any length; other columns are ignored; an empty table gives an empty index."""
     spark = pages.sparkSession
-    path = scratch_path(spark, "warc")
-    write_archives(pages, path, least)
-    archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
-    return merge_index(read_index(archives))
+    with scratch_tables(spark):
+        archives = write_archives(pages, scratch_path(spark, "warc", keep=True), least)
+        return merge_index(as_table(read_index(archives), "index"))
