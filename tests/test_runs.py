@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebars.operators import publish, replay, watchlist
 from tidebars.sources import landed
+from tidebars.streaming.watchlist import watchlist_stream
 
 DAY = date(2024, 1, 1)
 SESSIONS = [DAY + timedelta(i) for i in range(40) if i % 7 < 5]
@@ -55,7 +56,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for i in range(3):
         events.where((F.col("session_no") >= i * 10) & (F.col("session_no") < i * 10 + 10)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(replay.EVENT).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    query = replay.watchlist_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query = watchlist_stream(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     assert query.awaitTermination(120)
     assert keyed(spark.read.parquet(str(tmp_path / "out")).collect()) == keyed(replay.watchlist_replay(events).collect())
 

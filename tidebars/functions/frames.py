@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -44,17 +46,31 @@ def flag(condition: Column) -> Column:
     return yes(condition).cast("int")
 
 
-def scaled(x: str, alpha: float) -> Column:
-    """What with_ewm adds up: x times alpha times (1 - alpha) ** -position; the first value without alpha."""
-    at = F.count(x).over(W().rowsBetween(Window.unboundedPreceding, 0)) - 1
-    return F.when(F.col(x).isNotNull(), F.when(at == 0, F.col(x)).otherwise(F.lit(alpha) * F.col(x) * F.pow(F.lit(1 - alpha), -at)))
+BARS_PER_BLOCK = 1000
 
 
-def with_ewm(df: DataFrame, out: str, x: str, alpha: float, least: int = 1) -> DataFrame:
-    """df with column out: the exponential mean of x by alpha, seeded by the first value, null for fewer than least values.
+def ewm_block(alpha: float) -> int:
+    """Bars in a block: few enough that (1 - alpha) ** -bars stays finite, and so many that what lies more than a block back
+    weighs nothing in a double."""
+    fall = -math.log(1 - alpha)
+    return max(math.ceil(40 / fall), min(BARS_PER_BLOCK, int(600 / fall)))
 
-    One running sum of scaled values; the scale stays finite while bars * -ln(1 - alpha) < 700."""
-    q, running = 1 - alpha, W().rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn("_scaled", scaled(x, alpha))
-    n = F.count(x).over(running)
-    return df.withColumn(out, F.when(n >= least, F.sum("_scaled").over(running) * F.pow(F.lit(q), n - 1))).drop("_scaled")
+
+def with_ewm(df: DataFrame, out: str, x: str, alpha: float, least: int = 1) -> DataFrame:
+    """df with the exponential mean of x, started at its first value, null before `least` values.
+
+    Within a block of bars it is one running sum of values scaled by (1 - alpha) ** -position, times the power of the row. A block
+    starts its scale anew and carries the end of the block before, so histories of any length are fine. All windows share one order."""
+    q, block = 1 - alpha, F.floor((F.col("_bar") - 1) / ewm_block(alpha))
+    df = df.withColumn("_bar", F.row_number().over(W())).withColumn("_block", block)
+    line, part = Window.partitionBy("code").orderBy("_block", "date"), Window.partitionBy("code", "_block").orderBy("date")
+    so_far = Window.unboundedPreceding, 0
+    df = df.withColumn("_n", F.count(x).over(line.rowsBetween(*so_far)))
+    df = df.withColumn("_local", F.col("_n") - F.first("_n").over(part.rowsBetween(*so_far)))
+    value = F.when(F.col("_n") == 1, F.col(x)).otherwise(F.lit(alpha) * F.col(x)) * F.pow(F.lit(q), -F.col("_local"))
+    df = df.withColumn("_scaled", F.when(F.col(x).isNotNull(), value))
+    df = df.withColumn("_own", F.coalesce(F.sum("_scaled").over(part.rowsBetween(*so_far)) * F.pow(F.lit(q), "_local"), F.lit(0.0)))
+    end = F.struct(F.lag("_own").over(line).alias("value"), F.lag("_n").over(line).alias("n"))
+    df = df.withColumn("_end", end).withColumn("_end", F.first("_end").over(part.rowsBetween(*so_far)))
+    carried = F.coalesce(F.col("_end.value") * F.pow(F.lit(q), F.col("_n") - F.col("_end.n")), F.lit(0.0))
+    return df.withColumn(out, F.when(F.col("_n") >= max(1, least), F.col("_own") + carried)).drop("_bar", "_block", "_n", "_local", "_scaled", "_own", "_end")

@@ -70,45 +70,38 @@ def cost_distribution_asof(bars: DataFrame, bins: int = BINS, lookback: int = LO
     use up places among the last lookback bars."""
     back = Window.partitionBy("code").orderBy(C("date").desc())
     later = back.rowsBetween(Window.unboundedPreceding, -1)
-    df = _rates(bars).withColumn("_at", F.row_number().over(back))
+    df = _rates(_recent(bars, lookback))
     df = df.withColumn("_ln", F.when(1 - C("_rate") > 1e-12, F.ln(F.when(C("_rate") < 1, 1 - C("_rate")))).otherwise(0.0))
     cleared = F.max(F.when(1 - C("_rate") <= 1e-12, 1).otherwise(0)).over(later)
     df = df.withColumns({"_weight": C("_rate") * F.exp(F.coalesce(F.sum("_ln").over(later), F.lit(0.0))), "_cleared": F.coalesce(cleared, F.lit(0))})
-    df = df.where((C("_at") <= lookback) & (C("_cleared") == 0) & (C("_weight") > 0))
+    df = df.where((C("_cleared") == 0) & (C("_weight") > 0))
     return daily_mass(df.select("code", "date", "open", "high", "low", "close", "_weight"), bins).groupBy("code", "bin").agg(F.sum(C("share") * C("_weight")).alias("mass"))
 
 
-def cost_profile(mass: DataFrame, bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK) -> DataFrame:
-    """One row for each instrument with mass: coverage, quantile prices and widths, the peak and its share, second peak and
-    dominance, and the shares of mass by price."""
-    per = Window.partitionBy("code")
+def _recent(bars: DataFrame, lookback: int) -> DataFrame:
+    """Each instrument's last lookback bars, with _at counted back from 1."""
     back = Window.partitionBy("code").orderBy(C("date").desc())
-    recent = bars.withColumn("_at", F.row_number().over(back)).where(C("_at") <= lookback)
-    seen = recent.groupBy("code").agg(F.min("low").alias("seen_low"), F.max("high").alias("seen_high"), F.max_by("close", "date").alias("close"), F.max("date").alias("date"))
-    df = mass.withColumn("total", F.sum("mass").over(per)).where("total > 1e-8").withColumn("p", C("mass") / C("total"))
-    df = df.withColumns({"price": _price(C("bin"), bins), "cum": F.sum("p").over(per.orderBy("bin"))})
-    spread = df.select("code", F.explode(F.expr("array(struct(bin - 2 as bin, p * 1 as s), struct(bin - 1 as bin, p * 2 as s), struct(bin as bin, p * 3 as s), struct(bin + 1 as bin, p * 2 as s), struct(bin + 2 as bin, p * 1 as s))")).alias("x"))
-    smooth = spread.select("code", "x.*").where((C("bin") >= 0) & (C("bin") < bins)).groupBy("code", "bin").agg((F.sum("s") / 9).alias("s"))
-    line = Window.partitionBy("code").orderBy("bin")
-    left = F.when(F.lag("bin").over(line) == C("bin") - 1, F.lag("s").over(line)).otherwise(0.0)
-    right = F.when(F.lead("bin").over(line) == C("bin") + 1, F.lead("s").over(line)).otherwise(0.0)
-    tops = smooth.withColumns({"_l": left, "_r": right, "_top": F.max("s").over(Window.partitionBy("code"))}).where((C("s") >= C("_l")) & (C("s") >= C("_r")) & (C("s") >= C("_top") * 0.20))
-    listed = tops.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("s", "bin")), asc=False).alias("tops"))  # local maxima: a few dozen at most
-    primary = C("tops")[0]["bin"]
-    apart = _apart(bins)
-    chosen = F.aggregate("tops", F.expr("cast(array() as array<struct<s: double, bin: bigint>>)"), lambda acc, t: F.when(F.forall(acc, lambda o: F.abs(o["bin"] - t["bin"]) >= apart), F.concat(acc, F.array(F.struct(t["s"].alias("s"), t["bin"].cast("bigint").alias("bin"))))).otherwise(acc))
-    peaks = listed.withColumn("chosen", chosen).select("code", primary.alias("peak_bin"), C("tops")[0]["s"].alias("s1"), F.get("chosen", F.lit(1)).alias("second"), F.size("chosen").alias("chip_significant_peak_count"))
-    df = df.join(peaks, "code").join(seen, "code").withColumn("peak", _price(C("peak_bin"), bins))
-    share = lambda cond: F.sum(F.when(cond, C("p")).otherwise(0.0)) * 100
-    at = lambda q: F.min(F.when(C("cum") >= q, C("price")))
-    out = df.groupBy("code").agg(
-        F.first("date").alias("date"), (F.first("total") * 100).alias("chip_model_coverage_pct"), F.first("peak").alias("chip_peak_price"), F.first("second.bin").alias("_second_bin"), F.first("second.s").alias("_s2"), F.first("s1").alias("_s1"),
-        F.first("chip_significant_peak_count").alias("chip_significant_peak_count"), share((C("price") >= C("peak") * 0.96) & (C("price") <= C("peak") * 1.04)).alias("chip_peak_band_share_pct"),
-        at(0.15).alias("chip_70_low"), at(0.85).alias("chip_70_high"), at(0.05).alias("chip_90_low"), at(0.95).alias("chip_90_high"), share(C("price") <= C("close")).alias("chip_profit_ratio_pct"),
-        share(C("price") > C("close")).alias("chip_overhead_ratio_pct"), share(C("price") <= C("seen_low") + (C("seen_high") - C("seen_low")) * 0.35).alias("chip_low_zone_share_pct"),
-        F.first("seen_low").alias("_low"), F.first("seen_high").alias("_high"), F.first("close").alias("_close"),
-    )
-    return _shown(out, bins)
+    return bars.select("code", "date", "open", "high", "low", "close", "turnover").withColumn("_at", F.row_number().over(back)).where(C("_at") <= lookback)
+
+
+def cost_profile(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK) -> DataFrame:
+    """One row for each instrument with mass, as of its last bar: coverage, quantile prices and widths, the peak and its share, second
+    peak and dominance, and the shares of mass by price. An instrument's group is its last lookback bars."""
+    per = Window.partitionBy("code")
+    df = _rates(_recent(bars, lookback)).withColumns({"_low": F.min("low").over(per), "_high": F.max("high").over(per), "_close": C("close"), "_at": F.lit(lookback) - C("_at")})
+    df = _shares(df, bins)
+
+    def profile(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        return _profiles(rows, np.array([len(rows) - 1]), bins, lookback)
+
+    return _shown(df.groupBy("code").applyInPandas(profile, _FOUND), bins)
+
+
+def _shares(df: DataFrame, bins: int) -> DataFrame:
+    """What _profiles reads; days that change nothing have no shares."""
+    df = day_shares(df.withColumns({c: F.when(C("_rate") > 0, C(c)) for c in ("open", "high", "low", "close")}), bins)
+    return df.select("code", "date", "_close", "_rate", "_at", "_low", "_high", "first_bin", "shares")
 
 
 def _apart(bins: int) -> int:
@@ -119,7 +112,7 @@ def _apart(bins: int) -> int:
 
 def _shown(out: DataFrame, bins: int) -> DataFrame:
     return out.select(
-        "code", "date", "chip_model_coverage_pct", "chip_peak_price", F.coalesce(_price(C("_second_bin"), bins), "chip_peak_price").alias("chip_secondary_peak_price"),
+        "code", "date", "chip_model_coverage_pct", "chip_peak_price", _price(C("_second_bin"), bins).alias("chip_secondary_peak_price"),
         F.coalesce(over(C("_s1"), C("_s2")), F.lit(float("inf"))).alias("chip_peak_dominance"), "chip_significant_peak_count", "chip_peak_band_share_pct", "chip_70_low", "chip_70_high",
         pct(C("chip_70_high"), C("chip_70_low")).alias("chip_70_width_pct"), "chip_90_low", "chip_90_high", pct(C("chip_90_high"), C("chip_90_low")).alias("chip_90_width_pct"),
         "chip_profit_ratio_pct", "chip_overhead_ratio_pct", "chip_low_zone_share_pct", F.when(C("_high") > C("_low"), (C("chip_peak_price") - C("_low")) / (C("_high") - C("_low"))).otherwise(0.5).alias("chip_peak_position"),
@@ -145,58 +138,63 @@ def _peaks(height: np.ndarray, first: int, apart: int) -> tuple[int, float, int
     return first + a, float(height[a]), None if b is None else first + b, None if b is None else float(height[b]), len(chosen)
 
 
+def _profiles(rows: pd.DataFrame, own: np.ndarray, bins: int, lookback: int) -> pd.DataFrame:
+    """Profiles as of the rows at the places own, from rows of one instrument in order of _at: one product of small matrices."""
+    step, base, apart = grid_step(bins), math.log(LOW), _apart(bins)
+    at, rate = rows["_at"].to_numpy(), rows["_rate"].to_numpy(float)
+    has = rows["shares"].notna().to_numpy()
+    if not len(own) or not has.any():
+        return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+    firsts, shares = rows["first_bin"].to_numpy(float), rows["shares"].tolist()
+    low = int(firsts[has].min())
+    days = np.zeros((len(rows), int(max(f + len(s) for f, s in zip(firsts[has], rows["shares"][has], strict=True))) - low))
+    for i in np.flatnonzero(has):
+        start = int(firsts[i]) - low
+        days[i, start : start + len(shares[i])] = shares[i]
+    left = 1 - np.nan_to_num(rate)
+    cleared = left <= 1e-12
+    run, epoch = np.cumsum(np.log(np.where(cleared, 1.0, left))), np.cumsum(cleared)
+    age = at[own, None] - at[None, :]
+    seen = (age >= 0) & (age < lookback) & (epoch[own, None] == epoch[None, :])
+    mass = np.where(seen, np.exp(np.where(seen, run[own, None] - run[None, :], 0.0)), 0.0) * np.nan_to_num(rate) @ days
+    total = mass.sum(1)
+    own, mass, total = own[total > 1e-8], mass[total > 1e-8], total[total > 1e-8]
+    if not len(own):
+        return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+    p = mass / total[:, None]
+    price = np.exp(base + (low + np.arange(p.shape[1])) * step)
+    cum, close, lows, highs = np.cumsum(p, 1), *(rows[c].to_numpy(float)[own] for c in ("_close", "_low", "_high"))
+    wide = np.pad(p, ((0, 0), (4, 4)))
+    smooth = sum(k * wide[:, i : i + p.shape[1] + 4] for i, k in enumerate((1, 2, 3, 2, 1))) / 9  # two bins more on each side
+    inside = slice(max(0, 2 - low), min(smooth.shape[1], bins + 2 - low))
+    found = [_peaks(s, low - 2 + inside.start, apart) for s in smooth[:, inside]]
+    peak = np.exp(base + np.array([f[0] for f in found]) * step)
+    share = lambda cond: np.where(cond, p, 0.0).sum(1) * 100
+    quantile = lambda q: price[np.minimum((cum < q).sum(1), len(price) - 1)]
+    above, under = price[None, :] >= (peak * 0.96)[:, None], price[None, :] <= (peak * 1.04)[:, None]
+    return pd.DataFrame(
+        {
+            "code": rows["code"].to_numpy()[own], "date": rows["date"].to_numpy()[own], "chip_model_coverage_pct": total * 100, "chip_peak_price": peak, "_second_bin": pd.array([f[2] for f in found], "Int64"),
+            "_s1": [f[1] for f in found], "_s2": [f[3] for f in found], "chip_significant_peak_count": [f[4] for f in found], "chip_peak_band_share_pct": share(above & under), "chip_70_low": quantile(0.15), "chip_70_high": quantile(0.85),
+            "chip_90_low": quantile(0.05), "chip_90_high": quantile(0.95), "chip_profit_ratio_pct": share(price[None, :] <= close[:, None]), "chip_overhead_ratio_pct": share(price[None, :] > close[:, None]),
+            "chip_low_zone_share_pct": share(price[None, :] <= (lows + (highs - lows) * 0.35)[:, None]), "_low": lows, "_high": highs, "_close": close,
+        }
+    )
+
+
 def cost_distribution_panel(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK, block: int = BLOCK) -> DataFrame:
     """cost_profile as of every bar: one row for each bar with mass, from that bar and the lookback - 1 before it alone.
 
     A bar's distribution is a weighted sum of the last lookback days' shares. An instrument's bars are dealt out in blocks
     of consecutive bars, each with the lookback - 1 bars before it, so a group has at most block + lookback - 1 rows however long
     the history is, and a block's distributions are one product of two small matrices."""
-    step, base, apart = grid_step(bins), math.log(LOW), _apart(bins)
     recent = W().rowsBetween(1 - lookback, 0)
     df = _rates(bars.select("code", "date", "open", "high", "low", "close", "turnover"))
     df = df.withColumns({"_at": F.row_number().over(W()) - 1, "_low": F.min("low").over(recent), "_high": F.max("high").over(recent), "_close": C("close")})
-    df = day_shares(df.withColumns({c: F.when(C("_rate") > 0, C(c)) for c in ("open", "high", "low", "close")}), bins)
-    df = df.withColumn("_block", F.explode(F.sequence(F.floor(C("_at") / block), F.floor((C("_at") + (lookback - 1)) / block))))
-    df = df.select("code", "date", "_close", "_rate", "_at", "_low", "_high", "first_bin", "shares", "_block")
+    df = _shares(df, bins).withColumn("_block", F.explode(F.sequence(F.floor(C("_at") / block), F.floor((C("_at") + (lookback - 1)) / block))))
 
-    def profiles(rows: pd.DataFrame) -> pd.DataFrame:
+    def profile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_at")
-        at, rate = rows["_at"].to_numpy(), rows["_rate"].to_numpy(float)
-        own, has = np.flatnonzero(at // block == rows["_block"].iloc[0]), rows["shares"].notna().to_numpy()
-        if not len(own) or not has.any():
-            return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
-        firsts, shares = rows["first_bin"].to_numpy(float), rows["shares"].tolist()
-        low = int(firsts[has].min())
-        days = np.zeros((len(rows), int(max(f + len(s) for f, s in zip(firsts[has], rows["shares"][has], strict=True))) - low))
-        for i in np.flatnonzero(has):
-            start = int(firsts[i]) - low
-            days[i, start : start + len(shares[i])] = shares[i]
-        left = 1 - np.nan_to_num(rate)
-        cleared = left <= 1e-12
-        run, epoch = np.cumsum(np.log(np.where(cleared, 1.0, left))), np.cumsum(cleared)
-        age = at[own, None] - at[None, :]
-        seen = (age >= 0) & (age < lookback) & (epoch[own, None] == epoch[None, :])
-        mass = np.where(seen, np.exp(np.where(seen, run[own, None] - run[None, :], 0.0)), 0.0) * np.nan_to_num(rate) @ days
-        total = mass.sum(1)
-        own, mass, total = own[total > 1e-8], mass[total > 1e-8], total[total > 1e-8]
-        p = mass / total[:, None]
-        price = np.exp(base + (low + np.arange(p.shape[1])) * step)
-        cum, close, lows, highs = np.cumsum(p, 1), *(rows[c].to_numpy(float)[own] for c in ("_close", "_low", "_high"))
-        wide = np.pad(p, ((0, 0), (4, 4)))
-        smooth = sum(k * wide[:, i : i + p.shape[1] + 4] for i, k in enumerate((1, 2, 3, 2, 1))) / 9  # two bins more on each side
-        inside = slice(max(0, 2 - low), min(smooth.shape[1], bins + 2 - low))
-        found = [_peaks(s, low - 2 + inside.start, apart) for s in smooth[:, inside]]
-        peak = np.exp(base + np.array([f[0] for f in found]) * step)
-        share = lambda cond: np.where(cond, p, 0.0).sum(1) * 100
-        quantile = lambda q: price[np.minimum((cum < q).sum(1), len(price) - 1)]
-        above, under = price[None, :] >= (peak * 0.96)[:, None], price[None, :] <= (peak * 1.04)[:, None]
-        return pd.DataFrame(
-            {
-                "code": rows["code"].to_numpy()[own], "date": rows["date"].to_numpy()[own], "chip_model_coverage_pct": total * 100, "chip_peak_price": peak, "_second_bin": pd.array([f[2] for f in found], "Int64"),
-                "_s1": [f[1] for f in found], "_s2": [f[3] for f in found], "chip_significant_peak_count": [f[4] for f in found], "chip_peak_band_share_pct": share(above & under), "chip_70_low": quantile(0.15), "chip_70_high": quantile(0.85),
-                "chip_90_low": quantile(0.05), "chip_90_high": quantile(0.95), "chip_profit_ratio_pct": share(price[None, :] <= close[:, None]), "chip_overhead_ratio_pct": share(price[None, :] > close[:, None]),
-                "chip_low_zone_share_pct": share(price[None, :] <= (lows + (highs - lows) * 0.35)[:, None]), "_low": lows, "_high": highs, "_close": close,
-            }
-        )
-
-    return _shown(df.groupBy("code", "_block").applyInPandas(profiles, _FOUND), bins)
+        return _profiles(rows, np.flatnonzero(rows["_at"].to_numpy() // block == rows["_block"].iloc[0]), bins, lookback)
+
+    return _shown(df.groupBy("code", "_block").applyInPandas(profile, _FOUND), bins)

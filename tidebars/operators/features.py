@@ -201,13 +201,24 @@ def rebound_platform(df: DataFrame, offsets: tuple[int, ...] = tuple(range(4, 21
     return _best_base(df, "rebound_base", [("_base", o, window, (0.60, o * 0.15)) for o in offsets], "rebound").drop("_base", "rebound_base_window")
 
 
+def _quantile(ordered: Column, n: int, q: float) -> Column:
+    """The quantile of n ordered values, between two of them in proportion."""
+    at = (n - 1) * q
+    low = int(at)
+    return ordered[low] + (ordered[min(low + 1, n - 1)] - ordered[low]) * (at - low)
+
+
 def adaptive_platform(df: DataFrame, windows: tuple[int, ...] = (20, 30, 40, 60), offsets: tuple[int, ...] = (0, 3, 5, 8, 12, 16, 20, 25, 30)) -> DataFrame:
-    """The best base over windows and offsets, by the 10 % and 90 % quantiles of the closes."""
-    names = []
+    """The best base over windows and offsets, by the 10 % and 90 % quantiles of the closes: one list of
+    closes a bar, sorted once a window."""
+    names, longest = [], max(windows)
+    df = df.withColumn("_closes", F.collect_list("close").over(W().rowsBetween(1 - longest, 0)))
     for w in windows:
-        quantile = [roll(lambda x, q=q: F.percentile(x, q), "close", w) for q in (0.9, 0.1)]
+        df = df.withColumn("_sorted", F.when(F.size("_closes") >= w, F.sort_array(F.slice("_closes", F.greatest(F.size("_closes") - w + 1, F.lit(1)), F.lit(w)))))
+        quantile = [_quantile(C("_sorted"), w, q) for q in (0.9, 0.1)]
         df = df.withColumn(f"_base{w}", F.struct(*(c.alias(k) for k, c in _base(*quantile, w, max(15, int(w * 0.7)), False).items())))
         names.append(f"_base{w}")
+    df = df.drop("_closes", "_sorted")
     candidates = [(f"_base{w}", o, w, (0.55, o * 0.08 + (max(windows) - w) * 0.035)) for w in windows for o in offsets]
     return _best_base(df, "adaptive_base", candidates, "adaptive").drop(*names)
 

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.frames import W, ago, pct, yes
+
 C = F.col
 # The main boards' code prefixes.
 MAIN_BOARD = ("600", "601", "603", "605", "000", "001", "002", "003")
 
 
 def normalize_code(code: Column) -> Column:
-    return F.lpad(code, 6, "0")
+    """The code with zeros in front, six characters at least; longer codes stay whole."""
+    return F.when(F.length(code) >= 6, code).otherwise(F.lpad(code, 6, "0"))
 
 
 def is_mainboard(code: Column) -> Column:
@@ -36,6 +39,28 @@ def filter_universe(universe: DataFrame, mainboard: bool = True) -> DataFrame:
     return (df.where(is_mainboard(C("code"))) if mainboard else df).dropDuplicates(["code"])
 
 
+CONTEXT = ("market_cap", "float_market_cap", "main_net_inflow_amount", "main_net_inflow_ratio_pct")
+
+
+def join_universe_context(df: DataFrame, universe: DataFrame) -> DataFrame:
+    """df with the universe's market values and inflows, as far as the universe has such columns. Codes are brought to one form."""
+    own = [c for c in CONTEXT if c in universe.columns]
+    return df.drop(*own).join(universe.select(normalize_code(C("code").cast("string")).alias("code"), *own).dropDuplicates(["code"]), "code", "left")
+
+
+def names_lookup(df: DataFrame, universe: DataFrame) -> DataFrame:
+    """df with each code's name, empty for codes that the universe doesn't have."""
+    return df.drop("name").join(universe.select("code", "name").dropDuplicates(["code"]), "code", "left").withColumn("name", F.coalesce("name", F.lit("")))
+
+
+def benchmark_context(benchmark: DataFrame) -> DataFrame:
+    """date, the index's returns over 20 and 60 bars, and whether its trend bears risk: the close at most 3 % under its mean of 20
+    bars and the return over 20 bars above -8 %."""
+    past = lambda n: pct(C("close"), ago("close", n))
+    ok = yes(C("close") >= F.avg("close").over(W().rowsBetween(-19, 0)) * 0.97) & yes(past(20) > -8)
+    return benchmark.select("date", *(past(n).alias(f"benchmark_return_{n}d_pct") for n in (20, 60)), ok.cast("int").alias("benchmark_risk_ok"))
+
+
 def fetch_status(universe: DataFrame, bars: DataFrame, session: str, least: int) -> DataFrame:
     """code, bars, last_date and status of each instrument: ok, failed (no rows), stale_hist or insufficient_bars."""
     have = bars.groupBy("code").agg(F.count("*").alias("bars"), F.max("date").alias("last_date"))
@@ -56,17 +81,21 @@ def session_offset(sessions: DataFrame, count: int) -> DataFrame:
 
 
 def sessions_between(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """pairs (start, end) with n: the sessions after start up to end, 0 if end is not later."""
-    a, b = (sessions.select(C("date").alias(x), C("session_no").alias(f"_{x}")) for x in ("start", "end"))
-    return pairs.join(a, "start").join(b, "end").select("start", "end", F.greatest(C("_end") - C("_start"), F.lit(0)).alias("n"))
+    """pairs (start, end) with n: the sessions from start to end less one, 0 if there is none. Any two dates have a number: each is
+    looked up in the days of the calendar and the pairs together, with the sessions up to it counted along."""
+    days = sessions.select("date", F.lit(1).alias("_s")).unionByName(pairs.select(F.explode(F.array("start", "end")).alias("date"), F.lit(0).alias("_s")))
+    days = days.where(C("date").isNotNull()).groupBy("date").agg(F.max("_s").alias("_s"))
+    upto = days.select("date", "_s", F.sum("_s").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("_n"))  # a row for each day that occurs
+    a, b = upto.select(C("date").alias("start"), (C("_n") - C("_s")).alias("_a")), upto.select(C("date").alias("end"), C("_n").alias("_b"))
+    return pairs.join(a, "start", "left").join(b, "end", "left").select("start", "end", F.greatest(C("_b") - C("_a") - 1, F.lit(0)).alias("n"))
 
 
 def merge_incremental(old: DataFrame, new: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """Histories with refreshed rows put over the old ones, and the codes that need a full rebuild.
 
-    A code merges if at least `least` dates overlap and all their closes agree within 0.011 plus 0.15 % of the new one."""
+    A code merges if at least `least` dates have a close in both and all of those agree within 0.011 plus 0.15 % of the new one."""
     both = old.select("code", "date", C("close").alias("was")).join(new.select("code", "date", C("close").alias("now")), ["code", "date"])
-    ok = both.groupBy("code").agg(((F.count("*") >= least) & F.bool_and(F.abs(C("was") - C("now")) <= 0.011 + 0.0015 * F.abs("now"))).alias("ok"))
+    ok = both.groupBy("code").agg(((F.count(C("was") + C("now")) >= least) & F.bool_and(F.abs(C("was") - C("now")) <= 0.011 + 0.0015 * F.abs("now"))).alias("ok"))
     codes = new.select("code").distinct().join(ok, "code", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
     fresh = new.join(codes.where("ok").select("code"), "code", "left_semi").withColumn("_seq", F.lit(1))
     latest = Window.partitionBy("code", "date").orderBy(C("_seq").desc())

@@ -41,8 +41,7 @@ def run_report(status: DataFrame, snapshots: DataFrame, selected: DataFrame, lea
 
 def join_reference_audit(listed: DataFrame, universe: DataFrame, status: DataFrame, scored: DataFrame, selected: DataFrame, missed: DataFrame, signals: tuple[str, ...]) -> DataFrame:
     """Every listed code (code, reference_name, acceptance_example) with its name, status, readiness, a flag for each signal and
-    where it failed. listed is a short list, so it goes to the other tables' tasks."""
-    listed = F.broadcast(listed)
+    where it failed. Spark chooses the joins by listed's size."""
     mine = lambda df, *cols: df.join(listed.select("code"), "code", "left_semi").select("code", *cols)
     flags = mine(selected, "signal").groupBy("code").agg(*(F.max((C("signal") == s).cast("int")).alias(s) for s in signals))
     out = listed.join(mine(universe, C("name").alias("market_name")), "code", "left").join(mine(status, C("status").alias("fetch_status"), "bars", "last_date"), "code", "left")
@@ -88,12 +87,18 @@ def publish_run(artefacts: Mapping[str, DataFrame], valid: bool, path: str, sess
     spark.createDataFrame([(session, valid)], "session string, valid boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest")
 
 
+def publish_shape_checkpoint(selected: DataFrame, path: str, session: str, signals: tuple[str, ...]) -> None:
+    """Each signal's rows as chosen by shape alone, before flow reorders them."""
+    publish({f"shape_only_{s}": selected.where(C("signal") == s) for s in signals}, path, session)
+
+
 def publish_history(bars: DataFrame, path: str, session: str, source: str) -> None:
-    """Bars up to the session with where they came from, one folder a year. Empty histories are refused."""
+    """Bars up to the session with where they came from, one folder a year; years without new bars
+    stay as they are. Empty histories are refused."""
     rows = bars.where(C("date") <= F.lit(session).cast("date"))
     if rows.isEmpty():
         raise ValueError("there is no bar up to the session")
-    rows.withColumns({"source": F.lit(source), "as_of": F.lit(session).cast("date"), "year": F.year("date")}).repartition("year", "code").sortWithinPartitions("code", "date").write.mode("overwrite").partitionBy("year").parquet(path)
+    rows.withColumns({"source": F.lit(source), "as_of": F.lit(session).cast("date"), "year": F.year("date")}).repartition("year", "code").sortWithinPartitions("code", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
 
 
 def publish_backtest(judged: DataFrame, daily: DataFrame, metrics: DataFrame, path: str) -> None:

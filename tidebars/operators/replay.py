@@ -1,14 +1,12 @@
-"""The watchlist folded over many sessions: in a batch, and as a stream with a state for each code."""
+"""The watchlist folded over many sessions."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .watchlist import ACTIVE, current_state
 
@@ -26,7 +24,7 @@ def watchlist_events(selected: DataFrame, market: DataFrame, sessions: DataFrame
     sessions."""
     now = current_state(selected, "code", "date")
     ends = sessions.select((C("session_no") - ttl).alias("session_no"), C("date").alias("expires_date"))
-    calendar = F.broadcast(sessions.select("session_no", "date").join(ends, "session_no", "left"))  # a calendar: a few thousand rows
+    calendar = sessions.select("session_no", "date").join(ends, "session_no", "left")
     first = now.join(calendar.select("date", "session_no"), "date").groupBy("code").agg(F.min("session_no").alias("_first"))
     end = F.broadcast(sessions.agg(F.max("session_no").alias("_end")))  # one row
     days = first.crossJoin(end).select("code", F.explode(F.sequence("_first", "_end")).alias("session_no")).join(calendar, "session_no")
@@ -76,7 +74,7 @@ def _clean(record: dict) -> dict:
     return out
 
 
-def _fold(code: str, frame: pd.DataFrame, state: dict | None, last_no: int | None) -> tuple[list[dict], dict | None, int | None]:
+def fold(code: str, frame: pd.DataFrame, state: dict | None, last_no: int | None) -> tuple[list[dict], dict | None, int | None]:
     rows = []
     for event in frame.sort_values("session_no").to_dict("records"):
         e = _clean(event)
@@ -87,39 +85,18 @@ def _fold(code: str, frame: pd.DataFrame, state: dict | None, last_no: int | Non
     return rows, state, last_no
 
 
-_COLUMNS = ["code", *FIELDS, "old_state"]
+OUT_COLUMNS = ["code", *FIELDS, "old_state"]
 
 
 def watchlist_replay(events: DataFrame) -> DataFrame:
     """The list after each session (OUT rows). One task folds one code's sessions, which the calendar bounds."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_fold(key[0], frame, None, None)[0], columns=_COLUMNS)
+        return pd.DataFrame(fold(key[0], frame, None, None)[0], columns=OUT_COLUMNS)
 
     return events.groupBy("code").applyInPandas(run, OUT)
 
 
-def watchlist_stream(events: DataFrame) -> DataFrame:
-    """The same over a stream of EVENT rows: each micro-batch holds whole sessions, in order. A code keeps one row of state.
-
-    A session that comes again, or late, is skipped: it was evaluated before."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        state, last_no = None, None
-        if group.exists:
-            *values, last_no = group.get
-            state = dict(zip(FIELDS, values, strict=True))
-        frame = pd.concat(list(frames))
-        if last_no is not None:
-            frame = frame[frame["session_no"] > last_no]
-        rows, state, last_no = _fold(key[0], frame, state, last_no)
-        if state is not None:
-            group.update((*(state[f] for f in FIELDS), last_no))
-        yield pd.DataFrame(rows, columns=_COLUMNS)
-
-    return events.groupBy("code").applyInPandasWithState(run, OUT, f"{STATE}, last_no int", "append", GroupStateTimeout.NoTimeout)
-
-
 def append_transitions(history: DataFrame, new: DataFrame) -> DataFrame:
     """The history of transitions with new ones; of rows with the same date, code, from_state and to_state the new one stays."""
     key = ["date", "code", "from_state", "to_state"]

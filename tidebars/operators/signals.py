@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.frames import flag, yes
+from ..functions.frames import flag, pct, yes
 from ..plans.params import Params
 
 C = F.col
@@ -25,6 +25,8 @@ def pct_rank_average(df: DataFrame, col: str, out: str, by: str = "date") -> Dat
 def relative_strength(df: DataFrame) -> DataFrame:
     """Excess over the benchmark's returns (missing: 0), and ranks of it and of float_market_cap within the day."""
     df = df.withColumns({f"rs{n}_excess_pct": C(f"return_{n}d_pct") - F.coalesce(f"benchmark_return_{n}d_pct", F.lit(0.0)) for n in (20, 60)})
+    if "float_market_cap" not in df.columns:
+        df = df.withColumn("float_market_cap", F.lit(None).cast("double"))
     for col, out in (("rs20_excess_pct", "rs20_percentile"), ("rs60_excess_pct", "rs60_percentile"), ("float_market_cap", "float_cap_percentile")):
         df = pct_rank_average(df, col, out)
     return df
@@ -40,8 +42,39 @@ def _ladder(*steps: tuple[Column, int]) -> Column:
     return reduce(lambda a, b: a + b, (flag(c) * n for c, n in steps))
 
 
+# The column that stands in for one that a frame doesn't have.
+FALLBACKS = {
+    "adaptive_base_high": "base_high_20_pre3",
+    "adaptive_base_width_pct": "base_width_20_pre3_pct",
+    "adaptive_base_return_pct": "base_return_20_pre3_pct",
+    "adaptive_base_turnover_sum_pct": "base_turnover_sum_20_pre3_pct",
+    "adaptive_base_drawdown_120_pct": "base_drawdown_from_120_high_pct",
+    "adaptive_base_position_120": "base_position_120_pre3",
+    "adaptive_pre_base_decline_60_pct": "pre_base_decline_60_pct",
+    "adaptive_launch_price_action": "early_launch_price_action",
+    "adaptive_rebound_price_action": "rebound_price_action",
+}
+FALLBACK_WINDOW, FALLBACK_OFFSET, FALLBACK_VOTES = 20, 3, 3
+
+
+def column_fallbacks(df: DataFrame) -> DataFrame:
+    """df with every column of the adaptive base that scores and gates read: one that is missing is that of the fixed base, or null if
+    that is missing too. Columns that are there stay as they are, nulls included."""
+    have = set(df.columns)
+    launch = F.coalesce(C("early_launch_price_action").cast("int"), F.lit(0)) if "early_launch_price_action" in have else F.lit(0)
+    other = {
+        **{new: C(old).cast("double") if old in have else F.lit(None).cast("double") for new, old in FALLBACKS.items()},
+        "adaptive_ready_price_action": (launch == 0).cast("int"), "adaptive_trend_votes": launch * FALLBACK_VOTES, "adaptive_base_window": F.lit(FALLBACK_WINDOW), "adaptive_base_offset": F.lit(FALLBACK_OFFSET),
+    }
+    df = df.withColumns({c: x for c, x in other.items() if c not in have})
+    return df if "distance_from_adaptive_base_high_pct" in have else df.withColumn("distance_from_adaptive_base_high_pct", pct(C("close"), C("adaptive_base_high")))
+
+
 def scores(df: DataFrame) -> DataFrame:
-    """Partial scores, the three models' scores and score_total."""
+    """Partial scores, the three models' scores and score_total. Missing columns as in column_fallbacks."""
+    df = column_fallbacks(df)
+    if "benchmark_risk_ok" not in df.columns:
+        df = df.withColumn("benchmark_risk_ok", F.lit(1))
     width, ret, window = C("adaptive_base_width_pct"), F.abs("adaptive_base_return_pct"), C("adaptive_base_window")
     share, spread, dominance, peaks, low = C("chip_peak_band_share_pct"), C("chip_70_width_pct"), C("chip_peak_dominance"), C("chip_significant_peak_count"), C("chip_low_zone_share_pct")
     fall, place, before = C("adaptive_base_drawdown_120_pct"), C("adaptive_base_position_120"), C("adaptive_pre_base_decline_60_pct")
@@ -121,6 +154,17 @@ def signal_masks(df: DataFrame, p: Params) -> DataFrame:
     return df.withColumns({s: reduce(lambda a, b: a & b, (ok for _, ok in steps)) for s, steps in gates(p).items()})
 
 
+def signal_flags(df: DataFrame, p: Params) -> DataFrame:
+    """The masks, any_signal, and signal_names: those that hold, in order, with commas."""
+    df = signal_masks(df, p)
+    return df.withColumns({"any_signal": reduce(lambda a, b: a | b, map(C, SIGNALS)), "signal_names": F.concat_ws(",", *(F.when(C(s), F.lit(s)) for s in SIGNALS))})
+
+
+def union_signals(selected: DataFrame) -> DataFrame:
+    """Each code that has a signal, once, with its name and how many signals it has."""
+    return selected.groupBy("code").agg(F.min("name").alias("name"), F.count_distinct("signal").alias("signals"))
+
+
 def select_signals(df: DataFrame, p: Params) -> DataFrame:
     """A row for each code and signal that it has, ranked within the signal by model score, peak share, amount and code."""
     df = signal_masks(df, p)

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.frames import ago, pct
 from ..operators import backtest as bt
-from ..operators import cost, features, flow, market, publish, replay, signals
+from ..operators import cost, features, flow, market, publish, replay, signals, watchlist
 from ..sources import fixture
-from . import ingest
+from . import ingest, runs
 from . import reference_sql as ref
 from .params import Params
 
@@ -91,14 +95,18 @@ def _needed(name: str, bars: DataFrame) -> DataFrame:
     return features.feature_panel(bars) if name in _WHOLE else features.ranges(features.volumes(features.trend(df)))
 
 
+def near(x: Column | str, digits: int = 6) -> Column:
+    """x to so many digits by its product, as the SQL does too; an infinity is shown as null."""
+    x, by = (C(x) if isinstance(x, str) else x), 10.0**digits
+    return F.floor(F.when(F.abs(x) < float("inf"), x) * by + 0.5) / by
+
+
 def _shown(c: str) -> Column:
-    if c in INTEGERS:
-        return C(c).cast("int").alias(c)
-    return F.round(F.when(F.abs(c) < float("inf"), C(c)), 6).alias(c)  # an infinity is shown as null
+    return (C(c).cast("int") if c in INTEGERS else near(c)).alias(c)
 
 
 def _shown_sql(c: str) -> str:
-    return f"CAST({c} AS INTEGER) AS {c}" if c in INTEGERS else f"round(CASE WHEN abs({c}) < CAST('inf' AS DOUBLE) THEN {c} END, 6) AS {c}"
+    return f"CAST({c} AS INTEGER) AS {c}" if c in INTEGERS else f"{ref.near(c)} AS {c}"
 
 
 def _family(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -155,10 +163,12 @@ def sessions_between(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def merge_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Histories after a refresh of the last 30 days in which every fifth instrument's closes are off by a tenth."""
+    """Histories after a refresh of the last 30 days in which every fifth instrument's closes are off by a tenth, and of every seventh
+    all but two are missing."""
     bars = fixture.load_bars(spark, sf_dir).select("code", "date", "close")
     late = C("date") > F.date_sub(F.lit(AS_OF).cast("date"), 30)
     new = bars.where(late).withColumn("close", F.when(C("code").cast("int") % 5 == 0, C("close") * 1.1).otherwise(C("close") + 0.01))
+    new = new.withColumn("close", F.when((C("code").cast("int") % 7 != 0) | (C("date") > F.date_sub(F.lit(AS_OF).cast("date"), 2)), C("close")))
     merged, rebuild = market.merge_incremental(bars, new)
     return merged.groupBy("code").agg(F.count("*").alias("bars"), F.round(F.sum("close"), 2).alias("closes")).join(rebuild.withColumn("rebuild", F.lit(1)), "code", "left").select("code", "bars", "closes", F.coalesce("rebuild", F.lit(0)).alias("rebuild"))
 
@@ -175,10 +185,9 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def join_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = bt.latest_return(bt.latest_return(fixture.load_benchmark(spark, sf_dir), 20), 60)
-    ok = F.coalesce(C("close") >= F.avg("close").over(features.W().rowsBetween(-19, 0)) * 0.97, F.lit(False)) & F.coalesce(C("benchmark_return_20d_pct") > -8, F.lit(False))
-    bench = df.select("date", *(F.round(f"benchmark_return_{n}d_pct", 6).alias(f"benchmark_return_{n}d_pct") for n in (20, 60)), ok.cast("int").alias("benchmark_risk_ok"))
-    return signals.join_benchmark(fixture.load_bars(spark, sf_dir).select("code", "date", "close"), bench)
+    bench = market.benchmark_context(fixture.load_benchmark(spark, sf_dir))
+    out = signals.join_benchmark(fixture.load_bars(spark, sf_dir).select("code", "date", "close"), bench)
+    return out.select("code", "date", "close", *(near(f"benchmark_return_{n}d_pct").alias(f"benchmark_return_{n}d_pct") for n in (20, 60)), "benchmark_risk_ok")
 
 
 def _strength(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -190,24 +199,24 @@ def _strength(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def relative_strength(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = signals.relative_strength(_strength(spark, sf_dir))
-    return out.select("code", "date", *(F.round(c, 6).alias(c) for c in ("rs20_excess_pct", "rs60_excess_pct", "rs20_percentile", "rs60_percentile", "float_cap_percentile")))
+    return out.select("code", "date", *(near(c).alias(c) for c in ("rs20_excess_pct", "rs60_excess_pct", "rs20_percentile", "rs60_percentile", "float_cap_percentile")))
 
 
 def cost_distribution_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return cost.cost_distribution_asof(fixture.load_bars(spark, sf_dir)).where("mass > 1e-7").select("code", "bin", F.round("mass", 9).alias("mass"))
+    return cost.cost_distribution_asof(fixture.load_bars(spark, sf_dir)).select("code", "bin", near("mass", 9).alias("mass"))
 
 
-#: Added to coverage before it is rounded: its first days are exact decimals, whose halves would round by the last bit.
-_NUDGE = {"chip_model_coverage_pct": 3e-10}
+#: Coverage is shown to 7 digits: a history's first days are short decimals, whose halves at the 7th would round by the last bit.
+_DIGITS = {"chip_model_coverage_pct": 7}
 
 
 def _profile_columns() -> list[Column]:
-    return [C(c) if c == "chip_significant_peak_count" else F.round(F.when(F.abs(c) < float("inf"), C(c) + _NUDGE.get(c, 0.0)), 6).alias(c) for c in PROFILE]
+    return [C(c) if c == "chip_significant_peak_count" else near(c, _DIGITS.get(c, 6)).alias(c) for c in PROFILE]
 
 
 def cost_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    bars = fixture.load_bars(spark, sf_dir)
-    return cost.cost_profile(cost.cost_distribution_asof(bars), bars).select("code", *_profile_columns())
+    return cost.cost_profile(fixture.load_bars(spark, sf_dir)).select("code", *_profile_columns())
+
 
 def cost_distribution_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.cost_distribution_panel(fixture.load_bars(spark, sf_dir)).select("code", "date", *_profile_columns())
@@ -216,7 +225,7 @@ def cost_distribution_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last bar's features with the cost profile, benchmark flag and scores."""
     bars = fixture.load_bars(spark, sf_dir)
-    profile = cost.cost_profile(cost.cost_distribution_asof(bars), bars).drop("date")
+    profile = cost.cost_profile(bars).drop("date")
     last = features.latest_snapshot(features.feature_panel(bars))
     return signals.scores(last.join(profile, "code", "left").withColumn("benchmark_risk_ok", F.lit(1)))
 
@@ -234,7 +243,7 @@ def funnel_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def near_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return signals.near_misses(snapshot(spark, sf_dir), FIXTURE).select("code", "closest_signal", "failed_at", "passed_steps", "total_steps", F.round("completion_ratio", 6).alias("completion_ratio"), "near_miss_rank")
+    return signals.near_misses(snapshot(spark, sf_dir), FIXTURE).select("code", "closest_signal", "failed_at", "passed_steps", "total_steps", near("completion_ratio").alias("completion_ratio"), "near_miss_rank")
 
 
 def flow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,31 +267,167 @@ def flow_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def forward_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = bt.forward_outcomes(fixture.load_bars(spark, sf_dir))
-    return out.select("code", "date", "outcome_success", *(F.round(c, 6).alias(c) for c in ("forward_max_return_pct", "drawdown_before_target_pct")))
+    return out.select("code", "date", "outcome_success", *(near(c).alias(c) for c in ("forward_max_return_pct", "drawdown_before_target_pct")))
+
+
+PERIOD = ("2000-09-01", AS_OF)
+
+
+def backtest_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir).select("code", "date", "bars", "name", "any_signal", "signal_names", C("score_total").cast("int").alias("score_total"), "outcome_success", *(near(c).alias(c) for c in ("rs20_percentile", "rs60_percentile", "chip_peak_price", "forward_max_return_pct")))
+
+
+def signal_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _panel(spark, sf_dir).select("code", "date", *signals.SIGNALS, "any_signal", "signal_names")
+
+
+def _panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.backtest_panel(fixture.load_bars(spark, sf_dir), fixture.load_benchmark(spark, sf_dir), fixture.load_universe(spark, sf_dir), *PERIOD, FIXTURE)
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Eligible rows with a plain signal: the close is above its mean of 20 bars, scored by volume."""
-    bars = fixture.load_bars(spark, sf_dir)
-    df = bt.forward_outcomes(features.volumes(features.trend(features.fill_change_cols(bars))))
-    df = df.withColumns({"bars": F.row_number().over(features.W()), "rs20_percentile": C("return_20d_pct"), "one_price_limit": F.lit(0), "on": F.coalesce(C("close") > C("ma20"), F.lit(False))})
-    return bt.eligible_rows(df, FIXTURE).withColumn("off", ~C("on"))
+    return bt.eligible_rows(_panel(spark, sf_dir), FIXTURE)
+
+
+def eligible_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir).select("code", "date", "bars", "outcome_success")
 
 
 def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.precision_recall(_judged(spark, sf_dir), "on")
+    return bt.precision_recall(_judged(spark, sf_dir), "any_signal")
 
 
 def precision_by_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.precision_by_signal(_judged(spark, sf_dir), ("on", "off"))
+    return bt.precision_by_signal(_judged(spark, sf_dir), signals.SIGNALS)
 
 
 def topk_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.topk_recall(_judged(spark, sf_dir), "on", "volume", FIXTURE.top_k)
+    return bt.topk_recall(_judged(spark, sf_dir), "any_signal", "score_total", (1, 2, *FIXTURE.top_k))
 
 
 def daily_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bt.daily_summary(_judged(spark, sf_dir), "on")
+    return bt.daily_summary(_judged(spark, sf_dir), "any_signal")
+
+
+def signals_with_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    numbers = ("rs20_percentile", "forward_max_return_pct", "drawdown_before_target_pct")
+    return bt.signals_with_outcomes(_judged(spark, sf_dir)).select("date", "code", "name", "signal_names", C("score_total").cast("int").alias("score_total"), "daily_rank", "close", "outcome_success", *(near(c).alias(c) for c in numbers))
+
+
+def _scan(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """A scan as of the last session of histories of which a fourth are a day short."""
+    args = fixture.load_universe(spark, sf_dir), fixture.load_benchmark(spark, sf_dir), fixture.load_flow(spark, sf_dir)
+    bars = _with_gaps(spark, sf_dir)
+    evidence = fixture.load_bars(spark, sf_dir).where((F.day("date") + C("code").cast("int")) % 11 == 0).select("code", "date", C("volume").alias("flow"))
+    return runs.scan(bars, *args, AS_OF, replace(FIXTURE, min_coverage_pct=50.0), evidence, ("flow",), mainboard=False)
+
+
+def scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir)["selected"].select("code", "name", "signal", "model_score", "rank", "fund_flow_rank_reason", "evidence_date", "flow", near("rs20_percentile").alias("rs20_percentile"))
+
+
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir)["report"].select("universe", "snapshots", "provisional", "coverage_pct", "valid", "candidates", "candidate_rate_pct", "assessment")
+
+
+def scan_funnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scan(spark, sf_dir)["funnel"]
+
+
+def publish_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a valid run and then one without enough coverage leave behind."""
+    path, rows = _folder(spark), _picked(spark, sf_dir)
+    artefacts = {"selected": rows, "scored": features.latest_snapshot(fixture.load_bars(spark, sf_dir)).select("code", "close")}
+    found = []
+    for valid, session in ((True, "2001-12-28"), (False, AS_OF)):
+        publish.publish_run(artefacts, valid, path, session)
+        for name in ("selected", "scored", *(() if valid else ("provisional_selected",))):
+            found.append(publish.latest_run(spark, path, name).groupBy(F.lit(session).alias("session"), F.lit(name).alias("artefact")).agg(F.count("*").alias("n"), F.min("code").alias("first_code")))
+    return reduce(DataFrame.unionByName, found)
+
+
+def publish_shape_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = _folder(spark)
+    publish.publish_shape_checkpoint(_picked(spark, sf_dir), path, AS_OF, signals.SIGNALS)
+    return reduce(DataFrame.unionByName, (spark.read.parquet(f"{path}/shape_only_{s}/session={AS_OF}").select(F.lit(s).alias("artefact"), "code", "model_score") for s in signals.SIGNALS))
+
+
+def publish_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The histories of two sessions, of which the second has the last year alone: the years before stay."""
+    path, bars = _folder(spark), fixture.load_bars(spark, sf_dir)
+    publish.publish_history(bars, path, "2001-12-15", "first")
+    publish.publish_history(bars.where(F.year("date") == 2001), path, AS_OF, "second")
+    return spark.read.parquet(path).groupBy("code", "year", "source", C("as_of").cast("date").alias("as_of")).agg(F.count("*").alias("bars"), F.sum("close").alias("closes"))
+
+
+def publish_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, out = _folder(spark), runs.backtest(_panel(spark, sf_dir), FIXTURE)
+    publish.publish_backtest(out["signals"], out["daily"], out["overall"], path)
+    back = spark.read.parquet(f"{path}/signals").agg(F.count("*").alias("signals")), spark.read.parquet(f"{path}/daily").agg(F.count("*").alias("days")), spark.read.json(f"{path}/metrics").select("eligible_rows", "signal_rows")
+    return reduce(DataFrame.crossJoin, back)  # one row each
+
+
+def _folder(spark: SparkSession) -> str:
+    """A new folder that executors share."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    return f"{base}/published/{uuid.uuid4().hex}"
+
+
+def column_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of frames that know the fixed base alone."""
+    df = snapshot(spark, sf_dir)
+    df = df.drop(*(c for c in df.columns if "adaptive" in c or c.startswith("chip_score") or c.endswith("_score") or c in ("score_total", "benchmark_risk_ok")))
+    return signals.scores(df).select("code", *(C(c).cast("int").alias(c) for c in ("chip_score_base", "chip_score_context", "chip_score_launch", "adaptive_base_offset", "adaptive_base_window", "adaptive_trend_votes", "adaptive_ready_price_action", "score_total")), near("distance_from_adaptive_base_high_pct").alias("distance_from_adaptive_base_high_pct"))
+
+
+def join_universe_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = features.latest_snapshot(fixture.load_bars(spark, sf_dir))
+    return market.join_universe_context(last, fixture.load_universe(spark, sf_dir).where(C("code").cast("int") % 3 != 0)).select("code", "close", F.round("float_market_cap", 2).alias("float_market_cap"))
+
+
+def names_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return market.names_lookup(fixture.load_bars(spark, sf_dir), fixture.load_universe(spark, sf_dir).where(C("code").cast("int") % 3 != 0)).select("code", "date", "name")
+
+
+def union_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.union_signals(market.names_lookup(_picked(spark, sf_dir), fixture.load_universe(spark, sf_dir)))
+
+
+def top_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.top_n(flow_rank(spark, sf_dir), 7)
+
+
+def evidence_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = fixture.load_bars(spark, sf_dir)
+    evidence = bars.where((F.day("date") + C("code").cast("int")) % 11 == 0).select("code", "date", C("volume").alias("flow"))
+    return publish.evidence_metadata(market.join_evidence_asof(features.latest_snapshot(bars), evidence, "2001-12-15", ("flow",)), evidence.count())
+
+
+def require_fresh_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index as of two sessions, the second beyond its last bar: whether it is let through."""
+    index, found = fixture.load_benchmark(spark, sf_dir), []
+    for session in (AS_OF, "2002-01-01"):
+        try:
+            publish.require_fresh_benchmark(index, session)
+            found.append((session, True))
+        except ValueError:
+            found.append((session, False))
+    last = index.agg(F.max("date").alias("last_date"))
+    return last.select("last_date", F.explode(F.array(*(F.struct(F.lit(s).alias("session"), F.lit(ok).alias("fresh")) for s, ok in found))).alias("x")).select("last_date", "x.*")
+
+
+def label_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _picked(spark, sf_dir).withColumn("ratio", C("model_score") / 8)
+    return publish.label_view(rows, {"signal": {"chip_base_ready": "Ready"}}).select("code", "signal", "model_score", "ratio")
+
+
+def join_reference_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth supplier is on the list, with an invented name where the universe has none."""
+    universe, bars = fixture.load_universe(spark, sf_dir), _with_gaps(spark, sf_dir)
+    listed = universe.where(C("code").cast("int") % 4 < 2).select("code", F.concat(F.lit("listed "), "code").alias("reference_name"), (C("code").cast("int") % 4).alias("acceptance_example"))
+    last = features.latest_snapshot(bars)
+    missed = last.select("code", F.lit("chip_base_ready").alias("closest_signal"), F.lit("liquidity").alias("failed_at")).where("code % 5 = 0")
+    return publish.join_reference_audit(listed, universe.where(C("code").cast("int") % 6 != 0), fetch_status(spark, sf_dir), last, _picked(spark, sf_dir), missed, signals.SIGNALS)
 
 
 def flow_status(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -297,17 +442,67 @@ def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("universe", "snapshots", "provisional", "coverage_pct", "valid", "candidates", "candidate_rate_pct", "assessment")
 
 
-def watchlist_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The list over all sessions for plain signals: a close above the last five (ready), or also twice the usual volume (launch)."""
-    bars = fixture.load_bars(spark, sf_dir)
+def _chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plain signals of every session: a close above the last five (ready), or also twice the usual volume (launch)."""
     w = features.W().rowsBetween(-5, -1)
-    rows = bars.withColumns({"_top": F.max("close").over(w), "_usual": F.avg("volume").over(w), "_low": F.min("low").over(w)}).where(C("close") > C("_top"))
+    rows = fixture.load_bars(spark, sf_dir).withColumns({"_top": F.max("close").over(w), "_usual": F.avg("volume").over(w), "_low": F.min("low").over(w)}).where(C("close") > C("_top"))
     row = lambda s: rows.select("date", "code", F.lit(s).alias("signal"), C("volume").alias("score_total"), "close", C("_top").alias("resistance_price"), C("_low").alias("support_price"), "_usual")
-    chosen = row("chip_base_ready").unionByName(row("chip_base_launch").where(C("score_total") > 2 * C("_usual"))).drop("_usual")
-    return replay.watchlist_replay(replay.watchlist_events(chosen, bars, fixture.load_sessions(bars), FIXTURE.watchlist_ttl_sessions))
+    return row("chip_base_ready").unionByName(row("chip_base_launch").where(C("score_total") > 2 * C("_usual"))).drop("_usual")
 
 
-_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay)
+def watchlist_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list after every session."""
+    bars = fixture.load_bars(spark, sf_dir)
+    return replay.watchlist_replay(replay.watchlist_events(_chosen(spark, sf_dir), bars, fixture.load_sessions(bars), FIXTURE.watchlist_ttl_sessions))
+
+
+def _updated(spark: SparkSession, sf_dir: str, times: int = 1) -> DataFrame:
+    """The last session's update of the list as it was before, done some times over."""
+    bars, chosen = fixture.load_bars(spark, sf_dir), _chosen(spark, sf_dir)
+    day = F.lit(AS_OF).cast("date")
+    state = watchlist_replay(spark, sf_dir).where(C("last_evaluated_date") == F.date_sub(day, 1)).drop("old_state")
+    for _ in range(times):
+        out = watchlist.watchlist_update(state, chosen.where(C("date") == day), bars.where(C("date") == day), fixture.load_sessions(bars), AS_OF, FIXTURE.watchlist_ttl_sessions)
+        state = out.drop("old_state")
+    return out
+
+
+def watchlist_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _updated(spark, sf_dir)
+
+
+def watchlist_active(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watchlist.watchlist_active(_updated(spark, sf_dir)).select("code", "state", "signals", "age_sessions")
+
+
+def watchlist_idempotent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same update twice: states, ages and dates as after the first, and no transition."""
+    twice = _updated(spark, sf_dir, 2)
+    return twice.join(watchlist.watchlist_transitions(twice).select("code", F.lit(1).alias("moved")), "code", "left").select("code", "state", "age_sessions", "first_seen_date", "last_signal_date", F.coalesce("moved", F.lit(0)).alias("moved"))
+
+
+def state_full_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which side of the last session's update each code comes from: the list, the session's signals, or both."""
+    out = _updated(spark, sf_dir)
+    return out.select("code", C("old_state").isNotNull().cast("int").alias("was_listed"), (C("last_signal_date") == F.lit(AS_OF).cast("date")).cast("int").alias("has_signal"), "data_status")
+
+
+def watchlist_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watchlist.watchlist_transitions(watchlist_replay(spark, sf_dir))
+
+
+def append_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history up to the 28th with the transitions from the 25th on put over it, their closes one higher."""
+    rows = watchlist_transitions(spark, sf_dir)
+    late = rows.where(C("date") >= F.lit("2001-12-25").cast("date")).withColumn("close", C("close") + 1)
+    return replay.append_transitions(rows.where(C("date") <= F.lit("2001-12-28").cast("date")), late)
+
+
+def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return watchlist.current_state(_chosen(spark, sf_dir), "code", "date").select("code", "date", "new_state", "new_signals", "new_score_total", "new_close", "new_resistance_price", "new_support_price")
+
+
+_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay, backtest_panel, signal_flags, eligible_rows, signals_with_outcomes, scan, scan_report, scan_funnel, publish_run, publish_shape_checkpoint, publish_history, publish_backtest, column_fallbacks, join_universe_context, names_lookup, union_signals, top_n, evidence_metadata, require_fresh_benchmark, label_view, join_reference_audit, watchlist_update, watchlist_active, watchlist_idempotent, state_full_join, watchlist_transitions, append_transitions, current_state)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _PLAIN} | ingest.QUERIES
 
 
@@ -322,8 +517,7 @@ def oracles() -> dict[str, str]:
       CASE WHEN bars IS NULL THEN 'failed' WHEN last_date < {day} THEN 'stale_hist' WHEN bars < 520 THEN 'insufficient_bars' ELSE 'ok' END AS status
       FROM supplier JOIN nation ON s_nationkey = n_nationkey LEFT JOIN have ON code = lpad(CAST(s_suppkey AS VARCHAR), 6, '0'))"""
     sessions = f"{bars}, sessions AS (SELECT date, row_number() OVER (ORDER BY date) AS session_no FROM (SELECT DISTINCT date FROM bars))"
-    bench = """bench AS (SELECT date, CAST(floor(2000 * exp(CAST(sum(floor(r / CAST(n AS DOUBLE))) OVER (ORDER BY date) AS DOUBLE) / 200)) AS DOUBLE) AS close FROM (SELECT date, sum(r) AS r, count(*) AS n FROM dated GROUP BY 1)),
-      index AS (SELECT *, (close / lag(close, 20) OVER (ORDER BY date) - 1) * 100 AS b20, (close / lag(close, 60) OVER (ORDER BY date) - 1) * 100 AS b60, avg(close) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m20 FROM bench)"""
+    bench = ref.BENCH
     last = f"{bars}, last AS (SELECT code, max(date) AS date, arg_max(close, date) AS close, arg_max(volume, date) AS volume, count(*) AS bars FROM bars GROUP BY 1)"
     picked = f"""{last}, picked AS (SELECT code, 'chip_base_ready' AS signal, close AS model_score, 0 AS no FROM last WHERE CAST(code AS INTEGER) % 3 <> 0
       UNION ALL SELECT code, 'chip_base_launch', volume, 1 FROM last WHERE CAST(code AS INTEGER) % 2 = 0)"""
@@ -335,9 +529,7 @@ def oracles() -> dict[str, str]:
       summary AS (SELECT *, CASE WHEN fund_flow_available = 1 AND fund_flow_positive_window_count = 4 THEN 1 ELSE 0 END AS fund_flow_all_windows_positive,
       CASE WHEN fund_flow_is_current = 0 THEN 'stale since ' || CAST(fund_flow_latest_date AS VARCHAR) WHEN fund_flow_available = 1 AND fund_flow_positive_window_count = 4 THEN 'net inflow in all windows'
       WHEN fund_flow_available = 1 THEN CAST(fund_flow_positive_window_count AS VARCHAR) || '/4 windows with net inflow' ELSE 'fewer than 20 days' END AS fund_flow_rank_reason FROM counted)"""
-    judged = f"""{bars}, {ref.OUTCOMES}, meant AS (SELECT bars.*, row_number() OVER w AS no, {ref.roll('avg', 'close', 20)} AS ma20, {ref.roll('avg', 'amount', 20, k=1)} AS amount_ma20_prev, lag(close, 20) OVER w AS c20 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)),
-      eligible AS (SELECT m.*, j.outcome_success, coalesce(close > ma20, false) AS sig FROM meant m JOIN judged j USING (code, date) WHERE no >= 150 AND amount_ma20_prev >= 20000 AND outcome_success IS NOT NULL AND c20 IS NOT NULL)"""
-    rank = lambda x: f"CASE WHEN {x} IS NOT NULL THEN round((rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2) / count({x}) OVER (PARTITION BY date), 6) END"
+    rank = lambda x: f"CASE WHEN {x} IS NOT NULL THEN floor((rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2) / count({x}) OVER (PARTITION BY date) * 1e6 + 0.5) / 1e6 END"
     keys = ", ".join(f"coalesce({k}, 0) DESC" for k in ("fund_flow_is_current", "fund_flow_all_windows_positive", "fund_flow_positive_window_count", *(f"main_net_inflow_{n}d_amount" for n in flow.SPANS)))
     out |= {
         "scan_bars": f"{gaps} SELECT code, count(*) AS bars, max(date) AS last_date, CASE WHEN max(date) = {day} THEN 'fresh' ELSE 'stale_date' END AS state FROM gaps GROUP BY 1",
@@ -349,27 +541,22 @@ def oracles() -> dict[str, str]:
         "coverage_gate": f"{status}, n AS (SELECT count(*) AS universe, count(*) FILTER (status = 'ok') AS ok FROM status) SELECT universe, ok, round(ok / universe * 100, 2) AS coverage_pct, round(ok / universe * 100, 2) >= 90 AS valid FROM n",
         "status_counts": f"{status} SELECT status, count(*) AS n FROM status GROUP BY 1",
         "session_offset": f"{sessions} SELECT date, lead(date, 12) OVER (ORDER BY date) AS target FROM sessions",
-        "sessions_between": f'{sessions}, pairs AS (SELECT DISTINCT date AS "start", date + CAST(day(date) - 10 AS INTEGER) AS "end" FROM bars) SELECT p."start", p."end", (SELECT count(*) FROM sessions s WHERE s.date > p."start" AND s.date <= p."end") AS n FROM pairs p WHERE p."end" IN (SELECT date FROM sessions)',
-        "merge_incremental": f"""{bars} SELECT code, count(*) AS bars, round(sum(CASE WHEN CAST(code AS INTEGER) % 5 <> 0 AND date > {day} - 30 THEN close + 0.01 ELSE close END), 2) AS closes, CASE WHEN CAST(code AS INTEGER) % 5 = 0 THEN 1 ELSE 0 END AS rebuild FROM bars GROUP BY code""",
+        "sessions_between": f'{sessions}, pairs AS (SELECT DISTINCT date AS "start", date + CAST(day(date) - 10 AS INTEGER) AS "end" FROM bars) SELECT p."start", p."end", greatest((SELECT count(*) FROM sessions s WHERE s.date BETWEEN p."start" AND p."end") - 1, 0) AS n FROM pairs p',
+        "merge_incremental": f"""{bars} SELECT code, count(*) AS bars, round(sum(CASE WHEN CAST(code AS INTEGER) % 5 <> 0 AND CAST(code AS INTEGER) % 7 <> 0 AND date > {day} - 30 THEN close + 0.01 ELSE close END), 2) AS closes,
+          CASE WHEN CAST(code AS INTEGER) % 5 = 0 OR CAST(code AS INTEGER) % 7 = 0 THEN 1 ELSE 0 END AS rebuild FROM bars GROUP BY code""",
         "join_evidence_asof": f"""{last}, ev AS (SELECT code, date, volume AS flow, CASE WHEN volume > 30 THEN close END AS note, row_number() OVER (PARTITION BY code ORDER BY date DESC) AS nth FROM bars WHERE (day(date) + CAST(code AS INTEGER)) % 11 = 0 AND date <= DATE '2001-12-15')
           SELECT l.code, e.date AS evidence_date, e.flow, coalesce(e.note, l.close) AS note FROM last l LEFT JOIN ev e ON e.code = l.code AND e.nth = 1""",
         "latest_snapshot": f"{last} SELECT code, date, close, bars FROM last",
-        "join_benchmark": f"{bars}, {bench} SELECT b.code, b.date, b.close, round(b20, 6) AS benchmark_return_20d_pct, round(b60, 6) AS benchmark_return_60d_pct, CASE WHEN i.close >= m20 * 0.97 AND b20 > -8 THEN 1 ELSE 0 END AS benchmark_risk_ok FROM bars b LEFT JOIN index i USING (date)",
+        "join_benchmark": f"{bars}, {bench} SELECT b.code, b.date, b.close, {ref.near('b20')} AS benchmark_return_20d_pct, {ref.near('b60')} AS benchmark_return_60d_pct, CASE WHEN i.close >= m20 * 0.97 AND b20 > -8 THEN 1 ELSE 0 END AS benchmark_risk_ok FROM bars b LEFT JOIN index i USING (date)",
         "relative_strength": f"""{bars}, {bench}, x AS (SELECT code, date, (close / lag(close, 20) OVER w - 1) * 100 AS r20, (close / lag(close, 60) OVER w - 1) * 100 AS r60 FROM bars WINDOW w AS (PARTITION BY code ORDER BY date)),
           y AS (SELECT x.code, x.date, r20 - coalesce(b20, 0) AS e20, r60 - coalesce(b60, 0) AS e60, u.cap FROM x LEFT JOIN index USING (date) LEFT JOIN (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, abs(s_acctbal) * 1e6 AS cap FROM supplier) u ON u.code = x.code)
-          SELECT code, date, round(e20, 6) AS rs20_excess_pct, round(e60, 6) AS rs60_excess_pct, {rank('e20')} AS rs20_percentile, {rank('e60')} AS rs60_percentile, {rank('cap')} AS float_cap_percentile FROM y""",
-        "cost_distribution_asof": f"{bars}, {ref.MASS} SELECT code, bin, round(mass, 9) AS mass FROM mass WHERE mass > 1e-7",
+          SELECT code, date, {ref.near('e20')} AS rs20_excess_pct, {ref.near('e60')} AS rs60_excess_pct, {rank('e20')} AS rs20_percentile, {rank('e60')} AS rs60_percentile, {rank('cap')} AS float_cap_percentile FROM y""",
+        "cost_distribution_asof": f"{bars}, {ref.MASS} SELECT code, bin, {ref.near('mass', 9)} AS mass FROM mass WHERE mass > 0",
         "flow_summary": f"{bars}, {summary} SELECT * FROM summary",
         "flow_candidates": f"""{picked}, turns AS (SELECT *, row_number() OVER (PARTITION BY signal ORDER BY model_score DESC, code) AS turn FROM picked), firsts AS (SELECT code, min(turn * 10 + no) AS k FROM turns GROUP BY 1)
           SELECT code, CAST(k // 10 AS INTEGER) AS turn, CAST(k % 10 AS INTEGER) AS signal_no, (SELECT count(*) FROM firsts) AS total FROM firsts ORDER BY k LIMIT 40""",
         "flow_rank": f"{picked}, {summary} SELECT p.code, signal, row_number() OVER (PARTITION BY signal ORDER BY {keys}, model_score DESC, p.code) AS rank FROM picked p LEFT JOIN summary s USING (code)",
-        "forward_outcomes": f"{bars}, {ref.OUTCOMES} SELECT code, date, outcome_success, round(forward_max_return_pct, 6) AS forward_max_return_pct, round(drawdown_before_target_pct, 6) AS drawdown_before_target_pct FROM judged",
-        "precision_recall": f"""{judged}, n AS (SELECT count(*) AS eligible_rows, count(*) FILTER (outcome_success = 1) AS positive_rows, count(*) FILTER (sig) AS signal_rows, count(*) FILTER (sig AND outcome_success = 1) AS successful_signal_rows FROM eligible)
-          SELECT *, round(successful_signal_rows / nullif(signal_rows, 0), 4) AS precision, round(successful_signal_rows / nullif(positive_rows, 0), 4) AS recall FROM n""",
-        "precision_by_signal": f"{judged} SELECT CASE WHEN sig THEN 'on' ELSE 'off' END AS signal, count(*) AS n, count(*) FILTER (outcome_success = 1) AS successful, round(count(*) FILTER (outcome_success = 1) / count(*), 4) AS precision FROM eligible GROUP BY 1",
-        "topk_recall": f"""{judged}, r AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY volume DESC, code) AS daily FROM eligible WHERE sig)
-          SELECT CAST(k AS INTEGER) AS k, round((SELECT count(*) FROM r WHERE daily <= k AND outcome_success = 1) / nullif((SELECT count(*) FROM eligible WHERE outcome_success = 1), 0), 4) AS recall FROM (SELECT unnest([20, 50, 100]) AS k)""",
-        "daily_summary": f"{judged} SELECT date, count(*) AS eligible, sum(outcome_success) AS opportunities, count(*) FILTER (sig) AS signals, count(*) FILTER (sig AND outcome_success = 1) AS successful_signals FROM eligible GROUP BY 1",
+        "forward_outcomes": f"{bars}, {ref.OUTCOMES} SELECT code, date, outcome_success, {ref.near('forward_max_return_pct')} AS forward_max_return_pct, {ref.near('drawdown_before_target_pct')} AS drawdown_before_target_pct FROM judged",
         "flow_status": f"""{picked}, kept AS (SELECT code, max(date) AS d FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0 AND (CAST(code AS INTEGER) % 5 <> 0 OR date < {day}) GROUP BY 1)
           SELECT p.code, d AS fund_flow_latest_date, CASE WHEN d IS NULL THEN 'failed' WHEN d = {day} THEN 'ok' ELSE 'stale' END AS status FROM (SELECT DISTINCT code FROM picked) p LEFT JOIN kept USING (code)""",
         "run_report": f"""{status}, n AS (SELECT count(*) AS universe, count(*) FILTER (status = 'ok') AS snapshots FROM status), c AS (SELECT count(DISTINCT code) AS provisional FROM bars WHERE CAST(code AS INTEGER) % 3 <> 0 OR CAST(code AS INTEGER) % 2 = 0),
@@ -378,6 +565,28 @@ def oracles() -> dict[str, str]:
           CASE WHEN NOT valid THEN 'coverage too low' WHEN snapshots = 0 OR candidates / snapshots < 0.002 THEN 'very few' WHEN candidates / snapshots < 0.01 THEN 'selective' ELSE 'many' END AS assessment FROM v""",
     }
     columns = [c for c in PROFILE if c != "chip_significant_peak_count"]
-    shown = ", ".join(["code", "chip_significant_peak_count", *(f"round(CASE WHEN abs({c}) < CAST('inf' AS DOUBLE) THEN {c} + {_NUDGE.get(c, 0.0)!r} END, 6) AS {c}" for c in columns)])
+    shown = ", ".join(["code", "chip_significant_peak_count", *(f"{ref.near(c, _DIGITS.get(c, 6))} AS {c}" for c in columns)])
     out |= {"cost_profile": f"{bars}, {ref.MASS}, {ref.LAST}, {ref.PROFILE} SELECT {shown} FROM profile", "cost_distribution_panel": f"{bars}, {ref.EVERY}, {ref.PROFILE} SELECT date, {shown} FROM profile"}
-    return out | ref.signal_queries(ref.features(), FIXTURE) | ingest.ORACLES
+    state = "FROM picked p LEFT JOIN"
+    audit = "coalesce(max(CASE WHEN p.signal = '{0}' THEN 1 END), 0) AS {0}".format
+    out |= {
+        "ewm": ref.ewm_recursion(),
+        "join_universe_context": f"{last} SELECT code, close, CASE WHEN s_suppkey % 3 <> 0 THEN round(abs(s_acctbal) * 1e6, 2) END AS float_market_cap FROM last LEFT JOIN supplier ON code = lpad(CAST(s_suppkey AS VARCHAR), 6, '0')",
+        "names_lookup": f"{bars}, {ref.NAMES} SELECT code, date, CASE WHEN CAST(code AS INTEGER) % 3 <> 0 THEN coalesce(name, '') ELSE '' END AS name FROM bars LEFT JOIN names USING (code)",
+        "union_signals": f"{picked}, {ref.NAMES} SELECT code, coalesce(any_value(name), '') AS name, count(DISTINCT signal) AS signals {state} names USING (code) GROUP BY 1",
+        "top_n": f"{picked}, {summary}, r AS (SELECT p.code, signal, row_number() OVER (PARTITION BY signal ORDER BY {keys}, model_score DESC, p.code) AS rank {state} summary s USING (code)) SELECT * FROM r WHERE rank <= 7",
+        "evidence_metadata": f"{bars}, ev AS (SELECT code, max(date) AS d FROM bars WHERE (day(date) + CAST(code AS INTEGER)) % 11 = 0 AND date <= DATE '2001-12-15' GROUP BY 1) SELECT true AS loaded, count(*) AS matched_codes, max(d) AS newest_date, '' AS note FROM ev",
+        "require_fresh_benchmark": f"{bars} SELECT max(date) AS last_date, session, CAST(max(date) AS VARCHAR) = session AS fresh FROM bars, (VALUES ('{AS_OF}'), ('2002-01-01')) v(session) GROUP BY session",
+        "label_view": f"{picked} SELECT code, CASE signal WHEN 'chip_base_ready' THEN 'Ready' ELSE signal END AS signal, round(model_score, 2) AS model_score, round(model_score / 8, 2) AS ratio FROM picked",
+        "join_reference_audit": f"""{status}, {picked.removeprefix('WITH ' + ref.BARS + ', ')}, {ref.NAMES}, listed AS (SELECT code, CAST(code AS INTEGER) AS k FROM names WHERE CAST(code AS INTEGER) % 4 < 2)
+          SELECT l.code, CASE WHEN k % 6 <> 0 THEN any_value(n.name) ELSE 'listed ' || l.code END AS name, k % 4 AS acceptance_example, CASE WHEN count(p.code) > 0 THEN 1 ELSE 0 END AS selected_any, any_value(s.status) AS fetch_status, any_value(s.last_date) AS last_date, any_value(s.bars) AS bars,
+          CASE WHEN k % 6 <> 0 THEN 1 ELSE 0 END AS in_universe, CASE WHEN any_value(s.bars) > 0 THEN 1 ELSE 0 END AS indicators_ready, {', '.join(map(audit, signals.SIGNALS))}, CASE WHEN k % 5 = 0 THEN 'chip_base_ready' END AS closest_signal, CASE WHEN k % 5 = 0 THEN 'liquidity' END AS failed_at
+          FROM listed l LEFT JOIN names n USING (code) LEFT JOIN status s USING (code) LEFT JOIN picked p USING (code) GROUP BY l.code, k""",
+        "publish_run": f"""{picked} SELECT '2001-12-28' AS session, 'selected' AS artefact, count(*) AS n, min(code) AS first_code FROM picked UNION ALL SELECT s, 'scored', count(*), min(code) FROM last, (VALUES ('2001-12-28'), ('{AS_OF}')) v(s) GROUP BY s
+          UNION ALL SELECT '{AS_OF}', 'provisional_selected', count(*), min(code) FROM picked""",
+        "publish_shape_checkpoint": f"{picked} SELECT 'shape_only' AS artefact, code, model_score FROM picked".replace("'shape_only' AS artefact", "signal AS artefact"),
+        "publish_history": f"""{bars} SELECT code, CAST(year(date) AS INTEGER) AS year, CASE WHEN year(date) = 2001 THEN 'second' ELSE 'first' END AS source, CASE WHEN year(date) = 2001 THEN {day} ELSE DATE '2001-12-15' END AS as_of, count(*) AS bars, sum(close) AS closes FROM bars GROUP BY 1, 2, 3, 4""",
+    }
+    whole = ref.features()
+    out |= ref.backtest_queries(whole, FIXTURE, PERIOD, (1, 2, *FIXTURE.top_k)) | ref.scan_queries(whole, FIXTURE, day, summary, keys) | ref.watchlist_queries(sessions, FIXTURE.watchlist_ttl_sessions, day)
+    return out | ref.signal_queries(whole, FIXTURE) | ingest.ORACLES

@@ -38,6 +38,7 @@ class Params:
     max_drawdown_pct: float = 6.0
     top_k: tuple[int, ...] = (20, 50, 100)
     top_n: int = 100
+    flow_candidates: int = 120
     min_coverage_pct: float = 90.0
 
     def __post_init__(self) -> None:

@@ -202,7 +202,7 @@ summed AS (SELECT code, date, any_value(total) * 100 AS chip_model_coverage_pct,
   {share("price >= peak * 0.96 AND price <= peak * 1.04")} AS chip_peak_band_share_pct, {at(0.15)} AS chip_70_low, {at(0.85)} AS chip_70_high, {at(0.05)} AS chip_90_low, {at(0.95)} AS chip_90_high,
   {share("price <= close")} AS chip_profit_ratio_pct, {share("price > close")} AS chip_overhead_ratio_pct, {share("price <= seen_low + (seen_high - seen_low) * 0.35")} AS chip_low_zone_share_pct,
   any_value(seen_low) AS lo, any_value(seen_high) AS hi, any_value(close) AS close FROM part_of JOIN peaks USING (code, date) JOIN span USING (code, date) GROUP BY 1, 2),
-profile AS (SELECT *, coalesce({price("second.bin")}, chip_peak_price) AS chip_secondary_peak_price, coalesce(s1 / second.s, CAST('inf' AS DOUBLE)) AS chip_peak_dominance, CAST(n AS INTEGER) AS chip_significant_peak_count,
+profile AS (SELECT *, {price("second.bin")} AS chip_secondary_peak_price, coalesce(s1 / second.s, CAST('inf' AS DOUBLE)) AS chip_peak_dominance, CAST(n AS INTEGER) AS chip_significant_peak_count,
   {pct("chip_70_high", "chip_70_low")} AS chip_70_width_pct, {pct("chip_90_high", "chip_90_low")} AS chip_90_width_pct, CASE WHEN hi > lo THEN (chip_peak_price - lo) / (hi - lo) ELSE 0.5 END AS chip_peak_position,
   {pct("close", "chip_peak_price")} AS chip_peak_distance_pct FROM summed)"""
 
@@ -210,8 +210,12 @@ profile AS (SELECT *, coalesce({price("second.bin")}, chip_peak_price) AS chip_s
 PROFILE = _profile()
 
 
-def snapshot(chain: Chain) -> str:
-    """The chain, the last rows with their profile as snapshot, and these with scores as scored."""
+BENCH = """bench AS (SELECT date, CAST(floor(2000 * exp(CAST(sum(floor(r / CAST(n AS DOUBLE))) OVER (ORDER BY date) AS DOUBLE) / 200)) AS DOUBLE) AS close FROM (SELECT date, sum(r) AS r, count(*) AS n FROM dated GROUP BY 1)),
+  index AS (SELECT *, (close / lag(close, 20) OVER (ORDER BY date) - 1) * 100 AS b20, (close / lag(close, 60) OVER (ORDER BY date) - 1) * 100 AS b60, avg(close) OVER (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m20 FROM bench)"""
+
+
+def snapshot(chain: Chain, every: bool = False, where: str = "", risky: bool = False) -> str:
+    """The chain, the last rows (or every row) with their profile as snapshot, and these with scores as scored."""
     base = ladder(("width <= 16", 12), ("width > 16 AND width <= 28", 8), ("width > 28 AND width <= 42", 4), ("ret <= 6", 8), ("ret > 6 AND ret <= 14", 5), ("ret > 14 AND ret <= 22", 2), ("win >= 40", 4), ("win BETWEEN 20 AND 39", 2), ("adaptive_base_turnover_sum_pct >= 15", 3))
     shape = ladder(
         ("share >= 25", 12), ("share >= 18 AND share < 25", 9), ("share >= 12 AND share < 18", 6), ("share >= 10 AND share < 12", 4), ("spread70 <= 18", 10), ("spread70 > 18 AND spread70 <= 30", 7), ("spread70 > 30 AND spread70 <= 45", 4),
@@ -220,17 +224,19 @@ def snapshot(chain: Chain) -> str:
     )
     context = ladder(("dropped <= -20", 6), ("dropped >= -20 AND dropped < -8", 4), ("place <= 0.40", 5), ("place > 0.40 AND place <= 0.75", 3), ("place > 0.75 AND place <= 0.88", 1), ("decline <= -12", 4), ("decline >= -12 AND decline < -5", 2))
     launch = f"coalesce(adaptive_trend_votes, 0) * 2 + {ladder(('vol_ratio_20 >= 1.05', 2), ('up_down_volume_ratio_10 >= 1.15', 2), ('macd_rising = 1', 1))}"
-    risk = ladder(("distribution_day_count_5 <= 2", 2), ("breakout_failed_fast = 0", 1), ("breakout_stall_distribution = 0", 1), ("1 = 1", 1))
+    risk = ladder(("distribution_day_count_5 <= 2", 2), ("breakout_failed_fast = 0", 1), ("breakout_stall_distribution = 0", 1), ("risk_ok = 1", 1))
     named = "*, adaptive_base_width_pct AS width, abs(adaptive_base_return_pct) AS ret, adaptive_base_window AS win, chip_peak_band_share_pct AS share, chip_70_width_pct AS spread70, adaptive_base_drawdown_120_pct AS dropped, adaptive_base_position_120 AS place, adaptive_pre_base_decline_60_pct AS decline"
+    last = "QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1"
+    risk_ok = "CASE WHEN i.date IS NULL OR (i.close >= i.m20 * 0.97 AND i.b20 > -8) THEN 1 ELSE 0 END" if risky else "1"
     chip = "p.* EXCLUDE (code, date, close, s1, second, n, lo, hi)"
     done = lambda k: f"least(100, structure + chip_score_launch + {flag(f'adaptive_{k}_price_action = 1')} * 5) AS chip_base_{k}_score"
     return "WITH " + ",\n".join(
         [
-            *chain.parts, MASS, LAST, PROFILE,
-            f"snapshot AS (SELECT f.*, {chip}, f.no AS bars_seen FROM (SELECT * FROM {chain.name} QUALIFY row_number() OVER (PARTITION BY code ORDER BY date DESC) = 1) f LEFT JOIN profile p ON p.code = f.code)",
+            *chain.parts, *((EVERY,) if every else (MASS, LAST)), PROFILE, BENCH,
+            f"snapshot AS (SELECT f.*, {chip}, f.no AS bars_seen, i.b20, i.b60, {risk_ok} AS risk_ok FROM (SELECT * FROM {chain.name} {'' if every else last}) f LEFT JOIN profile p ON p.code = f.code AND p.date = f.date LEFT JOIN index i ON i.date = f.date {where})",
             f"partly AS (SELECT *, least(35, {base}) AS chip_score_base, least(35, {shape}) AS chip_score_profile, least(15, {context}) AS chip_score_context, least(15, {launch}) AS chip_score_launch, least(5, {risk}) AS chip_score_risk FROM (SELECT {named} FROM snapshot))",
-            "summing AS (SELECT *, chip_score_base + chip_score_profile + chip_score_context + chip_score_risk AS structure FROM partly)",
-            f"modelled AS (SELECT *, least(90, structure) AS chip_structure_score, least(100, structure + {flag('adaptive_ready_price_action = 1')} * 10) AS chip_base_ready_score, {done('launch')}, {done('rebound')} FROM summing)",
+            "structured AS (SELECT *, chip_score_base + chip_score_profile + chip_score_context + chip_score_risk AS structure FROM partly)",
+            f"modelled AS (SELECT *, least(90, structure) AS chip_structure_score, least(100, structure + {flag('adaptive_ready_price_action = 1')} * 10) AS chip_base_ready_score, {done('launch')}, {done('rebound')} FROM structured)",
             "scored AS (SELECT *, greatest(chip_base_ready_score, chip_base_launch_score, chip_base_rebound_score) AS score_total FROM modelled)",
         ]
     )
@@ -267,23 +273,136 @@ def gate_steps(p) -> dict[str, list[tuple[str, str]]]:
     }
 
 
-def signal_queries(chain: Chain, p) -> dict[str, str]:
-    """SQL of scores, select_signals, funnel_counts and near_misses."""
-    whole, steps = snapshot(chain), gate_steps(p)
+def stepped(whole: str, steps: dict[str, list[tuple[str, str]]]) -> str:
+    """whole, each row's list of passed steps for each signal, and the rows that each signal chooses."""
     listed = ", ".join(f"[{', '.join(c for _, c in some)}] AS ok_{signal}" for signal, some in steps.items())
-    stepped = f"{whole}, stepped AS (SELECT *, {listed} FROM scored)"
-    shown = "chip_score_base chip_score_profile chip_score_context chip_score_launch chip_score_risk chip_structure_score chip_base_ready_score chip_base_launch_score chip_base_rebound_score score_total".split()
     chosen = " UNION ALL ".join(f"SELECT code, '{s}' AS signal, CAST({s}_score AS INTEGER) AS model_score, share, amount_ma20_prev FROM stepped WHERE list_bool_and(ok_{s})" for s in steps)
+    return f"{whole}, stepped AS (SELECT *, {listed} FROM scored), chosen AS ({chosen})"
+
+
+def funnel(steps: dict[str, list[tuple[str, str]]]) -> str:
     counts = " UNION ALL ".join(
         f"SELECT '{s}' AS signal, {i + 1} AS step_number, '{name}' AS step, count(*) FILTER (list_bool_and(ok_{s}[1:{i + 1}])) AS remaining_count, count(*) AS n FROM stepped" for s, some in steps.items() for i, (name, _) in enumerate(some)
     )
+    share = lambda of: f"CASE WHEN {of} > 0 THEN round(remaining_count / {of} * 100, 2) ELSE 0.0 END"
+    return f", counts AS ({counts}), b AS (SELECT *, coalesce(lag(remaining_count) OVER (PARTITION BY signal ORDER BY step_number), n) AS before FROM counts) SELECT signal, step_number, step, remaining_count, {share('before')} AS retention_from_previous_pct, {share('n')} AS retention_from_all_pct FROM b"
+
+
+SCORES = "chip_score_base chip_score_profile chip_score_context chip_score_launch chip_score_risk chip_structure_score chip_base_ready_score chip_base_launch_score chip_base_rebound_score score_total".split()
+
+
+def near(x: str, digits: int = 6) -> str:
+    return f"floor((CASE WHEN abs({x}) < CAST('inf' AS DOUBLE) THEN {x} END) * 1e{digits} + 0.5) / 1e{digits}"
+
+
+def signal_queries(chain: Chain, p) -> dict[str, str]:
+    """SQL of scores, select_signals, funnel_counts, near_misses and column_fallbacks."""
+    whole, steps = snapshot(chain), gate_steps(p)
+    base = stepped(whole, steps)
     far = ", ".join(f"struct_pack(ratio := coalesce(nullif(list_position(ok_{s}, false), 0) - 1, {len(some)}) / {len(some)}, ord := {-i}, signal := '{s}', failed := coalesce([{', '.join(repr(n) for n, _ in some)}][nullif(list_position(ok_{s}, false), 0)], ''), passed := coalesce(nullif(list_position(ok_{s}, false), 0) - 1, {len(some)}), total := {len(some)})" for i, (s, some) in enumerate(steps.items()))
     none = " AND ".join(f"NOT list_bool_and(ok_{s})" for s in steps)
-    share = lambda of: f"CASE WHEN {of} > 0 THEN round(remaining_count / {of} * 100, 2) ELSE 0.0 END"
+    fixed = Chain("", "fixed")
+    replaced = {
+        "adaptive_base_high": "base_high_20_pre3", "adaptive_base_width_pct": "base_width_20_pre3_pct", "adaptive_base_return_pct": "base_return_20_pre3_pct", "adaptive_base_turnover_sum_pct": "base_turnover_sum_20_pre3_pct",
+        "adaptive_base_drawdown_120_pct": "base_drawdown_from_120_high_pct", "adaptive_base_position_120": "base_position_120_pre3", "adaptive_pre_base_decline_60_pct": "pre_base_decline_60_pct",
+        "adaptive_launch_price_action": "early_launch_price_action", "adaptive_rebound_price_action": "rebound_price_action", "adaptive_ready_price_action": "1 - early_launch_price_action",
+        "adaptive_trend_votes": "3 * early_launch_price_action", "adaptive_base_window": "20", "adaptive_base_offset": "3", "distance_from_adaptive_base_high_pct": pct("close", "base_high_20_pre3"),
+    }
+    fixed.parts = [*chain.parts, f"fixed AS (SELECT * REPLACE ({', '.join(f'{x} AS {c}' for c, x in replaced.items())}) FROM {chain.name})"]
+    few = ("chip_score_base", "chip_score_context", "chip_score_launch", "adaptive_base_offset", "adaptive_base_window", "adaptive_trend_votes", "adaptive_ready_price_action", "score_total")
     return {
-        "scores": f"{whole} SELECT code, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in shown)} FROM scored",
-        "select_signals": f"{stepped}, chosen AS ({chosen}) SELECT code, signal, model_score, CAST(row_number() OVER (PARTITION BY signal ORDER BY model_score DESC, share DESC NULLS LAST, amount_ma20_prev DESC NULLS LAST, code) AS INTEGER) AS rank FROM chosen",
-        "funnel_counts": f"{stepped}, counts AS ({counts}), b AS (SELECT *, coalesce(lag(remaining_count) OVER (PARTITION BY signal ORDER BY step_number), n) AS before FROM counts) SELECT signal, step_number, step, remaining_count, {share('before')} AS retention_from_previous_pct, {share('n')} AS retention_from_all_pct FROM b",
-        "near_misses": f"""{stepped}, far AS (SELECT *, list_max([{far}]) AS best FROM stepped WHERE {none}), r AS (SELECT *, row_number() OVER (ORDER BY best.ratio DESC, score_total DESC NULLS LAST, share DESC NULLS LAST, code) AS nth FROM far)
-          SELECT code, best.signal AS closest_signal, best.failed AS failed_at, CAST(best.passed AS INTEGER) AS passed_steps, CAST(best.total AS INTEGER) AS total_steps, round(best.ratio, 6) AS completion_ratio, CAST(nth AS INTEGER) AS near_miss_rank FROM r WHERE nth <= {p.top_n}""",
+        "scores": f"{whole} SELECT code, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in SCORES)} FROM scored",
+        "select_signals": f"{base} SELECT code, signal, model_score, CAST(row_number() OVER (PARTITION BY signal ORDER BY model_score DESC, share DESC NULLS LAST, amount_ma20_prev DESC NULLS LAST, code) AS INTEGER) AS rank FROM chosen",
+        "funnel_counts": base + funnel(steps),
+        "near_misses": f"""{base}, far AS (SELECT *, list_max([{far}]) AS best FROM stepped WHERE {none}), r AS (SELECT *, row_number() OVER (ORDER BY best.ratio DESC, score_total DESC NULLS LAST, share DESC NULLS LAST, code) AS nth FROM far)
+          SELECT code, best.signal AS closest_signal, best.failed AS failed_at, CAST(best.passed AS INTEGER) AS passed_steps, CAST(best.total AS INTEGER) AS total_steps, {near('best.ratio')} AS completion_ratio, CAST(nth AS INTEGER) AS near_miss_rank FROM r WHERE nth <= {p.top_n}""",
+        "column_fallbacks": f"{snapshot(fixed)} SELECT code, {', '.join(f'CAST({c} AS INTEGER) AS {c}' for c in few)}, {near('distance_from_adaptive_base_high_pct')} AS distance_from_adaptive_base_high_pct FROM scored",
     }
+
+
+def _share_rank(x: str) -> str:
+    return f"CASE WHEN {x} IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY {x} NULLS LAST) + (count(*) OVER (PARTITION BY date, {x}) - 1) / 2) / count({x}) OVER (PARTITION BY date) END"
+
+
+NAMES = "names AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CASE WHEN s_suppkey % 17 = 0 THEN '*ST ' || s_name ELSE s_name END AS name FROM supplier JOIN nation ON s_nationkey = n_nationkey)"
+
+
+def backtest_queries(chain: Chain, p, period: tuple[str, str], ks: tuple[int, ...]) -> dict[str, str]:
+    steps = gate_steps(p)
+    flags = ", ".join(f"list_bool_and(ok_{s}) AS {s}" for s in steps)
+    names = ", ".join(f"CASE WHEN {s} THEN '{s}' END" for s in steps)
+    panel = f"""{stepped(snapshot(chain, every=True, where=f"WHERE f.date BETWEEN DATE '{period[0]}' AND DATE '{period[1]}'"), steps)}, {OUTCOMES}, {NAMES},
+      flagged AS (SELECT s.*, o.outcome_success, o.forward_max_return_pct, o.drawdown_before_target_pct, coalesce(n.name, '') AS name, return_20d_pct - coalesce(b20, 0) AS e20, return_60d_pct - coalesce(b60, 0) AS e60, {flags} FROM stepped s JOIN judged o USING (code, date) LEFT JOIN names n USING (code)),
+      panel AS (SELECT *, {_share_rank('e20')} AS rs20_percentile, {_share_rank('e60')} AS rs60_percentile, {' OR '.join(steps)} AS any_signal, concat_ws(',', {names}) AS signal_names FROM flagged),
+      eligible AS (SELECT * FROM panel WHERE bars_seen >= {p.min_history_bars} AND amount_ma20_prev >= {p.min_amount_ma20} AND one_price_limit = 0 AND outcome_success IS NOT NULL AND rs20_percentile IS NOT NULL)"""
+    ranked = f"{panel}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY score_total DESC NULLS LAST, code) AS INTEGER) AS daily_rank FROM eligible WHERE any_signal)"
+    metrics = """n AS (SELECT count(*) AS eligible_rows, count(*) FILTER (outcome_success = 1) AS positive_rows, count(*) FILTER (any_signal) AS signal_rows, count(*) FILTER (any_signal AND outcome_success = 1) AS successful_signal_rows FROM eligible)"""
+    by = " UNION ALL ".join(f"SELECT '{s}' AS signal, count(*) FILTER ({s}) AS n, count(*) FILTER ({s} AND outcome_success = 1) AS successful FROM eligible" for s in steps)
+    return {
+        "backtest_panel": f"{panel} SELECT code, date, CAST(bars_seen AS INTEGER) AS bars, name, any_signal, signal_names, CAST(score_total AS INTEGER) AS score_total, outcome_success, {', '.join(f'{near(c)} AS {c}' for c in ('rs20_percentile', 'rs60_percentile', 'chip_peak_price', 'forward_max_return_pct'))} FROM panel",
+        "signal_flags": f"{panel} SELECT code, date, {', '.join(steps)}, any_signal, signal_names FROM panel",
+        "eligible_rows": f"{panel} SELECT code, date, CAST(bars_seen AS INTEGER) AS bars, outcome_success FROM eligible",
+        "precision_recall": f"{panel}, {metrics} SELECT *, round(successful_signal_rows / nullif(signal_rows, 0), 4) AS precision, round(successful_signal_rows / nullif(positive_rows, 0), 4) AS recall FROM n",
+        "precision_by_signal": f"{panel}, b AS ({by}) SELECT *, round(successful / nullif(n, 0), 4) AS precision FROM b",
+        "topk_recall": f"{ranked} SELECT CAST(k AS INTEGER) AS k, round((SELECT count(*) FROM ranked WHERE daily_rank <= k AND outcome_success = 1) / nullif((SELECT count(*) FROM eligible WHERE outcome_success = 1), 0), 4) AS recall FROM (SELECT unnest({list(ks)}) AS k)",
+        "daily_summary": f"{panel} SELECT date, count(*) AS eligible, sum(outcome_success) AS opportunities, count(*) FILTER (any_signal) AS signals, count(*) FILTER (any_signal AND outcome_success = 1) AS successful_signals FROM eligible GROUP BY 1",
+        "signals_with_outcomes": f"{ranked} SELECT date, code, name, signal_names, CAST(score_total AS INTEGER) AS score_total, daily_rank, close, outcome_success, {', '.join(f'{near(c)} AS {c}' for c in ('rs20_percentile', 'forward_max_return_pct', 'drawdown_before_target_pct'))} FROM ranked",
+        "publish_backtest": f"{panel}, {metrics} SELECT signal_rows AS signals, (SELECT count(DISTINCT date) FROM eligible) AS days, eligible_rows, signal_rows FROM n",
+    }
+
+
+def scan_queries(chain: Chain, p, day: str, summary: str, keys: str) -> dict[str, str]:
+    """SQL of a scan as of a day on which every fourth instrument has no bar."""
+    steps = gate_steps(p)
+    ok = f"WHERE f.date = {day} AND f.no >= {p.min_history_bars} AND CAST(f.code AS INTEGER) % 4 <> 0 AND CAST(f.code AS INTEGER) % 17 <> 0 AND CAST(f.code AS INTEGER) % 23 <> 0"
+    base = f"{stepped(snapshot(chain, where=ok, risky=True), steps)}, {NAMES}, {summary}"
+    return {
+        "scan": f"""{base}, ranks AS (SELECT code, {_share_rank('x')} AS rs20_percentile FROM (SELECT code, date, return_20d_pct - coalesce(b20, 0) AS x FROM scored)),
+          ev AS (SELECT code, max(date) AS evidence_date, arg_max(volume, date) AS flow FROM bars WHERE (day(date) + CAST(code AS INTEGER)) % 11 = 0 AND date <= {day} GROUP BY 1)
+          SELECT c.code, n.name, c.signal, model_score, CAST(row_number() OVER (PARTITION BY signal ORDER BY {keys}, model_score DESC, c.code) AS INTEGER) AS rank, fund_flow_rank_reason, evidence_date, flow, {near('rs20_percentile')} AS rs20_percentile
+          FROM chosen c JOIN names n USING (code) JOIN ranks USING (code) LEFT JOIN summary s USING (code) LEFT JOIN ev USING (code)""",
+        "scan_funnel": base + funnel(steps),
+        "scan_report": f"""{base}, u AS (SELECT count(*) AS universe FROM supplier WHERE s_suppkey % 17 <> 0 AND s_suppkey % 23 <> 0 AND NOT contains(upper(s_name), 'ST')), n AS (SELECT universe, (SELECT count(*) FROM scored) AS snapshots, (SELECT count(DISTINCT code) FROM chosen) AS provisional FROM u),
+          r AS (SELECT *, round(snapshots / universe * 100, 2) AS coverage_pct FROM n), v AS (SELECT *, coverage_pct >= 50 AS valid, CASE WHEN coverage_pct >= 50 THEN provisional ELSE 0 END AS candidates FROM r)
+          SELECT *, CASE WHEN snapshots > 0 THEN round(candidates / snapshots * 100, 3) ELSE 0 END AS candidate_rate_pct,
+          CASE WHEN NOT valid THEN 'coverage too low' WHEN snapshots = 0 OR candidates / snapshots < 0.002 THEN 'very few' WHEN candidates / snapshots < 0.01 THEN 'selective' ELSE 'many' END AS assessment FROM v""",
+    }
+
+
+def watchlist_queries(sessions: str, ttl: int, day: str) -> dict[str, str]:
+    """SQL of the watchlist as a recursion over sessions."""
+    five = f"OVER ({OVER} ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)"
+    sel = f"""{sessions}, sel AS (SELECT code, date, volume AS score, close, max(close) {five} AS top, min(low) {five} AS floor_, CASE WHEN volume > 2 * avg(volume) {five} THEN 'TRIGGER' ELSE 'SETUP' END AS st FROM bars QUALIFY close > top)"""
+    names = "CASE WHEN st = 'TRIGGER' THEN 'chip_base_launch,chip_base_ready' ELSE 'chip_base_ready' END"
+    hit, old = "e.st IS NOT NULL", "r.state IN ('SETUP', 'TRIGGER', 'RETEST')"
+    listed = f"""{sel.replace('WITH ', 'WITH RECURSIVE ', 1)},
+      ev AS (SELECT f.code, s.session_no AS no, s.date, e.date AS ends, b.close, sel.st, sel.score, sel.top, sel.floor_ FROM (SELECT code, min(session_no) AS first FROM sel JOIN sessions USING (date) GROUP BY 1) f JOIN sessions s ON s.session_no >= f.first
+        LEFT JOIN sessions e ON e.session_no = s.session_no + {ttl} LEFT JOIN bars b ON b.code = f.code AND b.date = s.date LEFT JOIN sel ON sel.code = f.code AND sel.date = s.date),
+      rec AS (SELECT code, no, st AS state, {names} AS signals, date AS first_seen_date, date AS last_signal_date, date AS last_evaluated_date, 'ok' AS data_status, 0 AS age_sessions, score AS score_total, close, top AS resistance_price, floor_ AS support_price,
+          ends AS expires_date, CASE WHEN st = 'TRIGGER' THEN date END AS trigger_date, CASE WHEN st = 'TRIGGER' THEN close END AS trigger_price, CAST(NULL AS VARCHAR) AS old_state FROM ev QUALIFY row_number() OVER (PARTITION BY code ORDER BY no) = 1
+        UNION ALL SELECT e.code, e.no, CASE WHEN {hit} THEN e.st WHEN e.close < r.support_price * 0.98 THEN 'INVALID' WHEN e.close IS NOT NULL AND r.expires_date < e.date THEN 'EXPIRED' ELSE r.state END, CASE WHEN {hit} THEN {names.replace('st =', 'e.st =')} ELSE '' END,
+          CASE WHEN {hit} AND NOT {old} THEN e.date ELSE r.first_seen_date END, CASE WHEN {hit} THEN e.date ELSE r.last_signal_date END, e.date, CASE WHEN {hit} OR e.close IS NOT NULL THEN 'ok' ELSE 'missing_today' END,
+          CASE WHEN {hit} AND NOT {old} THEN 0 WHEN {hit} THEN r.age_sessions ELSE r.age_sessions + 1 END, CASE WHEN {hit} THEN e.score ELSE r.score_total END, coalesce(e.close, r.close), CASE WHEN {hit} THEN e.top ELSE r.resistance_price END,
+          CASE WHEN {hit} THEN e.floor_ ELSE r.support_price END, CASE WHEN {hit} THEN e.ends ELSE r.expires_date END, CASE WHEN e.st = 'TRIGGER' THEN e.date ELSE r.trigger_date END, CASE WHEN e.st = 'TRIGGER' THEN e.close ELSE r.trigger_price END, r.state
+        FROM rec r JOIN ev e ON e.code = r.code AND e.no = r.no + 1)"""
+    today, moved = f"FROM rec WHERE last_evaluated_date = {day}", "FROM rec WHERE state IS DISTINCT FROM old_state"
+    shown = "last_evaluated_date AS date, code, coalesce(old_state, 'NEW') AS from_state, state AS to_state, signals"
+    return {
+        "current_state": f"{sel} SELECT code, date, st AS new_state, {names} AS new_signals, score AS new_score_total, close AS new_close, top AS new_resistance_price, floor_ AS new_support_price FROM sel",
+        "watchlist_replay": f"{listed} SELECT * EXCLUDE (no) FROM rec",
+        "watchlist_update": f"{listed} SELECT * EXCLUDE (no) {today}",
+        "watchlist_active": f"{listed} SELECT code, state, signals, age_sessions {today} AND state IN ('SETUP', 'TRIGGER', 'RETEST')",
+        "watchlist_idempotent": f"{listed} SELECT code, state, age_sessions, first_seen_date, last_signal_date, 0 AS moved {today}",
+        "state_full_join": f"{listed} SELECT code, CASE WHEN old_state IS NULL THEN 0 ELSE 1 END AS was_listed, CASE WHEN last_signal_date = {day} THEN 1 ELSE 0 END AS has_signal, data_status {today}",
+        "watchlist_transitions": f"{listed} SELECT {shown}, close {moved}",
+        "append_transitions": f"{listed} SELECT {shown}, CASE WHEN last_evaluated_date >= DATE '2001-12-25' THEN close + 1 ELSE close END AS close {moved}",
+    }
+
+
+def ewm_recursion() -> str:
+    """dif and dea bar by bar, by what the means are defined as."""
+    fast, slow = "e.fast + (x.close - e.fast) * 2 / 13", "e.slow + (x.close - e.slow) * 2 / 27"
+    return f"""WITH RECURSIVE {BARS}, x AS (SELECT code, date, close, row_number() OVER ({OVER}) AS n FROM bars),
+      e AS (SELECT code, date, n, close AS fast, close AS slow, CAST(0 AS DOUBLE) AS dea FROM x WHERE n = 1
+        UNION ALL SELECT x.code, x.date, x.n, {fast}, {slow}, e.dea + (({fast}) - ({slow}) - e.dea) * 2 / 10 FROM e JOIN x ON x.code = e.code AND x.n = e.n + 1)
+      SELECT code, date, {near('fast - slow')} AS dif, {near('dea')} AS dea FROM e"""

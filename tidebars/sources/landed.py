@@ -16,8 +16,10 @@ C = F.col
 # The order of fields in providers' answers.
 BAR_FIELDS = ("date", "open", "close", "high", "low", "volume", "amount", "amplitude", "pct_chg", "chg", "turnover")
 ARRAY_FIELDS = ("date", "open", "close", "high", "low", "volume")
-FLOW_KINDS = ("main", "small", "medium", "large", "super_large")
-FLOW_FIELDS = ("date", *(f"{k}_net_inflow_amount" for k in FLOW_KINDS), *(f"{k}_net_inflow_ratio_pct" for k in FLOW_KINDS), "close", "pct_chg")
+FLOW_FIELDS = (
+    "date", "main_net_inflow_amount", "small_net_inflow_amount", "medium_net_inflow_amount", "large_net_inflow_amount", "super_large_net_inflow_amount",
+    "main_net_inflow_ratio_pct", "small_net_inflow_ratio_pct", "medium_net_inflow_ratio_pct", "large_net_inflow_ratio_pct", "super_large_net_inflow_ratio_pct", "close", "pct_chg",
+)
 FLOW_WIDTH = 15  # the last two are not used
 ITEM_FIELDS = {
     "latest": "f2", "pct_chg": "f3", "volume": "f5", "amount": "f6", "turnover": "f8", "market_cap": "f20", "float_market_cap": "f21",
