@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidebars.functions import frames
 from tidebars.operators import backtest, cost, features, flow, market, signals, watchlist
 from tidebars.plans.params import Params
 
@@ -67,7 +68,7 @@ def test_cost_distribution_equals_the_daily_recurrence(spark):
         for b, p in s.items():
             want[b] = want.get(b, 0) + w * p
     assert set(mass) >= {b for b, m in want.items() if m > 1e-12} and all(mass[b] == pytest.approx(m, abs=1e-12) for b, m in want.items() if m > 1e-12)
-    profile = cost.cost_profile(cost.cost_distribution_asof(one), one).first()
+    profile = cost.cost_profile(one).first()
     assert profile["chip_profit_ratio_pct"] + profile["chip_overhead_ratio_pct"] == pytest.approx(100) and profile["chip_70_low"] <= profile["chip_peak_price"] * 1.5
 
 
@@ -81,7 +82,7 @@ def test_cost_panel_equals_the_profile_of_every_prefix(spark):
     assert len(got) == 70 and {r["code"] for r in got.values()} == {"000001"}
     ends = [DAY + timedelta(i) for i in (0, 7, 8, 9, 14, 29, 30, 47, 69)]
     prefixes = one.where("code = '000001'").join(F.broadcast(spark.createDataFrame([(e,) for e in ends], "end date")), F.col("date") <= F.col("end")).withColumn("code", F.col("end").cast("string"))
-    want = cost.cost_profile(cost.cost_distribution_asof(prefixes, lookback=30), prefixes, lookback=30).collect()
+    want = cost.cost_profile(prefixes, lookback=30).collect()
     assert len(want) == len(ends)
     for r in want:
         for c in set(r.asDict()) - {"code"}:
@@ -169,3 +170,43 @@ def test_universe_and_merge(spark):
     merged, rebuild = market.merge_incremental(old, new)
     assert merged.count() == 7 and [r["code"] for r in rebuild.collect()] == ["b"]
     assert [r["x"] for r in spark.createDataFrame([("1,234.5",), ("7%",), ("-",)], "s string").select(market.parse_number(F.col("s")).alias("x")).collect()] == [1234.5, 7.0, None]
+
+
+@pytest.mark.parametrize("alpha", [2 / 13, 2 / 10, 1 / 14, 0.6, 0.01])
+def test_exponential_mean_of_a_long_history(spark, alpha):
+    """Equal to the recursion over 20,000 bars, gaps included."""
+    rng = np.random.default_rng(1)
+    x = np.where(rng.random(20_000) < 0.05, np.nan, 100 + rng.standard_normal(20_000).cumsum())
+    rows = [("a", DAY + timedelta(i), None if np.isnan(v) else float(v)) for i, v in enumerate(x)] + [("b", DAY + timedelta(i), 7.0) for i in range(4000)]
+    df = spark.createDataFrame(rows, "code string, date date, x double").repartition(3)
+    got = {(r["code"], r["date"]): r["m"] for r in frames.with_ewm(df, "m", "x", alpha).collect()}
+    mean = None
+    for code, date, v in rows[:20_000]:
+        mean = v if mean is None else mean if v is None else mean + alpha * (v - mean)
+        assert got[code, date] is None if mean is None else v is None or got[code, date] == pytest.approx(mean, rel=1e-9)
+    assert all(got["b", DAY + timedelta(i)] == pytest.approx(7.0, rel=1e-9) for i in range(4000))
+
+
+def test_codes_sessions_and_merges_at_their_edges(spark):
+    codes = spark.createDataFrame([("1",), ("600000",), ("1234567",)], "code string")
+    assert [r["c"] for r in codes.select(market.normalize_code(F.col("code")).alias("c")).collect()] == ["000001", "600000", "1234567"]
+    days = spark.createDataFrame([(DAY + timedelta(i), n + 1) for n, i in enumerate((0, 1, 4, 5))], "date date, session_no int")
+    pairs = [(0, 5), (2, 5), (0, 3), (2, 3), (5, 0), (4, 4), (-9, 9)]
+    frame = spark.createDataFrame([(DAY + timedelta(a), DAY + timedelta(b)) for a, b in pairs], "start date, end date")
+    got = {((r["start"] - DAY).days, (r["end"] - DAY).days): r["n"] for r in market.sessions_between(frame, days).collect()}
+    assert got == {(0, 5): 3, (2, 5): 1, (0, 3): 1, (2, 3): 0, (5, 0): 0, (4, 4): 0, (-9, 9): 3}
+    old = spark.createDataFrame([("a", DAY + timedelta(i), 10.0) for i in range(5)], "code string, date date, close double")
+    new = spark.createDataFrame([("a", DAY + timedelta(i), 10.0 if i < 2 else None) for i in range(5)], "code string, date date, close double")
+    assert [r["code"] for r in market.merge_incremental(old, new)[1].collect()] == ["a"]
+
+
+def test_frames_with_the_fixed_base_alone(spark):
+    df = spark.createDataFrame([("a", 11.0, 10.0, 12.0, 1), ("b", 9.0, None, None, 0)], "code string, close double, base_high_20_pre3 double, base_width_20_pre3_pct double, early_launch_price_action int")
+    got = {r["code"]: r for r in signals.column_fallbacks(df).collect()}
+    assert (got["a"]["adaptive_base_high"], got["a"]["adaptive_trend_votes"], got["a"]["adaptive_ready_price_action"], got["a"]["adaptive_base_offset"]) == (10.0, 3, 0, 3)
+    assert got["a"]["distance_from_adaptive_base_high_pct"] == pytest.approx(10) and got["b"]["adaptive_base_width_pct"] is None and got["b"]["adaptive_ready_price_action"] == 1
+
+
+def test_flags_of_signals(spark):
+    flags = signals.signal_flags(signals.scores(scored(spark).unionByName(scored(spark, code="000002", bars=10))), Params())
+    assert {(r["code"], r["any_signal"], r["signal_names"]) for r in flags.collect()} == {("000001", True, "chip_base_ready"), ("000002", False, "")}

@@ -233,7 +233,7 @@ def snapshot(chain: Chain, every: bool = False, where: str = "", risky: bool = F
     return "WITH " + ",\n".join(
         [
             *chain.parts, *((EVERY,) if every else (MASS, LAST)), PROFILE, BENCH,
-            f"snapshot AS (SELECT f.*, {chip}, f.no AS bars_seen, i.b20, i.b60, {risk_ok} AS risk_ok FROM (SELECT * FROM {chain.name} {'' if every else last}) f LEFT JOIN profile p ON p.code = f.code AND p.date = f.date LEFT JOIN index i ON i.date = f.date {where})",
+            f"snapshot AS (SELECT f.*, {chip}, f.no AS bars_seen, i.b20 AS index20, i.b60 AS index60, {risk_ok} AS risk_ok FROM (SELECT * FROM {chain.name} {'' if every else last}) f LEFT JOIN profile p ON p.code = f.code AND p.date = f.date LEFT JOIN index i ON i.date = f.date {where})",
             f"partly AS (SELECT *, least(35, {base}) AS chip_score_base, least(35, {shape}) AS chip_score_profile, least(15, {context}) AS chip_score_context, least(15, {launch}) AS chip_score_launch, least(5, {risk}) AS chip_score_risk FROM (SELECT {named} FROM snapshot))",
             "structured AS (SELECT *, chip_score_base + chip_score_profile + chip_score_context + chip_score_risk AS structure FROM partly)",
             f"modelled AS (SELECT *, least(90, structure) AS chip_structure_score, least(100, structure + {flag('adaptive_ready_price_action = 1')} * 10) AS chip_base_ready_score, {done('launch')}, {done('rebound')} FROM structured)",
@@ -332,7 +332,7 @@ def backtest_queries(chain: Chain, p, period: tuple[str, str], ks: tuple[int, ..
     flags = ", ".join(f"list_bool_and(ok_{s}) AS {s}" for s in steps)
     names = ", ".join(f"CASE WHEN {s} THEN '{s}' END" for s in steps)
     panel = f"""{stepped(snapshot(chain, every=True, where=f"WHERE f.date BETWEEN DATE '{period[0]}' AND DATE '{period[1]}'"), steps)}, {OUTCOMES}, {NAMES},
-      flagged AS (SELECT s.*, o.outcome_success, o.forward_max_return_pct, o.drawdown_before_target_pct, coalesce(n.name, '') AS name, return_20d_pct - coalesce(b20, 0) AS e20, return_60d_pct - coalesce(b60, 0) AS e60, {flags} FROM stepped s JOIN judged o USING (code, date) LEFT JOIN names n USING (code)),
+      flagged AS (SELECT s.*, o.outcome_success, o.forward_max_return_pct, o.drawdown_before_target_pct, coalesce(n.name, '') AS name, return_20d_pct - coalesce(index20, 0) AS e20, return_60d_pct - coalesce(index60, 0) AS e60, {flags} FROM stepped s JOIN judged o USING (code, date) LEFT JOIN names n USING (code)),
       panel AS (SELECT *, {_share_rank('e20')} AS rs20_percentile, {_share_rank('e60')} AS rs60_percentile, {' OR '.join(steps)} AS any_signal, concat_ws(',', {names}) AS signal_names FROM flagged),
       eligible AS (SELECT * FROM panel WHERE bars_seen >= {p.min_history_bars} AND amount_ma20_prev >= {p.min_amount_ma20} AND one_price_limit = 0 AND outcome_success IS NOT NULL AND rs20_percentile IS NOT NULL)"""
     ranked = f"{panel}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY date ORDER BY score_total DESC NULLS LAST, code) AS INTEGER) AS daily_rank FROM eligible WHERE any_signal)"
@@ -357,7 +357,7 @@ def scan_queries(chain: Chain, p, day: str, summary: str, keys: str) -> dict[str
     ok = f"WHERE f.date = {day} AND f.no >= {p.min_history_bars} AND CAST(f.code AS INTEGER) % 4 <> 0 AND CAST(f.code AS INTEGER) % 17 <> 0 AND CAST(f.code AS INTEGER) % 23 <> 0"
     base = f"{stepped(snapshot(chain, where=ok, risky=True), steps)}, {NAMES}, {summary}"
     return {
-        "scan": f"""{base}, ranks AS (SELECT code, {_share_rank('x')} AS rs20_percentile FROM (SELECT code, date, return_20d_pct - coalesce(b20, 0) AS x FROM scored)),
+        "scan": f"""{base}, ranks AS (SELECT code, {_share_rank('x')} AS rs20_percentile FROM (SELECT code, date, return_20d_pct - coalesce(index20, 0) AS x FROM scored)),
           ev AS (SELECT code, max(date) AS evidence_date, arg_max(volume, date) AS flow FROM bars WHERE (day(date) + CAST(code AS INTEGER)) % 11 = 0 AND date <= {day} GROUP BY 1)
           SELECT c.code, n.name, c.signal, model_score, CAST(row_number() OVER (PARTITION BY signal ORDER BY {keys}, model_score DESC, c.code) AS INTEGER) AS rank, fund_flow_rank_reason, evidence_date, flow, {near('rs20_percentile')} AS rs20_percentile
           FROM chosen c JOIN names n USING (code) JOIN ranks USING (code) LEFT JOIN summary s USING (code) LEFT JOIN ev USING (code)""",
