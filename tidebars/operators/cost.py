@@ -63,19 +63,25 @@ def _rates(bars: DataFrame) -> DataFrame:
 
 
 def cost_distribution_asof(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK) -> DataFrame:
-    """code, bin and mass of each instrument at its last bar.
+    """code, bin and mass of each instrument at its last bar. An instrument's group is its last lookback bars.
 
     The day-by-day recurrence is linear: a day's mass that is left is its turnover times the product of what each later day
     leaves, a sum of logarithms. A day that turns over everything starts anew. Invalid bars neither add nor decay but
     use up places among the last lookback bars."""
-    back = Window.partitionBy("code").orderBy(C("date").desc())
-    later = back.rowsBetween(Window.unboundedPreceding, -1)
-    df = _rates(_recent(bars, lookback))
-    df = df.withColumn("_ln", F.when(1 - C("_rate") > 1e-12, F.ln(F.when(C("_rate") < 1, 1 - C("_rate")))).otherwise(0.0))
-    cleared = F.max(F.when(1 - C("_rate") <= 1e-12, 1).otherwise(0)).over(later)
-    df = df.withColumns({"_weight": C("_rate") * F.exp(F.coalesce(F.sum("_ln").over(later), F.lit(0.0))), "_cleared": F.coalesce(cleared, F.lit(0))})
-    df = df.where((C("_cleared") == 0) & (C("_weight") > 0))
-    return daily_mass(df.select("code", "date", "open", "high", "low", "close", "_weight"), bins).groupBy("code", "bin").agg(F.sum(C("share") * C("_weight")).alias("mass"))
+
+    def held(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_at")
+        low, mass = _mass(rows, np.array([len(rows) - 1]), lookback)
+        found = np.flatnonzero(mass[0] > 0) if mass is not None else np.zeros(0, int)
+        return pd.DataFrame({"code": rows["code"].iloc[0], "bin": low + found, "mass": mass[0][found] if len(found) else np.zeros(0)})
+
+    return _last_shares(bars, bins, lookback).groupBy("code").applyInPandas(held, "code string, bin long, mass double")
+
+
+def _last_shares(bars: DataFrame, bins: int, lookback: int) -> DataFrame:
+    per = Window.partitionBy("code")
+    df = _rates(_recent(bars, lookback)).withColumns({"_low": F.min("low").over(per), "_high": F.max("high").over(per), "_close": C("close"), "_at": F.lit(lookback) - C("_at")})
+    return _shares(df, bins)
 
 
 def _recent(bars: DataFrame, lookback: int) -> DataFrame:
@@ -87,15 +93,12 @@ def _recent(bars: DataFrame, lookback: int) -> DataFrame:
 def cost_profile(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK) -> DataFrame:
     """One row for each instrument with mass, as of its last bar: coverage, quantile prices and widths, the peak and its share, second
     peak and dominance, and the shares of mass by price. An instrument's group is its last lookback bars."""
-    per = Window.partitionBy("code")
-    df = _rates(_recent(bars, lookback)).withColumns({"_low": F.min("low").over(per), "_high": F.max("high").over(per), "_close": C("close"), "_at": F.lit(lookback) - C("_at")})
-    df = _shares(df, bins)
 
     def profile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_at")
         return _profiles(rows, np.array([len(rows) - 1]), bins, lookback)
 
-    return _shown(df.groupBy("code").applyInPandas(profile, _FOUND), bins)
+    return _shown(_last_shares(bars, bins, lookback).groupBy("code").applyInPandas(profile, _FOUND), bins)
 
 
 def _shares(df: DataFrame, bins: int) -> DataFrame:
@@ -138,13 +141,13 @@ def _peaks(height: np.ndarray, first: int, apart: int) -> tuple[int, float, int
     return first + a, float(height[a]), None if b is None else first + b, None if b is None else float(height[b]), len(chosen)
 
 
-def _profiles(rows: pd.DataFrame, own: np.ndarray, bins: int, lookback: int) -> pd.DataFrame:
-    """Profiles as of the rows at the places own, from rows of one instrument in order of _at: one product of small matrices."""
-    step, base, apart = grid_step(bins), math.log(LOW), _apart(bins)
+def _mass(rows: pd.DataFrame, own: np.ndarray, lookback: int) -> tuple[int, np.ndarray | None]:
+    """The lowest bin, and the mass by bin as of each of the rows at the places own, from rows of one instrument in order of _at: one
+    product of small matrices. No mass at all: None."""
     at, rate = rows["_at"].to_numpy(), rows["_rate"].to_numpy(float)
     has = rows["shares"].notna().to_numpy()
     if not len(own) or not has.any():
-        return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
+        return 0, None
     firsts, shares = rows["first_bin"].to_numpy(float), rows["shares"].tolist()
     low = int(firsts[has].min())
     days = np.zeros((len(rows), int(max(f + len(s) for f, s in zip(firsts[has], rows["shares"][has], strict=True))) - low))
@@ -156,7 +159,15 @@ def _profiles(rows: pd.DataFrame, own: np.ndarray, bins: int, lookback: int) ->
     run, epoch = np.cumsum(np.log(np.where(cleared, 1.0, left))), np.cumsum(cleared)
     age = at[own, None] - at[None, :]
     seen = (age >= 0) & (age < lookback) & (epoch[own, None] == epoch[None, :])
-    mass = np.where(seen, np.exp(np.where(seen, run[own, None] - run[None, :], 0.0)), 0.0) * np.nan_to_num(rate) @ days
+    return low, np.where(seen, np.exp(np.where(seen, run[own, None] - run[None, :], 0.0)), 0.0) * np.nan_to_num(rate) @ days
+
+
+def _profiles(rows: pd.DataFrame, own: np.ndarray, bins: int, lookback: int) -> pd.DataFrame:
+    """Profiles as of the rows at the places own."""
+    step, base, apart = grid_step(bins), math.log(LOW), _apart(bins)
+    low, mass = _mass(rows, own, lookback)
+    if mass is None:
+        return pd.DataFrame(columns=[c.split()[0] for c in _FOUND.split(", ")])
     total = mass.sum(1)
     own, mass, total = own[total > 1e-8], mass[total > 1e-8], total[total > 1e-8]
     if not len(own):
