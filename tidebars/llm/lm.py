@@ -15,6 +15,7 @@ CLASSES, ITEMS, OWN_ITEMS = 32, 32, 24  # in each class so many items are a word
 HEAD, SLOTS = CLASSES * OWN_ITEMS, CLASSES * ITEMS
 END, START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E3779B97F4A7C15)
 BLOCK_BYTES = 16 << 20  # text in a block
+TASK_BLOCKS = 3  # that a learning task steps through at least, as each sends the whole of its changes
 BATCH, RATE = 8192, 0.1
 
 TOKENS = "block long, doc_ids array<long>, held array<boolean>, offsets binary, low binary, mid binary, high binary, top binary, vocab binary, counts binary"
@@ -169,7 +170,7 @@ def _step(table: np.ndarray, state: np.ndarray, hits: np.ndarray, rows: np.ndarr
     table[own] -= RATE * total / np.sqrt(state[own] + 1e-3)[:, None]
 
 
-def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) = 2", rounds: int = 2, density: int = 24) -> DataFrame:
+def language_scores(docs: DataFrame, held_out: str = "pmod(crc32(coalesce(cast(doc_id as string), '')), 7) = 2", rounds: int = 2, density: int = 16) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score for every row, learnt from the rows that
     aren't held out.
 
@@ -240,10 +241,10 @@ def _scores(docs: DataFrame, held_out: str, rounds: int, density: int) -> DataFr
     n_all, v_all = int(n_slot.sum()), int(v_slot.sum())
     rows = 1 << max(8, int(np.ceil(np.log2(density * np.sqrt(max(1, v_all))))))
 
-    weights = MaxEnt(n_slot, rows).flat
+    weights, n_blocks = MaxEnt(n_slot, rows).flat, blocks.count()
     for turn in range(rounds):
         now = spark.sparkContext.broadcast((n_slot, head, places, weights))
-        mine = blocks.where(F.pmod(F.hash("block"), F.lit(rounds)) == turn)
+        mine = blocks.where(F.pmod(F.hash("block"), F.lit(rounds)) == turn).coalesce(max(1, n_blocks // (rounds * TASK_BLOCKS)))
         total = summed(mine.select("block", "held", "offsets", *PLANES, "vocab").mapInArrow(_learner(now, rows), BLOCKS), len(weights) + 2 * rows)
         hits = total[len(weights) :].reshape(2, rows, 1)
         weights = weights + (total[: len(weights)].reshape(2, rows, CLASSES) / np.maximum(hits, 1)).ravel()
@@ -267,7 +268,7 @@ def _scores(docs: DataFrame, held_out: str, rounds: int, density: int) -> DataFr
         return pa.table([pa.array(block["doc_ids"], pa.int64()), pa.array(block["held"], pa.bool_()), pa.array(np.diff(offsets)), pa.array(sums[0]), pa.array(np.full(len(firsts), n_all)), pa.array(sums[1]), pa.array(sums[2])], names=[f.split()[0] for f in out.split(", ")])
 
     known = listed.select("block", "at", "word").join(counted, "word").select("block", "at", "c")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-blocks.count() // 4))  # a few blocks a task, however many there are
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_blocks // 4))  # a few blocks a task, however many there are
     sides = blocks.drop("counts").repartition(parts, "block"), known.repartition(parts, "block")
     return sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(score, out)
 
