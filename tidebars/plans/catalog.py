@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import ago, pct
 from ..operators import backtest as bt
 from ..operators import cost, features, flow, market, publish, replay, signals, watchlist
-from ..sources import fixture
+from ..sources import fixture, landed
 from . import ingest, runs
 from . import reference_sql as ref
 from .params import Params
@@ -502,7 +502,44 @@ def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watchlist.current_state(_chosen(spark, sf_dir), "code", "date").select("code", "date", "new_state", "new_signals", "new_score_total", "new_close", "new_resistance_price", "new_support_price")
 
 
-_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay, backtest_panel, signal_flags, eligible_rows, signals_with_outcomes, scan, scan_report, scan_funnel, publish_run, publish_shape_checkpoint, publish_history, publish_backtest, column_fallbacks, join_universe_context, names_lookup, union_signals, top_n, evidence_metadata, require_fresh_benchmark, label_view, join_reference_audit, watchlist_update, watchlist_active, watchlist_idempotent, state_full_join, watchlist_transitions, append_transitions, current_state)
+def scan_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows is of an old version, another third was saved too long ago."""
+    no = C("code").cast("int") % 3
+    rows = fixture.load_universe(spark, sf_dir).select("code", F.when(no == 0, 1).otherwise(2).alias("version"), F.lit(AS_OF).cast("date").alias("as_of"), F.when(no == 1, "2001-12-30 08:00:00").otherwise("2001-12-31 09:00:00").cast("timestamp").alias("saved_at"))
+    return landed.scan_universe(rows, 2, AS_OF, "2001-12-31 12:00:00", 20).select("code", "version", "state")
+
+
+def scan_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence written as CSV with thousands separators, dates that can't be read, and a column that the reader doesn't find."""
+    path, bars = _folder(spark), fixture.load_bars(spark, sf_dir).where(F.day("date") == 7)
+    text = F.when(C("code").cast("int") % 5 == 0, "-").otherwise(F.format_number(C("volume") * 1000, 0))
+    bars.select(C("code").cast("int").cast("string").alias("code"), F.when(F.month("date") == 3, "soon").otherwise(C("date").cast("string")).alias("date"), text.alias("flow")).write.option("header", True).csv(path)
+    return landed.scan_evidence(spark, path, ("flow", "ratio"))
+
+
+def clean_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bars of which those of the 5th have no close, those of the 6th a NaN as high and those of the 7th a NaN as turnover."""
+    day, nan = F.day("date"), F.lit(float("nan"))
+    bars = fixture.load_bars(spark, sf_dir).withColumns({"close": F.when(day != 5, C("close")), "high": F.when(day == 6, nan).otherwise(C("high")), "turnover": F.when(day == 7, nan).otherwise(C("turnover"))})
+    return features.clean_bars(bars).select("code", "date", "high", "close", "turnover")
+
+
+def pct_rank_average(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bars = fixture.load_bars(spark, sf_dir).withColumn("volume", F.when(C("volume") > 5, C("volume")))
+    return signals.pct_rank_average(bars, "volume", "share").select("code", "date", near("share").alias("share"))
+
+
+def daily_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bt.daily_rank(fixture.load_bars(spark, sf_dir), "volume").select("code", "date", "daily_rank")
+
+
+def normalize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of one to seven and more characters."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", (C("o_orderkey") * 37).cast("string").alias("raw"))
+    return rows.select("o_orderkey", market.normalize_code(C("raw")).alias("code"))
+
+
+_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay, backtest_panel, signal_flags, eligible_rows, signals_with_outcomes, scan, scan_report, scan_funnel, publish_run, publish_shape_checkpoint, publish_history, publish_backtest, column_fallbacks, join_universe_context, names_lookup, union_signals, top_n, evidence_metadata, require_fresh_benchmark, label_view, join_reference_audit, watchlist_update, watchlist_active, watchlist_idempotent, state_full_join, watchlist_transitions, append_transitions, current_state, scan_universe, scan_evidence, clean_bars, pct_rank_average, daily_rank, normalize_code)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _PLAIN} | ingest.QUERIES
 
 
@@ -587,6 +624,15 @@ def oracles() -> dict[str, str]:
         "publish_shape_checkpoint": f"{picked} SELECT 'shape_only' AS artefact, code, model_score FROM picked".replace("'shape_only' AS artefact", "signal AS artefact"),
         "publish_history": f"""{bars} SELECT code, CAST(year(date) AS INTEGER) AS year, CASE WHEN year(date) = 2001 THEN 'second' ELSE 'first' END AS source, CASE WHEN year(date) = 2001 THEN {day} ELSE DATE '2001-12-15' END AS as_of, count(*) AS bars, sum(close) AS closes FROM bars GROUP BY 1, 2, 3, 4""",
     }
+    low = "CASE WHEN volume > 5 THEN volume END"
+    out |= {
+        "scan_universe": "SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, CAST(CASE s_suppkey % 3 WHEN 0 THEN 1 ELSE 2 END AS INTEGER) AS version, CASE s_suppkey % 3 WHEN 2 THEN 'fresh' ELSE 'stale' END AS state FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+        "scan_evidence": f"{bars} SELECT code, date, CASE WHEN CAST(code AS INTEGER) % 5 <> 0 THEN volume * 1000 END AS flow, CAST(NULL AS DOUBLE) AS ratio FROM bars WHERE day(date) = 7 AND month(date) <> 3",
+        "clean_bars": f"{bars} SELECT code, date, high, close, CASE WHEN day(date) <> 7 THEN turnover END AS turnover FROM bars WHERE day(date) NOT IN (5, 6)",
+        "pct_rank_average": f"{bars}, v AS (SELECT code, date, {low} AS x FROM bars) SELECT code, date, floor(CASE WHEN x IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY x NULLS LAST) + (count(*) OVER (PARTITION BY date, x) - 1) / 2) / count(x) OVER (PARTITION BY date) END * 1e6 + 0.5) / 1e6 AS share FROM v",
+        "daily_rank": f"{bars} SELECT code, date, CAST(row_number() OVER (PARTITION BY date ORDER BY volume DESC, code) AS INTEGER) AS daily_rank FROM bars",
+        "normalize_code": "SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 37 AS VARCHAR)) >= 6 THEN CAST(o_orderkey * 37 AS VARCHAR) ELSE lpad(CAST(o_orderkey * 37 AS VARCHAR), 6, '0') END AS code FROM orders",
+    }
     whole = ref.features()
     out |= ref.backtest_queries(whole, FIXTURE, PERIOD, (1, 2, *FIXTURE.top_k)) | ref.scan_queries(whole, FIXTURE, day, summary, keys) | ref.watchlist_queries(sessions, FIXTURE.watchlist_ttl_sessions, day)
     return out | ref.signal_queries(whole, FIXTURE) | ingest.ORACLES

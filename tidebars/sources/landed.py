@@ -9,7 +9,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.frames import W, ago, over
+from ..functions.frames import ago, over
 from ..operators.market import MAIN_BOARD, normalize_code, parse_number
 
 C = F.col
@@ -171,8 +171,3 @@ def latest_complete_session(sessions: DataFrame, now: str, buffer_minutes: int =
     """One row: the latest session whose close, 15:00 plus the buffer in the exchange's zone, is past at `now` (UTC text)."""
     close = F.to_utc_timestamp(C("date").cast("timestamp"), zone) + F.expr(f"INTERVAL '{15 * 60 + buffer_minutes}' MINUTE")
     return sessions.where(close <= F.lit(now).cast("timestamp")).agg(F.max("date").alias("session"))
-
-
-def running_bars(bars: DataFrame) -> DataFrame:
-    """bars with how many the instrument has had up to each."""
-    return bars.withColumn("bars", F.row_number().over(W()))
