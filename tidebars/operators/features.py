@@ -205,7 +205,8 @@ def _quantile(ordered: Column, n: int, q: float) -> Column:
     """The quantile of n ordered values, between two of them in proportion."""
     at = (n - 1) * q
     low = int(at)
-    return ordered[low] + (ordered[min(low + 1, n - 1)] - ordered[low]) * (at - low)
+    a, b = ordered[low], ordered[min(low + 1, n - 1)]
+    return F.when(a == b, a).otherwise((low + 1 - at) * a + (at - low) * b)
 
 
 def adaptive_platform(df: DataFrame, windows: tuple[int, ...] = (20, 30, 40, 60), offsets: tuple[int, ...] = (0, 3, 5, 8, 12, 16, 20, 25, 30)) -> DataFrame:

@@ -95,6 +95,11 @@ def _needed(name: str, bars: DataFrame) -> DataFrame:
     return features.feature_panel(bars) if name in _WHOLE else features.ranges(features.volumes(features.trend(df)))
 
 
+#: Columns that are shown to more than 6 digits. Coverage: a history's first days are short decimals, whose halves at the 7th digit
+#: would round by the last bit. The base's position: a share of some hundred cents, often a whole number of 640ths, likewise.
+_DIGITS = {"chip_model_coverage_pct": 7, "adaptive_base_position_120": 11}
+
+
 def near(x: Column | str, digits: int = 6) -> Column:
     """x to so many digits by its product, as the SQL does too; an infinity is shown as null."""
     x, by = (C(x) if isinstance(x, str) else x), 10.0**digits
@@ -102,11 +107,11 @@ def near(x: Column | str, digits: int = 6) -> Column:
 
 
 def _shown(c: str) -> Column:
-    return (C(c).cast("int") if c in INTEGERS else near(c)).alias(c)
+    return (C(c).cast("int") if c in INTEGERS else near(c, _DIGITS.get(c, 6))).alias(c)
 
 
 def _shown_sql(c: str) -> str:
-    return f"CAST({c} AS INTEGER) AS {c}" if c in INTEGERS else f"{ref.near(c)} AS {c}"
+    return f"CAST({c} AS INTEGER) AS {c}" if c in INTEGERS else f"{ref.near(c, _DIGITS.get(c, 6))} AS {c}"
 
 
 def _family(name: str) -> Callable[[SparkSession, str], DataFrame]:
@@ -206,10 +211,6 @@ def cost_distribution_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cost.cost_distribution_asof(fixture.load_bars(spark, sf_dir)).select("code", "bin", near("mass", 9).alias("mass"))
 
 
-#: Coverage is shown to 7 digits: a history's first days are short decimals, whose halves at the 7th would round by the last bit.
-_DIGITS = {"chip_model_coverage_pct": 7}
-
-
 def _profile_columns() -> list[Column]:
     return [C(c) if c == "chip_significant_peak_count" else near(c, _DIGITS.get(c, 6)).alias(c) for c in PROFILE]
 
