@@ -52,9 +52,9 @@ def test_later_bars_never_change_earlier_features(spark):
 
 def test_cost_distribution_equals_the_daily_recurrence(spark):
     rng = np.random.default_rng(3)
-    x = rng.uniform(80, 120, 60)
+    x = rng.uniform(80, 120, 100)
     one = bars(spark, x).withColumn("turnover", F.when(F.day("date") == 9, 100.0).when(F.day("date") == 15, F.lit(None)).otherwise(F.col("turnover")))
-    mass = {r["bin"]: r["mass"] for r in cost.cost_distribution_asof(one, lookback=40).collect()}
+    mass = {r["bin"]: r["mass"] for r in cost.cost_distribution_asof(one, lookback=60).collect()}
     shares = {}
     for r in cost.daily_mass(one).collect():
         shares.setdefault(r["date"], {})[r["bin"]] = r["share"]
@@ -63,7 +63,7 @@ def test_cost_distribution_equals_the_daily_recurrence(spark):
         if r["turnover"] is not None:
             rate = r["turnover"] / 100
             entries = [(j, w * (1 - rate), s) for j, w, s in entries if w * (1 - rate) > 0] + [(i, rate, shares[r["date"]])]
-        entries = [e for e in entries if e[0] > i - 40]
+        entries = [e for e in entries if e[0] > i - 60]
     for _, w, s in entries:
         for b, p in s.items():
             want[b] = want.get(b, 0) + w * p
@@ -74,15 +74,15 @@ def test_cost_distribution_equals_the_daily_recurrence(spark):
 
 def test_cost_panel_equals_the_profile_of_every_prefix(spark):
     rng = np.random.default_rng(5)
-    x = np.exp(np.cumsum(rng.normal(0, 0.03, 70))) * 60
+    x = np.exp(np.cumsum(rng.normal(0, 0.03, 130))) * 60
     late = [F.when(F.day("date") == 9, 100.0).when(F.day("date") == 15, F.lit(None)).otherwise(F.col("turnover")), F.when(F.day("date") == 20, F.col("open")).otherwise(F.col("low")), F.when(F.day("date") == 20, F.col("open")).otherwise(F.col("high"))]
     one = bars(spark, x).withColumns(dict(zip(("turnover", "low", "high"), late, strict=True))).withColumn("close", F.when(F.col("high") == F.col("low"), F.col("low")).otherwise(F.col("close")))
     one = one.unionByName(bars(spark, x[:3], code="000002", turnover=0.0)).cache()
-    got = {r["date"]: r for r in cost.cost_distribution_panel(one, lookback=30, block=16).collect()}
+    got = {r["date"]: r for r in cost.cost_distribution_panel(one, lookback=60, block=16).collect()}
     assert len(got) == 70 and {r["code"] for r in got.values()} == {"000001"}
     ends = [DAY + timedelta(i) for i in (0, 7, 8, 9, 14, 29, 30, 47, 69)]
     prefixes = one.where("code = '000001'").join(F.broadcast(spark.createDataFrame([(e,) for e in ends], "end date")), F.col("date") <= F.col("end")).withColumn("code", F.col("end").cast("string"))
-    want = cost.cost_profile(prefixes, lookback=30).collect()
+    want = cost.cost_profile(prefixes, lookback=60).collect()
     assert len(want) == len(ends)
     for r in want:
         for c in set(r.asDict()) - {"code"}:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.frames import W, over, pct
+from .features import prepared
 
 C = F.col
 LOW, HIGH, BINS, LOOKBACK, BLOCK = 0.001, 100_000.0, 2048, 250, 256
@@ -56,8 +57,15 @@ def daily_mass(bars: DataFrame, bins: int = BINS) -> DataFrame:
     return df.select(*(c for c in df.columns if c not in ("first_bin", "shares")), "first_bin", F.posexplode("shares").alias("_i", "share")).withColumn("bin", C("first_bin") + C("_i")).drop("first_bin", "_i")
 
 
+def _checked(bars: DataFrame, bins: int, lookback: int) -> DataFrame:
+    """Cleaned bars, one a day; too coarse a grid or too short a past is refused."""
+    if bins < 300 or lookback < 60:
+        raise ValueError("a cost distribution needs 300 bins and 60 bars of lookback at least")
+    return prepared(bars)
+
+
 def _rates(bars: DataFrame) -> DataFrame:
-    """bars with _rate, the part of all holdings that changes hands on the day; null where the bar is invalid."""
+    """bars with _rate, the part of all holdings that changes hands on the day; null where the bar is invalid. Bars are cleaned, so what is not null is finite."""
     valid = (C("low") > 0) & (C("high") >= C("low")) & C("open").isNotNull() & C("close").isNotNull() & C("turnover").isNotNull()
     return bars.withColumn("_rate", F.when(F.coalesce(valid, F.lit(False)), F.greatest(F.lit(0.0), F.least(F.lit(1.0), C("turnover") / 100))))
 
@@ -66,8 +74,9 @@ def cost_distribution_asof(bars: DataFrame, bins: int = BINS, lookback: int = LO
     """code, bin and mass of each instrument at its last bar. An instrument's group is its last lookback bars.
 
     The day-by-day recurrence is linear: a day's mass that is left is its turnover times the product of what each later day
-    leaves, a sum of logarithms. A day that turns over everything starts anew. Invalid bars neither add nor decay but
-    use up places among the last lookback bars."""
+    leaves, a sum of logarithms. A day that turns over everything starts anew. Bars are cleaned and those that repeat a day go; bars
+    with bad prices or without a finite turnover neither add nor decay but use up places among the last lookback bars.
+    Fewer than 300 bins or 60 bars of lookback are refused."""
 
     def held(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_at")
@@ -75,7 +84,7 @@ def cost_distribution_asof(bars: DataFrame, bins: int = BINS, lookback: int = LO
         found = np.flatnonzero(mass[0] > 0) if mass is not None else np.zeros(0, int)
         return pd.DataFrame({"code": rows["code"].iloc[0], "bin": low + found, "mass": mass[0][found] if len(found) else np.zeros(0)})
 
-    return _last_shares(bars, bins, lookback).groupBy("code").applyInPandas(held, "code string, bin long, mass double")
+    return _last_shares(_checked(bars, bins, lookback), bins, lookback).groupBy("code").applyInPandas(held, "code string, bin long, mass double")
 
 
 def _last_shares(bars: DataFrame, bins: int, lookback: int) -> DataFrame:
@@ -98,13 +107,13 @@ def cost_profile(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK) ->
         rows = rows.sort_values("_at")
         return _profiles(rows, np.array([len(rows) - 1]), bins, lookback)
 
-    return _shown(_last_shares(bars, bins, lookback).groupBy("code").applyInPandas(profile, _FOUND), bins)
+    return _shown(_last_shares(_checked(bars, bins, lookback), bins, lookback).groupBy("code").applyInPandas(profile, _FOUND), bins)
 
 
-def _shares(df: DataFrame, bins: int) -> DataFrame:
+def _shares(df: DataFrame, bins: int, *more: str) -> DataFrame:
     """What _profiles reads; days that change nothing have no shares."""
     df = day_shares(df.withColumns({c: F.when(C("_rate") > 0, C(c)) for c in ("open", "high", "low", "close")}), bins)
-    return df.select("code", "date", "_close", "_rate", "_at", "_low", "_high", "first_bin", "shares")
+    return df.select("code", "date", "_close", "_rate", "_at", "_low", "_high", "first_bin", "shares", *more)
 
 
 def _apart(bins: int) -> int:
@@ -193,19 +202,27 @@ def _profiles(rows: pd.DataFrame, own: np.ndarray, bins: int, lookback: int) ->
     )
 
 
-def cost_distribution_panel(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK, block: int = BLOCK) -> DataFrame:
-    """cost_profile as of every bar: one row for each bar with mass, from that bar and the lookback - 1 before it alone.
+def cost_distribution_panel(bars: DataFrame, bins: int = BINS, lookback: int = LOOKBACK, block: int = BLOCK, start: str | None = None, end: str | None = None) -> DataFrame:
+    """cost_profile as of every bar, or of those from start to end: one row for each bar with mass, from that bar and the lookback - 1 before it alone.
 
     A bar's distribution is a weighted sum of the last lookback days' shares. An instrument's bars are dealt out in blocks
     of consecutive bars, each with the lookback - 1 bars before it, so a group has at most block + lookback - 1 rows however long
-    the history is, and a block's distributions are one product of two small matrices."""
+    the history is, and a block's distributions are one product of two small matrices. Bars that no bar of the period looks back on are
+    left out before their shares are worked out."""
     recent = W().rowsBetween(1 - lookback, 0)
-    df = _rates(bars.select("code", "date", "open", "high", "low", "close", "turnover"))
+    df = _rates(_checked(bars, bins, lookback).select("code", "date", "open", "high", "low", "close", "turnover"))
     df = df.withColumns({"_at": F.row_number().over(W()) - 1, "_low": F.min("low").over(recent), "_high": F.max("high").over(recent), "_close": C("close")})
-    df = _shares(df, bins).withColumn("_block", F.explode(F.sequence(F.floor(C("_at") / block), F.floor((C("_at") + (lookback - 1)) / block))))
+    first, low, high = F.lit(0), F.floor(C("_at") / block), F.floor((C("_at") + (lookback - 1)) / block)
+    if start or end:
+        wanted = F.when(C("date").between(F.lit(start or "0001-01-01").cast("date"), F.lit(end or "9999-12-31").cast("date")), C("_at"))
+        whole = Window.partitionBy("code")
+        df = df.withColumns({"_first": F.min(wanted).over(whole), "_last": F.max(wanted).over(whole)}).where((C("_at") > C("_first") - lookback) & (C("_at") <= C("_last")))
+        first, low, high = C("_first"), F.greatest(low, F.floor(C("_first") / block)), F.least(high, F.floor(C("_last") / block))
+    df = df.withColumn("_blocks", F.sequence(low, high))
+    df = _shares(df.withColumn("_own", C("_at") >= first), bins, "_blocks", "_own").withColumn("_block", F.explode("_blocks")).drop("_blocks")
 
     def profile(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("_at")
-        return _profiles(rows, np.flatnonzero(rows["_at"].to_numpy() // block == rows["_block"].iloc[0]), bins, lookback)
+        return _profiles(rows, np.flatnonzero((rows["_at"].to_numpy() // block == rows["_block"].iloc[0]) & rows["_own"].to_numpy(bool)), bins, lookback)
 
     return _shown(df.groupBy("code", "_block").applyInPandas(profile, _FOUND), bins)

@@ -2,27 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.frames import W, ago, flag, over, pct, pdiv, roll, with_ewm, yes
 
 C = F.col
+NUMBERS = ("open", "high", "low", "close", "volume", "amount", "turnover", "amplitude", "pct_chg", "chg")
 
 
 def clean_bars(bars: DataFrame) -> DataFrame:
-    """Numbers as doubles with NaN as null; rows without date, prices or volume are left out."""
-    numbers = ("open", "high", "low", "close", "volume", "amount", "turnover", "amplitude", "pct_chg", "chg")
-    have = {c: F.nanvl(C(c).cast("double"), F.lit(None).cast("double")) if c in bars.columns else F.lit(None).cast("double") for c in numbers}
+    """Numbers as doubles with NaN and infinities as null; rows without date, prices or volume are left out."""
+    number = lambda c: C(c).cast("double")
+    have = {c: F.when(F.abs(number(c)) < float("inf"), number(c)) if c in bars.columns else F.lit(None).cast("double") for c in NUMBERS}
     return bars.withColumns(have).na.drop(subset=["date", "open", "high", "low", "close", "volume"])
 
 
 def dedupe_bars(bars: DataFrame, order: str = "ingest_seq") -> DataFrame:
-    """One row for each code and date, the last ingested."""
-    latest = Window.partitionBy("code", "date").orderBy(C(order).desc())
-    return bars.withColumn("_at", F.row_number().over(latest)).where("_at = 1").drop("_at")
+    """One row for each code and date, the last ingested; without such a column any of them, but of the same rows always the same one.
+
+    It is a look at the next row of the code's bars, so it shares exchange and order with all other frames."""
+    last = C(order) if order in bars.columns else F.xxhash64(*(c for c in NUMBERS if c in bars.columns))
+    line = Window.partitionBy("code").orderBy("date", "_order")
+    df = bars.withColumn("_order", last)
+    return df.withColumn("_next", F.lead("date").over(line)).where(~C("_next").eqNullSafe(C("date"))).drop("_next", "_order")
+
+
+def prepared(bars: DataFrame) -> DataFrame:
+    """Bars as every feature and cost function takes them: cleaned, then one row a day."""
+    return dedupe_bars(clean_bars(bars))
 
 
 def fill_change_cols(bars: DataFrame) -> DataFrame:
@@ -31,15 +45,35 @@ def fill_change_cols(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"pct_chg": F.coalesce("pct_chg", pct(C("close"), last)), "amplitude": F.coalesce("amplitude", over(C("high") - C("low"), last) * 100)})
 
 
+#: The exponential means by the column that each is of: its weight and the number of values before which it is null.
+MEANS = {"_fast": ("close", 2 / 13, 1), "_slow": ("close", 2 / 27, 1), "dea": ("dif", 2 / 10, 1), "_up": ("_gain", 1 / 14, 14), "_down": ("_loss", 1 / 14, 14)}
+
+
+def with_means(bars: DataFrame) -> DataFrame:
+    """The means of MEANS, dif, and the gains and losses. Bars may have a column seeds, a struct of a struct (value, n) for each mean: then
+    a code's first row is a bar that they hold already, and the means go on from it."""
+    seeded = "seeds" in bars.columns
+    known = C("seeds").isNotNull() & ago("close").isNull() if seeded else F.lit(False)
+    seed = lambda name: C(f"seeds.{name}") if seeded else None
+
+    def mean(df: DataFrame, name: str) -> DataFrame:
+        x, alpha, least = MEANS[name]
+        if not seeded:
+            return with_ewm(df, name, x, alpha, least)
+        return with_ewm(df.withColumn("_x", F.when(~C("_known"), C(x))), name, "_x", alpha, least, seed(name)).drop("_x")
+
+    df = bars.withColumn("_known", known)
+    df = mean(mean(df, "_fast"), "_slow").withColumn("dif", C("_fast") - C("_slow"))
+    df = mean(df, "dea")
+    change = C("close") - ago("close")
+    df = df.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
+    return mean(mean(df, "_up"), "_down").drop("_known")
+
+
 def trend(bars: DataFrame) -> DataFrame:
     """Means, MACD, RSI, returns, slopes and alignment."""
-    df = bars.withColumns({f"ma{n}": roll(F.avg, "close", n) for n in (5, 10, 20, 30, 60, 120)})
-    df = with_ewm(with_ewm(df, "_fast", "close", 2 / 13), "_slow", "close", 2 / 27).withColumn("dif", C("_fast") - C("_slow"))
-    df = with_ewm(df, "dea", "dif", 2 / 10).withColumn("macd_hist", 2 * (C("dif") - C("dea")))
-    df = df.withColumns({"_gain": F.greatest(C("close") - ago("close"), F.lit(0.0)), "_loss": F.greatest(ago("close") - C("close"), F.lit(0.0))})
-    first = ago("close").isNull()
-    df = df.withColumns({"_gain": F.when(~first, C("_gain")), "_loss": F.when(~first, C("_loss"))})
-    df = with_ewm(with_ewm(df, "_up", "_gain", 1 / 14, 14), "_down", "_loss", 1 / 14, 14)
+    df = with_means(bars.withColumns({f"ma{n}": roll(F.avg, "close", n) for n in (5, 10, 20, 30, 60, 120)}))
+    df = df.withColumn("macd_hist", 2 * (C("dif") - C("dea")))
     df = df.withColumn("rsi14", F.when((C("_down") == 0) & (C("_up") == 0), 50.0).when(C("_down") == 0, 100.0).otherwise(100 - 100 / (1 + over(C("_up"), C("_down")))))
     return df.withColumns(
         {
@@ -201,27 +235,64 @@ def rebound_platform(df: DataFrame, offsets: tuple[int, ...] = tuple(range(4, 21
     return _best_base(df, "rebound_base", [("_base", o, window, (0.60, o * 0.15)) for o in offsets], "rebound").drop("_base", "rebound_base_window")
 
 
-def _quantile(ordered: Column, n: int, q: float) -> Column:
-    """The quantile of n ordered values, between two of them in proportion."""
-    at = (n - 1) * q
+WINDOWS, QUANTILES = (20, 30, 40, 60), (0.9, 0.1)
+
+
+def _between(ordered: np.ndarray, at: float) -> np.ndarray:
+    """The value at a place of each ordered row, between two of them in proportion."""
     low = int(at)
-    a, b = ordered[low], ordered[min(low + 1, n - 1)]
-    return F.when(a == b, a).otherwise((low + 1 - at) * a + (at - low) * b)
-
-
-def adaptive_platform(df: DataFrame, windows: tuple[int, ...] = (20, 30, 40, 60), offsets: tuple[int, ...] = (0, 3, 5, 8, 12, 16, 20, 25, 30)) -> DataFrame:
-    """The best base over windows and offsets, by the 10 % and 90 % quantiles of the closes: one list of
-    closes a bar, sorted once a window."""
-    names, longest = [], max(windows)
-    df = df.withColumn("_closes", F.collect_list("close").over(W().rowsBetween(1 - longest, 0)))
-    for w in windows:
-        df = df.withColumn("_sorted", F.when(F.size("_closes") >= w, F.sort_array(F.slice("_closes", F.greatest(F.size("_closes") - w + 1, F.lit(1)), F.lit(w)))))
-        quantile = [_quantile(C("_sorted"), w, q) for q in (0.9, 0.1)]
-        df = df.withColumn(f"_base{w}", F.struct(*(c.alias(k) for k, c in _base(*quantile, w, max(15, int(w * 0.7)), False).items())))
+    a, b = ordered[:, low], ordered[:, min(low + 1, ordered.shape[1] - 1)]
+    return np.where(a == b, a, (low + 1 - at) * a + (at - low) * b)
+
+
+def rolling_quantiles(closes: np.ndarray, window: int, quantiles: tuple[float, ...] = QUANTILES, rows: int = 1 << 12) -> np.ndarray:
+    """The quantiles of each full window of closes, a row a window: of some thousand windows at once only the places that count are put in order."""
+    windows = np.lib.stride_tricks.sliding_window_view(closes, window)
+    places = sorted({min(int((window - 1) * q) + i, window - 1) for q in quantiles for i in (0, 1)})
+    parts = []
+    for low in range(0, len(windows), rows):
+        ordered = np.partition(windows[low : low + rows], places, axis=1)
+        parts.append(np.stack([_between(ordered, (window - 1) * q) for q in quantiles], 1))
+    return np.concatenate(parts)
+
+
+def close_quantiles(df: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
+    """df with _quantiles: for each window the 90 % and 10 % quantiles of its closes (null until it is full), in one pass over the bars in
+    order. A task keeps the last closes of one code, so histories may have any length. Closes may not be null."""
+    longest, schema = max(windows), df.schema
+    rows = df.repartition("code").sortWithinPartitions("code", "date")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tail, last = np.zeros(0), None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = batch.column("code").dictionary_encode()
+            edges = np.append(np.flatnonzero(np.diff(codes.indices.fill_null(-1).to_numpy(), prepend=-2)), batch.num_rows)
+            closes, out = batch.column("close").to_numpy(zero_copy_only=False).astype(np.float64), np.full((batch.num_rows, 2 * len(windows)), np.nan)
+            for low, high in zip(edges[:-1], edges[1:], strict=True):
+                code = batch.column("code")[low].as_py()
+                line = np.concatenate([tail if code == last and low == 0 else np.zeros(0), closes[low:high]])
+                for k, w in enumerate(windows):
+                    some = min(len(line) - w + 1, high - low)  # windows that end in these rows
+                    if some > 0:
+                        out[high - some : high, 2 * k : 2 * k + 2] = rolling_quantiles(line[-(some + w - 1) :], w)
+                tail, last = line[1 - longest :], code
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel(), from_pandas=True), 2 * len(windows)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "_quantiles"])
+
+    return rows.mapInArrow(run, T.StructType([*schema, T.StructField("_quantiles", T.ArrayType(T.DoubleType()))])) if "_quantiles" not in df.columns else df
+
+
+def adaptive_platform(df: DataFrame, windows: tuple[int, ...] = WINDOWS, offsets: tuple[int, ...] = (0, 3, 5, 8, 12, 16, 20, 25, 30)) -> DataFrame:
+    """The best base over windows and offsets, by the 10 % and 90 % quantiles of the closes."""
+    df, names = close_quantiles(df, windows), []
+    for k, w in enumerate(windows):
+        high, low = C("_quantiles")[2 * k], C("_quantiles")[2 * k + 1]
+        df = df.withColumn(f"_base{w}", F.struct(*(c.alias(name) for name, c in _base(high, low, w, max(15, int(w * 0.7)), False).items())))
         names.append(f"_base{w}")
-    df = df.drop("_closes", "_sorted")
     candidates = [(f"_base{w}", o, w, (0.55, o * 0.08 + (max(windows) - w) * 0.035)) for w in windows for o in offsets]
-    return _best_base(df, "adaptive_base", candidates, "adaptive").drop(*names)
+    return _best_base(df.drop("_quantiles"), "adaptive_base", candidates, "adaptive").drop(*names)
 
 
 def price_actions(df: DataFrame) -> DataFrame:
@@ -240,12 +311,17 @@ def price_actions(df: DataFrame) -> DataFrame:
     )
 
 
-def feature_panel(bars: DataFrame) -> DataFrame:
-    """All features of every bar but the modelled cost distribution."""
-    df = ranges(volumes(trend(fill_change_cols(clean_bars(bars)))))
+def all_features(bars: DataFrame) -> DataFrame:
+    """All features of prepared bars but the modelled cost distribution. The quantiles come first, while rows are narrow."""
+    df = ranges(volumes(trend(fill_change_cols(close_quantiles(bars)))))
     return price_actions(adaptive_platform(rebound_platform(fixed_platform(df))))
 
 
+def feature_panel(bars: DataFrame) -> DataFrame:
+    """All features of every bar but the modelled cost distribution: bars are cleaned, and rows that repeat a day go."""
+    return all_features(prepared(bars))
+
+
 def latest_snapshot(panel: DataFrame) -> DataFrame:
     """Each instrument's last row, with its number of bars."""
     back = Window.partitionBy("code").orderBy(C("date").desc())

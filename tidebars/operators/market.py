@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,11 +33,21 @@ def parse_number(text: Column) -> Column:
     return F.regexp_replace(text, "[,%]", "").try_cast("double")
 
 
-def filter_universe(universe: DataFrame, mainboard: bool = True) -> DataFrame:
-    """Instruments that are on a main board, not under special treatment and not leaving; one row each."""
-    df = universe.withColumn("code", normalize_code(C("code")))
-    df = df.where(~F.upper("name").contains("ST") & ~C("is_delisting"))
-    return (df.where(is_mainboard(C("code"))) if mainboard else df).dropDuplicates(["code"])
+# Fixed value: the sign in the names of instruments that leave the exchange.
+LEAVING = "\u9000"
+
+
+def filter_universe(universe: DataFrame, mainboard: bool = True, leaving: str = LEAVING) -> DataFrame:
+    """Instruments that are on a main board, not under special treatment and not leaving; one row a code, the first in order of its columns.
+
+    Both states are read from the name, so any ingested universe will do; a column is_delisting, if there is one, counts beside it. A null name has
+    neither sign. Rows without a code go; an empty table gives an empty one. min_universe in Params says how many must be left."""
+    df = universe.where(C("code").isNotNull()).withColumn("code", normalize_code(C("code").cast("string")))
+    leaves = yes(C("name").contains(leaving)) | (yes(C("is_delisting").cast("boolean")) if "is_delisting" in universe.columns else F.lit(False))
+    df = df.where(~yes(F.upper("name").contains("ST")) & ~leaves)
+    df = df.where(is_mainboard(C("code"))) if mainboard else df
+    rest = [c for c in df.columns if c != "code"]
+    return df.groupBy("code").agg(F.min(F.struct(*rest)).alias("_row")).select(*(C("code") if c == "code" else C("_row")[c].alias(c) for c in df.columns))
 
 
 CONTEXT = ("market_cap", "float_market_cap", "main_net_inflow_amount", "main_net_inflow_ratio_pct")
@@ -74,20 +85,40 @@ def coverage_gate(status: DataFrame, least_pct: float) -> DataFrame:
     return n.withColumn("coverage_pct", F.round(C("ok") / F.when(C("universe") > 0, C("universe")) * 100, 2)).withColumn("valid", F.coalesce(C("coverage_pct") >= least_pct, F.lit(False)))
 
 
+MOST_DAYS = 200_000  # of a calendar, some centuries
+
+
+def calendar_of(sessions: DataFrame) -> DataFrame:
+    """One row (first, upto, dates): the calendar as arrays to broadcast. upto has for each day from the first session on how many sessions there were by
+    then, dates the sessions in order. Its size is that of the calendar's span, which is checked, however many rows are looked up."""
+    spark = sessions.sparkSession
+    days = [r["date"] for r in sessions.where(C("date").isNotNull()).select("date").distinct().limit(MOST_DAYS + 1).collect()]
+    if len(days) > MOST_DAYS or (days and (max(days) - min(days)).days > MOST_DAYS):
+        raise ValueError(f"a calendar of more than {MOST_DAYS} days")
+    days.sort()
+    marks = np.zeros((days[-1] - days[0]).days + 1 if days else 0, np.int32)
+    marks[[(d - days[0]).days for d in days]] = 1
+    return spark.createDataFrame([(days[0] if days else None, np.cumsum(marks).tolist(), days)], "first date, upto array<int>, dates array<date>")
+
+
+def _sessions_upto(day: Column) -> Column:
+    """How many sessions there are up to a day, by one look into calendar_of's array."""
+    at = F.datediff(day, C("first"))
+    return F.when(F.size("upto") == 0, 0).when(at < 0, 0).otherwise(F.get("upto", F.least(at, F.size("upto") - 1)))
+
+
 def session_offset(sessions: DataFrame, count: int) -> DataFrame:
-    """date and the date that many sessions later, null beyond the calendar."""
-    then = sessions.select(C("date").alias("target"), (C("session_no") - count).alias("session_no"))
-    return sessions.join(then, "session_no", "left").select("date", "target")
+    """date and the date that many sessions later (earlier, if negative), null beyond the calendar. Every session is looked up in the broadcast calendar."""
+    then = _sessions_upto(C("date")) - 1 + count
+    return sessions.crossJoin(F.broadcast(calendar_of(sessions))).select("date", F.when(then >= 0, F.get("dates", then)).alias("target"))  # one row
 
 
 def sessions_between(pairs: DataFrame, sessions: DataFrame) -> DataFrame:
-    """pairs (start, end) with n: the sessions from start to end less one, 0 if there is none. Any two dates have a number: each is
-    looked up in the days of the calendar and the pairs together, with the sessions up to it counted along."""
-    days = sessions.select("date", F.lit(1).alias("_s")).unionByName(pairs.select(F.explode(F.array("start", "end")).alias("date"), F.lit(0).alias("_s")))
-    days = days.where(C("date").isNotNull()).groupBy("date").agg(F.max("_s").alias("_s"))
-    upto = days.select("date", "_s", F.sum("_s").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("_n"))  # a row for each day that occurs
-    a, b = upto.select(C("date").alias("start"), (C("_n") - C("_s")).alias("_a")), upto.select(C("date").alias("end"), C("_n").alias("_b"))
-    return pairs.join(a, "start", "left").join(b, "end", "left").select("start", "end", F.greatest(C("_b") - C("_a") - 1, F.lit(0)).alias("n"))
+    """pairs (start, end) with n: the sessions from start to end less one, 0 if there is none; null dates count none. Any two dates are looked up in the broadcast
+    calendar, each by its distance from the first session: no search, no join and no order over the pairs."""
+    own = pairs.select("start", "end").crossJoin(F.broadcast(calendar_of(sessions)))  # one row
+    n = _sessions_upto(C("end")) - _sessions_upto(F.date_sub(C("start"), 1)) - 1
+    return own.select("start", "end", F.coalesce(F.greatest(n, F.lit(0)), F.lit(0)).cast("long").alias("n"))
 
 
 def merge_incremental(old: DataFrame, new: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -109,3 +140,22 @@ def join_evidence_asof(df: DataFrame, evidence: DataFrame, as_of: str, columns:
     last = evidence.where(C("date") <= F.lit(as_of).cast("date")).groupBy("code").agg(F.max("date").alias("evidence_date"), row.alias("_e"))
     out = df.join(last, "code", "left")
     return out.withColumns({c: F.coalesce(C("_e")[c], C(c)) if c in df.columns else C("_e")[c] for c in columns}).drop("_e")
+
+
+def join_evidence_panel(panel: DataFrame, evidence: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    """panel (code, date and any columns) with the columns of the newest evidence row of its code up to each row's own date, and that row's date as
+    evidence_date: what was known on the day, so a backtest may use it. Whole rows of evidence count; their values win over the panel's own, where they have one.
+
+    Both sides meet in one order of code and date, and the last evidence row is carried along: as many rows as both have, however many evidence rows a
+    code has. Evidence of a day comes before the panel's rows of the day; of evidence rows that repeat a code and date the greatest counts. Rows
+    without code or date get nothing."""
+    row, own = F.struct(*(C(c) for c in columns)), [c for c in panel.columns if c != "evidence_date"]
+    news = evidence.where(C("code").isNotNull() & C("date").isNotNull()).groupBy("code", "date").agg(F.max(row).alias("_e"))
+    kind = panel.select(*own).schema
+    left = panel.select("code", "date", F.lit(1).alias("_side"), F.struct(*own).alias("_row"), F.lit(None).cast(f"struct<at:date,row:{news.schema['_e'].dataType.simpleString()}>").alias("_news"))
+    right = news.select("code", "date", F.lit(0).alias("_side"), F.lit(None).cast(kind).alias("_row"), F.struct(C("date").alias("at"), C("_e").alias("row")).alias("_news"))
+    line = Window.partitionBy("code").orderBy("date", "_side").rowsBetween(Window.unboundedPreceding, 0)
+    last = F.when(C("code").isNotNull() & C("date").isNotNull(), F.last("_news", ignorenulls=True).over(line))
+    out = left.unionByName(right).withColumn("_last", last).where("_side = 1")
+    shown = [C("_row")[c].alias(c) if c not in columns else F.coalesce(C("_last.row")[c], C("_row")[c]).alias(c) for c in own]
+    return out.select(*shown, C("_last.at").alias("evidence_date"), *(C("_last.row")[c].alias(c) for c in columns if c not in own))

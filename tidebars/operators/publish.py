@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+import uuid
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import commits, history
+
 C = F.col
 
 
@@ -73,18 +77,103 @@ def publish(artefacts: Mapping[str, DataFrame], path: str, session: str) -> None
         df.drop("session").write.mode("overwrite").parquet(f"{path}/{name}/session={session}")
 
 
-def publish_run(artefacts: Mapping[str, DataFrame], valid: bool, path: str, session: str) -> None:
-    """All of a run's artefacts and, last, the pointer to it. Without enough coverage candidates are published empty and the rows
-    kept as provisional; the watchlist isn't touched."""
-    out = {}
-    for name, df in artefacts.items():
-        if valid or not name.startswith(("selected", "watchlist", "transitions")):
-            out[name] = df
-        elif name.startswith("selected"):
-            out |= {name: df.limit(0), f"provisional_{name}": df}
-    publish(out, path, session)
-    spark = next(iter(artefacts.values())).sparkSession
-    spark.createDataFrame([(session, valid)], "session string, valid boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest")
+class GateFailed(ValueError):
+    """A run isn't published: what was written of it has no manifest, and the run before stays the newest."""
+
+
+@dataclass(frozen=True)
+class Gate:
+    """What the run's own passes count, without a job for it: once the artefact is written, check looks at what the observation saw and says why the run
+    may not be published, or nothing."""
+
+    artefact: str
+    observation: Observation
+    check: Callable[[dict], str | None]
+
+
+Step = DataFrame | Callable[[dict[str, DataFrame]], DataFrame]
+
+
+def resolved(steps: Mapping[str, Step]) -> dict[str, DataFrame]:
+    """Steps as DataFrames: one that is a function gets those before it."""
+    done: dict[str, DataFrame] = {}
+    for name, step in steps.items():
+        done[name] = step(done) if callable(step) else step
+    return done
+
+
+def publish_run(artefacts: Mapping[str, Step], valid: bool | Callable[[dict[str, dict]], bool], path: str, session: str, gates: tuple[Gate, ...] = ()) -> int:
+    """Writes a run's artefacts into a folder of its own and makes them the newest run, by a manifest that appears last and at once. A reader finds the
+    run before or this one, whole, also if the writer dies between artefacts. The run's version is returned.
+
+    An artefact may be a function of those before it: it gets them as they were written, so nothing is worked out twice. Gates are
+    checked as soon as their artefact is written; valid may be a function of what they saw, by artefact. Without enough coverage (not valid) candidates are
+    published empty and the rows kept as provisional. Artefacts that this run doesn't have stay those of the run before; a run that isn't
+    valid leaves the watchlist and its transitions alone in this way."""
+    spark = next(df for df in artefacts.values() if isinstance(df, DataFrame)).sparkSession
+    before, old = commits.manifest(spark, path)
+    folder = f"runs/{session}-{uuid.uuid4().hex}"
+    done: dict[str, DataFrame] = {}
+    seen: dict[str, dict] = {}
+    named = dict(old.get("artefacts", {}))
+
+    def write(name: str, df: DataFrame) -> None:
+        df.write.parquet(f"{path}/{folder}/{name}")
+        done[name], named[name] = spark.read.schema(df.schema).parquet(f"{path}/{folder}/{name}"), f"{folder}/{name}"
+
+    try:
+        for name, step in artefacts.items():
+            fine = valid(seen) if callable(valid) else valid
+            if not fine and name.startswith(("watchlist", "transitions")):
+                continue
+            df = step(done) if callable(step) else step
+            if not fine and name.startswith("selected"):
+                write(f"provisional_{name}", df)
+                df = df.limit(0)
+            write(name, df)
+            for gate in (g for g in gates if g.artefact == name):
+                seen.setdefault(name, {}).update(found := gate.observation.get)
+                if reason := gate.check(found):
+                    raise GateFailed(reason)
+        fine = valid(seen) if callable(valid) else valid
+        return commits.commit(spark, path, {"session": session, "valid": fine, "artefacts": named}, before)
+    except BaseException:
+        commits.delete(spark, f"{path}/{folder}")
+        raise
+
+
+def universe_gate(universe: DataFrame, least: int, artefact: str = "status") -> tuple[DataFrame, Gate]:
+    """A universe with fewer rows than `least` stops the run that writes the artefact. The frame counts its rows as they pass."""
+    seen = Observation()
+    check = lambda found: None if (found.get("universe") or 0) >= least else f"the universe is too small: {found.get('universe') or 0} < {least}"
+    return universe.observe(seen, F.count(F.lit(1)).alias("universe")), Gate(artefact, seen, check)
+
+
+def fresh_gate(benchmark: DataFrame, session: str, artefact: str = "scored") -> tuple[DataFrame, Gate]:
+    """A benchmark that doesn't end on the session stops the run that writes the artefact."""
+    seen = Observation()
+    check = lambda found: None if found.get("last") == session else f"the benchmark ends on {found.get('last')}, not on {session}"
+    return benchmark.observe(seen, F.max("date").cast("string").alias("last")), Gate(artefact, seen, check)
+
+
+def complete_gate(universe: DataFrame, total: int, least_share: float = 0.98, artefact: str = "universe") -> tuple[DataFrame, Gate]:
+    """A listing of which fewer codes came than its source announced stops the run that writes the artefact; universe has one row a code."""
+    seen = Observation()
+    check = lambda found: None if (found.get("codes") or 0) >= least_share * total else f"{found.get('codes')} of {total} codes"
+    return universe.observe(seen, F.count("code").alias("codes")), Gate(artefact, seen, check)
+
+
+def coverage_counts(status: DataFrame, artefact: str = "status") -> tuple[DataFrame, Gate]:
+    """Status rows that count what a run's coverage needs as they pass: universe and ok."""
+    seen = Observation()
+    return status.observe(seen, F.count(F.lit(1)).alias("universe"), F.count_if(C("status") == "ok").alias("ok")), Gate(artefact, seen, lambda found: None)
+
+
+def covered(seen: dict[str, dict], least_pct: float) -> bool:
+    """Whether what coverage_counts saw is enough: as market.coverage_gate, in per cent to two digits."""
+    found = seen.get("status", {})
+    universe, ok = found.get("universe") or 0, found.get("ok") or 0
+    return bool(universe) and round(ok / universe * 100, 2) >= least_pct
 
 
 def publish_shape_checkpoint(selected: DataFrame, path: str, session: str, signals: tuple[str, ...]) -> None:
@@ -92,13 +181,9 @@ def publish_shape_checkpoint(selected: DataFrame, path: str, session: str, signa
     publish({f"shape_only_{s}": selected.where(C("signal") == s) for s in signals}, path, session)
 
 
-def publish_history(bars: DataFrame, path: str, session: str, source: str) -> None:
-    """Bars up to the session with where they came from, one folder a year; years without new bars
-    stay as they are. Empty histories are refused."""
-    rows = bars.where(C("date") <= F.lit(session).cast("date"))
-    if rows.isEmpty():
-        raise ValueError("there is no bar up to the session")
-    rows.withColumns({"source": F.lit(source), "as_of": F.lit(session).cast("date"), "year": F.year("date")}).repartition("year", "code").sortWithinPartitions("code", "date").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("year").parquet(path)
+def publish_history(bars: DataFrame, path: str, session: str, source: str, buckets: int = history.BUCKETS) -> int:
+    """Bars up to the session put over those of the store, with where they came from: history.upsert_history. Empty histories are refused."""
+    return history.upsert_history(bars, path, session, source, buckets=buckets)
 
 
 def publish_backtest(judged: DataFrame, daily: DataFrame, metrics: DataFrame, path: str) -> None:
@@ -108,10 +193,12 @@ def publish_backtest(judged: DataFrame, daily: DataFrame, metrics: DataFrame, pa
     metrics.coalesce(1).write.mode("overwrite").json(f"{path}/metrics")
 
 
-def latest_run(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """An artefact of the newest run."""
-    session = spark.read.parquet(f"{path}/latest").first()["session"]
-    return spark.read.parquet(f"{path}/{name}/session={session}")
+def latest_run(spark: SparkSession, path: str, name: str, version: int | None = None) -> DataFrame:
+    """An artefact as of the newest run, or of a run by its version. A reader of several artefacts pins the version that commits.versions gives."""
+    _, run = commits.manifest(spark, path, version)
+    if name not in run.get("artefacts", {}):
+        raise ValueError(f"no run has published {name}")
+    return spark.read.parquet(f"{path}/{run['artefacts'][name]}")
 
 
 def require_fresh_benchmark(benchmark: DataFrame, session: str) -> None:

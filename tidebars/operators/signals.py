@@ -86,7 +86,7 @@ def scores(df: DataFrame) -> DataFrame:
             "chip_score_profile": F.least(F.lit(35), _ladder((share >= 25, 12), (from_(share, 18, 25), 9), (from_(share, 12, 18), 6), (from_(share, 10, 12), 4), (spread <= 18, 10), (within(spread, 18, 30), 7), (within(spread, 30, 45), 4), (dominance >= 1.5, 5), (from_(dominance, 1.15, 1.5), 3), (peaks <= 2, 4), (peaks.between(3, 4), 2), (low >= 35, 4), (from_(low, 20, 35), 2))),
             # -20 and -12 count on both steps
             "chip_score_context": F.least(F.lit(15), _ladder((fall <= -20, 6), (from_(fall, -20, -8), 4), (place <= 0.40, 5), (within(place, 0.40, 0.75), 3), (within(place, 0.75, 0.88), 1), (before <= -12, 4), (from_(before, -12, -5), 2))),
-            "chip_score_launch": F.least(F.lit(15), F.coalesce("adaptive_trend_votes", F.lit(0)) * 2 + _ladder((C("vol_ratio_20") >= 1.05, 2), (C("up_down_volume_ratio_10") >= 1.15, 2), (C("macd_rising") == 1, 1))),
+            "chip_score_launch": F.least(F.lit(15), F.greatest(F.lit(0), F.least(F.lit(5), F.coalesce("adaptive_trend_votes", F.lit(0)))) * 2 + _ladder((C("vol_ratio_20") >= 1.05, 2), (C("up_down_volume_ratio_10") >= 1.15, 2), (C("macd_rising") == 1, 1))),
             "chip_score_risk": F.least(F.lit(5), _ladder((C("distribution_day_count_5") <= 2, 2), (C("breakout_failed_fast") == 0, 1), (C("breakout_stall_distribution") == 0, 1), (F.coalesce("benchmark_risk_ok", F.lit(1)) >= 1, 1))),
         }
     )

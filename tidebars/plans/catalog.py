@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import ago, pct
 from ..operators import backtest as bt
-from ..operators import cost, features, flow, market, publish, replay, signals, watchlist
-from ..sources import fixture, landed
+from ..operators import carried, cost, features, flow, market, publish, replay, signals, watchlist
+from ..sources import fixture, history, landed
+from ..streaming import transitions
+from ..streaming import watchlist as stream
 from . import ingest, runs
 from . import reference_sql as ref
 from .params import Params
@@ -356,21 +358,113 @@ def publish_shape_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
 def publish_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The histories of two sessions, of which the second has the last year alone: the years before stay."""
     path, bars = _folder(spark), fixture.load_bars(spark, sf_dir)
-    publish.publish_history(bars, path, "2001-12-15", "first")
+    publish.publish_history(bars, path, "2001-12-15", "first", buckets=8)
     publish.publish_history(bars.where(F.year("date") == 2001), path, AS_OF, "second")
-    return spark.read.parquet(path).groupBy("code", "year", "source", C("as_of").cast("date").alias("as_of")).agg(F.count("*").alias("bars"), F.sum("close").alias("closes"))
+    return history.read_history(spark, path).groupBy("code", F.year("date").alias("year"), "source", "as_of").agg(F.count("*").alias("bars"), F.sum("close").alias("closes"))
+
+
+def publish_history_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all histories up to the middle of December; then, twice over, every third code's last sixty days with closes one higher; then every fifth code anew, as its
+    last year alone. All other rows stay, as do the third codes' older ones."""
+    path, bars, no = _folder(spark), fixture.load_bars(spark, sf_dir), C("code").cast("int")
+    history.upsert_history(bars, path, "2001-12-15", "first", buckets=8)
+    late = bars.where((no % 3 == 0) & (C("date") > F.date_sub(F.lit(AS_OF).cast("date"), 60))).withColumn("close", C("close") + 1)
+    for _ in range(2):
+        history.upsert_history(late, path, AS_OF, "second")
+    history.upsert_history(bars.where((no % 5 == 0) & (F.year("date") == 2001)), path, AS_OF, "third", whole=True)
+    return history.read_history(spark, path).select("code", "date", "close", "source", "as_of")
+
+
+def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States as of the 20th of a store in which, by the code's remainder by 7, 0 has nothing, 1 was stored as an index, 2 has later bars alone, 3 has rows that no writer of
+    the store wrote, 4 ends on the 18th, and the others are fresh. Only the last year's parts are read."""
+    path, bars, no, day = _folder(spark), fixture.load_bars(spark, sf_dir), C("code").cast("int") % 7, F.lit("2001-12-20").cast("date")
+    history.upsert_history(bars.where((no > 2) & ((no != 4) | (C("date") <= F.date_sub(day, 2)))), path, AS_OF, "provider:a", buckets=8)
+    history.upsert_history(bars.where(no == 1), path, AS_OF, "provider:a", kind="index")
+    history.upsert_history(bars.where((no == 2) & (C("date") > day)), path, AS_OF, "provider:b")
+    stray = history.read_history(spark, path, "2001-01-01").where((no == 3) & (F.month("date") == 5)).withColumns({"bucket": history.bucket_of(8), "year": F.year("date")})
+    history.stray_rows(stray, path)
+    return history.scan_history(fixture.load_universe(spark, sf_dir), path, "2001-12-20", sources=("provider:",), since="2001-01-01").select("code", "state", "bars", "last_date")
+
+
+REFRESHED = "2001-11-05"  # thirty days before the last bar of the state that the second refresh goes on from
+
+
+def refresh_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All features of the bars of a refresh, from the state that another refresh left, whose own state is that of the histories up to the 20th of November."""
+    path, bars = _folder(spark), fixture.load_bars(spark, sf_dir)
+    upto = lambda day: C("date") <= F.lit(day).cast("date")
+
+    def kept(name: str, state: DataFrame) -> DataFrame:
+        state.write.parquet(f"{path}/{name}")
+        return spark.read.schema(state.schema).parquet(f"{path}/{name}")
+
+    first = kept("first", carried.carry(bars.where(upto("2001-11-20"))))
+    second = kept("second", carried.refresh(first, bars.where(upto("2001-12-05") & ~upto("2001-10-20")))[1])
+    found, _, _ = carried.refresh(second, bars.where(~upto("2001-11-04")))
+    return found.select("code", "date", "bars", *map(_shown, dict.fromkeys(c for f in FAMILIES.values() for c in f)))
+
+
+def feature_panel_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features of bars that came two or three times: first with other closes, last with a close that is no number."""
+    bars = fixture.load_bars(spark, sf_dir)
+    twice = bars.withColumn("ingest_seq", F.lit(2)).unionByName(bars.withColumns({"close": C("close") + 3, "ingest_seq": F.lit(1)})).unionByName(bars.where(F.day("date") % 9 == 0).withColumns({"close": F.lit(float("inf")), "ingest_seq": F.lit(3)}))
+    columns = ("ma20", "dif", "rsi14", "position_250", "vol_ratio_20", "atr14", "adaptive_base_quality", "rebound_base_quality")
+    return features.feature_panel(twice).select("code", "date", *map(_shown, columns))
+
+
+def cost_profile_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cost profiles of bars that repeat days and of which those of the 7th have no number as turnover."""
+    bars = fixture.load_bars(spark, sf_dir).withColumn("turnover", F.when(F.day("date") == 7, float("nan")).otherwise(C("turnover")))
+    twice = bars.withColumn("ingest_seq", F.lit(2)).unionByName(bars.withColumns({"low": C("low") * 0.5, "ingest_seq": F.lit(1)}))
+    return cost.cost_profile(twice).select("code", *_profile_columns())
+
+
+def filter_universe_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quote lines as they come, names with signs or without a name among them, filtered."""
+    return market.filter_universe(_quoted(spark, sf_dir), mainboard=False).select("code", "name", "market", "latest")
+
+
+def _quoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The universe of quote lines: every 17th under special treatment, every 23rd leaving, every line once more in another market."""
+    k = C("s_suppkey")
+    name = F.when(k % 17 == 0, F.concat(F.lit("*st "), "s_name")).when(k % 23 == 0, F.concat("s_name", F.lit(market.LEAVING))).otherwise(C("s_name"))
+    line = lambda prefix: F.concat(F.lit(f'var hq_str_{prefix}'), F.lpad(k.cast("string"), 6, "0"), F.lit('="'), name, F.lit(",1,2,"), (k % 50).cast("string"), F.lit(',5";')).alias("value")
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.explode(F.array(line("sz"), line("sh"))).alias("value"))
+    universe = landed.ingest_quote_text(rows)
+    return universe.withColumn("name", F.when(C("code").cast("int") % 13 != 0, C("name")))
+
+
+def scan_ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scan over an ingested universe, published: each listed instrument's status and, where it was scored, its last close."""
+    path = _folder(spark)
+    p = replace(FIXTURE, min_coverage_pct=50.0, min_universe=5)
+    version = runs.publish_scan(_with_gaps(spark, sf_dir), _quoted(spark, sf_dir), fixture.load_benchmark(spark, sf_dir), fixture.load_flow(spark, sf_dir), AS_OF, p, path, mainboard=False)
+    status, scored = (publish.latest_run(spark, path, name, version) for name in ("status", "scored"))
+    return status.join(scored.select("code", "name", "close"), "code", "left")
+
+
+def join_evidence_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bar with the newest evidence of its code up to the day; every tenth code has none."""
+    bars, no = fixture.load_bars(spark, sf_dir), C("code").cast("int")
+    evidence = bars.where(((F.day("date") + no) % 11 == 0) & (no % 10 != 0)).select("code", F.date_sub("date", 1).alias("date"), C("volume").alias("flow"), F.when(C("volume") > 30, C("high")).alias("close"))
+    return market.join_evidence_panel(bars.select("code", "date", "close"), evidence, ("flow", "close")).select("code", "date", "close", "evidence_date", "flow")
 
 
 def publish_backtest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path, out = _folder(spark), runs.backtest(_panel(spark, sf_dir), FIXTURE)
-    publish.publish_backtest(out["signals"], out["daily"], out["overall"], path)
+    path = _folder(spark)
+    runs.publish_backtest(_panel(spark, sf_dir), FIXTURE, path)
     back = spark.read.parquet(f"{path}/signals").agg(F.count("*").alias("signals")), spark.read.parquet(f"{path}/daily").agg(F.count("*").alias("days")), spark.read.json(f"{path}/metrics").select("eligible_rows", "signal_rows")
     return reduce(DataFrame.crossJoin, back)  # one row each
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that executors share."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-")
     return f"{base}/published/{uuid.uuid4().hex}"
 
 
@@ -499,6 +593,34 @@ def append_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.append_transitions(rows.where(C("date") <= F.lit("2001-12-28").cast("date")), late)
 
 
+def watchlist_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The list after every session, as a stream makes it that is stopped and started again twice: only sessions with a bar or a signal come, and no bar of the code comes on
+    days that its number and the day's are a multiple of six apart."""
+    path, bars = _folder(spark), fixture.load_bars(spark, sf_dir)
+    sessions = fixture.load_sessions(bars)
+    traded = bars.where((F.day("date") + C("code").cast("int")) % 6 != 0)
+    chosen = _chosen(spark, sf_dir).join(traded.select("code", "date"), ["code", "date"], "left_semi")
+    events = replay.watchlist_events(chosen, traded, sessions, FIXTURE.watchlist_ttl_sessions).where(C("close").isNotNull() | C("new_state").isNotNull())
+    events.write.parquet(f"{path}/events")
+    events = spark.read.schema(replay.EVENT).parquet(f"{path}/events")
+    for low, high in (("0001-01-01", "2001-03-31"), ("2001-04-01", "2001-12-24"), ("2001-12-25", "9999-12-31")):
+        events.where(C("date").between(F.lit(low).cast("date"), F.lit(high).cast("date"))).write.mode("append").parquet(f"{path}/in")
+        stream.run_to(spark.readStream.schema(replay.EVENT).parquet(f"{path}/in"), sessions, f"{path}/out", f"{path}/state")
+    return spark.read.schema(replay.OUT).parquet(f"{path}/out")
+
+
+def append_transitions_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A history of transitions to which a stream's batches are added, two of them twice and one late, with closes that would show it."""
+    path, rows = _folder(spark), watchlist_transitions(spark, sf_dir)
+    rows.write.parquet(f"{path}/rows")
+    rows = spark.read.schema(transitions.ROW).parquet(f"{path}/rows")
+    add = transitions.transitions_sink(f"{path}/history", "list")
+    parts = [rows.where(C("date") < F.lit("2001-06-01").cast("date")), rows.where(C("date") >= F.lit("2001-05-01").cast("date"))]
+    for batch, part, more in ((0, parts[0], 0), (0, parts[0], 1), (1, parts[1], 2), (1, parts[1], 3), (0, parts[0], 4)):
+        add(part.withColumn("close", C("close") + more), batch)
+    return transitions.read_transitions(spark, f"{path}/history")
+
+
 def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return watchlist.current_state(_chosen(spark, sf_dir), "code", "date").select("code", "date", "new_state", "new_signals", "new_score_total", "new_close", "new_resistance_price", "new_support_price")
 
@@ -540,7 +662,7 @@ def normalize_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", market.normalize_code(C("raw")).alias("code"))
 
 
-_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay, backtest_panel, signal_flags, eligible_rows, signals_with_outcomes, scan, scan_report, scan_funnel, publish_run, publish_shape_checkpoint, publish_history, publish_backtest, column_fallbacks, join_universe_context, names_lookup, union_signals, top_n, evidence_metadata, require_fresh_benchmark, label_view, join_reference_audit, watchlist_update, watchlist_active, watchlist_idempotent, state_full_join, watchlist_transitions, append_transitions, current_state, scan_universe, scan_evidence, clean_bars, pct_rank_average, daily_rank, normalize_code)
+_PLAIN = (scan_bars, dedupe_bars, filter_universe, market_codes, fetch_status, coverage_gate, status_counts, session_offset, sessions_between, merge_incremental, join_evidence_asof, latest_snapshot, join_benchmark, relative_strength, cost_distribution_asof, cost_profile, cost_distribution_panel, scores, select_signals, funnel_counts, near_misses, flow_summary, flow_candidates, flow_rank, forward_outcomes, precision_recall, precision_by_signal, topk_recall, daily_summary, flow_status, run_report, watchlist_replay, backtest_panel, signal_flags, eligible_rows, signals_with_outcomes, scan, scan_report, scan_funnel, publish_run, publish_shape_checkpoint, publish_history, publish_backtest, column_fallbacks, join_universe_context, names_lookup, union_signals, top_n, evidence_metadata, require_fresh_benchmark, label_view, join_reference_audit, watchlist_update, watchlist_active, watchlist_idempotent, state_full_join, watchlist_transitions, append_transitions, current_state, scan_universe, scan_evidence, clean_bars, pct_rank_average, daily_rank, normalize_code, publish_history_refresh, scan_history, refresh_features, feature_panel_repeats, cost_profile_repeats, filter_universe_ingested, scan_ingested, join_evidence_panel, watchlist_stream, append_transitions_stream)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: _family(name) for name in FAMILIES} | {f.__name__: f for f in _PLAIN} | ingest.QUERIES
 
 
@@ -634,6 +756,29 @@ def oracles() -> dict[str, str]:
         "daily_rank": f"{bars} SELECT code, date, CAST(row_number() OVER (PARTITION BY date ORDER BY volume DESC, code) AS INTEGER) AS daily_rank FROM bars",
         "normalize_code": "SELECT o_orderkey, CASE WHEN length(CAST(o_orderkey * 37 AS VARCHAR)) >= 6 THEN CAST(o_orderkey * 37 AS VARCHAR) ELSE lpad(CAST(o_orderkey * 37 AS VARCHAR), 6, '0') END AS code FROM orders",
     }
+    no = "CAST(code AS INTEGER)"
+    kept = f"SELECT code, date, close, date <= DATE '2001-12-15' AS early, {no} % 3 = 0 AND date > {day} - 60 AS again, {no} % 5 = 0 AS anew FROM bars"
+    quoted = """q AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_suppkey AS k, CASE WHEN s_suppkey % 13 <> 0 THEN s_name END AS name FROM supplier WHERE s_suppkey % 13 = 0 OR (s_suppkey % 17 <> 0 AND s_suppkey % 23 <> 0 AND NOT contains(upper(s_name), 'ST')))"""
+    holes = "(SELECT * FROM bars WHERE (day(date) + CAST(code AS INTEGER)) % 6 <> 0)"
+    lists = ref.watchlist_queries(sessions, FIXTURE.watchlist_ttl_sessions, day)
+    out |= {
+        "publish_history_refresh": f"""{bars}, k AS ({kept}), last AS (SELECT code, date, CASE WHEN again AND NOT anew THEN close + 1 ELSE close END AS close, CASE WHEN anew THEN 'third' WHEN again THEN 'second' ELSE 'first' END AS source,
+          CASE WHEN anew OR again THEN {day} ELSE DATE '2001-12-15' END AS as_of FROM k WHERE CASE WHEN anew THEN year(date) = 2001 ELSE early OR again END) SELECT * FROM last""",
+        "scan_history": f"""{bars}, u AS (SELECT lpad(CAST(s_suppkey AS VARCHAR), 6, '0') AS code, s_suppkey % 7 AS r FROM supplier JOIN nation ON s_nationkey = n_nationkey), h AS (SELECT code, count(*) AS n FROM bars WHERE year(date) = 2001 AND date <= CASE WHEN {no} % 7 = 4 THEN DATE '2001-12-18' ELSE DATE '2001-12-20' END GROUP BY 1)
+          SELECT code, CASE r WHEN 0 THEN 'missing' WHEN 1 THEN 'incompatible' WHEN 2 THEN 'empty' WHEN 3 THEN 'corrupt' WHEN 4 THEN 'stale_date' ELSE 'fresh' END AS state, CASE WHEN r >= 4 THEN n ELSE 0 END AS bars,
+          CASE WHEN r = 4 THEN DATE '2001-12-18' WHEN r > 4 THEN DATE '2001-12-20' END AS last_date FROM u LEFT JOIN h USING (code)""",
+        "refresh_features": f"{whole}, numbered AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY date) AS number_of_bar FROM {chain.name}) SELECT code, date, number_of_bar AS bars, {', '.join(map(_shown_sql, dict.fromkeys(c for f in FAMILIES.values() for c in f)))} FROM numbered WHERE date >= DATE '{REFRESHED}'",
+        "feature_panel_repeats": f"{whole} SELECT code, date, {', '.join(map(_shown_sql, ('ma20', 'dif', 'rsi14', 'position_250', 'vol_ratio_20', 'atr14', 'adaptive_base_quality', 'rebound_base_quality')))} FROM {chain.name}",
+        "cost_profile_repeats": f"{bars.replace('bars AS', 'every_bar AS', 1)}, bars AS (SELECT * REPLACE (CASE WHEN day(date) <> 7 THEN turnover END AS turnover) FROM every_bar), {ref.MASS}, {ref.LAST}, {ref.PROFILE} SELECT {shown} FROM profile",
+        "filter_universe_ingested": f"WITH {quoted} SELECT code, name, 'sh' AS market, CAST(k % 50 AS DOUBLE) AS latest FROM q",
+        "scan_ingested": f"""{gaps}, {quoted}, have AS (SELECT code, count(*) AS bars, max(date) AS last_date, arg_max(close, date) AS close FROM gaps GROUP BY 1),
+          s AS (SELECT q.code, coalesce(bars, 0) AS bars, last_date, CASE WHEN bars IS NULL THEN 'failed' WHEN last_date < {day} THEN 'stale_hist' WHEN bars < {FIXTURE.min_history_bars} THEN 'insufficient_bars' ELSE 'ok' END AS status, coalesce(q.name, '') AS n, close AS c FROM q LEFT JOIN have USING (code))
+          SELECT code, bars, last_date, status, CASE WHEN status = 'ok' THEN n END AS name, CASE WHEN status = 'ok' THEN c END AS close FROM s""",
+        "join_evidence_panel": f"""{bars}, ev AS (SELECT code, date - 1 AS at, volume AS flow, CASE WHEN volume > 30 THEN high END AS price FROM bars WHERE (day(date) + {no}) % 11 = 0 AND {no} % 10 <> 0)
+          SELECT b.code, b.date, coalesce(e.price, b.close) AS close, CAST(e.at AS DATE) AS evidence_date, e.flow FROM bars b ASOF LEFT JOIN ev e ON b.code = e.code AND b.date >= e.at""",
+        "watchlist_stream": lists["watchlist_replay"].replace("LEFT JOIN bars b", f"LEFT JOIN {holes} b").replace("QUALIFY close > top", f"QUALIFY close > top AND (day(date) + {no}) % 6 <> 0"),
+        "append_transitions_stream": lists["watchlist_transitions"].replace("signals, close ", "signals, CASE WHEN last_evaluated_date >= DATE '2001-05-01' THEN close + 2 ELSE close END AS close "),
+    }
     whole = ref.features()
-    out |= ref.backtest_queries(whole, FIXTURE, PERIOD, (1, 2, *FIXTURE.top_k)) | ref.scan_queries(whole, FIXTURE, day, summary, keys) | ref.watchlist_queries(sessions, FIXTURE.watchlist_ttl_sessions, day)
+    out |= ref.backtest_queries(whole, FIXTURE, PERIOD, (1, 2, *FIXTURE.top_k)) | ref.scan_queries(whole, FIXTURE, day, summary, keys) | lists
     return out | ref.signal_queries(whole, FIXTURE) | ingest.ORACLES

@@ -40,7 +40,17 @@ class Params:
     top_n: int = 100
     flow_candidates: int = 120
     min_coverage_pct: float = 90.0
+    min_universe: int = 2000
+    refresh_days: int = 30
 
     def __post_init__(self) -> None:
-        if not (self.min_history_bars > 0 and self.horizon > 0 and self.watchlist_ttl_sessions > 0 and 0 <= self.min_coverage_pct <= 100 and all(k > 0 for k in self.top_k)):
-            raise ValueError("a parameter is out of range")
+        share = lambda *xs: all(0 < x <= 1 for x in xs)
+        checks = {
+            "min_history_bars": self.min_history_bars >= 120, "horizon": self.horizon > 0, "watchlist_ttl_sessions": self.watchlist_ttl_sessions > 0, "min_coverage_pct": 0 < self.min_coverage_pct <= 100,
+            "top_k": all(k > 0 for k in self.top_k), "top_n": self.top_n > 0, "flow_candidates": self.flow_candidates > 0, "refresh_days": self.refresh_days >= 10, "min_universe": self.min_universe >= 0,
+            "scores": all(0 <= x <= 100 for x in (self.ready_score, self.launch_score, self.rebound_score)),
+            "positions": share(self.max_position_250, self.max_peak_position, self.rebound_max_position_250, self.rebound_max_peak_position),
+            "strong peak": self.strong_peak_band_share_pct >= self.min_peak_band_share_pct and self.strong_peak_max_70_width_pct >= self.max_70_width_pct,
+        }
+        if wrong := [name for name, fine in checks.items() if not fine]:
+            raise ValueError(f"out of range: {', '.join(wrong)}")
