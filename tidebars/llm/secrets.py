@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,22 +40,44 @@ BASE = ("assign", "access", "hex")
 SPAN = "array<struct<start:bigint,end:bigint,kind:string,version:int>>"
 
 
-def _spans(text: Column, rule: Rule) -> Column:
-    """The rule's spans in code points: what lies between matches, and the matches, give each match's place."""
-    found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
-    state = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(SPAN).alias("spans"))
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value worked out once, however often and in whatever loop it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _before(values: Column, op: Callable[[Column, Column], Column], zero: Column, depth: int = 4, width: int = 32) -> Column:
+    """For each value op over all values before it, zero for the first. Chunks of chunks are summed up and only within a chunk each value looks back, so
+    the time is in proportion to the number of values (up to width ** (depth + 1), 33 million)."""
+    within = lambda chunk, start: F.transform(chunk, lambda x, i: F.aggregate(F.slice(chunk, F.lit(1), i), start, op))
+    if depth == 0:
+        return within(values, zero)
+
+    def chunked(chunks: Column) -> Column:
+        starts = _let(F.transform(chunks, lambda c: F.aggregate(c, zero, op)), lambda totals: _before(totals, op, zero, depth - 1, width))
+        return F.flatten(F.zip_with(chunks, starts, within))
+
+    def cut(v: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / width).cast("int")), lambda k: F.slice(v, k * width + 1, F.lit(width)))
+        return F.when(F.size(v) == 0, v).otherwise(_let(chunks, chunked))
+
+    return _let(values, cut)
+
 
-    def step(s: Column, pair: Column) -> Column:
-        start = s["at"] + F.length(pair["gap"])
-        end = start + F.length(pair["match"])
-        span = F.struct(start.alias("start"), end.alias("end"), F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version"))
-        return F.struct(end.alias("at"), F.when(pair["ok"], F.concat(s["spans"], F.array(span))).otherwise(s["spans"]).alias("spans"))
+def _spans(text: Column, rule: Rule) -> Column:
+    """The rule's spans in code points: what lies between matches, and the matches, give each match's place, by running sums of their lengths."""
 
     def ok(match: Column) -> Column:
         return F.length(F.regexp_replace(match, "^" + rule.prefix, "") if rule.prefix else match) >= rule.least
 
-    pairs = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda gap, match: F.struct(gap.alias("gap"), match.alias("match"), ok(match).alias("ok")))
-    spans = F.aggregate(pairs, state, step, lambda s: s["spans"])
+    def pairs(found: Column) -> Column:
+        return F.zip_with(F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(found)), found, lambda gap, match: F.struct((F.length(gap) + F.length(match)).cast("bigint").alias("both"), F.length(match).cast("bigint").alias("own"), ok(match).alias("ok")))
+
+    def placed(parts: Column) -> Column:
+        starts = _before(F.transform(parts, lambda p: p["both"]), lambda a, b: a + b, F.lit(0).cast("bigint"))
+        both = F.zip_with(parts, starts, lambda p, at: F.struct(p["ok"].alias("ok"), (at + p["both"] - p["own"]).alias("start"), (at + p["both"]).alias("end")))
+        return F.transform(F.filter(both, lambda p: p["ok"]), lambda p: F.struct(p["start"], p["end"], F.lit(rule.kind).alias("kind"), F.lit(rule.version).alias("version")))
+
+    spans = _let(_let(F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), pairs), placed)
     some = F.lower(text) if rule.folded else text
     screen = reduce(lambda a, b: a | b, (some.contains(h) for h in rule.hints)) if rule.hints else text.rlike(rule.pattern)
     return F.when(screen, spans).otherwise(F.array().cast(SPAN))
@@ -135,15 +158,29 @@ def spans_line(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+PIECE = 256  # code points of the pieces that texts are cut into to be taken apart
+
+
+def _cut(pieces: Column, low: Column, high: Column) -> Column:
+    """The text from code point low up to high, out of its pieces: only those that it touches are looked at."""
+    first, last = F.floor(low / PIECE).cast("int"), F.floor(high / PIECE).cast("int")
+    at = lambda k: F.coalesce(F.get(pieces, k), F.lit(""))
+    inside = F.substring(at(first), (low % PIECE + 1).cast("int"), (high - low).cast("int"))
+    ends = lambda middle: F.concat(F.substring(at(first), (low % PIECE + 1).cast("int"), F.lit(PIECE)), F.array_join(middle, ""), F.substring(at(last), F.lit(1), (high % PIECE).cast("int")))
+    return F.when(high <= low, "").when(first == last, inside).otherwise(ends(F.slice(pieces, first + 2, F.greatest(last - first - 1, F.lit(0)))))
+
+
 def redact(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
-    """The text with each run of overlapping or touching spans replaced by one mark."""
+    """The text with each run of overlapping or touching spans, which come in order of start, replaced by one mark. A null text, or null or no spans, leave it as it is.
+    Time is in proportion to the text and its spans."""
     whole = F.coalesce(text, F.lit(""))
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("out"))
+    nothing = F.lit(0).cast("bigint")
 
-    def step(s: Column, span: Column) -> Column:
-        gap = F.substring(whole, (s["at"] + 1).cast("int"), F.greatest(span["start"] - s["at"], F.lit(0)).cast("int"))
-        fresh = (span["start"] > s["at"]) | (s["at"] == 0)
-        return F.struct(F.greatest(s["at"], span["end"]).alias("at"), F.when(fresh, F.concat(s["out"], F.array(gap, F.lit(mark)))).otherwise(s["out"]).alias("out"))
+    def built(own: Column, pieces: Column) -> Column:
+        reached = _before(F.transform(own, lambda s: s["end"]), lambda a, b: F.greatest(a, b), nothing)
+        gaps = F.zip_with(own, reached, lambda s, at: F.when((s["start"] > at) | (at == 0), F.concat(_cut(pieces, at, s["start"]), F.lit(mark))).otherwise(""))
+        end = F.aggregate(own, nothing, lambda at, s: F.greatest(at, s["end"]))
+        return F.concat(F.array_join(gaps, ""), _let(end, lambda at: _cut(pieces, at, F.length(whole).cast("bigint"))))
 
-    done = F.aggregate(spans, start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substring(whole, (s["at"] + 1).cast("int"), F.length(whole))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    cut = F.regexp_extract_all(whole, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    return F.when(F.size(spans) > 0, _let(spans, lambda own: _let(cut, lambda pieces: built(own, pieces)))).otherwise(text)
