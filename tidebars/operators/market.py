@@ -104,7 +104,7 @@ def calendar_of(sessions: DataFrame) -> DataFrame:
 def _sessions_upto(day: Column) -> Column:
     """How many sessions there are up to a day, by one look into calendar_of's array."""
     at = F.datediff(day, C("first"))
-    return F.when(F.size("upto") == 0, 0).when(at < 0, 0).otherwise(F.get("upto", F.least(at, F.size("upto") - 1)))
+    return F.when(F.size("upto") == 0, 0).when(at < 0, 0).when(at.isNotNull(), F.get("upto", F.least(at, F.size("upto") - 1)))
 
 
 def session_offset(sessions: DataFrame, count: int) -> DataFrame:
