@@ -295,11 +295,11 @@ def test_nearest(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
-def _recall(spark, x, asked, every):
+def _recall(spark, x, asked, every, missed=ann.MISSED):
     """Share of the asked ids' five nearest, by brute force, that the search finds, how many rows each query has, and the share of
     all vectors that were scored for it."""
     found, scored = {q: set() for q in asked}, {}
-    for r in ann.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), every).collect():
+    for r in ann.nearest(spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>"), every, missed=missed).collect():
         if r["query_id"] in found:
             found[r["query_id"]].add(r["vec_id"])
             scored[r["query_id"]] = r["scored"]
@@ -334,7 +334,8 @@ def test_nearest_in_a_dense_cluster(spark, monkeypatch):
 
 def test_nearest_without_near_neighbours_is_exact(spark):
     x = np.random.default_rng(8).standard_normal((3000, 64)).astype(np.float32)
-    assert _recall(spark, x, range(0, 3000, 50), 50)[0] >= 0.97
+    recall, _, share = _recall(spark, x, range(0, 3000, 50), 50, missed=0.0)  # the exact search has a name since the forest answers by itself
+    assert recall == share == 1
 
 
 @pytest.mark.parametrize("n", [2, 3, 5, 6, 10])
@@ -555,3 +556,24 @@ def test_pipeline_decides_by_row(spark, monkeypatch):
     model = neural.PositiveUnlabelled(neural.word_buckets([two.encode()])[0], 5, -2)
     monkeypatch.setattr(corpus_pipeline.neural, "toxicity_model", lambda *_: model)
     assert stages["toxicity"](spark, docs, "").count() == 7
+
+
+def test_nearest_breaks_ties_by_id(spark):
+    """Vectors that are powers of two times one another have equal cosines, in the forest and at the root; so have others whose cosines are exactly equal."""
+    rng = np.random.default_rng(12)
+    one = rng.standard_normal(8).astype(np.float32)
+    scaled = [(i, [float(v) * 2.0 ** (i % 9 - 4) for v in one]) for i in range(40)]
+    frame = spark.createDataFrame(scaled[::-1], "vec_id long, embedding array<float>").repartition(3)
+    assert [r["vec_id"] for r in ann.nearest(frame).orderBy("rank").collect()] == [1, 2, 3, 4, 5]
+    far = [(i, [1.0, 0.0, 0.0, 0.0, *(1.0 if j == i % 7 else 0.0 for j in range(7))]) for i in range(1, 70)]
+    rows = [(0, [1.0] + [0.0] * 10), *far, *((1000 + i, [-9.0, *rng.standard_normal(10).tolist()]) for i in range(300))]
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(spark.createDataFrame(rows[::-1], "vec_id long, embedding array<float>").repartition(4), every=10**6).orderBy("rank").collect()]
+    assert [v for v, _ in got] == [1, 2, 3, 4, 5] and len({s for _, s in got}) == 1
+
+
+def test_nearest_answers_through_the_forest(spark):
+    """Without near neighbours (cosines of 0.35 to 0.5) most queries still score a part of the nodes, and few end at the root."""
+    x = np.random.default_rng(8).standard_normal((4000, 64)).astype(np.float32)
+    recall, rows, share = _recall(spark, x, range(0, 4000, 50), 50)
+    assert recall >= 0.9 and set(rows) == {5} and share < 0.5
+    assert ann.chances()[ann.SIGNS][100] == 1.0 and all(a <= b for a, b in zip(ann.chances()[7], ann.chances()[7][5:], strict=False))
