@@ -120,7 +120,9 @@ def encode_texts(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "
 
 
 def decode_ids(encoded: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
-    """doc_id and text from doc_id and ids: the inverse of encode_texts. Null ids give a null text."""
+    """doc_id and text from doc_id and ids: the inverse of encode_texts. Null ids give a null text, no ids an empty one; bytes that aren't UTF-8, as
+    of a cut list, give signs of replacement. An id that the ranks don't have is an error: the list is of another vocabulary. Null and repeated doc_ids
+    keep their rows; other columns aren't read. An empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(ranks_path, pattern)

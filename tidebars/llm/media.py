@@ -177,7 +177,7 @@ def probe(media: DataFrame) -> DataFrame:
     """From doc_id, n_bytes and media: the first track's codec, duration and keyframe byte ranges, the digests of its
     samples' bytes and of the container, and a line that sums up the track. Samples are not decoded.
 
-    Null or broken media has nulls and an error."""
+    Null or broken media has nulls and an error. Repeated rows are rows of their own, other columns aren't read, and an empty table gives an empty one."""
     key = pa.struct([("offset", pa.int64()), ("length", pa.int64())])
 
     def one(data: bytes | None) -> tuple:
@@ -208,5 +208,6 @@ def probe(media: DataFrame) -> DataFrame:
 
 
 def media_round_trip(docs: DataFrame) -> DataFrame:
-    """store_texts to a table in the shared folder, then probe of what that table holds."""
+    """store_texts to a table in the shared folder, then probe of what that table holds; the table stays, as the result reads it. Null texts count as empty,
+    null and repeated ids keep their rows, texts are whole however long, and other columns aren't read. An empty table gives an empty one."""
     return probe(as_table(store_texts(docs), "media"))

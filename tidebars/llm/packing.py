@@ -203,5 +203,6 @@ def pack(pieces: DataFrame, capacity: int = 2048, shard_rows: int = 20_000, roun
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048) -> DataFrame:
-    """Texts to packed pieces: token_pieces, then pack."""
+    """Texts to packed pieces: token_pieces, then pack. A null or empty text is one piece of the end's id alone; very long texts are cut into pieces of
+    capacity; repeated rows and null ids are packed each; other columns aren't read. An empty table gives an empty one."""
     return pack(token_pieces(docs, tokenizer_path, capacity), capacity)

@@ -160,7 +160,7 @@ def read_index(archives: DataFrame) -> DataFrame:
 
 
 def fetch(path: str, offset: int, length: int) -> tuple[dict[str, str], bytes]:
-    """A record by its place in an archive: nothing else of the archive is read."""
+    """A record's headers and body by its place in an archive: nothing else of the archive is read. A place where no record begins is an error (of zlib, or ValueError)."""
     system, name = pafs.FileSystem.from_uri(path)
     with system.open_input_file(name) as file:
         file.seek(offset)
