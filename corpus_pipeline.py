@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebars.llm import near_dup, neural, packing, secrets
-from tidebars.llm.common import as_table, free_name
+from tidebars.llm.common import as_table, drop_tables, free_name, scratch_path, scratch_tables
 from tidebars.llm.queries import WORD_TOKENS
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -42,7 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Puts a mark in the place of every secret; rows stay, whatever their ids. n_chars, where there is such a column, follows."""
+    """Puts a mark in the place of every secret; rows stay, whatever their ids, null and empty texts as they are. n_chars, where there is such a column,
+    follows. Other columns may have any names. An empty table gives an empty one."""
     spans = free_name(docs, "spans")
     ledger = as_table(secrets.scan_new_blobs(docs), "ledger")
     clean = secrets.join_findings(docs, ledger, out=spans).withColumn("text", secrets.redact(F.col("text"), F.col(spans)))
@@ -52,7 +53,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the texts in sequences of at most 2048 tokens."""
+    """Pieces of the texts in sequences of at most 2048 tokens. Null and empty texts are a piece of one token each, long texts are cut, repeated rows and ids
+    are packed each, other columns aren't read. An empty table gives an empty one."""
     return packing.pack_documents(docs, public_tokenizers.path(WORD_TOKENS))
 
 
@@ -61,8 +63,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage's rows are written to the shared folder and read by the next."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; each stage's rows are written to the shared folder and read by the next. A stage's own tables go when its rows
+    are written, and its rows when the next stage's are; those that the result reads stay."""
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES[:-1]:
-        docs = as_table(stage(spark, docs, sf_dir), name)
+        with scratch_tables(spark):
+            path, out = scratch_path(spark, name, keep=True), stage(spark, docs, sf_dir)
+            out.write.option("compression", "zstd").parquet(path)
+        drop_tables(spark, last)
+        docs, last = spark.read.schema(out.schema).parquet(path), [path]
     return STAGES[-1][1](spark, docs, sf_dir)
