@@ -70,6 +70,7 @@ def column_fallbacks(df: DataFrame) -> DataFrame:
     return df if "distance_from_adaptive_base_high_pct" in have else df.withColumn("distance_from_adaptive_base_high_pct", pct(C("close"), C("adaptive_base_high")))
 
 
+# The limits and points of the ladders in scores, and the limits of the gates that Params doesn't name.
 def scores(df: DataFrame) -> DataFrame:
     """Partial scores, the three models' scores and score_total. Missing columns as in column_fallbacks."""
     df = column_fallbacks(df)
