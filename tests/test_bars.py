@@ -79,8 +79,8 @@ def test_cost_panel_equals_the_profile_of_every_prefix(spark):
     one = bars(spark, x).withColumns(dict(zip(("turnover", "low", "high"), late, strict=True))).withColumn("close", F.when(F.col("high") == F.col("low"), F.col("low")).otherwise(F.col("close")))
     one = one.unionByName(bars(spark, x[:3], code="000002", turnover=0.0)).cache()
     got = {r["date"]: r for r in cost.cost_distribution_panel(one, lookback=60, block=16).collect()}
-    assert len(got) == 70 and {r["code"] for r in got.values()} == {"000001"}
-    ends = [DAY + timedelta(i) for i in (0, 7, 8, 9, 14, 29, 30, 47, 69)]
+    assert len(got) == 130 and {r["code"] for r in got.values()} == {"000001"}
+    ends = [DAY + timedelta(i) for i in (0, 7, 8, 9, 14, 29, 59, 60, 77, 129)]
     prefixes = one.where("code = '000001'").join(F.broadcast(spark.createDataFrame([(e,) for e in ends], "end date")), F.col("date") <= F.col("end")).withColumn("code", F.col("end").cast("string"))
     want = cost.cost_profile(prefixes, lookback=60).collect()
     assert len(want) == len(ends)
