@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions.frames import ago, pct
 from ..operators import backtest as bt
 from ..operators import carried, cost, features, flow, market, publish, replay, signals, watchlist
-from ..sources import fixture, history, landed
+from ..sources import commits, fixture, history, landed
 from ..streaming import transitions
 from ..streaming import watchlist as stream
 from . import ingest, runs
@@ -383,7 +383,9 @@ def scan_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     history.upsert_history(bars.where(no == 1), path, AS_OF, "provider:a", kind="index")
     history.upsert_history(bars.where((no == 2) & (C("date") > day)), path, AS_OF, "provider:b")
     stray = history.read_history(spark, path, "2001-01-01").where((no == 3) & (F.month("date") == 5)).withColumns({"bucket": history.bucket_of(8), "year": F.year("date")})
-    history.stray_rows(stray, path)
+    named = [(*(int(x.split("=")[1]) for x in part.split("/")), commit) for part, commit in commits.manifest(spark, path)[1]["parts"].items()]
+    folders = spark.createDataFrame(named, "bucket int, year int, commit string")  # one row a part
+    stray.join(F.broadcast(folders), ["bucket", "year"]).write.mode("append").partitionBy("commit", "bucket", "year").parquet(f"{path}/bars")
     return history.scan_history(fixture.load_universe(spark, sf_dir), path, "2001-12-20", sources=("provider:",), since="2001-01-01").select("code", "state", "bars", "last_date")
 
 

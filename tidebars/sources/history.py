@@ -144,12 +144,3 @@ def vacuum(spark: SparkSession, path: str, keep: int = 2) -> list[str]:
     for v in gone:
         commits.delete(spark, f"{path}/_commits/{v:010d}.json")
     return sorted(old)
-
-
-def stray_rows(rows: DataFrame, path: str) -> None:
-    """Adds rows (those of read_history, with bucket and year) to folders of the newest version without a word to its manifest, as a writer would that doesn't know the store. For
-    trying out what scan_history says about it."""
-    spark = rows.sparkSession
-    _, now = commits.manifest(spark, path)
-    names = spark.createDataFrame([(*_places(p), c) for p, c in now["parts"].items()], "bucket int, year int, commit string")
-    rows.join(F.broadcast(names), ["bucket", "year"]).write.mode("append").partitionBy("commit", "bucket", "year").parquet(f"{path}/bars")  # one row a part
