@@ -577,3 +577,84 @@ def test_nearest_answers_through_the_forest(spark):
     recall, rows, share = _recall(spark, x, range(0, 4000, 50), 50)
     assert recall >= 0.9 and set(rows) == {5} and share < 0.5
     assert ann.chances()[ann.SIGNS][100] == 1.0 and all(a <= b for a, b in zip(ann.chances()[7], ann.chances()[7][5:], strict=False))
+
+
+def test_nearest_on_the_given_table(spark, sf_dir):
+    """The query's answers against brute force, and what each cost: fewer nodes than there are."""
+    sf_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.1")
+    if not os.path.isdir(sf_dir):
+        pytest.skip("no table of 2,000 vectors")
+    table = spark.read.parquet(f"{sf_dir}/embeddings.parquet").toPandas().dropna()
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].tolist(), np.float64)
+    u, found = x / np.linalg.norm(x, axis=1, keepdims=True), {}
+    for r in queries.op8_nearest_vectors(spark, sf_dir).collect():
+        found.setdefault(r["query_id"], []).append(r)
+    assert set(found) == {int(i) for i in ids if i % 50 == 0}
+    hits = 0
+    for q, rows in found.items():
+        s = u @ u[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -9
+        hits += len({r["vec_id"] for r in rows} & set(ids[np.lexsort((ids, -s))[:5]].tolist()))
+        assert all(r["score"] == pytest.approx(s[ids == r["vec_id"]][0], abs=1e-12) for r in rows) and sorted(r["rank"] for r in rows) == [1, 2, 3, 4, 5]
+    assert hits >= 0.9 * 5 * len(found) and np.mean([rows[0]["scored"] for rows in found.values()]) < 0.6 * len(ids)
+
+
+def test_context_vectors_equal_plain_sums(spark):
+    some = ["one two three two", "", None, "two", "ONE-1 two, x", "a b c d e f g"]
+    frame = spark.createDataFrame([(t,) for t in some], "text string").repartition(2)
+    want = [np.zeros((n, neural.DIM)) for n in (neural.WORD_ROWS, neural.SHAPE_ROWS)]
+    index = [neural._index_vectors(neural.WORD_ROWS, 1), neural._index_vectors(neural.SHAPE_ROWS, 2)]
+    for text in some:
+        for table, (places, signs), (rows, _) in zip(want, index, neural._streams([(text or "").encode()]), strict=True):
+            for i, me in enumerate(rows):
+                for j, other in enumerate(rows):
+                    if 0 < abs(i - j) <= neural.REACH:
+                        for place, sign in zip(places[other], signs[other], strict=True):
+                            table[me, place] += sign
+    for got, table in zip(neural.context_vectors(frame), want, strict=True):
+        assert np.allclose(got, table / np.maximum(np.linalg.norm(table, axis=1, keepdims=True), 1e-9), atol=1e-6)
+
+
+def test_positive_unlabelled_steps_equal_a_plain_version():
+    """Adam on the risk as it is written down, with its gradient by differences, over dense rows."""
+    rng, n = np.random.default_rng(2), 6
+    for prior in (0.2, 0.9):
+        sets = [[np.flatnonzero(rng.random(n) < p).astype(np.int16) for _ in range(k)] for k, p in ((5, 0.6), (9, 0.4))]
+        times, start = rng.integers(1, 5, 9).astype(float), np.append(rng.normal(0, 0.1, n), -0.5)
+        dense = [np.array([np.isin(np.arange(n), s) for s in part], float) for part in sets]
+        signs = []
+
+        def parts(w):
+            fp, fu = (d @ w[:n] + w[n] for d in dense)
+            rest = (times / times.sum() * np.logaddexp(0, fu)).sum() - prior * np.logaddexp(0, fp).mean()
+            return prior * np.logaddexp(0, -fp).mean(), rest, 0.5 * (w[:n] ** 2).sum() / len(fp)
+
+        w, m, v = start.copy(), np.zeros(n + 1), np.zeros(n + 1)
+        for t in range(1, 41):
+            good = parts(w)[1] >= 0
+            signs.append(good)
+            risk = (lambda w: sum(parts(w))) if good else (lambda w: parts(w)[2] - parts(w)[1])
+            g = np.array([(risk(w + h) - risk(w - h)) / 2e-6 for h in np.eye(n + 1) * 1e-6])
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.03 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        assert np.allclose(neural.nnpu(sets[0], sets[1], times, prior, start, 40), w, atol=1e-4)
+        assert prior < 0.5 or not all(signs)
+
+
+def test_network_learns_what_plain_descent_does():
+    """On rows that neither saw, the network's calibrated probabilities are no worse than those of a plain full-batch descent from other weights."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(4000, 3)).astype(np.float32)
+    y = ((x[:, 0] * x[:, 1] > 0) ^ (rng.random(4000) < 0.05)).astype(np.int64)
+    net = neural.TwoLayers(x[:2000], y[:2000])
+    loss = lambda p: -np.mean(np.where(y[2000:] == 1, np.log(p), np.log1p(-p)))
+    z, few = (x - x[:2000].mean(0)) / x[:2000].std(0), slice(0, 2000)
+    w = [rng.normal(0, 0.5, (3, 32)), np.zeros(32), rng.normal(0, 0.2, 32), 0.0]
+    for _ in range(2000):
+        h = np.tanh(z[few] @ w[0] + w[1])
+        d = (1 / (1 + np.exp(-(h @ w[2] + w[3]))) - y[few]) / 2000
+        back = d[:, None] * w[2] * (1 - h * h)
+        w = [w[0] - z[few].T @ back, w[1] - back.sum(0), w[2] - h.T @ d, w[3] - d.sum()]
+    plain = 1 / (1 + np.exp(-(np.tanh(z[2000:] @ w[0] + w[1]) @ w[2] + w[3])))
+    got = net(x[2000:])
+    assert loss(np.clip(got, 1e-6, 1 - 1e-6)) < loss(plain) + 0.05 and np.mean((got >= 0.5) == (y[2000:] == 1)) > 0.9
