@@ -199,13 +199,21 @@ def test_quantiles_move_over_batches(spark):
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
     try:
-        got = features.close_quantiles(spark.createDataFrame(rows, BAR)).orderBy("code", "date").collect()
+        got = features.in_order(spark.createDataFrame(rows, BAR)).orderBy("code", "date").collect()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     for i, r in enumerate(got):
         own = [x["close"] for x in got[: i + 1] if x["code"] == r["code"]]
         want = [float(np.quantile(own[-w:], q)) if len(own) >= w else None for w in features.WINDOWS for q in features.QUANTILES]
         assert all(close_to(a, b) for a, b in zip(r["_quantiles"], want, strict=True))
+        fast = own[0]
+        for c in own[1:]:
+            fast += 2 / 13 * (c - fast)
+        gains = [max(b - a, 0.0) for a, b in zip(own, own[1:], strict=False)]
+        up = gains[0] if gains else None
+        for g in gains[1:]:
+            up += (g - up) / 14
+        assert close_to(r["_fast"], fast) and close_to(r["_up"], up if len(gains) >= 14 else None)
 
 
 def test_repeats_and_bad_numbers_count_nowhere(spark):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -57,27 +58,35 @@ def ewm_block(alpha: float) -> int:
     return max(math.ceil(40 / fall), min(BARS_PER_BLOCK, int(600 / fall)))
 
 
-def with_ewm(df: DataFrame, out: str, x: str, alpha: float, least: int = 1, seed: Column | None = None) -> DataFrame:
+def exponential_means(x: np.ndarray, alpha: float, mean: float = 0.0, n: int = 0) -> np.ndarray:
+    """The exponential mean as of each of x, after n values whose mean was `mean`; without any it starts at the first of x.
+
+    Within a block it is one running sum of values scaled by (1 - alpha) ** -position, times the power of the place."""
+    out, step, q = np.empty(len(x)), ewm_block(alpha), 1 - alpha
+    if len(x) and not n:
+        mean = x[0]
+    for low in range(0, len(x), step):
+        power = q ** np.arange(1, min(step, len(x) - low) + 1)
+        out[low : low + step] = power * (mean + alpha * np.cumsum(x[low : low + step] / power))
+        mean = out[min(low + step, len(x)) - 1]
+    return out
+
+
+def with_ewm(df: DataFrame, out: str, x: str, alpha: float, least: int = 1) -> DataFrame:
     """df with the exponential mean of x, started at its first value, null before `least` values.
 
     Within a block of bars it is one running sum of values scaled by (1 - alpha) ** -position, times the power of the row. A block
-    starts its scale anew and carries the end of the block before, so histories of any length are fine. All windows share one order.
-
-    seed, a struct of value and n (or null), stands for n values before the first bar whose mean is value: the mean goes on from there."""
+    starts its scale anew and carries the end of the block before, so histories of any length are fine. All windows share one order."""
     q, block = 1 - alpha, F.floor((F.col("_bar") - 1) / ewm_block(alpha))
-    before = F.lit(0).cast("long") if seed is None else F.coalesce(seed["n"], F.lit(0)).cast("long")
     df = df.withColumn("_bar", F.row_number().over(W())).withColumn("_block", block)
     line, part = Window.partitionBy("code").orderBy("_block", "date"), Window.partitionBy("code", "_block").orderBy("date")
     so_far = Window.unboundedPreceding, 0
     df = df.withColumn("_n", F.count(x).over(line.rowsBetween(*so_far)))
     df = df.withColumn("_local", F.col("_n") - F.first("_n").over(part.rowsBetween(*so_far)))
-    value = F.when(F.col("_n") + before == 1, F.col(x)).otherwise(F.lit(alpha) * F.col(x)) * F.pow(F.lit(q), -F.col("_local"))
+    value = F.when(F.col("_n") == 1, F.col(x)).otherwise(F.lit(alpha) * F.col(x)) * F.pow(F.lit(q), -F.col("_local"))
     df = df.withColumn("_scaled", F.when(F.col(x).isNotNull(), value))
     df = df.withColumn("_own", F.coalesce(F.sum("_scaled").over(part.rowsBetween(*so_far)) * F.pow(F.lit(q), "_local"), F.lit(0.0)))
     end = F.struct(F.lag("_own").over(line).alias("value"), F.lag("_n").over(line).alias("n"))
     df = df.withColumn("_end", end).withColumn("_end", F.first("_end").over(part.rowsBetween(*so_far)))
     carried = F.coalesce(F.col("_end.value") * F.pow(F.lit(q), F.col("_n") - F.col("_end.n")), F.lit(0.0))
-    mean = F.col("_own") + carried
-    if seed is not None:
-        mean = mean + F.when(before > 0, seed["value"] * F.pow(F.lit(q), "_n")).otherwise(0.0)
-    return df.withColumn(out, F.when(F.col("_n") + before >= max(1, least), mean)).drop("_bar", "_block", "_n", "_local", "_scaled", "_own", "_end")
+    return df.withColumn(out, F.when(F.col("_n") >= max(1, least), F.col("_own") + carried)).drop("_bar", "_block", "_n", "_local", "_scaled", "_own", "_end")

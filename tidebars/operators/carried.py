@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.frames import W
 from . import market
-from .features import MEANS, NUMBERS, all_features, fill_change_cols, prepared, with_means
+from .features import MEANS, NUMBERS, all_features, fill_change_cols, in_order, prepared
 
 C = F.col
 #: How many bars a feature looks back at most (the position among 250), and how many days a refresh may rewrite.
@@ -26,13 +26,13 @@ def carry(bars: DataFrame, refresh_days: int = REFRESH_DAYS, back: int = BACK) -
     the exponential means as of the tail's first bar; before, the number of bars before it. Codes whose whole history is no longer have all of it
     as tail, no seeds and before 0. bars are a whole history, or prepared bars with the columns before and seeds of an earlier state."""
     df = bars if "seeds" in bars.columns else prepared(bars)
-    df = _numbered(with_means(fill_change_cols(df)))
+    df = _numbered(fill_change_cols(in_order(df)))
     whole = Window.partitionBy("code")
     cut = F.date_sub(F.max("date").over(whole), refresh_days)
     df = df.withColumn("_cut", F.max(F.when(C("date") <= cut, C("_no"))).over(whole))
     first = C("_cut") - back
     anchored = F.coalesce(first >= _STARTED, F.lit(False))
-    count = lambda x: C("_no") - 1 if x in ("_gain", "_loss") else C("_no")
+    count = lambda x: C("_no") - 1 if x in ("gain", "loss") else C("_no")
     means = F.struct(*(F.struct(C(name).alias("value"), count(x).alias("n")).alias(name) for name, (x, _, _) in MEANS.items()))
     rows = df.where(~anchored | (C("_no") >= first)).select("code", "_no", F.struct(*_BAR).alias("bar"), F.when(anchored & (C("_no") == first), means).alias("means"))
     kept = rows.groupBy("code").agg(F.min("_no").alias("_no"), F.max("means").alias("seeds"), F.array_sort(F.collect_list("bar")).alias("tail"))  # back + refresh_days bars, or a short history

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.frames import W, ago, flag, over, pct, pdiv, roll, with_ewm, yes
+from ..functions.frames import W, ago, exponential_means, flag, over, pct, pdiv, roll, yes
 
 C = F.col
 NUMBERS = ("open", "high", "low", "close", "volume", "amount", "turnover", "amplitude", "pct_chg", "chg")
@@ -45,34 +45,13 @@ def fill_change_cols(bars: DataFrame) -> DataFrame:
     return bars.withColumns({"pct_chg": F.coalesce("pct_chg", pct(C("close"), last)), "amplitude": F.coalesce("amplitude", over(C("high") - C("low"), last) * 100)})
 
 
-#: The exponential means by the column that each is of: its weight and the number of values before which it is null.
-MEANS = {"_fast": ("close", 2 / 13, 1), "_slow": ("close", 2 / 27, 1), "dea": ("dif", 2 / 10, 1), "_up": ("_gain", 1 / 14, 14), "_down": ("_loss", 1 / 14, 14)}
-
-
-def with_means(bars: DataFrame) -> DataFrame:
-    """The means of MEANS, dif, and the gains and losses. Bars may have a column seeds, a struct of a struct (value, n) for each mean: then
-    a code's first row is a bar that they hold already, and the means go on from it."""
-    seeded = "seeds" in bars.columns
-    known = C("seeds").isNotNull() & ago("close").isNull() if seeded else F.lit(False)
-    seed = lambda name: C(f"seeds.{name}") if seeded else None
-
-    def mean(df: DataFrame, name: str) -> DataFrame:
-        x, alpha, least = MEANS[name]
-        if not seeded:
-            return with_ewm(df, name, x, alpha, least)
-        return with_ewm(df.withColumn("_x", F.when(~C("_known"), C(x))), name, "_x", alpha, least, seed(name)).drop("_x")
-
-    df = bars.withColumn("_known", known)
-    df = mean(mean(df, "_fast"), "_slow").withColumn("dif", C("_fast") - C("_slow"))
-    df = mean(df, "dea")
-    change = C("close") - ago("close")
-    df = df.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0)))})
-    return mean(mean(df, "_up"), "_down").drop("_known")
+#: The exponential means by what each is of: its weight, and the number of values before which it is null.
+MEANS = {"_fast": ("close", 2 / 13, 1), "_slow": ("close", 2 / 27, 1), "dea": ("dif", 2 / 10, 1), "_up": ("gain", 1 / 14, 14), "_down": ("loss", 1 / 14, 14)}
 
 
 def trend(bars: DataFrame) -> DataFrame:
     """Means, MACD, RSI, returns, slopes and alignment."""
-    df = with_means(bars.withColumns({f"ma{n}": roll(F.avg, "close", n) for n in (5, 10, 20, 30, 60, 120)}))
+    df = in_order(bars).withColumns({f"ma{n}": roll(F.avg, "close", n) for n in (5, 10, 20, 30, 60, 120)})
     df = df.withColumn("macd_hist", 2 * (C("dif") - C("dea")))
     df = df.withColumn("rsi14", F.when((C("_down") == 0) & (C("_up") == 0), 50.0).when(C("_down") == 0, 100.0).otherwise(100 - 100 / (1 + over(C("_up"), C("_down")))))
     return df.withColumns(
@@ -86,7 +65,7 @@ def trend(bars: DataFrame) -> DataFrame:
             "bull_alignment_5_20_30": flag((C("close") > C("ma5")) & (C("ma5") > C("ma20")) & (C("ma20") > C("ma30")) & (C("close") > C("ma60"))),
             "cross_ma5_up": flag((C("close") > C("ma5")) & (ago("close") <= ago("ma5")) & (C("close") > C("open"))),
         }
-    ).drop("_fast", "_slow", "_gain", "_loss", "_up", "_down")
+    ).drop("_fast", "_slow", "_up", "_down")
 
 
 def volumes(df: DataFrame) -> DataFrame:
@@ -256,42 +235,80 @@ def rolling_quantiles(closes: np.ndarray, window: int, quantiles: tuple[float, .
     return np.concatenate(parts)
 
 
-def close_quantiles(df: DataFrame, windows: tuple[int, ...] = WINDOWS) -> DataFrame:
-    """df with _quantiles: for each window the 90 % and 10 % quantiles of its closes (null until it is full), in one pass over the bars in
-    order. A task keeps the last closes of one code, so histories may have any length. Closes may not be null."""
-    longest, schema = max(windows), df.schema
-    rows = df.repartition("code").sortWithinPartitions("code", "date")
+class _Line:
+    """What a task carries of one code: its last closes, and each mean with the number of its values."""
+
+    def __init__(self, seeds: dict | None):
+        self.tail, self.known = np.zeros(0), seeds is not None
+        self.means = {name: (seeds[name]["value"], seeds[name]["n"]) if seeds else (0.0, 0) for name in MEANS}
+
+    def go_on(self, closes: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """Means and quantiles of the next closes. The first row of a code whose state is known is that state's last bar."""
+        before, line = self.tail[-1:], np.concatenate([self.tail, closes])
+        change = np.diff(closes, prepend=before if len(before) else np.nan)
+        of = {"close": closes, "gain": np.maximum(change, 0.0), "loss": np.maximum(-change, 0.0)}
+        out = {}
+        for name, (x, alpha, least) in MEANS.items():
+            values, skip = of[x], int(self.known) + int(x in ("gain", "loss") and not self.known and not len(before))
+            mean, n = self.means[name]
+            found = np.concatenate([np.full(min(skip, len(values)), mean if self.known else np.nan), exponential_means(values[skip:], alpha, mean, n)])
+            counts = n + np.maximum(np.arange(1 - skip, len(values) + 1 - skip), 0)
+            self.means[name] = (float(found[-1]) if counts[-1] else mean, int(counts[-1]))
+            out[name] = np.where(counts >= least, found, np.nan)
+            if name == "_slow":
+                of["dif"] = out["dif"] = out["_fast"] - out["_slow"]
+        quantiles = np.full((len(closes), 2 * len(WINDOWS)), np.nan)
+        for k, w in enumerate(WINDOWS):
+            some = min(len(line) - w + 1, len(closes))  # windows that end in these rows
+            if some > 0:
+                quantiles[len(closes) - some :, 2 * k : 2 * k + 2] = rolling_quantiles(line[-(some + w - 1) :], w)
+        self.tail, self.known = line[1 - max(WINDOWS) :], False
+        return out, quantiles
+
+
+def in_order(bars: DataFrame) -> DataFrame:
+    """bars with what a bar has from all bars before it: the means of MEANS, dif, and _quantiles, for each window the 90 % and 10 % quantiles of
+    its closes; null until there are values enough. One pass over the narrow bars in order, in which a task keeps the last closes and the means of one code,
+    so histories may have any length. Closes may not be null. Bars that have been through it stay as they are.
+
+    Bars may have a column seeds, a struct of a struct (value, n) for each mean: then a code's first row is a bar that they hold already, and
+    the means go on from it."""
+    if "_quantiles" in bars.columns:
+        return bars
+    added = [*MEANS, "dif"]
+    schema = T.StructType([*bars.schema, *(T.StructField(c, T.DoubleType()) for c in added), T.StructField("_quantiles", T.ArrayType(T.DoubleType()))])
+    seeded = "seeds" in bars.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail, last = np.zeros(0), None
+        line, last = None, None
         for batch in batches:
             if not batch.num_rows:
                 continue
             codes = batch.column("code").dictionary_encode()
             edges = np.append(np.flatnonzero(np.diff(codes.indices.fill_null(-1).to_numpy(), prepend=-2)), batch.num_rows)
-            closes, out = batch.column("close").to_numpy(zero_copy_only=False).astype(np.float64), np.full((batch.num_rows, 2 * len(windows)), np.nan)
+            closes = batch.column("close").to_numpy(zero_copy_only=False).astype(np.float64)
+            parts: list[tuple[dict[str, np.ndarray], np.ndarray]] = []
             for low, high in zip(edges[:-1], edges[1:], strict=True):
                 code = batch.column("code")[low].as_py()
-                line = np.concatenate([tail if code == last and low == 0 else np.zeros(0), closes[low:high]])
-                for k, w in enumerate(windows):
-                    some = min(len(line) - w + 1, high - low)  # windows that end in these rows
-                    if some > 0:
-                        out[high - some : high, 2 * k : 2 * k + 2] = rolling_quantiles(line[-(some + w - 1) :], w)
-                tail, last = line[1 - longest :], code
-            lists = pa.FixedSizeListArray.from_arrays(pa.array(out.ravel(), from_pandas=True), 2 * len(windows)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], [*batch.schema.names, "_quantiles"])
+                if line is None or low or code != last:
+                    line = _Line(batch.column("seeds")[low].as_py() if seeded else None)
+                parts.append(line.go_on(closes[low:high]))
+                last = code
+            means = [pa.array(np.concatenate([m[c] for m, _ in parts]), pa.float64(), from_pandas=True) for c in added]
+            lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate([q for _, q in parts]).ravel(), from_pandas=True), 2 * len(WINDOWS)).cast(pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *means, lists], [*batch.schema.names, *added, "_quantiles"])
 
-    return rows.mapInArrow(run, T.StructType([*schema, T.StructField("_quantiles", T.ArrayType(T.DoubleType()))])) if "_quantiles" not in df.columns else df
+    return bars.repartition("code").sortWithinPartitions("code", "date").mapInArrow(run, schema)
 
 
-def adaptive_platform(df: DataFrame, windows: tuple[int, ...] = WINDOWS, offsets: tuple[int, ...] = (0, 3, 5, 8, 12, 16, 20, 25, 30)) -> DataFrame:
+def adaptive_platform(df: DataFrame, offsets: tuple[int, ...] = (0, 3, 5, 8, 12, 16, 20, 25, 30)) -> DataFrame:
     """The best base over windows and offsets, by the 10 % and 90 % quantiles of the closes."""
-    df, names = close_quantiles(df, windows), []
-    for k, w in enumerate(windows):
+    df, names = in_order(df), []
+    for k, w in enumerate(WINDOWS):
         high, low = C("_quantiles")[2 * k], C("_quantiles")[2 * k + 1]
         df = df.withColumn(f"_base{w}", F.struct(*(c.alias(name) for name, c in _base(high, low, w, max(15, int(w * 0.7)), False).items())))
         names.append(f"_base{w}")
-    candidates = [(f"_base{w}", o, w, (0.55, o * 0.08 + (max(windows) - w) * 0.035)) for w in windows for o in offsets]
+    candidates = [(f"_base{w}", o, w, (0.55, o * 0.08 + (max(WINDOWS) - w) * 0.035)) for w in WINDOWS for o in offsets]
     return _best_base(df.drop("_quantiles"), "adaptive_base", candidates, "adaptive").drop(*names)
 
 
@@ -312,8 +329,8 @@ def price_actions(df: DataFrame) -> DataFrame:
 
 
 def all_features(bars: DataFrame) -> DataFrame:
-    """All features of prepared bars but the modelled cost distribution. The quantiles come first, while rows are narrow."""
-    df = ranges(volumes(trend(fill_change_cols(close_quantiles(bars)))))
+    """All features of prepared bars but the modelled cost distribution. What needs the bars in order comes first, while rows are narrow."""
+    df = ranges(volumes(trend(fill_change_cols(in_order(bars)))))
     return price_actions(adaptive_platform(rebound_platform(fixed_platform(df))))
 
 
