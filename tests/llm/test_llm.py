@@ -259,6 +259,102 @@ def test_language_model_learns_which_word_follows(spark):
     assert got[0] / got[2] > got[1] / got[2] + 1.0  # ten times likelier a token than by counts
 
 
+def test_language_model_learns_beyond_its_own_words(spark):
+    """Of 5,000 words most are leaves below shared items; these are predicted from the words before as well."""
+    rng, size = np.random.default_rng(4), 5000
+    follow = rng.permutation(size)
+    at = np.empty((1500, 300), int)
+    at[:, 0] = rng.integers(size, size=1500)
+    for j in range(1, 300):
+        at[:, j] = np.where(rng.random(1500) < 0.9, follow[at[:, j - 1]], rng.integers(size, size=1500))
+    rows = [(i, " ".join(f"v{k}" for k in line), "en", "s", 0) for i, line in enumerate(at.tolist())]
+    got = lm.language_scores(spark.createDataFrame(rows, SCHEMA).repartition(2), rounds=1).where("held_out").agg(*(F.sum(c) for c in ("score", "base_score", "n_tokens"))).first()
+    assert got[0] / got[2] > got[1] / got[2] + 2.0  # a hundred times likelier a token than by counts, of 1,000 times at most
+
+
+def test_language_model_is_a_distribution():
+    """Whatever the weights and the words before, all slots' probabilities add up to 1; so do those of the words of a vocabulary."""
+    rng, (levels, width), rows = np.random.default_rng(5), (2, 4), 64
+    leaves = width**levels
+    slots = lm.TOP + lm.CLASSES * lm.FORKS * leaves
+    words = rng.integers(1, 1 << 63, 3000, dtype=np.uint64)
+    count = rng.integers(1, 50, len(words))
+    head, places = lm.own_slots(words[np.argsort(-count)[: lm.HEAD]].view(np.int64).tolist())
+    s = lm.slots_of(words, head, places, leaves)
+    assert len(set(s[np.isin(words, head)])) == lm.HEAD and (s[~np.isin(words, head)] >= lm.TOP).all() and s.max() < slots
+    n, v = np.bincount(s, count, slots), np.bincount(s, minlength=slots)
+    model = lm.MaxEnt(n, rows, levels, width, rng.normal(size=rows * (64 + width)).astype(np.float32))
+    used = np.array([x for x in range(slots) if x >= lm.TOP or x % lm.ITEMS < lm.OWN_ITEMS])
+    alone = np.arange(len(used) + 1)  # each slot as the only token of a text: the same words before
+    p = np.exp(model.log_probs(np.zeros(len(used), np.uint64), used, alone))
+    assert p.sum() == pytest.approx(1, abs=1e-4)
+    known = np.where(s < lm.TOP, 1.0, (count + 1) / (n[s] + v[s] + 1)) * p[np.searchsorted(used, s)]
+    unknown = (p / (n[used] + v[used] + 1))[used >= lm.TOP].sum()  # what each leaf leaves to words that it hasn't seen
+    assert known.sum() + unknown == pytest.approx(1, abs=1e-4)
+
+
+def test_language_model_steps(monkeypatch):
+    """One minibatch against plain loops over tokens and features."""
+    rng, (levels, width), rows, n = np.random.default_rng(6), (2, 4), 16, 500
+    slots = lm.TOP + lm.CLASSES * lm.FORKS * width**levels
+    words, s, offsets = rng.integers(1, 9, n, dtype=np.uint64), rng.integers(slots, size=n), np.array([0, 100, 100 + 1, n])
+    s = np.where((s < lm.TOP) & (s % lm.ITEMS >= lm.OWN_ITEMS), 0, s)
+    start = rng.normal(size=rows * (64 + width)).astype(np.float32)
+    model = lm.MaxEnt(rng.integers(0, 30, slots).astype(float), rows, levels, width, start.copy())
+    one, two = lm.before(words, offsets)
+    grads, hits = [np.zeros((rows, w)) for w in model.widths], np.zeros((3, rows))
+    for i in range(n):
+        me = slice(i, i + 1)
+        for mine, t, bias, at, way in model._steps(s[me], one[me], two[me]):
+            z = sum(model.tables[t][r[0]].astype(float) for r in at) + np.atleast_2d(bias)[0]
+            g = np.exp(z - z.max())
+            g /= g.sum()
+            g[way[0]] -= 1
+            for k, r in enumerate(at):
+                grads[t][r[0]] += g
+                hits[t, r[0]] += 1
+    state, got = np.zeros((3, rows), np.float32), np.zeros((3, rows))
+    monkeypatch.setattr(lm, "_step", lambda table, state, hits, rows, gradient: [np.add.at(state, rows, 1), np.add.at(hits, rows, 1), np.add.at(sums[id(table)], rows, gradient)])
+    sums = {id(t): np.zeros(t.shape) for t in model.tables}
+    model.learn(words, s, offsets, state, got)
+    assert (got == hits).all() and all(np.allclose(sums[id(t)], g, atol=1e-3) for t, g in zip(model.tables, grads, strict=True))
+    monkeypatch.undo()
+    table, state, got = rng.normal(size=(40, 8)).astype(np.float32), np.ones(40, np.float32), np.zeros(40)
+    at, g = np.minimum(rng.zipf(1.4, 2000), 40) - 1, rng.normal(size=(2000, 8)).astype(np.float32)
+    total = np.zeros((40, 8))
+    np.add.at(total, at, g)
+    want = table - lm.RATE * total / np.sqrt(1 + 1e-3 + (total**2).mean(1))[:, None]
+    lm._step(table, state, got, at, g)
+    assert np.allclose(table, want, atol=1e-4) and (got == np.bincount(at, minlength=40)).all()
+    runs = np.array([1] * 100 + [2] * 80 + [7] * 70 + [300])
+    wide = rng.normal(size=(runs.sum(), 3)).astype(np.float32)
+    firsts = np.cumsum([0, *runs[:-1]])
+    assert np.allclose(lm._sums(wide, np.arange(len(wide)), firsts, runs), np.add.reduceat(wide, firsts, axis=0), atol=1e-4)
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_language_model_mean_changes(spark, salts):
+    """Rows of the tables move by the tasks' mean change, weighted by hits; rows without hits stay."""
+    rows, widths = 2 * lm.PART, (32, 32, 16)
+    rng = np.random.default_rng(7)
+    old = rng.normal(size=rows * sum(widths)).astype(np.float32)
+    tasks = [(rng.normal(size=(len(old))).astype(np.float32) / 8, rng.integers(0, 4, (3, rows)).astype(float) * (rng.random((3, rows)) < 0.3)) for _ in range(5)]
+    sent = []
+    for k, (change, hits) in enumerate(tasks):
+        for batch in lm._changes(lm.tables_of(old, widths), lm.tables_of(old + change, widths), hits, 1):
+            sent += [(r["part"], k % salts, bytearray(r["hits"]), bytearray(r["change"])) for r in batch.to_pylist()]
+    got = lm._moved(old, widths, spark.createDataFrame(sent, lm.CHANGES).repartition(3), salts)
+    for t, (now, first) in enumerate(zip(lm.tables_of(got, widths), lm.tables_of(old, widths), strict=True)):
+        weight = sum(h[t] for _, h in tasks)
+        mean = sum(lm.tables_of(c, widths)[t] * h[t][:, None] for c, h in tasks) / np.maximum(weight, 1)[:, None]
+        assert np.allclose(now, first + mean, atol=2e-3) and (now[weight == 0] == first[weight == 0]).all()
+
+
+def test_language_model_grows():
+    shapes = [(v, w**l) for v in (0, 1, 300, 8000, 10**5, 10**7, 10**9) for l, w in [lm.leaf_shape(v)]]
+    assert all(leaves >= math.sqrt(v) / 3 and leaves <= 8 * math.sqrt(v) + 2 for v, leaves in shapes) and all(w <= 32 for v, _ in shapes for _, w in [lm.leaf_shape(v)])
+
+
 def test_byte_bpe(docs, nothing):
     import tiktoken
 
