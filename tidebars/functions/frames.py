@@ -61,13 +61,14 @@ def ewm_block(alpha: float) -> int:
 def exponential_means(x: np.ndarray, alpha: float, mean: float = 0.0, n: int = 0) -> np.ndarray:
     """The exponential mean as of each of x, after n values whose mean was `mean`; without any it starts at the first of x.
 
-    Within a block it is one running sum of values scaled by (1 - alpha) ** -position, times the power of the place."""
+    Within a block it is one running sum of the distances from the mean before, scaled by (1 - alpha) ** -position, times the power
+    of the place. So the mean of values that don't change is that value, without an error of rounding."""
     out, step, q = np.empty(len(x)), ewm_block(alpha), 1 - alpha
     if len(x) and not n:
         mean = x[0]
     for low in range(0, len(x), step):
         power = q ** np.arange(1, min(step, len(x) - low) + 1)
-        out[low : low + step] = power * (mean + alpha * np.cumsum(x[low : low + step] / power))
+        out[low : low + step] = mean + power * alpha * np.cumsum((x[low : low + step] - mean) / power)
         mean = out[min(low + step, len(x)) - 1]
     return out
 

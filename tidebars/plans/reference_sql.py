@@ -50,8 +50,9 @@ class Chain:
     def ewm(self, out: str, x: str, alpha: float, least: int = 1) -> Chain:
         run = f"OVER ({OVER} ROWS UNBOUNDED PRECEDING)"
         self.add(**{f"n_{out}": f"count({x}) {run}"})
-        self.add(**{f"w_{out}": f"CASE WHEN {x} IS NOT NULL THEN {x} * pow({1 - alpha!r}, 1 - n_{out}) * CASE WHEN n_{out} = 1 THEN 1 ELSE {alpha!r} END END"})
-        return self.add(**{out: f"CASE WHEN n_{out} >= {least} THEN sum(w_{out}) {run} * pow({1 - alpha!r}, n_{out} - 1) END"})
+        self.add(**{f"f_{out}": f"first_value({x} IGNORE NULLS) {run}"})  # distances from the first value: a mean of values that don't change is that value, exactly
+        self.add(**{f"w_{out}": f"CASE WHEN {x} IS NOT NULL THEN ({x} - f_{out}) * pow({1 - alpha!r}, 1 - n_{out}) * {alpha!r} END"})
+        return self.add(**{out: f"CASE WHEN n_{out} >= {least} THEN f_{out} + sum(w_{out}) {run} * pow({1 - alpha!r}, n_{out} - 1) END"})
 
 
 def _base_struct(high: str, low: str, window: int, least: int, end: bool) -> str:
