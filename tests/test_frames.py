@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 
 from tidebars.functions import frames
-from tidebars.operators import features
+from tidebars.operators import cost, features
 
 LONG = 20  # rows of a window frame that is still worked out row by row
 
@@ -65,3 +65,7 @@ def _long_frames(df) -> list[str]:
 def test_no_long_frame_is_worked_out_row_by_row(spark):
     """A window frame of n rows costs n steps a row: half the time of the panel."""
     assert not _long_frames(features.feature_panel(_bars(spark, 1, 5)))
+
+
+def test_no_long_frame_in_the_cost_panel(spark):
+    assert not _long_frames(cost.cost_distribution_panel(_bars(spark, 1, 5)))
