@@ -30,15 +30,24 @@ REQUIRED = ("date", "open", "high", "low", "close", "volume")
 
 
 def _number(text: Column) -> Column:
-    """A plain number; null for anything else, NaN included."""
-    x = F.trim(text).try_cast("double")
-    return F.when(~F.isnan(x), x)
+    """A plain number; null for anything else, NaN included. Text without a digit, or an infinity's i, isn't tried: every try that fails
+    raises an exception within Spark, which takes longer than the rest of a line."""
+    x = F.trim(text)
+    return F.when(x.rlike("[0-9iI]"), F.nanvl(x.try_cast("double"), F.lit(None).cast("double")))
 
 
 def _fields(parts: Column, names: tuple[str, ...]) -> list[Column]:
     return [F.trim(F.get(parts, F.lit(i))).try_cast("date").alias(n) if n == "date" else _number(F.get(parts, F.lit(i))).alias(n) for i, n in enumerate(names)]
 
 
+def _parsed(lines: DataFrame, names: tuple[str, ...], width: int) -> DataFrame:
+    """code, seq and the named fields of lines (code, seq, line) that have as many fields as width. A line is cut up once: a generator stands between the fields
+    and whatever is asked of them later, which would else be worked out from the line again for each condition and each field."""
+    parts = lines.select(normalize_code(C("code")).alias("code"), "seq", F.split("line", ",").alias("_parts"))
+    whole = F.when(F.size("_parts") >= width, F.array(F.struct(*_fields(C("_parts"), names))))
+    return parts.select("code", "seq", F.inline(whole))
+
+
 def _last_by(df: DataFrame, *keys: str) -> DataFrame:
     """One row for each key, the one with the highest seq; seq goes."""
     rest = [c for c in df.columns if c not in (*keys, "seq")]
@@ -48,8 +57,7 @@ def _last_by(df: DataFrame, *keys: str) -> DataFrame:
 def ingest_csv_bars(lines: DataFrame) -> DataFrame:
     """Bars of lines (code, seq, line) with the BAR_FIELDS joined by commas. Lines with fewer fields, or without a date,
     prices or volume, go."""
-    parts = F.split("line", ",")
-    rows = lines.where(F.size(parts) >= len(BAR_FIELDS)).select(normalize_code(C("code")).alias("code"), "seq", *_fields(parts, BAR_FIELDS))
+    rows = _parsed(lines, BAR_FIELDS, len(BAR_FIELDS))
     return _last_by(rows.na.drop(subset=list(REQUIRED)), "code", "date")
 
 
@@ -132,8 +140,7 @@ def ingest_listing(rows: DataFrame) -> DataFrame:
 
 def ingest_fund_flow(lines: DataFrame) -> DataFrame:
     """Fund flow of lines (code, seq, line) of 15 fields; rows without a date or a main inflow go."""
-    parts = F.split("line", ",")
-    rows = lines.where(F.size(parts) >= FLOW_WIDTH).select(normalize_code(C("code")).alias("code"), "seq", *_fields(parts, FLOW_FIELDS))
+    rows = _parsed(lines, FLOW_FIELDS, FLOW_WIDTH)
     return _last_by(rows.na.drop(subset=["date", "main_net_inflow_amount"]), "code", "date")
 
 
