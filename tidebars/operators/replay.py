@@ -28,13 +28,19 @@ def watchlist_events(selected: DataFrame, market: DataFrame, sessions: DataFrame
     now = current_state(selected, "code", "date")
     ends = sessions.select((C("session_no") - ttl).alias("session_no"), C("date").alias("expires_date"))
     calendar = sessions.select("session_no", "date").join(ends, "session_no", "left")
-    first = now.join(calendar.select("date", "session_no"), "date").groupBy("code").agg(F.min("session_no").alias("_first"))
+    # codes are few and narrow until each is spread over its sessions: adaptive execution would leave them to one task
+    first = now.join(calendar.select("date", "session_no"), "date").repartition(_parts(now), "code").groupBy("code").agg(F.min("session_no").alias("_first"))
     end = F.broadcast(sessions.agg(F.max("session_no").alias("_end")))  # one row
     days = first.crossJoin(end).select("code", F.explode(F.sequence("_first", "_end")).alias("session_no")).join(calendar, "session_no")
     rows = days.join(market.select("code", "date", "close"), ["code", "date"], "left").join(now, ["code", "date"], "left")
     return rows.select(*(C(f.split()[0]).cast(f.split()[1]) for f in EVENT.split(", ")))
 
 
+def _parts(df: DataFrame) -> int:
+    """A number of partitions that is asked for is kept."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _missing(x) -> bool:
     return x is None or x != x
 
@@ -189,7 +195,7 @@ def watchlist_replay(events: DataFrame) -> DataFrame:
         if sum(b.num_rows for b in held):
             yield from fold_many(pa.Table.from_batches(held)).to_batches()
 
-    return events.repartition("code").sortWithinPartitions("code", "session_no").mapInArrow(run, OUT)
+    return events.repartition(_parts(events), "code").sortWithinPartitions("code", "session_no").mapInArrow(run, OUT)
 
 
 def append_transitions(history: DataFrame, new: DataFrame) -> DataFrame:
