@@ -29,10 +29,10 @@ def test_codes_are_spread_over_tasks_before_their_sessions(spark):
 def test_a_large_part_has_several_files_and_a_code_one(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(commits, "SHARE_BYTES", 1 << 10)
     bars = spark.range(40 * 30).select(F.lpad((F.col("id") % 40).cast("string"), 6, "0").alias("code"), F.date_add(F.lit("2024-01-01").cast("date"), (F.col("id") / 40).cast("int")).alias("date"), (F.col("id") * 7 % 101).cast("double").alias("close"))
-    history.upsert_history(bars, str(tmp_path), "2024-12-31", "a", buckets=1)
-    rows = history.read_history(spark, str(tmp_path)).select("code", "date", "close", F.col("_metadata.file_path").alias("f"))
+    history.upsert_history(bars, str(tmp_path / "a store"), "2024-12-31", "a", buckets=1)
+    rows = history.read_history(spark, str(tmp_path / "a store")).select("code", "date", "close", F.col("_metadata.file_path").alias("f"))
     assert rows.select("f").distinct().count() > 1
     assert rows.groupBy("code").agg(F.count_distinct("f").alias("n")).agg(F.max("n")).first()[0] == 1
     assert rows.drop("f").exceptAll(bars).isEmpty() and rows.count() == 1200
-    found = history.scan_history(bars.select("code"), str(tmp_path), "2024-01-30")
+    found = history.scan_history(bars.select("code"), str(tmp_path / "a store"), "2024-01-30")
     assert {(r["state"], r["files"]) for r in found.collect()} == {("fresh", 1)}
