@@ -26,7 +26,7 @@ def carry(bars: DataFrame, refresh_days: int = REFRESH_DAYS, back: int = BACK) -
     the exponential means as of the tail's first bar; before, the number of bars before it. Codes whose whole history is no longer have all of it
     as tail, no seeds and before 0. bars are a whole history, or prepared bars with the columns before and seeds of an earlier state."""
     df = bars if "seeds" in bars.columns else prepared(bars)
-    df = _numbered(fill_change_cols(in_order(df)))
+    df = _numbered(fill_change_cols(in_order(df, tuple(MEANS))))
     whole = Window.partitionBy("code")
     cut = F.date_sub(F.max("date").over(whole), refresh_days)
     df = df.withColumn("_cut", F.max(F.when(C("date") <= cut, C("_no"))).over(whole))
